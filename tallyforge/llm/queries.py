@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing
+from . import chat, mixing, tokens
 from .common import table
 
 
@@ -15,6 +15,11 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, keep=["doc_id"]).drop("copies")
 
 
+def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokens.read_index(tokens.write_shards(docs, tokenizer="word_bpe_49k.json"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
@@ -23,7 +28,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_mix_sources": op3_mix_sources, "op9_chat_format": op9_chat_format}
+    return {"op3_mix_sources": op3_mix_sources, "op6_token_shards": op6_token_shards, "op9_chat_format": op9_chat_format}
 
 
 def oracle_sql() -> dict[str, str]:
