@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, tokens
+from . import chat, licenses, mixing, packing, tokens
 from .common import table
 
 
@@ -15,6 +15,10 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, keep=["doc_id"]).drop("copies")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return tokens.read_index(tokens.write_shards(docs, tokenizer="word_bpe_49k.json"))
@@ -27,8 +31,12 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows.unionByName(extra)))
 
 
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_mix_sources": op3_mix_sources, "op6_token_shards": op6_token_shards, "op9_chat_format": op9_chat_format}
+    return {f.__name__: f for f in (op3_mix_sources, op5_license_scan, op6_token_shards, op9_chat_format, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
