@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, licenses, mixing, packing, tokens
+from . import ann, chat, licenses, mixing, packing, tokens, voronoi
 from .common import table
 
 
+def op2_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs, keep=["doc_id"]).drop("copies")
@@ -24,6 +28,10 @@ def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_index(tokens.write_shards(docs, tokenizer="word_bpe_49k.json"))
 
 
+def op8_topk_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voronoi.topk_join(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
@@ -36,8 +44,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_mix_sources, op5_license_scan, op6_token_shards, op9_chat_format, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op2_ann_search, op3_mix_sources, op5_license_scan, op6_token_shards, op8_topk_join, op9_chat_format, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix_sources": mixing.OP3_SQL}
+    return {"op3_mix_sources": mixing.OP3_SQL, "op8_topk_join": voronoi.OP8_SQL}
