@@ -13,7 +13,9 @@ stream, checksums of blocks, checkpoints, streams.
 from __future__ import annotations
 
 import os
+import re
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -31,13 +33,17 @@ MAGIC = b"TFRANS01"
 #: Bits of a probability; ids in a block; coders in a block; steps between checkpoints.
 BITS, BLOCK, LANES, CHECKPOINT = 20, 65536, 64, 256
 LOW = np.uint64(1 << 31)
+#: A point or comma that the tokenizer may join to what stands before or after it.
+_run = re.compile(r"[.,](?:[^\w\s]|_|(?<=[^\w\s][.,])|(?<=_[.,]))")
 #: Ids after which a shard is closed: bounds what a worker holds.
-SHARD = 1 << 20
+SHARD = 1 << 21
 
 
 def _frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Symbols that occur, and their frequencies scaled to a sum of 2 ** BITS, none below 1."""
-    symbols, counts = np.unique(ids, return_counts=True)
+    counts = np.bincount(ids)  # as long as the vocabulary at most
+    symbols = np.flatnonzero(counts)
+    counts = counts[symbols]
     scaled = np.maximum(1, (counts.astype(np.float64) * ((1 << BITS) - len(symbols)) / max(1, counts.sum())).astype(np.int64))
     if len(scaled):
         scaled[np.argmax(scaled)] += (1 << BITS) - scaled.sum()
@@ -57,34 +63,38 @@ def encode(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int]) -> by
     blocks = len(steps)
     symbols, freq = _frequencies(ids)
     first = np.concatenate([np.zeros(1, np.uint64), np.cumsum(freq)]).astype(np.uint64)
-    # ids as (block, step, lane); what is missing in the last step is filled with the commonest symbol
-    index = np.searchsorted(symbols, ids).astype(np.uint32)
+    # ids as (step, block, lane); what is missing in the last step is filled with the commonest symbol
     grid = np.full(blocks * BLOCK, np.argmax(freq) if len(freq) else 0, dtype=np.uint32)
-    grid[:n] = index
-    grid = grid.reshape(blocks, BLOCK // LANES, LANES)
-    state = np.full((blocks, LANES), LOW, dtype=np.uint64)
-    words, owners, sent = [], [], np.zeros(blocks, np.int64)
+    places = np.zeros(int(symbols[-1]) + 1 if len(symbols) else 1, np.uint32)
+    places[symbols] = np.arange(len(symbols))
+    grid[:n] = places[ids]
+    grid = np.ascontiguousarray(grid.reshape(blocks, BLOCK // LANES, LANES).transpose(1, 0, 2)).reshape(BLOCK // LANES, -1)
+    state = np.full(blocks * LANES, LOW, dtype=np.uint64)
+    words, lanes, sent = [], [], np.zeros(blocks, np.int64)
     kept: list[tuple[int, np.ndarray, np.ndarray]] = []
+    counted = 0
+    whole, shift, word = np.uint64(1 << BITS), np.uint64(63 - BITS), np.uint64(32)
     for t in range(int(steps.max(initial=0)) - 1, -1, -1):
-        live = blocks if t < steps[-1] else blocks - 1  # only the last block can be shorter
-        s = grid[:live, t]
+        live = LANES * (blocks if t < steps[-1] else blocks - 1)  # only the last block can be shorter
+        s = grid[t, :live]
         f, x = freq[s], state[:live]
-        over = x >= (f << np.uint64(63 - BITS))
-        if over.any():
-            words.append((x[over] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
-            per = over.sum(axis=1)
-            owners.append(np.repeat(np.arange(live), per))
-            sent[:live] += per
-            x = np.where(over, x >> np.uint64(32), x)
-        q, r = np.divmod(x, f)
-        state[:live] = (q << np.uint64(BITS)) + r + first[s]
+        over = np.flatnonzero(x >= f << shift)
+        if len(over):
+            full = x[over]
+            words.append(full.astype(np.uint32))
+            lanes.append(over)
+            x[over] = full >> word
+        x += (x // f) * (whole - f) + first[s]
         if t % CHECKPOINT == 0:
+            if len(lanes) > counted:
+                sent += np.bincount(np.concatenate(lanes[counted:]) // LANES, minlength=blocks)
+                counted = len(lanes)
             kept.append((t, state.copy(), sent.copy()))
     stream = np.concatenate(words[::-1]) if words else np.zeros(0, np.uint32)
-    owner = np.concatenate(owners[::-1]) if owners else np.zeros(0, np.int64)
-    stream = stream[np.argsort(owner, kind="stable")]
+    owner = np.concatenate(lanes[::-1]) // LANES if lanes else np.zeros(0, np.int64)
+    stream = stream[np.argsort(owner.astype(np.uint16), kind="stable")]
     points = b"".join(
-        np.int64(sent[b] - at[b]).tobytes() + x[b].tobytes() for b in range(blocks) for t, x, at in reversed(kept) if t < steps[b]
+        np.int64(sent[b] - at[b]).tobytes() + x[b * LANES : (b + 1) * LANES].tobytes() for b in range(blocks) for t, x, at in reversed(kept) if t < steps[b]
     )
     checks = np.array([zlib.crc32(ids[b * BLOCK : (b + 1) * BLOCK].tobytes()) for b in range(blocks)], np.uint32)
     pack = zstandard.ZstdCompressor(level=3).compress
@@ -165,10 +175,16 @@ class Shard:
 
 
 class Encoder:
-    """Ids of whole texts, by way of the ids of their words: no token of the tokenizer crosses a space or line feed."""
+    """Ids of whole texts, by way of the ids of their words: no token of the tokenizer crosses a space or line feed.
+
+    Where the tokenizer treats them alike, words are looked up in lower case, and a point or comma after letters or
+    digits as a word of its own; a text for which either might change an id is looked up as it is.
+    """
 
     #: Words of a generation of known ones; the words that the last two generations met are kept.
-    MOST = 500_000
+    MOST = 700_000
+    #: A mark that is a token of its own between words that are encoded together.
+    MARK = "\x01"
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -177,30 +193,51 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-
-    def _learn(self, words: list[str], found: list[bytes | None]) -> None:
-        """Put in what is missing in found."""
-        missing = [w for w, x in zip(words, found, strict=True) if x is None]
-        older = self.older
-        got = {w: older[w] for w in missing if w in older}
-        new = list({w for w in missing if w not in got})
-        got.update(zip(new, (np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        rest = iter(missing)
-        found[:] = [got[next(rest)] if x is None else x for x in found]
-        self.known.update((w, x) for w, x in got.items() if len(w) <= 64)
-        if len(self.known) > self.MOST:
-            self.known, self.older = {}, self.known
+        ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        self.mark = ids(self.MARK)[0]
+        letters = [chr(c) for c in range(0x250) if chr(c).isalpha()]
+        self.lowers = all(ids(c) == ids(c.lower()) for c in letters)
+        self.splits = all(ids(f"{w}{c}") == ids(f"{w} {c}") for c in ".," for w in ("word", "3", "\u00e9"))
+
+    def _words(self, text: str) -> list[str]:
+        if self.lowers and "<|" not in text:
+            if text.isascii():
+                text = text.lower()
+            elif "\u03a3" not in text and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low := text.lower()):
+                text = low
+        if self.splits and not _run.search(text):
+            text = text.replace(".", " .").replace(",", " ,")
+        return text.replace("\n", " ").split(" ")
+
+    def _encode(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of unknown words, many in one call: most of the cost of encoding a word alone is the call."""
+        got: dict[str, bytes] = {}
+        for at in range(0, len(words), 4096):
+            plain = [w for w in words[at : at + 4096] if self.MARK not in w]
+            flat = np.array(self.tokenizer.encode_batch_fast([f" {self.MARK} ".join(plain)], add_special_tokens=False)[0].ids, self.kind)
+            cuts, width, raw, begin = [*np.flatnonzero(flat == self.mark).tolist(), len(flat)], flat.itemsize, flat.tobytes(), 0
+            if plain and len(cuts) != len(plain):
+                raise ValueError("the mark between words is not a token of its own")
+            for w, cut in zip(plain, cuts):  # noqa: B905  (no words, one cut)
+                got[w] = raw[begin * width : cut * width]
+                begin = cut + 1
+        got.update((w, np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, self.kind).tobytes()) for w in words if self.MARK in w)
+        return got
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as unsigned 16-bit integers, or 32-bit where the vocabulary needs them."""
-        out = []
-        for text in texts:
-            words = text.replace("\n", " ").split(" ")
-            found = list(map(self.known.get, words))
-            if None in found:
-                self._learn(words, found)
-            out.append(b"".join(found))
-        return out
+        known, older = self.known, self.older
+        split = [self._words(t) for t in texts]
+        found = [list(map(known.get, words)) for words in split]
+        missing = {w for words, ids in zip(split, found, strict=True) if None in ids for w, x in zip(words, ids, strict=True) if x is None}
+        if missing:
+            got = {w: older[w] for w in missing if w in older}
+            got.update(self._encode([w for w in missing if w not in got]))
+            found = [[got[w] if x is None else x for w, x in zip(words, ids, strict=True)] if None in ids else ids for words, ids in zip(split, found, strict=True)]
+            known.update((w, x) for w, x in got.items() if len(w) <= 64)
+            if len(known) > self.MOST:
+                self.known, self.older = {}, known
+        return list(map(b"".join, found))
 
     @property
     def kind(self) -> type:
