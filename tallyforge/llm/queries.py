@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, chat, licenses, mixing, packing, tokens, voronoi
+from . import ann, chat, langid, licenses, mixing, packing, tokens, voronoi
 from .common import table
 
 
@@ -28,6 +28,12 @@ def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_index(tokens.write_shards(docs, tokenizer="word_bpe_49k.json"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = langid.identify(docs, langid.learn(docs), keep=["doc_id"])
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op8_topk_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voronoi.topk_join(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
@@ -44,7 +50,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ann_search, op3_mix_sources, op5_license_scan, op6_token_shards, op8_topk_join, op9_chat_format, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op2_ann_search, op3_mix_sources, op5_license_scan, op6_token_shards, op7_language_id, op8_topk_join, op9_chat_format, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
