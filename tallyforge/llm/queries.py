@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, chat, langid, licenses, mixing, packing, tokens, voronoi
+from . import ann, chat, langid, licenses, mixing, packing, pii, tokens, voronoi
 from .common import table
 
 
+def op1_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.digests(pii.detect(docs, pii.train(pii.sample(docs)), keep=["doc_id"]))
+
+
 def op2_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
@@ -50,7 +55,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ann_search, op3_mix_sources, op5_license_scan, op6_token_shards, op7_language_id, op8_topk_join, op9_chat_format, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_pii_spans, op2_ann_search, op3_mix_sources, op5_license_scan, op6_token_shards, op7_language_id, op8_topk_join, op9_chat_format, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
