@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .vectors import answers, dealt, distinct_vectors, matrix, sample, solve, usable
+from .vectors import answers, asked, dealt, distinct_vectors, kth_best, matrix, sample, solve, usable
 
 #: Bound of the sample that graph and classifier are made from.
 SAMPLE = 8192
@@ -132,17 +132,18 @@ def search(rows: DataFrame, *, k: int = 20, every: int = 20, cover: float = COVE
     def assign(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return router(x).argmax(1) if router else np.zeros(len(x), np.int64), np.zeros(len(x))
 
-    cells, known = dealt(vectors, MOST_PARTS, assign, "ann-cells")
+    cells, known = dealt(vectors, assign, "ann-cells")
+    home = assign(points)[0] if len(points) else np.zeros(0, np.int64)
 
     def route(batches):
         for batch in batches:
-            x = matrix(batch.column(0), np.float64)
+            x = matrix(batch.column(1), np.float64)
             if not len(x):
                 continue
-            odds = router(x) if router else np.ones((len(x), 1))
-            owner, cell, chunk = [], [], []
+            odds, scores = router(x) if router else np.ones((len(x), 1)), x @ points.T
+            owner, cell, chunk, least = [], [], [], []
             for i, p in enumerate(odds):
-                mass = held = 0.0
+                mass, held, probed = 0.0, 0, []
                 for c in np.argsort(-p, kind="stable").tolist():
                     mass += p[c]
                     if c in known:
@@ -150,10 +151,13 @@ def search(rows: DataFrame, *, k: int = 20, every: int = 20, cover: float = COVE
                         owner += [i] * known[c][1]
                         cell += [c] * known[c][1]
                         chunk += range(known[c][1])
+                        probed.append(c)
                     if mass >= cover and held >= 4 * k:
                         break
-            least = pa.array(np.full(len(owner), -np.inf))
-            yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(chunk, pa.int32()), batch.column(0).take(pa.array(owner, pa.int64())), least], ["cell", "chunk", "q", "least"])
+                # points of the sample that lie in the probes are found there, so what is worse than k + 1 of them is no answer
+                least += [kth_best(scores[i][np.isin(home, probed)], k)] * sum(known[c][1] for c in probed)
+            moved = (c.take(pa.array(owner, pa.int64())) for c in batch.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(chunk, pa.int32()), *moved, pa.array(least, pa.float64())], ["cell", "chunk", "q", "v", "least"])
 
-    routed = queries.select("v").distinct().mapInArrow(route, "cell int, chunk int, q array<double>, least double")
+    routed = asked(queries).mapInArrow(route, "cell int, chunk int, q long, v array<double>, least double")
     return answers(queries, solve(cells, routed, k + 1, "double", exact=False), k)

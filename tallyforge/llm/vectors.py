@@ -65,7 +65,7 @@ def best(scores: np.ndarray, ids: list[list[int]], most: int) -> list[tuple[int,
 def solve(cells: DataFrame, routed: DataFrame, most: int, score: str, exact: bool) -> DataFrame:
     """For each query vector the best of the cells that it is routed to: q, vec_id, score; at most so many a query and chunk.
 
-    cells: cell, chunk, v, ids. routed: cell, chunk, q, least (no score below it is needed).
+    cells: cell, chunk, v, ids. routed: cell, chunk, q (a number for the query's vector), v, least (no score below it is needed).
     """
     kind = pa.int64() if score == "long" else pa.float64()
 
@@ -73,7 +73,7 @@ def solve(cells: DataFrame, routed: DataFrame, most: int, score: str, exact: boo
         qs, owners, found, scores = right.column("q").combine_chunks(), [], [], []
         if left.num_rows and right.num_rows:
             data, ids = matrix(left.column("v"), np.float64), left.column("ids").to_pylist()
-            asked, least = matrix(qs, np.float64), right.column("least").to_numpy()
+            asked, least = matrix(right.column("v"), np.float64), right.column("least").to_numpy()
             wide = exact and np.abs(data).max() * np.abs(asked).max() * data.shape[1] >= 2.0**53
             for at in range(0, len(asked), 256):
                 block = asked[at : at + 256]
@@ -90,7 +90,19 @@ def solve(cells: DataFrame, routed: DataFrame, most: int, score: str, exact: boo
         return pa.table([qs.take(pa.array(owners, pa.int64())) if owners else pa.array([], qs.type), pa.array(found, pa.int64()), pa.array(scores, kind)], ["q", "vec_id", "score"])
 
     sides = cells.groupBy("cell", "chunk"), routed.groupBy("cell", "chunk")
-    return sides[0].cogroup(sides[1]).applyInArrow(run, f"q {dict(routed.dtypes)['q']}, vec_id long, score {score}")
+    return sides[0].cogroup(sides[1]).applyInArrow(run, f"q long, vec_id long, score {score}")
+
+
+def asked(queries: DataFrame) -> DataFrame:
+    """Distinct query vectors: q (the smallest id that asks it) and v."""
+    return queries.groupBy("v").agg(F.min("vec_id").alias("q")).select("q", "v")
+
+
+def kth_best(scores: np.ndarray, k: int) -> float:
+    """A score that a query's k-th best is not below, from its scores with some vectors (one may be its own); less what rounding may cost."""
+    if len(scores) <= k:
+        return -np.inf
+    return float(np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1] - 1e-9 * (np.abs(scores).max() + 1))
 
 
 def answers(queries: DataFrame, found: DataFrame, k: int) -> DataFrame:
@@ -101,11 +113,11 @@ def answers(queries: DataFrame, found: DataFrame, k: int) -> DataFrame:
         return df.withColumn("rank", place).where(F.col("rank") <= most)
 
     shared = top(found, "q", k + 1).drop("rank")
-    own = queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).join(shared, "q").where(F.col("query_id") != F.col("vec_id"))
+    own = queries.join(asked(queries), "v").select(F.col("vec_id").alias("query_id"), "q").join(shared, "q").where(F.col("query_id") != F.col("vec_id"))
     return top(own, "query_id", k).select("query_id", "rank", "vec_id", "score")
 
 
-def dealt(vectors: DataFrame, n_cells: int, assign, what: str) -> tuple[DataFrame, dict[int, tuple[int, int, float]]]:
+def dealt(vectors: DataFrame, assign, what: str) -> tuple[DataFrame, dict[int, tuple[int, int, float]]]:
     """Vectors with cell and chunk, and what is known of each cell: vectors, chunks, largest distance to its centre.
 
     assign: a matrix -> (cell of each row, distance of each row).
@@ -119,7 +131,7 @@ def dealt(vectors: DataFrame, n_cells: int, assign, what: str) -> tuple[DataFram
 
     kind = dict(vectors.dtypes)["v"]
     placed = written(vectors.select("v", "ids").mapInArrow(run, f"cell int, far double, v {kind}, ids array<long>"), what)
-    # at most n_cells rows
+    # a row for each cell
     known = {r["cell"]: (r["n"], -(-r["n"] // CHUNK), r["far"]) for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()}
     chunks = F.element_at(F.create_map(*[F.lit(x) for c, (_, k, _) in known.items() for x in (c, k)]), F.col("cell")) if known else F.lit(1)
     return placed.withColumn("chunk", F.pmod(F.xxhash64("v"), chunks.cast("long")).cast("int")), known

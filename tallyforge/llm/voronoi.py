@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .vectors import answers, dealt, distinct_vectors, matrix, sample, solve, usable
+from .vectors import answers, asked, dealt, distinct_vectors, kth_best, matrix, sample, solve, usable
 
 #: At most so many pivots; witnesses for the bounds.
 PIVOTS, WITNESSES = 128, 2048
@@ -45,14 +45,14 @@ def topk_join(rows: DataFrame, *, k: int = 10, every: int = 100, scale: int = 10
     witnesses = sample(vectors, WITNESSES)
     queries = whole.where(F.col("vec_id") % every == 0)
     if not len(witnesses):
-        return answers(queries, rows.sparkSession.createDataFrame([], "q array<long>, vec_id long, score long"), k)
+        return answers(queries, rows.sparkSession.createDataFrame([], "q long, vec_id long, score long"), k)
     pivots = _centres(witnesses, max(1, min(PIVOTS, int(len(witnesses) ** 0.5))))
 
     def assign(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         cell = (x @ pivots.T - (pivots**2).sum(1) / 2).argmax(1)
         return cell, np.sqrt(((x - pivots[cell]) ** 2).sum(1))
 
-    cells, known = dealt(vectors, len(pivots), assign, "voronoi-cells")
+    cells, known = dealt(vectors, assign, "voronoi-cells")
     names = np.array(sorted(known))
     sizes, chunks = np.array([known[c][0] for c in names]), [known[c][1] for c in names]
     radius, centre = np.array([known[c][2] for c in names]), pivots[names]
@@ -60,25 +60,25 @@ def topk_join(rows: DataFrame, *, k: int = 10, every: int = 100, scale: int = 10
     def route(batches):
         for batch in batches:
             owner, cell, chunk, least = [], [], [], []
-            for i, q in enumerate(matrix(batch.column(0), np.float64)):
+            for i, q in enumerate(matrix(batch.column(1), np.float64)):
                 middle, span = centre @ q, np.sqrt(q @ q) * radius
                 slack = 1e-9 * (np.abs(middle).max() + span.max() + 1)
                 low = middle - span - slack
                 order = np.argsort(-low)
                 enough = np.flatnonzero(np.cumsum(sizes[order]) > k)
                 bound = low[order][enough[0]] if len(enough) else -np.inf
-                if len(witnesses) > k:  # k + 1 of them, as the query may be one
-                    bound = max(bound, np.partition(witnesses @ q, len(witnesses) - k - 1)[len(witnesses) - k - 1] - slack)
+                bound = max(bound, kth_best(witnesses @ q, k))
                 for j in np.flatnonzero(middle + span + slack >= bound):
                     owner += [i] * chunks[j]
                     cell += [int(names[j])] * chunks[j]
                     chunk += range(chunks[j])
                     least += [float(bound)] * chunks[j]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cell, pa.int32()), pa.array(chunk, pa.int32()), batch.column(0).take(pa.array(owner, pa.int64())), pa.array(least, pa.float64())], ["cell", "chunk", "q", "least"]
+                [pa.array(cell, pa.int32()), pa.array(chunk, pa.int32()), *(c.take(pa.array(owner, pa.int64())) for c in batch.columns), pa.array(least, pa.float64())],
+                ["cell", "chunk", "q", "v", "least"],
             )
 
-    routed = queries.select("v").distinct().mapInArrow(route, "cell int, chunk int, q array<long>, least double")
+    routed = asked(queries).mapInArrow(route, "cell int, chunk int, q long, v array<long>, least double")
     return answers(queries, solve(cells, routed, k + 1, "long", exact=True), k)
 
 
