@@ -137,26 +137,27 @@ class Shard:
     def _run(self, chosen: list[int], begin: int) -> np.ndarray:
         """Indices of symbols of the chosen blocks, longest first, from step begin (at a checkpoint) on: (block, step, lane)."""
         points = [self.points[b][begin // CHECKPOINT] for b in chosen]
-        state = np.array([p["state"] for p in points], np.uint64)
+        state = np.array([p["state"] for p in points], np.uint64).reshape(-1)
         at = np.array([self.starts[b] + p["at"] for b, p in zip(chosen, points, strict=True)], np.int64)
         steps = self.steps[chosen]
-        out = np.zeros((len(chosen), int(steps.max()) - begin, LANES), np.uint32)
-        freq = self.freq.astype(np.uint64)
+        out = np.zeros((int(steps.max()) - begin, len(chosen) * LANES), np.uint32)
+        freq, mask, bits, word = self.freq.astype(np.uint64), np.uint64((1 << BITS) - 1), np.uint64(BITS), np.uint64(32)
         for t in range(begin, int(steps.max())):
             live = int((steps > t).sum())
-            x = state[:live]
-            slot = x & np.uint64((1 << BITS) - 1)
+            x = state[: live * LANES]
+            slot = x & mask
             s = self.slots[slot]
-            out[:live, t - begin] = s
-            x = freq[s] * (x >> np.uint64(BITS)) + slot - self.first[s]
-            need = x < LOW
-            if need.any():
-                nth = np.cumsum(need, axis=1)
-                place = at[:live, None] + nth - 1
-                x[need] = (x[need] << np.uint64(32)) | self.stream[place[need]]
-                at[:live] += nth[:, -1]
-            state[:live] = x
-        return out
+            out[t - begin, : len(s)] = s
+            x = freq[s] * (x >> bits) + slot - self.first[s]
+            low = np.flatnonzero(x < LOW)
+            if len(low):
+                block = low // LANES
+                count = np.bincount(block, minlength=live)
+                place = (at[:live] - np.cumsum(count) + count)[block] + np.arange(len(low))
+                x[low] = (x[low] << word) | self.stream[place]
+                at[:live] += count
+            state[: live * LANES] = x
+        return out.reshape(len(out), len(chosen), LANES).transpose(1, 0, 2)
 
     def block(self, b: int, point: int = 0) -> np.ndarray:
         """Ids of one block from one of its checkpoints on."""
@@ -182,7 +183,7 @@ class Encoder:
     """
 
     #: Words of a generation of known ones; the words that the last two generations met are kept.
-    MOST = 700_000
+    MOST = 900_000
     #: A mark that is a token of its own between words that are encoded together.
     MARK = "\x01"
 
