@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, chat, langid, licenses, mixing, packing, pii, tokens, voronoi
+from . import ann, chat, jaccard, langid, licenses, mixing, packing, pii, tokens, voronoi
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, keep=["doc_id"]).drop("copies")
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -55,7 +59,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii_spans, op2_ann_search, op3_mix_sources, op5_license_scan, op6_token_shards, op7_language_id, op8_topk_join, op9_chat_format, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_pii_spans, op2_ann_search, op3_mix_sources, op4_ngram_jaccard, op5_license_scan, op6_token_shards, op7_language_id, op8_topk_join, op9_chat_format, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
