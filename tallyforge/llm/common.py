@@ -75,12 +75,13 @@ def if_small(df: DataFrame, most_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
-def ranked(df: DataFrame, keys: list[str], within: str, order: list[Column], n_rows: int, rank: str) -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], within: str, order: list[Column], n_rows: int, rank: str, beside: DataFrame | None = None) -> DataFrame:
     """Add rank: 1, 2, ... among the rows with equal keys, ordered by (within mod parts, order).
 
     keys hold no nulls; within is a long column. No task gets all rows of a key: the rows of a key are dealt into
     parts by within, parts grow with n_rows, the sizes of parts are summed up in a table of (keys, part), and only
-    a part's rows meet in a window.
+    a part's rows meet in a window. beside: a table by keys to be joined on; it joins the table of parts, so that the
+    rows are shuffled once.
     """
     parts = max(8, -(-n_rows // 1_000_000))
     part = f"{rank}_part"
@@ -94,6 +95,8 @@ def ranked(df: DataFrame, keys: list[str], within: str, order: list[Column], n_r
         )
         .drop(f"{rank}_n")
     )
+    if beside is not None:
+        before = before.join(beside, keys)
     return (
         dealt.join(before, [*keys, part])
         .withColumn(rank, F.col(f"{rank}_off") + F.row_number().over(Window.partitionBy(*keys, part).orderBy(*order)))

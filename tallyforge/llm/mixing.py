@@ -82,8 +82,8 @@ def mix(
     sized = rows.groupBy("key", "size").agg(F.count("*").alias("n")).withColumn(
         "smaller", F.coalesce(F.sum("n").over(Window.partitionBy("key").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     )
-    placed = ranked(rows, ["key", "size"], "id", [F.col("id"), F.col("tie")], n_rows, "nth")
-    placed = placed.join(sized.drop("n"), ["key", "size"]).join(if_small(targets, 10_000), "key")
+    placed = ranked(rows, ["key", "size"], "id", [F.col("id"), F.col("tie")], n_rows, "nth", beside=sized.drop("n"))
+    placed = placed.join(if_small(targets, 10_000), "key")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     place = F.col("smaller") + F.col("nth")
     crossed = F.floor(rate * place + F.col("offset")) - F.floor(rate * (place - 1) + F.col("offset"))
