@@ -125,7 +125,7 @@ class Shard:
         table = unpack(parts[1])
         self.symbols, self.freq = np.split(np.frombuffer(table, np.uint32), 2)
         self.first = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.freq, dtype=np.uint64)]).astype(np.uint64)
-        self.slots = np.repeat(np.arange(len(self.symbols), dtype=np.uint32), self.freq)
+        self.slots = np.repeat(np.arange(len(self.symbols), dtype=np.uint16 if len(self.symbols) <= 1 << 16 else np.uint32), self.freq)
         self.words = np.frombuffer(parts[2], np.int64)
         self.checks = np.frombuffer(parts[3], np.uint32)
         self.steps = _steps(self.n)
@@ -183,7 +183,9 @@ class Encoder:
     """
 
     #: Words of a generation of known ones; the words that the last two generations met are kept.
-    MOST = 900_000
+    MOST = 500_000
+    #: Texts that are looked up together: their words stay in the processor's cache.
+    TEXTS = 16
     #: A mark that is a token of its own between words that are encoded together.
     MARK = "\x01"
 
@@ -227,6 +229,9 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as unsigned 16-bit integers, or 32-bit where the vocabulary needs them."""
+        return [x for at in range(0, len(texts), self.TEXTS) for x in self._some(texts[at : at + self.TEXTS])]
+
+    def _some(self, texts: list[str]) -> list[bytes]:
         known, older = self.known, self.older
         split = [self._words(t) for t in texts]
         found = [list(map(known.get, words)) for words in split]
