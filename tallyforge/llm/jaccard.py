@@ -11,7 +11,8 @@ share an entry, while a token that a great many documents hold brings nobody tog
 are fixed by hash, their number by the power of two that a set's size lies in (a set is indexed for each power that a
 partner's size can lie in), so that a prefix has a number of combinations in proportion to its size.
 
-Candidates are verified on whole sets. Entries of light tokens are short lists, whose pairs are verified one by one.
+Pairs of candidates are first held against a bound from 512 parity bits of each set (bits that differ count tokens
+that differ), then verified on whole sets. Entries of light tokens are short lists, whose pairs are verified one by one.
 Sets that share heavy combinations form families (components); a family is dealt into blocks, each two blocks are
 compared at once, and a spanning forest of the links found is kept, so that neither a list nor the links of a large
 group of near copies ever meet in one task. Texts with equal sets count as one from the beginning.
@@ -99,6 +100,15 @@ def fingerprint(s: np.ndarray) -> tuple[int, int]:
     return a - (1 << 64) * (a >> 63), b - (1 << 64) * (b >> 63)
 
 
+def parity(s: np.ndarray) -> bytes:
+    """512 bits: whether an odd number of tokens falls on each. Sets differ in at least as many tokens as these differ in bits."""
+    return np.packbits(np.bincount((s & np.uint64(511)).astype(np.int64), minlength=512) & 1).tobytes()
+
+
+#: Columns of the parity bits.
+BITS = [f"p{k}" for k in range(8)]
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
@@ -262,11 +272,12 @@ def _index(words: int, percent: int, heavy: Heavy):
             sets = shingle_sets(batch.column(1).to_pylist(), words)
             sizes = [len(s) for s in sets]
             df = np.split(heavy.of(np.concatenate(sets)) if sets else np.zeros(0, np.int64), np.cumsum(sizes)[:-1])
-            node, twin, light, many = [], [], [], []
+            node, twin, light, many, odd = [], [], [], [], []
             for s, d in zip(sets, df, strict=True):
                 print_ = fingerprint(s) if len(s) else (None, None)
                 node.append(print_[0])
                 twin.append(print_[1])
+                odd.append(parity(s))
                 if len(s) and print_ not in seen:  # once for all copies that this task meets
                     seen.add(print_)
                     a, b = entries(s, d, percent)
@@ -275,9 +286,10 @@ def _index(words: int, percent: int, heavy: Heavy):
                 else:
                     light.append(None)
                     many.append(None)
+            bits = np.frombuffer(b"".join(odd), np.int64).reshape(-1, len(BITS))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(node, pa.int64()), pa.array(twin, pa.int64()), pa.array(light, long_list), pa.array(many, long_list)],
-                ["doc_id", "n", "node", "twin", "light", "heavy"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(node, pa.int64()), pa.array(twin, pa.int64()), pa.array(light, long_list), pa.array(many, long_list), *(pa.array(np.ascontiguousarray(b)) for b in bits.T)],
+                ["doc_id", "n", "node", "twin", "light", "heavy", *BITS],
             )
 
     return run
@@ -397,12 +409,18 @@ def classes(docs: DataFrame, *, words: int = 3, percent: int = 90, doc_id: str =
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(col(doc_id).cast("long").alias("doc_id"), col(text).alias("text"))
     heavy = heavy_tokens(rows, "text", words)
-    kinds = "doc_id long, n long, node long, twin long, light array<long>, heavy array<long>"
+    kinds = "doc_id long, n long, node long, twin long, light array<long>, heavy array<long>" + "".join(f", {b} long" for b in BITS)
     index = written(rows.mapInArrow(_index(words, percent, heavy), kinds), "jaccard-index")
 
     listed = index.select(F.explode("light").alias("entry"), "node", "n").repartition(parts, "entry").mapInArrow(_lists(percent), "a long, b long, family boolean")
     listed = written(listed.groupBy("a", "b").agg(F.max("family").alias("family")), "jaccard-lists")
-    pairs, stars = listed.where("NOT family"), listed.where("family").select("a", "b")
+    stars = listed.where("family").select("a", "b")
+    # of the pairs those stay whose parity bits differ in no more places than sets that link can differ in tokens
+    bits = index.where("light IS NOT NULL").groupBy("node").agg(F.max("n").alias("n"), *[F.max(b).alias(b) for b in BITS])
+    x, y = (bits.select(*[F.col(c).alias(f"{c}_{side}") for c in bits.columns]) for side in "xy")
+    seen = listed.where("NOT family").join(x, F.col("a") == F.col("node_x")).join(y, F.col("b") == F.col("node_y"))
+    apart = sum((F.bit_count(F.col(f"{b}_x").bitwiseXOR(F.col(f"{b}_y"))) for b in BITS[1:]), F.bit_count(F.col("p0_x").bitwiseXOR(F.col("p0_y"))))
+    pairs = written(seen.where(apart * (100 + percent) <= (F.col("n_x") + F.col("n_y")) * (100 - percent)).select("a", "b"), "jaccard-pairs")
     shared = index.select(F.explode("heavy").alias("entry"), "node")
     hubs = shared.groupBy("entry").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last")
     spokes = written(shared.join(hubs, "entry").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).union(stars).distinct(), "jaccard-spokes")
