@@ -12,6 +12,7 @@ stream, checksums of blocks, checkpoints, streams.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -183,7 +184,7 @@ class Encoder:
     """
 
     #: Words of a generation of known ones; the words that the last two generations met are kept.
-    MOST = 500_000
+    MOST = 300_000
     #: Texts that are looked up together: their words stay in the processor's cache.
     TEXTS = 16
     #: A mark that is a token of its own between words that are encoded together.
@@ -197,11 +198,29 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
-        self.mark = ids(self.MARK)[0]
+        self.marks = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.marks[ids(self.MARK)] = True
         letters = [chr(c) for c in range(0x250) if chr(c).isalpha()]
         self.lowers = all(ids(c) == ids(c.lower()) for c in letters)
+        self.lean, self.last = self._leaner()
         self.splits = all(ids(f"{w}{c}") == ids(f"{w} {c}") for c in ".," for w in ("word", "3", "\u00e9"))
 
+    def _leaner(self) -> tuple:
+        """The same model without normaliser and splitter, for words that neither changes, and which ids end a word; or nothing."""
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        if not suffix or not self.lowers:
+            return None, None
+        lean = Tokenizer.from_str(self.tokenizer.to_str())
+        lean.normalizer = normalizers.Sequence([])
+        lean.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        last[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
+        probe = ["word", "caf\u00e9", "\u00df\u00fc\u00f1", "\u0434\u0430", "\u6f22\u5b57", "supercalifragilistic"]
+        same = all(lean.encode([w], is_pretokenized=True, add_special_tokens=False).ids == self.tokenizer.encode(w, add_special_tokens=False).ids for w in probe)
+        return (lean, last) if same else (None, None)
+
     def _words(self, text: str) -> list[str]:
         if self.lowers and "<|" not in text:
             if text.isascii():
@@ -215,15 +234,26 @@ class Encoder:
     def _encode(self, words: list[str]) -> dict[str, bytes]:
         """Ids of unknown words, many in one call: most of the cost of encoding a word alone is the call."""
         got: dict[str, bytes] = {}
-        for at in range(0, len(words), 4096):
-            plain = [w for w in words[at : at + 4096] if self.MARK not in w]
-            flat = np.array(self.tokenizer.encode_batch_fast([f" {self.MARK} ".join(plain)], add_special_tokens=False)[0].ids, self.kind)
-            cuts, width, raw, begin = [*np.flatnonzero(flat == self.mark).tolist(), len(flat)], flat.itemsize, flat.tobytes(), 0
-            if plain and len(cuts) != len(plain):
-                raise ValueError("the mark between words is not a token of its own")
-            for w, cut in zip(plain, cuts):  # noqa: B905  (no words, one cut)
-                got[w] = raw[begin * width : cut * width]
-                begin = cut + 1
+
+        def cut(part: list[str], ids: list[int], marks: np.ndarray, skip: int) -> None:
+            flat = np.array(ids, self.kind)
+            width, raw, begin = flat.itemsize, flat.tobytes(), 0
+            cuts = [*np.flatnonzero(marks[flat]).tolist(), *([len(flat)] if skip else [])]
+            if part and len(cuts) != len(part):
+                raise ValueError("ids of words that were encoded together cannot be told apart")
+            for w, end in zip(part, cuts):  # noqa: B905  (no words, one cut)
+                got[w] = raw[begin * width : (end + 1 - skip) * width]
+                begin = end + 1
+
+        # letters only, as the tokenizer would leave them: the model alone does
+        plain = [w for w in words if w.isalpha() and w.islower() and w == w.lower() and (w.isascii() or unicodedata.is_normalized("NFC", w))] if self.lean else []
+        for at in range(0, len(plain), 4096):
+            part = plain[at : at + 4096]
+            cut(part, self.lean.encode_batch_fast([part], is_pretokenized=True, add_special_tokens=False)[0].ids, self.last, 0)
+        rest = [w for w in words if w not in got and self.MARK not in w]
+        for at in range(0, len(rest), 4096):
+            part = rest[at : at + 4096]
+            cut(part, self.tokenizer.encode_batch_fast([f" {self.MARK} ".join(part)], add_special_tokens=False)[0].ids, self.marks, 1)
         got.update((w, np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, self.kind).tobytes()) for w in words if self.MARK in w)
         return got
 
