@@ -11,11 +11,11 @@ share an entry, while a token that a great many documents hold brings nobody tog
 are fixed by hash, their number by the power of two that a set's size lies in (a set is indexed for each power that a
 partner's size can lie in), so that a prefix has a number of combinations in proportion to its size.
 
-Pairs of candidates are first held against a bound from 512 parity bits of each set (bits that differ count tokens
-that differ), then verified on whole sets. Entries of light tokens are short lists, whose pairs are verified one by one.
-Sets that share heavy combinations form families (components); a family is dealt into blocks, each two blocks are
-compared at once, and a spanning forest of the links found is kept, so that neither a list nor the links of a large
-group of near copies ever meet in one task. Texts with equal sets count as one from the beginning.
+Entries of light tokens are short lists, whose pairs are held against a bound from 512 parity bits of each set (bits
+that differ count tokens that differ); an entry of heavy tokens joins its sets to one of them. Candidates that this
+connects form families. A family's whole sets are dealt into blocks, each two blocks are compared at once, and a
+spanning forest of the links found is kept, so that neither an entry's sets nor the links of a large group of near
+copies ever meet in one task. Texts with equal sets count as one from the beginning.
 """
 
 from __future__ import annotations
@@ -100,9 +100,13 @@ def fingerprint(s: np.ndarray) -> tuple[int, int]:
     return a - (1 << 64) * (a >> 63), b - (1 << 64) * (b >> 63)
 
 
-def parity(s: np.ndarray) -> bytes:
-    """512 bits: whether an odd number of tokens falls on each. Sets differ in at least as many tokens as these differ in bits."""
-    return np.packbits(np.bincount((s & np.uint64(511)).astype(np.int64), minlength=512) & 1).tobytes()
+def parity(s: np.ndarray, bits: int = 512) -> bytes:
+    """For each bit whether an odd number of tokens falls on it. Sets differ in at least as many tokens as these differ in bits."""
+    return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+#: Of sets of more tokens WIDE bits are kept besides, as 512 bits say little of them.
+LARGE, WIDE = 1024, 8192
 
 
 #: Columns of the parity bits.
@@ -272,12 +276,13 @@ def _index(words: int, percent: int, heavy: Heavy):
             sets = shingle_sets(batch.column(1).to_pylist(), words)
             sizes = [len(s) for s in sets]
             df = np.split(heavy.of(np.concatenate(sets)) if sets else np.zeros(0, np.int64), np.cumsum(sizes)[:-1])
-            node, twin, light, many, odd = [], [], [], [], []
+            node, twin, light, many, odd, wide = [], [], [], [], [], []
             for s, d in zip(sets, df, strict=True):
                 print_ = fingerprint(s) if len(s) else (None, None)
                 node.append(print_[0])
                 twin.append(print_[1])
                 odd.append(parity(s))
+                wide.append(parity(s, WIDE) if len(s) > LARGE and print_ not in seen else None)
                 if len(s) and print_ not in seen:  # once for all copies that this task meets
                     seen.add(print_)
                     a, b = entries(s, d, percent)
@@ -288,8 +293,8 @@ def _index(words: int, percent: int, heavy: Heavy):
                     many.append(None)
             bits = np.frombuffer(b"".join(odd), np.int64).reshape(-1, len(BITS))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(node, pa.int64()), pa.array(twin, pa.int64()), pa.array(light, long_list), pa.array(many, long_list), *(pa.array(np.ascontiguousarray(b)) for b in bits.T)],
-                ["doc_id", "n", "node", "twin", "light", "heavy", *BITS],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(node, pa.int64()), pa.array(twin, pa.int64()), pa.array(light, long_list), pa.array(many, long_list), *(pa.array(np.ascontiguousarray(b)) for b in bits.T), pa.array(wide, pa.binary())],
+                ["doc_id", "n", "node", "twin", "light", "heavy", *BITS, "wide"],
             )
 
     return run
@@ -330,24 +335,24 @@ def _lists(percent: int):
     return run
 
 
-def linked(common: int | np.ndarray, m: int | np.ndarray, n: int | np.ndarray, percent: int) -> bool | np.ndarray:
-    return 100 * common >= percent * (m + n - common)
-
+def _apart(percent: int):
+    """Pairs whose wide parity bits allow a link."""
 
-def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                s, t = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = np.sort(np.concatenate([s, t]))
-                kept.append(bool(linked(int((both[1:] == both[:-1]).sum()), len(s), len(t), percent)))
-            mask = pa.array(kept, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
+            if batch.num_rows:
+                m, n = (batch.column(k).to_numpy() for k in (2, 3))
+                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(len(m), -1) for k in (4, 5))
+                mask = pa.array(np.bitwise_count(x ^ y).sum(1).astype(np.int64) * (100 + percent) <= (m + n) * (100 - percent))
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
     return run
 
 
+def linked(common: int | np.ndarray, m: int | np.ndarray, n: int | np.ndarray, percent: int) -> bool | np.ndarray:
+    return 100 * common >= percent * (m + n - common)
+
+
 def block_links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the links between sets of one block, or of two (side 0 and 1)."""
     sizes = np.array([len(s) for s in sets])
@@ -386,6 +391,7 @@ def block_links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[
 
 def _families(percent: int):
     def run(key: tuple, group: pa.Table) -> pa.Table:
+        group = group.take(np.unique(group.column("node").to_numpy(), return_index=True)[1])  # rows that share an id may hold a set twice
         nodes = group.column("node").to_numpy()
         sets = [np.frombuffer(x, np.uint64) for x in group.column("tokens").to_pylist()]
         low, high = key[1].as_py(), key[2].as_py()
@@ -409,7 +415,7 @@ def classes(docs: DataFrame, *, words: int = 3, percent: int = 90, doc_id: str =
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(col(doc_id).cast("long").alias("doc_id"), col(text).alias("text"))
     heavy = heavy_tokens(rows, "text", words)
-    kinds = "doc_id long, n long, node long, twin long, light array<long>, heavy array<long>" + "".join(f", {b} long" for b in BITS)
+    kinds = "doc_id long, n long, node long, twin long, light array<long>, heavy array<long>" + "".join(f", {b} long" for b in BITS) + ", wide binary"
     index = written(rows.mapInArrow(_index(words, percent, heavy), kinds), "jaccard-index")
 
     listed = index.select(F.explode("light").alias("entry"), "node", "n").repartition(parts, "entry").mapInArrow(_lists(percent), "a long, b long, family boolean")
@@ -420,18 +426,22 @@ def classes(docs: DataFrame, *, words: int = 3, percent: int = 90, doc_id: str =
     x, y = (bits.select(*[F.col(c).alias(f"{c}_{side}") for c in bits.columns]) for side in "xy")
     seen = listed.where("NOT family").join(x, F.col("a") == F.col("node_x")).join(y, F.col("b") == F.col("node_y"))
     apart = sum((F.bit_count(F.col(f"{b}_x").bitwiseXOR(F.col(f"{b}_y"))) for b in BITS[1:]), F.bit_count(F.col("p0_x").bitwiseXOR(F.col("p0_y"))))
-    pairs = written(seen.where(apart * (100 + percent) <= (F.col("n_x") + F.col("n_y")) * (100 - percent)).select("a", "b"), "jaccard-pairs")
+    pairs = written(seen.where(apart * (100 + percent) <= (F.col("n_x") + F.col("n_y")) * (100 - percent)).select("a", "b", (F.least("n_x", "n_y") > LARGE).alias("large")), "jaccard-pairs")
+    broad = index.where("wide IS NOT NULL").select("node", "n", "wide").dropDuplicates(["node"])
+    x, y = (broad.select(*[F.col(c).alias(f"{c}_{side}") for c in broad.columns]) for side in "xy")
+    large = pairs.where("large").select("a", "b").join(x, F.col("a") == F.col("node_x")).join(y, F.col("b") == F.col("node_y"))
+    pairs = pairs.where("NOT large").select("a", "b").union(large.select("a", "b", "n_x", "n_y", "wide_x", "wide_y").mapInArrow(_apart(percent), "a long, b long"))
+    pairs = written(pairs, "jaccard-candidates")
     shared = index.select(F.explode("heavy").alias("entry"), "node")
     hubs = shared.groupBy("entry").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last")
     spokes = written(shared.join(hubs, "entry").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).union(stars).distinct(), "jaccard-spokes")
-    members = components(spokes) if spokes.limit(1).count() else None
-
-    # whole sets of the candidates, from one document each
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
-    if members is not None:
-        wanted = wanted.union(members.select("node"))
-    wanted = written(wanted.distinct(), "jaccard-wanted")
-    holders = index.where("light IS NOT NULL").join(wanted, "node").groupBy("node").agg(F.min("doc_id").alias("holder")).select("holder").distinct()
+    edges = pairs.union(spokes)
+    if not edges.limit(1).count():
+        return _labelled(index, None)
+    members = written(components(edges), "jaccard-families")
+
+    # whole sets of the candidates, from one document each; a set is shuffled once, to its family's blocks
+    holders = index.where("light IS NOT NULL").join(members, "node").groupBy("node").agg(F.min("doc_id").alias("holder")).select("holder").distinct()
     holders = if_small(written(holders, "jaccard-holders"), 300_000)
     texts = rows.join(holders, rows["doc_id"].eqNullSafe(holders["holder"]), "left_semi").select("text")
 
@@ -440,22 +450,21 @@ def classes(docs: DataFrame, *, words: int = 3, percent: int = 90, doc_id: str =
             sets = [s for s in shingle_sets(batch.column(0).to_pylist(), words) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s)[0] for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "tokens"])
 
-    sets = written(texts.mapInArrow(whole, "node long, tokens binary").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "jaccard-sets")
+    sizes = index.where("light IS NOT NULL").select("node", "n").distinct().join(members, "node")
+    spread = sizes.groupBy("label").agg(F.count("*").alias("m"), F.sum("n").alias("held"))
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("held") / BLOCK_TOKENS)).cast("int")
+    place = members.join(spread.select("label", blocks.alias("blocks")), "label").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = texts.mapInArrow(whole, "node long, tokens binary").join(if_small(written(place, "jaccard-blocks"), 300_000), "node")
+    paired = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("label", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "tokens")
+    links = written(paired.groupBy("label", "low", "high").applyInArrow(_families(percent), "a long, b long"), "jaccard-links")
+    return _labelled(index, links if links.limit(1).count() else None)
 
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("s")), "a")
-    links = left.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("t")), "b").select("a", "b", "s", "t").mapInArrow(_verify(percent), "a long, b long")
-    if members is not None:
-        grouped = members.join(sets, "node").select("label", "node", "tokens")
-        spread = grouped.groupBy("label").agg(F.count("*").alias("m"), F.sum(F.length("tokens")).alias("bytes"))
-        blocks = F.greatest(F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("bytes") / (8 * BLOCK_TOKENS))).cast("int")
-        dealt = grouped.join(spread.select("label", blocks.alias("blocks")), "label").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        paired = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("label", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "tokens")
-        links = links.union(paired.groupBy("label", "low", "high").applyInArrow(_families(percent), "a long, b long"))
-    links = written(links, "jaccard-links")
 
+def _labelled(index: DataFrame, links: DataFrame | None) -> DataFrame:
+    """Every document with the smallest doc_id of its component."""
     # a class of equal sets has its smallest doc_id, a component that of its classes
     nodes = index.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
-    if links.limit(1).count():
+    if links is not None:
         joined = nodes.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
         smallest = joined.groupBy("label").agg(F.min("least").alias("component_id"))
         nodes = joined.join(smallest, "label").select("node", "component_id")
