@@ -1,6 +1,442 @@
-"""Catalogue of queries over the driver's tables, with their SQL."""
+"""Catalogue of queries over the driver's tables, with the same results in DuckDB SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import periods, units
+from ..functions import text as fn
+from ..functions.aliases import resolve_headers
+from ..operators import derive as kpi
+from ..operators import ingest, reconcile, router, tools, validate
+from ..operators import text as docs
+from ..registry import ALIASES, METRICS
+from . import facts
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, *, with_facts: bool = False) -> Callable[[Query], Query]:
+    def put(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = (facts.SQL if with_facts else "") + sql
+        return f
+
+    return put
+
+
+def number(c: str | Column) -> Column:
+    return (F.col(c) if isinstance(c, str) else c).cast("double")
+
+
+# ---- derived metrics (REC5-7, JON3)
+
+@query(
+    """, p AS (
+  SELECT entity_slug, period, max(value_normalised) FILTER (canonical_field = 'revenue_net') AS net, max(value_normalised) FILTER (canonical_field = 'cogs') AS cogs FROM live GROUP BY ALL)
+SELECT 'f_' || entity_slug || '_' || period || '_gross_profit' AS fact_id, 'gross_profit' AS canonical_field, period, CAST(net - cogs AS DOUBLE) AS value, 'revenue_net,cogs' AS derived_from
+FROM p WHERE net IS NOT NULL AND cogs IS NOT NULL
+UNION ALL SELECT 'f_' || entity_slug || '_' || period || '_gross_margin_pct', 'gross_margin_pct', period, round(CAST(net - cogs AS DOUBLE) * 100 / CAST(net AS DOUBLE), 4), 'gross_profit,revenue_net'
+FROM p WHERE net <> 0 AND cogs IS NOT NULL""",
+    with_facts=True,
+)
+def fiscal_pnl_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = kpi.derive(facts.live(spark, sf_dir))
+    return made.select("fact_id", "canonical_field", "period", number("value_normalised").alias("value"), F.array_join("derived_from", ",").alias("derived_from"))
+
+
+@query("SELECT entity_id, period, CAST(revenue_net - cogs AS DOUBLE) AS gross_profit FROM (SELECT entity_id, period, max(value_normalised) FILTER (canonical_field = 'revenue_net') AS revenue_net, max(value_normalised) FILTER (canonical_field = 'cogs') AS cogs FROM live GROUP BY ALL)", with_facts=True)
+def derived_gross_profit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = kpi.wide(facts.live(spark, sf_dir), ["revenue_net", "cogs"])
+    return t.select("entity_id", "period", number(kpi.apply_formula("difference", F.col("revenue_net"), F.col("cogs"))).alias("gross_profit"))
+
+
+@query("SELECT a.entity_id, a.period, round(CAST(a.value_normalised AS DOUBLE) * 100 / CAST(b.value_normalised AS DOUBLE), 4) AS return_share_pct FROM live a JOIN live b USING (entity_id, period) WHERE a.canonical_field = 'returns_refunds' AND b.canonical_field = 'revenue_gross' AND b.value_normalised <> 0", with_facts=True)
+def derived_ratio_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = kpi.wide(facts.live(spark, sf_dir), ["returns_refunds", "revenue_gross"])
+    share = kpi.apply_formula("percent", F.col("returns_refunds"), F.col("revenue_gross"))
+    return t.where("revenue_gross <> 0").select("entity_id", "period", number(share).alias("return_share_pct"))
+
+
+@query("SELECT entity_id, period, CAST(value_normalised AS DOUBLE) AS divisor FROM live WHERE canonical_field = 'returns_refunds' AND (entity_id % 2 = 0 OR value_normalised = 0)", with_facts=True)
+def derived_zero_divisor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which ratios are left out: every other entity's returns count as zero."""
+    live = facts.live(spark, sf_dir)
+    t = kpi.wide(live, ["returns_refunds", "revenue_net"])
+    zeroed = F.when(F.col("entity_id") % 2 == 0, F.lit(0).cast("decimal(28,6)")).otherwise(F.col("returns_refunds"))
+    return t.where(kpi.apply_formula("percent", F.col("revenue_net"), zeroed).isNull()).select("entity_id", "period", number("returns_refunds").alias("divisor"))
+
+
+# ---- periods (FN1, FN2)
+
+
+@query("SELECT o_orderkey, 'FY' || lpad(CAST((year(o_orderdate) + CAST(month(o_orderdate) >= 4 AS INTEGER)) % 100 AS VARCHAR), 2, '0') AS fiscal_year, 'FY' || lpad(CAST((year(o_orderdate) + CAST(month(o_orderdate) >= 4 AS INTEGER)) % 100 AS VARCHAR), 2, '0') || '-M' || lpad(CAST((month(o_orderdate) + 8) % 12 + 1 AS VARCHAR), 2, '0') AS fiscal_month, 'FY' || lpad(CAST((year(o_orderdate) + CAST(month(o_orderdate) >= 4 AS INTEGER)) % 100 AS VARCHAR), 2, '0') || '-Q' || CAST(((month(o_orderdate) + 8) % 12) // 3 + 1 AS VARCHAR) AS fiscal_quarter FROM orders")
+def fiscal_period_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("o_orderdate")
+    return facts.table(spark, sf_dir, "orders").select("o_orderkey", periods.period_of(d).alias("fiscal_year"), periods.period_of(d, "month").alias("fiscal_month"), periods.period_of(d, "quarter").alias("fiscal_quarter"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'FY' || fy WHEN 1 THEN 'FY' || fy || '-M' || lpad(CAST((m + 8) % 12 + 1 AS VARCHAR), 2, '0') WHEN 2 THEN 'FY' || fy WHEN 3 THEN 'FY' || fy || '-Q' || CAST(((m + 8) % 12) // 3 + 1 AS VARCHAR) ELSE 'CY' || CAST(y AS VARCHAR) END AS period
+FROM (SELECT *, lpad(CAST((y + CAST(m >= 4 AS INTEGER)) % 100 AS VARCHAR), 2, '0') AS fy FROM (SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m FROM orders WHERE year(o_orderdate) >= 2000))""")
+def period_parse_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates written in five notations and read back."""
+    d = F.col("o_orderdate")
+    q = F.ceil((F.pmod(F.month(d) + 8, F.lit(12)) + 1) / 3)
+    fy = F.year(d) + (F.month(d) >= 4).cast("int")
+    written = (
+        F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit("FY "), (fy - 1).cast("string"), F.lit("-"), F.substring(fy.cast("string"), 3, 2)))
+        .when(F.col("o_orderkey") % 5 == 1, F.date_format(d, "MMM-yy"))
+        .when(F.col("o_orderkey") % 5 == 2, F.concat(F.lit("1-Apr-98 to "), F.date_format(d, "dd.MM.yyyy")))
+        .when(F.col("o_orderkey") % 5 == 3, F.concat(F.lit("q"), q.cast("string"), F.lit(" fy"), fy.cast("string")))
+        .otherwise(F.concat(F.lit("CY "), F.year(d).cast("string")))
+    )
+    return facts.table(spark, sf_dir, "orders").where(F.year("o_orderdate") >= 2000).select("o_orderkey", periods.parse_period(written).alias("period"))
+
+
+@query("""SELECT DISTINCT 'FY' || lpad(CAST(fy % 100 AS VARCHAR), 2, '0') || ' (Apr ' || CAST(2000 + (fy % 100) - 1 AS VARCHAR) || '–Mar ' || CAST(2000 + (fy % 100) AS VARCHAR) || ')' AS label FROM (SELECT year(o_orderdate) + CAST(month(o_orderdate) >= 4 AS INTEGER) AS fy FROM orders)""")
+def period_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facts.table(spark, sf_dir, "orders").select(periods.period_of(F.col("o_orderdate")).alias("p")).distinct().select(periods.period_label(F.col("p")).alias("label"))
+
+
+# ---- units and numbers (FN3-FN6)
+
+_UNITS = ["Rs. Crore", "INR lakh", "USD million", "usd '000", "rupees", "$bn", "figures", "All figures in Rs. Lakhs", "INR Million", "in USD"]
+_UNIT_SQL = ", ".join(f"({i}, {f})" for i, f in enumerate([10_000_000, 100_000, 1_000_000, 1_000, 1, 1_000_000_000, 1, 100_000, 1_000_000, 1]))
+
+
+@query(f"SELECT p_partkey, CAST(CAST(p_retailprice AS DECIMAL(18,2)) * factor AS DOUBLE) AS value, CAST(factor AS BIGINT) AS factor FROM part JOIN (VALUES {_UNIT_SQL}) u(k, factor) ON p_partkey % 10 = k")
+def unit_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    unit = F.element_at(F.array(*map(F.lit, _UNITS)), (F.col("p_partkey") % 10 + 1).cast("int"))
+    n = units.normalise(F.col("p_retailprice").cast("decimal(18,2)"), unit)
+    return facts.table(spark, sf_dir, "part").select("p_partkey", n.alias("n")).select("p_partkey", number("n.value").alias("value"), F.col("n.factor").alias("factor"))
+
+
+@query("SELECT s_suppkey, CASE WHEN abs(v) >= 1e7 THEN '₹' || printf('%.2f', v / 1e7) || ' Cr' WHEN abs(v) >= 1e5 THEN '₹' || printf('%.2f', v / 1e5) || ' L' ELSE '₹' || format('{:,.0f}', v) END AS shown FROM (SELECT s_suppkey, round(s_acctbal) * CASE s_suppkey % 3 WHEN 0 THEN 10000 WHEN 1 THEN 100 ELSE 1 END AS v FROM supplier)")
+def display_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.round("s_acctbal") * F.when(F.col("s_suppkey") % 3 == 0, 10000).when(F.col("s_suppkey") % 3 == 1, 100).otherwise(1)
+    return facts.table(spark, sf_dir, "supplier").select("s_suppkey", units.display(v, F.lit("INR")).alias("shown"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'INR absolute' WHEN 1 THEN 'INR crore' WHEN 2 THEN 'INR absolute' ELSE NULL END AS unit FROM part""")
+def row_unit_override(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.col("p_name")
+    label = F.when(F.col("p_partkey") % 4 == 0, F.concat(name, F.lit(" (Rs absolute)"))).when(F.col("p_partkey") % 4 == 1, F.concat(name, F.lit(" (crore)")))
+    label = label.when(F.col("p_partkey") % 4 == 2, F.concat(name, F.lit(" in Rs"))).otherwise(name)
+    return facts.table(spark, sf_dir, "part").select("p_partkey", units.row_unit(label, F.lit("INR Lakh")).alias("unit"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE (l_orderkey + l_linenumber) % 5 WHEN 0 THEN -v WHEN 1 THEN NULL WHEN 2 THEN NULL ELSE v END AS value FROM (SELECT l_orderkey, l_linenumber, CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS DOUBLE) AS v FROM lineitem)")
+def numeric_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = F.format_number(F.col("l_extendedprice").cast("decimal(18,2)"), 2)
+    k = (F.col("l_orderkey") + F.col("l_linenumber")) % 5
+    written = F.when(k == 0, F.concat(F.lit("("), shown, F.lit(")"))).when(k == 1, "N/A").when(k == 2, F.concat(shown, F.lit("% (calc)"))).otherwise(F.concat(F.lit(" "), shown))
+    return facts.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", fn.parse_number(written).alias("value"))
+
+
+@query("SELECT s_suppkey, (CASE WHEN s_suppkey <= 26 THEN chr(CAST(64 + s_suppkey AS INTEGER)) WHEN s_suppkey <= 702 THEN chr(CAST(64 + (s_suppkey - 1) // 26 AS INTEGER)) || chr(CAST(65 + (s_suppkey - 1) % 26 AS INTEGER)) ELSE chr(CAST(65 + (s_suppkey - 703) // 676 AS INTEGER)) || chr(CAST(65 + ((s_suppkey - 703) // 26) % 26 AS INTEGER)) || chr(CAST(65 + (s_suppkey - 703) % 26 AS INTEGER)) END) || CAST(s_suppkey + 1 AS VARCHAR) AS cell FROM supplier")
+def cell_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facts.table(spark, sf_dir, "supplier").select("s_suppkey", fn.cell_reference(F.col("s_suppkey"), F.col("s_suppkey") + 1).alias("cell"))
+
+
+# ---- headers (FN10, FN12)
+
+_HEADERS = [*ALIASES, "Total Debtor (net)", "Monthly Freight and Delivery", "staff wages", "Quarterly Office Rent", "unrelated words here", "Raw material"]
+_EXPECTED = [*ALIASES.values(), "accounts_receivable", "logistics_expense", "salary_expense", "rent_expense", None, "cogs"]
+_ALIAS_SQL = ", ".join(f"({i}, {'NULL' if m is None else repr(m)})" for i, m in enumerate(_EXPECTED))
+
+
+@query(f"SELECT p_partkey, metric FROM part JOIN (VALUES {_ALIAS_SQL}) a(k, metric) ON p_partkey % {len(_HEADERS)} = k")
+def alias_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    header = F.element_at(F.array(*map(F.lit, _HEADERS)), (F.col("p_partkey") % len(_HEADERS) + 1).cast("int"))
+    rows = facts.table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit(" "), F.upper(header)).alias("header"))
+    return rows.join(resolve_headers(rows, "header"), "header").select("p_partkey", "metric")
+
+
+@query("SELECT entity_id, entity_slug, 'f_' || entity_slug || '_FY00_' || 'cogs' AS fact_id FROM slugs", with_facts=True)
+def slug_and_fact_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facts.slugs(spark, sf_dir).select("entity_id", "entity_slug", fn.fact_id(F.col("entity_slug"), F.lit("FY00"), F.lit("cogs")).alias("fact_id"))
+
+
+# ---- sheets to facts (RSH3-6)
+
+
+def _sheet(spark: SparkSession, sf_dir: str, layout: str) -> DataFrame:
+    """Cells of one sheet for each nation, as a reader of sheets gives them."""
+    f = facts.sums(spark, sf_dir).where("fiscal_year BETWEEN 1996 AND 1999").select("entity_id", "period", "fiscal_year", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(h).alias("h"), v.alias("v")) for k, (h, v) in enumerate((("Gross Revenue", F.col("gross")), ("Returns/Refunds", F.col("returns")), ("COGS", F.col("cogs"))))])).alias("m")).select("entity_id", "period", "fiscal_year", "m.*")
+    year = (F.col("fiscal_year") - 1996).cast("int")
+    raw = F.format_number(F.round(F.col("v"), 2), 2)
+    ids = [F.col("entity_id").alias("file_id"), F.lit("S1").alias("sheet")]
+    if layout == "tall":
+        label = f.select(*ids, year.alias("row_idx"), F.lit(0).alias("col_idx"), F.lit("Period").alias("header"), F.col("period").alias("raw")).distinct()
+        cells = f.select(*ids, year.alias("row_idx"), (F.col("k") + 1).alias("col_idx"), F.col("h").alias("header"), raw.alias("raw"))
+    else:
+        label = f.select(*ids, F.col("k").alias("row_idx"), F.lit(0).alias("col_idx"), F.lit("Particulars" if layout == "ledger" else "Metric").alias("header"), F.col("h").alias("raw")).distinct()
+        if layout == "ledger":
+            f = f.where("fiscal_year = 1999")
+        cells = f.select(*ids, F.col("k").alias("row_idx"), (F.lit(1) if layout == "ledger" else year + 1).alias("col_idx"), (F.lit("Amount") if layout == "ledger" else F.col("period")).alias("header"), raw.alias("raw"))
+    return label.union(cells)
+
+
+def _facts_of(spark: SparkSession, sf_dir: str, layout: str) -> DataFrame:
+    made = ingest.extract(_sheet(spark, sf_dir, layout), spark.createDataFrame([], "file_id int, sheet string, unit string"))
+    return made.select(F.col("file_id").alias("entity_id"), "canonical_field", "period", F.round(number("value_normalised"), 2).alias("value"), "layout")
+
+
+_SHEET_SQL = """SELECT entity_id, canonical_field, {period} AS period, CAST(round(value_normalised, 2) AS DOUBLE) AS value, '{layout}' AS layout FROM live WHERE canonical_field <> 'revenue_net' AND fiscal_year BETWEEN {first} AND 1999"""
+
+
+@query(_SHEET_SQL.format(period="period", layout="wide", first=1996), with_facts=True)
+def wide_to_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _facts_of(spark, sf_dir, "wide")
+
+
+@query(_SHEET_SQL.format(period="period", layout="tall", first=1996), with_facts=True)
+def tall_to_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _facts_of(spark, sf_dir, "tall")
+
+
+@query(_SHEET_SQL.format(period="'FY24'", layout="ledger", first=1999), with_facts=True)
+def ledger_to_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _facts_of(spark, sf_dir, "ledger")
+
+
+# ---- reconciliation (REC1-4, AGG1, AGG7, AGG8, JON1, JON6, JON7)
+
+_KEY = "entity_id, canonical_field, period"
+
+
+def _staged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return facts.staging(spark, sf_dir), facts.files(spark)
+
+
+@query(f"SELECT {_KEY}, count(DISTINCT value_normalised) AS n_values, CAST(max(value_normalised) - min(value_normalised) AS DOUBLE) AS spread FROM staging JOIN files USING (file_id) GROUP BY {_KEY} HAVING count(DISTINCT value_normalised) > 1", with_facts=True)
+def detect_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = reconcile.detect_conflicts(*_staged(spark, sf_dir))
+    values = F.transform("options", lambda o: o["value"].cast("decimal(28,6)"))
+    return found.select("entity_id", "canonical_field", "period", "n_values", number(F.array_max(values) - F.array_min(values)).alias("spread"))
+
+
+@query(f"SELECT {_KEY}, string_agg(CAST(staging_id AS VARCHAR) || ':' || filename, ';' ORDER BY staging_id) AS options FROM staging JOIN files USING (file_id) GROUP BY {_KEY} HAVING count(DISTINCT value_normalised) > 1", with_facts=True)
+def conflict_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = reconcile.detect_conflicts(*_staged(spark, sf_dir))
+    shown = F.array_join(F.transform("options", lambda o: F.concat_ws(":", o["staging_id"].cast("string"), o["source"])), ";")
+    return found.select("entity_id", "canonical_field", "period", shown.alias("options"))
+
+
+def _promoted(spark: SparkSession, sf_dir: str, policy: str, pattern: str | None = None) -> DataFrame:
+    staging, files = _staged(spark, sf_dir)
+    decisions = reconcile.resolve(reconcile.detect_conflicts(staging, files), policy, pattern)
+    live = reconcile.promote(staging, decisions, facts.slugs(spark, sf_dir))
+    return live.select("fact_id", number("value_normalised").alias("value"), "staging_id", F.col("authoritative_note").isNotNull().alias("contested"))
+
+
+_PROMOTE = """, k AS (SELECT {key}, count(DISTINCT value_normalised) > 1 AS contested, {pick} AS staging_id FROM staging GROUP BY {key})
+SELECT 'f_' || entity_slug || '_' || k.period || '_' || k.canonical_field AS fact_id, CAST(s.value_normalised AS DOUBLE) AS value, k.staging_id, contested
+FROM k JOIN staging s USING (staging_id) JOIN slugs ON slugs.entity_id = k.entity_id"""
+
+
+@query(_PROMOTE.format(key=_KEY, pick="min(staging_id)"), with_facts=True)
+def promote_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _promoted(spark, sf_dir, "first")
+
+
+@query(_PROMOTE.format(key=_KEY, pick="CASE WHEN count(DISTINCT value_normalised) > 1 THEN max(staging_id) ELSE min(staging_id) END"), with_facts=True)
+def promote_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _promoted(spark, sf_dir, "prefer", "audited")
+
+
+@query(_PROMOTE.format(key=_KEY, pick="min(staging_id)") + " WHERE NOT contested", with_facts=True)
+def promote_skips_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _promoted(spark, sf_dir, "open")
+
+
+# ---- validation (VAL1-7, WIN1)
+
+
+def _perturbed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live facts with some values that the checks must find."""
+    f, e = F.col("canonical_field"), F.col("entity_id")
+    v = F.col("value_normalised")
+    v = F.when((f == "revenue_net") & (e % 4 == 0), v * 2).when((f == "cogs") & (e % 5 == 0), v / 1000000000).when((f == "revenue_net") & (e % 5 == 1), -v).when((f == "revenue_gross") & (F.col("fiscal_year") % 3 == 0), v / 20).otherwise(v)
+    return facts.live(spark, sf_dir).withColumn("value_normalised", v.cast("decimal(28,6)"))
+
+
+_PERTURBED = """, facts_ AS (SELECT * REPLACE (CAST(CASE WHEN canonical_field = 'revenue_net' AND entity_id % 4 = 0 THEN value_normalised * 2 WHEN canonical_field = 'cogs' AND entity_id % 5 = 0 THEN value_normalised / 1000000000
+  WHEN canonical_field = 'revenue_net' AND entity_id % 5 = 1 THEN -value_normalised WHEN canonical_field = 'revenue_gross' AND fiscal_year % 3 = 0 THEN value_normalised / 20 ELSE value_normalised END AS DECIMAL(28,6)) AS value_normalised) FROM live)
+"""
+
+
+def _shown(issues: DataFrame) -> DataFrame:
+    return issues.select("check", "severity", "entity_id", "canonical_field", "period")
+
+
+@query(_PERTURBED + """SELECT 'sum_relation' AS "check", 'warning' AS severity, g.entity_id, 'revenue_net' AS canonical_field, g.period FROM facts_ g LEFT JOIN facts_ r ON r.entity_id = g.entity_id AND r.period = g.period AND r.canonical_field = 'returns_refunds'
+JOIN facts_ n ON n.entity_id = g.entity_id AND n.period = g.period AND n.canonical_field = 'revenue_net' WHERE g.canonical_field = 'revenue_gross' AND g.value_normalised - coalesce(r.value_normalised, 0) <> 0
+AND CAST(abs(n.value_normalised - (g.value_normalised - coalesce(r.value_normalised, 0))) AS DOUBLE) / CAST(abs(g.value_normalised - coalesce(r.value_normalised, 0)) AS DOUBLE) > 0.05""", with_facts=True)
+def validate_sum_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(validate.sum_relation(_perturbed(spark, sf_dir)))
+
+
+@query("""SELECT 'margin_consistency' AS "check", 'warning' AS severity, entity_id, 'gross_margin_pct' AS canonical_field, period FROM (SELECT entity_id, period, max(value_normalised) FILTER (canonical_field = 'revenue_net') AS net, max(value_normalised) FILTER (canonical_field = 'cogs') AS cogs FROM live GROUP BY ALL) WHERE net > 0 AND entity_id % 3 = 0""", with_facts=True)
+def validate_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Margins as derived, two points too high for every third entity."""
+    live = facts.live(spark, sf_dir).select("entity_id", "entity_slug", "canonical_field", "period", "value_normalised")
+    made = kpi.derive(live).select("entity_id", "entity_slug", "canonical_field", "period", "value_normalised")
+    off = F.when((F.col("canonical_field") == "gross_margin_pct") & (F.col("entity_id") % 3 == 0), F.col("value_normalised") + 2).otherwise(F.col("value_normalised"))
+    return _shown(validate.margin_consistency(live.union(made.withColumn("value_normalised", off.cast("decimal(28,6)")))))
+
+
+@query(_PERTURBED + """SELECT 'magnitude' AS "check", CASE WHEN CAST(value_normalised AS DOUBLE) > 1e12 THEN 'error' ELSE 'warning' END AS severity, entity_id, canonical_field, period FROM facts_ WHERE canonical_field IN ('revenue_gross', 'revenue_net', 'cogs') AND (CAST(value_normalised AS DOUBLE) > 1e12 OR CAST(value_normalised AS DOUBLE) < 1e3)""", with_facts=True)
+def validate_magnitude(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(validate.magnitude(_perturbed(spark, sf_dir)))
+
+
+@query(_PERTURBED + """, l AS (SELECT *, lag(value_normalised) OVER (PARTITION BY entity_id, canonical_field ORDER BY fiscal_year) AS last FROM facts_ WHERE canonical_field IN ('revenue_net', 'revenue_gross', 'ebitda', 'pat'))
+SELECT 'period_swing' AS "check", 'warning' AS severity, entity_id, canonical_field, period FROM l WHERE last <> 0 AND value_normalised <> 0 AND (abs(CAST(value_normalised AS DOUBLE) / CAST(last AS DOUBLE)) > 10 OR abs(CAST(value_normalised AS DOUBLE) / CAST(last AS DOUBLE)) < 0.1)""", with_facts=True)
+def validate_period_swing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(validate.period_swing(_perturbed(spark, sf_dir)))
+
+
+@query(_PERTURBED + """SELECT 'sign' AS "check", 'warning' AS severity, entity_id, canonical_field, period FROM facts_ WHERE canonical_field IN ('revenue_net', 'revenue_gross') AND value_normalised < -1000""", with_facts=True)
+def validate_sign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(validate.sign(_perturbed(spark, sf_dir)))
+
+
+@query("SELECT canonical_field, count(*) AS n, count(*) FILTER (CAST(value_normalised AS DOUBLE) < 1000) AS n_small FROM staging GROUP BY canonical_field", with_facts=True)
+def onboarding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facts.staging(spark, sf_dir).groupBy("canonical_field").agg(F.count("*").alias("n"), F.count_if(number("value_normalised") < 1000).alias("n_small"))
+
+
+@query("SELECT entity_id, canonical_field, period, CAST(value_normalised AS DOUBLE) AS value FROM staging ORDER BY canonical_field, period, entity_id, staging_id LIMIT 10", with_facts=True)
+def onboarding_sample_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = facts.staging(spark, sf_dir).orderBy("canonical_field", "period", "entity_id", "staging_id").limit(10)
+    return rows.select("entity_id", "canonical_field", "period", number("value_normalised").alias("value"))
+
+
+# ---- tools over whole tables (TOOL1-7, AGG2, AGG5, JON2, JON5, FLT4)
+
+
+@query("SELECT fact_id, CAST(value_normalised AS DOUBLE) AS value, currency, filename FROM live JOIN files USING (file_id) WHERE canonical_field = 'revenue_net' AND period = 'FY97'", with_facts=True)
+def fetch_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    live = facts.live(spark, sf_dir).where("canonical_field = 'revenue_net' AND period = 'FY97'")
+    return tools.sources(live, facts.files(spark)).select("fact_id", number("value_normalised").alias("value"), "currency", "filename")
+
+
+@query(""", v AS (SELECT *, lag(value_normalised) OVER w AS last, lag(fiscal_year) OVER w AS last_year FROM live WINDOW w AS (PARTITION BY entity_id, canonical_field ORDER BY fiscal_year))
+SELECT entity_id, canonical_field, period, CAST(value_normalised - last AS DOUBLE) AS delta, round(CAST(value_normalised - last AS DOUBLE) * 100 / CAST(last AS DOUBLE), 4) AS delta_pct FROM v WHERE last_year = fiscal_year - 1 AND last <> 0""", with_facts=True)
+def variance_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tools.variances(facts.live(spark, sf_dir)).where("value_1 <> 0")
+    return rows.select("entity_id", "canonical_field", "period", number("delta").alias("delta"), number("delta_pct").alias("delta_pct"))
+
+
+@query("SELECT a.entity_id, a.period, round(CAST(a.value_normalised AS DOUBLE) / CAST(b.value_normalised AS DOUBLE), 4) AS ratio FROM live a JOIN live b USING (entity_id, period) WHERE a.canonical_field = 'cogs' AND b.canonical_field = 'revenue_net' AND b.value_normalised <> 0", with_facts=True)
+def ratio_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tools.ratios(facts.live(spark, sf_dir), "cogs", "revenue_net").select("entity_id", "period", number("ratio").alias("ratio"))
+
+
+@query("SELECT fact_id, file_id, filename FROM live JOIN files USING (file_id)", with_facts=True)
+def list_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tools.sources(facts.live(spark, sf_dir), facts.files(spark)).select("fact_id", "file_id", "filename")
+
+
+@query("SELECT entity_id, canonical_field AS metric, count(*) AS observations FROM live GROUP BY entity_id, canonical_field", with_facts=True)
+def available_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facts.live(spark, sf_dir).groupBy("entity_id", F.col("canonical_field").alias("metric")).agg(F.count("*").alias("observations"))
+
+
+@query("SELECT DISTINCT canonical_field, period FROM live", with_facts=True)
+def valid_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facts.live(spark, sf_dir).select("canonical_field", "period").distinct()
+
+
+@query("SELECT entity_id, entity_name FROM slugs WHERE lower(entity_name) LIKE '%united%' OR entity_slug LIKE '%united%'", with_facts=True)
+def entity_like_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tools.find_entities(facts.slugs(spark, sf_dir), "united").select("entity_id", "entity_name")
+
+
+@query("SELECT n_nationkey AS entity_id, count(s_suppkey) AS files, count(*) FILTER (s_acctbal > 0) AS live_files FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_nationkey")
+def entity_state_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities with how many files they have, live ones apart; suppliers stand for files."""
+    entities = facts.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("entity_id"))
+    files = facts.table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("entity_id")).agg(F.count("s_suppkey").alias("files"), F.count_if(F.col("s_acctbal") > 0).alias("live_files"))
+    return entities.join(files, "entity_id", "left").select("entity_id", F.coalesce("files", F.lit(0)).alias("files"), F.coalesce("live_files", F.lit(0)).alias("live_files"))
+
+
+# ---- texts (FN13-FN16, TXT1-6, SRT4, SRT5)
+
+_NOTE_SQL = "text || ' Revenue of Rs. ' || CAST(doc_id % 90 + 10 AS VARCHAR) || ' lakh in FY' || lpad(CAST(doc_id % 5 + 20 AS VARCHAR), 2, '0') || ' rose by 12.5% or 3.2x to ' || CAST(1000000 + doc_id AS VARCHAR) || ' units'"
+
+
+def _noted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a sentence of figures at their end."""
+    d = F.col("doc_id")
+    note = F.concat(F.lit(" Revenue of Rs. "), (d % 90 + 10).cast("string"), F.lit(" lakh in FY"), F.lpad((d % 5 + 20).cast("string"), 2, "0"), F.lit(" rose by 12.5% or 3.2x to "), (d + 1000000).cast("string"), F.lit(" units"))
+    return facts.table(spark, sf_dir, "documents").select("doc_id", F.concat("text", note).alias("text"))
+
+
+@query(f"SELECT doc_id, CAST(len(regexp_extract_all(t, '[0-9]+\\.?[0-9]*\\s*%')) AS INTEGER) AS percentages, CAST(len(regexp_extract_all(t, '(?i)FY\\s*[0-9]{{2,4}}')) AS INTEGER) AS years, regexp_matches(t, '(?i)Rs\\. [0-9]+ lakh') AS money FROM (SELECT doc_id, {_NOTE_SQL} AS t FROM documents)")
+def numerical_claims_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    years = F.filter(fn.claim_values(t, "period"), lambda c: F.upper(c).startswith("FY"))
+    return _noted(spark, sf_dir).select("doc_id", F.size(fn.claim_values(t, "percentage")).alias("percentages"), F.size(years).alias("years"), t.rlike(r"(?i)Rs\. \d+ lakh").alias("money"))
+
+
+@query(f"SELECT doc_id, regexp_extract(t, 'Rs\\. [0-9]+ lakh', 0) AS money, 'FY' || lpad(CAST(doc_id % 5 + 20 AS VARCHAR), 2, '0') AS period FROM (SELECT doc_id, {_NOTE_SQL} AS t FROM documents)")
+def claim_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    money = F.filter(fn.claim_values(t, "currency"), lambda c: c.rlike(r"^Rs\. \d+ lakh$"))
+    years = F.filter(fn.claim_values(t, "period"), lambda c: F.upper(c).startswith("FY"))
+    return _noted(spark, sf_dir).select("doc_id", F.element_at(money, 1).alias("money"), F.element_at(years, -1).alias("period"))
+
+
+@query("SELECT doc_id, CAST(len(string_split_regex(trim(text), '[ \\t\\n\\x0B\\f\\r]+')) AS INTEGER) AS n_words, CAST(len(regexp_extract_all(text, '[^.!?]*[.!?]+\\s*')) AS INTEGER) AS n_sentences FROM documents")
+def word_and_sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    return facts.table(spark, sf_dir, "documents").select("doc_id", fn.word_count(t).alias("n_words"), F.size(fn.sentences(t)).alias("n_sentences"))
+
+
+@query("SELECT doc_id, CAST(contains(lower(text), 'the') AS INTEGER) + CAST(contains(lower(text), 'anderen') AS INTEGER) + CAST(contains(lower(text), 'ing') AS INTEGER) AS score FROM documents WHERE contains(lower(text), 'the') OR contains(lower(text), 'anderen') OR contains(lower(text), 'ing') ORDER BY score DESC, doc_id LIMIT 8")
+def keyword_search_top8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = facts.table(spark, sf_dir, "documents").select("doc_id", "text").withColumnRenamed("doc_id", "chunk_id")
+    return docs.keyword_search(rows, "the anderen of ing", text="text").select(F.col("chunk_id").alias("doc_id"), "score")
+
+
+@query("SELECT label, vec_id, place, round(score, 5) AS score FROM (SELECT label, vec_id, score, CAST(row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS INTEGER) AS place FROM (SELECT e.label, e.vec_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q)) WHERE place <= 8")
+def vector_search_top8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = facts.table(spark, sf_dir, "embeddings")
+    asked = rows.where("vec_id = 0").select("embedding").first()
+    found = docs.vector_search(rows, list(asked[0]) if asked else [1.0], by="label", key="vec_id")
+    return found.select("label", "vec_id", "place", F.round("score", 5).alias("score"))
+
+
+@query()
+def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = docs.with_claims(docs.chunk_documents(_noted(spark, sf_dir)))
+    return chunks.select("doc_id", "chunk_index", fn.word_count(F.col("raw_text")).alias("n_words"), "contains_numerical_claim", F.size("numerical_claims").alias("n_claims"))
+
+
+@query()
+def link_chunks_to_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = docs.with_claims(docs.chunk_documents(_noted(spark, sf_dir))).withColumn("entity_id", F.lit(1))
+    live = spark.createDataFrame([(1, f"f_one_FY{y}_{m}", f"FY{y}", m) for y in range(20, 25) for m in ("revenue_net", "cogs")], "entity_id int, fact_id string, period string, canonical_field string")
+    return docs.link_to_facts(chunks, live).select("doc_id", "chunk_index", F.array_join("linked_fact_ids", ",").alias("facts"), F.array_join("linked_periods", ",").alias("periods"))
+
+
+# ---- the router (RTR2-6)
+
+_ASKED = ["list metrics", "which file has cogs in FY97?", "why did margins fall", "change in revenue FY97 to FY98", "cogs / revenue in FY97", "what is revenue in FY99", "hello there"]
+_INTENTS = ["list_available_metrics", "list_sources", "search_context", "calculate_variance", "calculate_ratio", "fetch_metric", "help"]
+_INTENT_SQL = ", ".join(f"({i}, {n!r})" for i, n in enumerate(_INTENTS))
+
+
+@query(f"SELECT conv_id, turn, intent FROM conversations JOIN (VALUES {_INTENT_SQL}) i(k, intent) ON (conv_id * 10 + turn) % 7 = k")
+def question_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = F.element_at(F.array(*map(F.lit, _ASKED)), ((F.col("conv_id") * 10 + F.col("turn")) % 7 + 1).cast("int"))
+    rows = facts.table(spark, sf_dir, "conversations").select("conv_id", "turn", asked.alias("question"))
+    return rows.select("conv_id", "turn", router.intent(F.col("question"), [m.name for m in METRICS]).alias("intent"))
