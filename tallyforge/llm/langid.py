@@ -23,8 +23,8 @@ PASSAGES, PASSAGE, LANGUAGES = 400, 1500, 256
 #: Hash tables of features: pairs, triples, affixes, words.
 TABLES = (1 << 15, 1 << 17, 1 << 16, 1 << 17)
 STARTS = np.concatenate([[0], np.cumsum(TABLES)]).astype(np.int64)
-#: Characters that are worked on at once.
-WORK = 3_000_000
+#: Characters whose words are labelled together, and whose features are worked out at once.
+WORK, FEATURES = 3_000_000, 400_000
 UNKNOWN = "und"
 
 _letter: list[np.ndarray] = []
@@ -231,31 +231,50 @@ def label(model: Model | None, texts: list[str | None]) -> tuple[list[str], list
     return languages, shares
 
 
-def _pieces(text: str) -> list[str]:
-    """A very long text in parts of about WORK characters, cut where no word is cut."""
-    out, at = [], 0
-    while len(text) - at > WORK:
-        end = at + WORK
+def _pieces(text: str) -> Iterator[str]:
+    """A very long text in parts of about FEATURES characters, cut where no word is cut."""
+    at = 0
+    while len(text) - at > FEATURES:
+        end = at + FEATURES
         while end < len(text) and text[end].isalpha():
             end += 1
-        out.append(text[at:end])
+        yield text[at:end]
         at = end
-    return [*out, text[at:]]
+    yield text[at:]
+
+
+def _scored(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of all words of the texts, one text after another, and how many words each has."""
+    lengths, scores = np.zeros(len(texts), np.int64), [np.zeros((0, len(model.languages)))]
+    held: list[tuple[int, str]] = []
+
+    def work() -> None:
+        codes, ends = codes_of([p for _, p in held])
+        words = words_of(codes)
+        scores.append(model.scores(words))
+        of = np.bincount(np.searchsorted(ends, words.start, side="right"), minlength=len(held))
+        np.add.at(lengths, [i for i, _ in held], of[: len(held)])
+        held.clear()
+
+    size = 0
+    for i, text in enumerate(texts):
+        for piece in _pieces(text):
+            if held and size + len(piece) > FEATURES:
+                work()
+                size = 0
+            held.append((i, piece))
+            size += len(piece)
+    if held:
+        work()
+    return np.concatenate(scores), lengths
 
 
 def _label(model: Model, texts: list[str | None], batch: list[int], languages: list[str], shares: list[float]) -> None:
-    scores, lengths = [], []
-    for part in [_pieces(texts[batch[0]])] if len(batch) == 1 else [[texts[i] for i in batch]]:
-        for group in [[p] for p in part] if len(batch) == 1 else [part]:
-            codes, ends = codes_of(group)
-            words = words_of(codes)
-            scores.append(model.scores(words))
-            lengths.append(np.bincount(np.searchsorted(ends, words.start, side="right"), minlength=len(group))[: len(group)])
-    n = np.array([sum(int(x[0]) for x in lengths)]) if len(batch) == 1 else lengths[0]
+    scores, n = _scored(model, [texts[i] for i in batch])
     kept = np.flatnonzero(n)
     if not len(kept):
         return
-    totals = model.shares(np.concatenate(scores), n[kept])
+    totals = model.shares(scores, n[kept])
     best = totals.argmax(1)
     for j, k, s in zip(kept.tolist(), best.tolist(), (totals[np.arange(len(kept)), best] / n[kept]).tolist(), strict=True):
         languages[batch[j]], shares[batch[j]] = model.languages[k], min(1.0, max(0.0, s))
@@ -306,7 +325,7 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[pa.RecordBatch] = []
     for batch in batches:
         held.append(batch)
-        if sum(b.nbytes for b in held) > 8_000_000:
+        if sum(b.nbytes for b in held) > 6_000_000:
             yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             held = []
     if held and sum(map(len, held)):
