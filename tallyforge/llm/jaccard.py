@@ -20,6 +20,7 @@ copies ever meet in one task. Texts with equal sets count as one from the beginn
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,8 +38,10 @@ LIGHT, HEAVY, LIST = 16, 1 << 20, 64
 BLOCK_SETS, BLOCK_TOKENS = 1024, 2_000_000
 #: Sizes from which on heavy tokens are combined; below, every token is indexed by itself.
 COMBINED = 5
-#: Tokens that a task counts at once.
-COUNTED = 3_000_000
+#: Tokens that a task counts at once; bytes of text that are hashed at once.
+COUNTED, PIECE = 1_000_000, 300_000
+
+_space = re.compile(rb"[\t-\r ]")
 
 _gap = np.zeros(256, bool)
 _gap[[9, 10, 11, 12, 13, 32]] = True
@@ -51,38 +54,67 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
-    """For each text the sorted hashes of its distinct shingles."""
-    raw = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]  # A-Z only
-    ends = np.cumsum([len(r) + 1 for r in raw])
-    codes = np.frombuffer(b"\n" + b"\n".join(raw) + b"\n", np.uint8)
+def _word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of each word."""
+    codes = np.frombuffer(b"\n" + raw + b"\n", np.uint8)
     inside = ~_gap[codes]
     edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     start, end = edge[::2], edge[1::2]
-    empty = np.zeros(0, np.uint64)
     if not len(start):
-        return [empty] * len(texts)
-    nth = np.arange(len(codes))
-    first = np.zeros(len(codes), np.int64)
-    first[start] = start
-    nth -= np.maximum.accumulate(first)
-    power = np.cumprod(np.full(int((end - start).max()) + 1, _K[3], np.uint64))
-    terms = np.where(inside, codes.astype(np.uint64) + np.uint64(1), np.uint64(0)) * power[np.minimum(nth, len(power) - 1)]
-    word = _mix(np.add.reduceat(terms, start))
-    owner = np.searchsorted(ends, start, side="right")
-    n = len(word)
-    total = np.zeros(max(0, n - words + 1), np.uint64)
+        return np.zeros(0, np.uint64), start
+    size = end - start
+    power = np.cumprod(np.full(int(size.max()), _K[3], np.uint64))
+    nth = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    terms = (codes[inside].astype(np.uint64) + np.uint64(1)) * power[nth]
+    return _mix(np.add.reduceat(terms, np.cumsum(size) - size)), start - 1
+
+
+def _pieces(raw: bytes) -> Iterator[bytes]:
+    """A very long text in parts of about PIECE bytes, cut between words."""
+    at = 0
+    while len(raw) - at > PIECE:
+        m = _space.search(raw, at + PIECE)
+        end = m.start() if m else len(raw)
+        yield raw[at:end]
+        at = end
+    yield raw[at:]
+
+
+def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
+    """For each text the sorted hashes of its distinct shingles."""
+    hashes, owners, held = [], [], []
+
+    def work() -> None:
+        ends = np.cumsum([len(r) + 1 for _, r in held])
+        word, start = _word_hashes(b"\n".join(r for _, r in held))
+        hashes.append(word)
+        owners.append(np.array([i for i, _ in held])[np.searchsorted(ends, start, side="right")])
+        held.clear()
+
+    size = 0
+    for i, t in enumerate(texts):
+        for raw in _pieces((t or "").encode("utf-8", "surrogatepass").lower()):  # A-Z only
+            if held and size + len(raw) > PIECE:
+                work()
+                size = 0
+            held.append((i, raw))
+            size += len(raw)
+    if held:
+        work()
+    word, owner = np.concatenate(hashes or [np.zeros(0, np.uint64)]), np.concatenate(owners or [np.zeros(0, np.int64)])
+    n = max(0, len(word) - words + 1)
+    total = np.zeros(n, np.uint64)
     for k in range(words):
-        total = _mix(total * _K[0] + word[k : n - words + 1 + k])
-    whole = owner[: len(total)] == owner[words - 1 :] if len(total) else np.zeros(0, bool)
-    hashes, of = total[whole], owner[: len(total)][whole]
+        total = _mix(total * _K[0] + word[k : n + k])
+    whole = owner[:n] == owner[words - 1 : n + words - 1]
+    total, of = total[whole], owner[:n][whole]
     cuts = np.searchsorted(of, np.arange(len(texts) + 1))
     counts = np.bincount(owner, minlength=len(texts))
     begins = np.cumsum(counts) - counts
     out = []
     for i in range(len(texts)):
         if counts[i] >= words:
-            s = np.sort(hashes[cuts[i] : cuts[i + 1]])
+            s = np.sort(total[cuts[i] : cuts[i + 1]])
             out.append(s[np.concatenate([[True], s[1:] != s[:-1]])])
         elif counts[i]:
             h = np.array([counts[i]], np.uint64)
@@ -90,7 +122,7 @@ def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
                 h = _mix(h * _K[1] + w)
             out.append(h)
         else:
-            out.append(empty)
+            out.append(np.zeros(0, np.uint64))
     return out
 
 
@@ -119,29 +151,31 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 # ---- document frequencies
 
-# A token counts by its highest 48 bits, of which a sorted list needs 4 bytes each.
+# A token counts by its highest 48 bits, of which a sorted list needs 4 bytes each; with its count it fits 64 bits.
 
 
-def _counting(words: int, ranges: int):
-    def flush(held: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
-        tokens = np.sort(np.concatenate(held) >> np.uint64(16))
-        new = np.concatenate([[True], tokens[1:] != tokens[:-1]])
-        value = tokens[new]
-        count = np.diff(np.concatenate([np.flatnonzero(new), [len(tokens)]]))
-        cuts = np.searchsorted(value, (np.arange(1, ranges, dtype=np.uint64) << np.uint64(48)) // np.uint64(ranges))
-        for r, (v, c) in enumerate(zip(np.split(value, cuts), np.split(count, cuts), strict=True)):
-            if len(v):
-                step = np.diff(v)
-                wide = bool(len(step)) and int(step.max()) >= 1 << 32
-                more = np.flatnonzero(c > 1)
-                head = np.array([len(v), wide, len(more), v[0]], np.uint64)
-                yield r, head.tobytes() + step.astype(np.uint64 if wide else np.uint32).tobytes() + more.astype(np.uint32).tobytes() + c[more].astype(np.uint32).tobytes()
+def counted(held: list[np.ndarray], ranges: int) -> Iterator[tuple[int, bytes]]:
+    """Tokens of some sets with their counts, packed by range: sorted, as differences, and the counts that are not 1."""
+    tokens = np.sort(np.concatenate(held) >> np.uint64(16))
+    new = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+    value, count = tokens[new], np.diff(np.concatenate([new, [len(tokens)]]))
+    bounds = np.array([(r << 48) // ranges for r in range(1, ranges)], np.uint64)
+    cuts = np.searchsorted(value, bounds)
+    for r, (v, c) in enumerate(zip(np.split(value, cuts), np.split(count, cuts), strict=True)):
+        if len(v):
+            step = np.diff(v)
+            wide = bool(len(step)) and int(step.max()) >= 1 << 32
+            more = np.flatnonzero(c > 1)
+            head = np.array([len(v), wide, len(more), v[0]], np.uint64)
+            yield r, head.tobytes() + step.astype(np.uint64 if wide else np.uint32).tobytes() + more.astype(np.uint32).tobytes() + c[more].astype(np.uint32).tobytes()
+
 
+def _counting(words: int, ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def rows() -> pa.RecordBatch:
-            out = list(flush(held))
+            out = list(counted(held, ranges))
             return pa.RecordBatch.from_arrays([pa.array([r for r, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary())], ["range", "tokens"])
 
         for batch in batches:
@@ -157,31 +191,34 @@ def _counting(words: int, ranges: int):
     return run
 
 
-def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _unpack(raw: bytes) -> np.ndarray:
+    """Tokens and counts of one list as token << 16 | count, a count beyond 16 bits in several numbers."""
     n, wide, more, first = (int(x) for x in np.frombuffer(raw, np.uint64, 4))
     step = np.frombuffer(raw, np.uint64 if wide else np.uint32, n - 1, 32)
     at = 32 + step.nbytes
     value = np.cumsum(np.concatenate([[np.uint64(first)], step.astype(np.uint64)]), dtype=np.uint64)
-    count = np.ones(n, np.int64)
-    count[np.frombuffer(raw, np.uint32, more, at)] = np.frombuffer(raw, np.uint32, more, at + 4 * more)
-    return value, count
+    place, extra = np.frombuffer(raw, np.uint32, more, at), np.frombuffer(raw, np.uint32, more, at + 4 * more).astype(np.int64) - 1
+    out = [(value << np.uint64(16)) | np.uint64(1)]
+    while extra.any():
+        part = np.minimum(extra, 0xFFFF)
+        out.append((value[place[part > 0]] << np.uint64(16)) | part[part > 0].astype(np.uint64))
+        extra = extra - part
+    return np.concatenate(out)
 
 
 def _heavy(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[bytes]] = {}
+        held: dict[int, list[np.ndarray]] = {}
         for batch in batches:
             for r, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held.setdefault(r, []).append(raw)
-        for raws in held.values():
-            parts = [_unpack(raw) for raw in raws]
-            value, count = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-            order = np.argsort(value, kind="stable")
-            value, count = value[order], count[order]
-            first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
-            total = np.add.reduceat(count, first)
+                held.setdefault(r, []).append(_unpack(raw))
+        while held:
+            both = np.concatenate(held.popitem()[1])
+            both.sort()
+            first = np.flatnonzero(np.concatenate([[True], both[1:] >> np.uint64(16) != both[:-1] >> np.uint64(16)]))
+            total = np.add.reduceat((both & np.uint64(0xFFFF)).astype(np.int64), first)
             kept = total > least
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(value[first][kept])), pa.array(total[kept])], ["token", "df"])
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(both[first][kept] >> np.uint64(16))), pa.array(total[kept])], ["token", "df"])
 
     return run
 
