@@ -436,30 +436,30 @@ def detect(docs: DataFrame, tagger: Tagger | None, *, text: str = "text", keep:
 
 def redacted(docs: DataFrame, tagger: Tagger | None, *, text: str = "text", length: str = "n_chars") -> DataFrame:
     """docs with each span of personal data replaced by its kind in angle brackets, and the length column brought up to date."""
-    found = detect(docs, tagger, text=text)
+    small_batches(docs.sparkSession)
     names, kinds = docs.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     at = names.index(text)
 
+    def clean(t: str, spans: list[Span]) -> str:
+        parts, done = [], 0
+        for start, end, kind in sorted(spans, key=lambda s: (s[0], s[2])):
+            if start >= done:
+                parts += [t[done:start], f"<{KINDS[kind].upper()}>"]
+            done = max(done, end)
+        return "".join([*parts, t[done:]])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in names]
-            texts = []
-            for t, spans in zip(columns[at].to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
-                if spans:
-                    parts, done = [], 0
-                    for s in spans:
-                        if s["start"] >= done:
-                            parts += [t[done : s["start"]], f"<{s['kind'].upper()}>"]
-                        done = max(done, s["end"])
-                    t = "".join([*parts, t[done:]])
-                texts.append(t)
+            columns, whole = list(batch.columns), batch.column(at).to_pylist()
+            found = find(tagger, [t or "" for t in whole])
+            texts = [t if t is None else clean(t, base + added) for t, (base, added) in zip(whole, found, strict=True)]
             columns[at] = pa.array(texts, pa.string())
             if length in names:
                 k = names.index(length)
-                columns[k] = pa.array([None if t is None else len(t) for t in texts], columns[k].type)
+                columns[k] = pa.array([None if t is None else len(t) for t in texts]).cast(columns[k].type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return found.mapInArrow(run, kinds)
+    return docs.mapInArrow(run, kinds)
 
 
 def digests(found: DataFrame) -> DataFrame:
