@@ -53,7 +53,7 @@ def discover(grid: DataFrame) -> DataFrame:
     top = grid.where((F.col("row_idx") < HEAD) & _filled(F.col("raw")))
     rows = top.groupBy(*SHEET, "row_idx").agg(F.count("*").alias("n"), F.min_by("raw", "col_idx").alias("first"))
     sheets = rows.groupBy(*SHEET).agg(F.max("n").alias("most"), F.sort_array(F.collect_list(F.struct("row_idx", "n", "first"))).alias("rows"))
-    header = F.filter("rows", lambda r: r["n"] >= F.greatest(F.lit(2), F.col("most") - 1))[0]["row_idx"]
+    header = F.get(F.filter("rows", lambda r: r["n"] >= F.greatest(F.lit(2), F.col("most") - 1)), F.lit(0))["row_idx"]
     found = sheets.withColumn("header_row", F.coalesce(header, F.lit(0)))
     found = found.withColumn("preamble", F.transform(F.filter("rows", lambda r: (r["row_idx"] < F.col("header_row")) & (r["n"] == 1)), lambda r: F.trim(r["first"])))
     near = grid.join(if_small(found.select(*SHEET, "header_row")), SHEET).where(F.col("row_idx").between(F.col("header_row"), F.col("header_row") + 3) & _filled(F.col("raw")))
@@ -61,7 +61,7 @@ def discover(grid: DataFrame) -> DataFrame:
     texts = near.groupBy(*SHEET).agg(F.transform(F.sort_array(F.collect_list(F.struct("row_idx", "col_idx", "raw"))), lambda x: x["raw"]).alias("texts"))
     holds = lambda words: lambda t: F.lower(t).rlike("|".join(w.replace(".", r"\.") for w in words))
     candidates = F.concat("preamble", F.coalesce("texts", F.array().cast("array<string>")))
-    unit = F.coalesce(F.filter(candidates, holds(SCALES))[0], F.filter(candidates, holds(UNIT_WORDS))[0], F.lit(""))
+    unit = F.coalesce(F.get(F.filter(candidates, holds(SCALES)), F.lit(0)), F.get(F.filter(candidates, holds(UNIT_WORDS)), F.lit(0)), F.lit(""))
     return found.join(texts, SHEET, "left").select(*SHEET, "header_row", "preamble", unit.alias("unit"))
 
 
@@ -161,7 +161,7 @@ def entity_names(sheets: DataFrame, files: DataFrame) -> DataFrame:
     title = lambda t: F.regexp_replace(F.initcap(F.regexp_replace(t, "(['0-9])", "$1 \u0001")), " \u0001", "")
     from_file = title(F.array_join(kept(F.split(stem, r"[_\-\s]+")), " "))
     whole = title(F.regexp_replace(stem, "_", " "))
-    return files.join(first, "file_id", "left").select("file_id", F.coalesce(names[0], F.when(from_file != "", from_file), whole).alias("entity_name"))
+    return files.join(first, "file_id", "left").select("file_id", F.coalesce(F.get(names, F.lit(0)), F.when(from_file != "", from_file), whole).alias("entity_name"))
 
 
 def stage(facts: DataFrame, files: DataFrame, last_id: int = 0) -> DataFrame:

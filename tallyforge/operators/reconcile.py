@@ -15,7 +15,7 @@ def detect_conflicts(staging: DataFrame, files: DataFrame, *, tolerance: float =
 
     tolerance: values within this share of the largest agree (0: any two different values conflict).
     """
-    rows = staging.join(F.broadcast(files.select("file_id", "filename")), "file_id") if "filename" not in staging.columns else staging
+    rows = staging.join(files.select("file_id", "filename"), "file_id") if "filename" not in staging.columns else staging
     low, high = F.min("value_normalised"), F.max("value_normalised")
     grouped = rows.groupBy(*KEY).agg(
         F.count_distinct("value_normalised").alias("n_values"), low.alias("low"), high.alias("high"),
@@ -31,7 +31,7 @@ def resolve(conflicts: DataFrame, policy: str = "first", pattern: str | None = N
     if policy == "open":
         return conflicts.select(*KEY, F.lit(None).cast("long").alias("resolution_staging_id"), F.lit("OPEN").alias("state"))
     if policy == "prefer":
-        first = F.coalesce(F.filter("options", lambda o: F.lower(o["source"]).rlike(pattern.lower()))[0]["staging_id"], first)
+        first = F.coalesce(F.get(F.filter("options", lambda o: F.lower(o["source"]).rlike(pattern.lower())), F.lit(0))["staging_id"], first)
     elif policy != "first":
         raise ValueError(f"no policy {policy}")
     return conflicts.select(*KEY, first.alias("resolution_staging_id"), F.lit("RESOLVED").alias("state"))
@@ -46,7 +46,7 @@ def promote(staging: DataFrame, decisions: DataFrame, slugs: DataFrame, *, compa
     kept = [c for c in ("value_normalised", "currency", "original_unit", "conversion_factor", "conversion_applied", "file_id", "staging_id", "cell_reference", "source_sheet") if c in staging.columns]
     many = F.count("*") > 1 if compat else F.count_distinct("value_normalised") > 1
     best = rows.groupBy(*KEY).agg(F.min_by(F.struct(*kept), order).alias("best"), many.alias("many"))
-    live = best.join(F.broadcast(slugs.select("entity_id", "entity_slug")), "entity_id")
+    live = best.join(slugs.select("entity_id", "entity_slug"), "entity_id")
     note = F.when(F.col("many"), F.lit("chosen among several sources"))
     out = live.select(
         fact_id(F.col("entity_slug"), F.col("period"), F.col("canonical_field")).alias("fact_id"), "entity_slug", *KEY, "best.*",

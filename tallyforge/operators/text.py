@@ -153,11 +153,11 @@ def embed(text: Column, encoder=None) -> Column:
 
     work = encoder or default
 
-    @pandas_udf("array<float>")
-    def vectors(texts: pd.Series) -> pd.Series:
+    def vectors(texts):
         return pd.Series(list(work([t or "" for t in texts])))
 
-    return vectors(text)
+    vectors.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return pandas_udf(vectors, "array<float>")(text)
 
 
 def keyword_score(text: Column, query: str) -> Column:

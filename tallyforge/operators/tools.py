@@ -128,7 +128,7 @@ class Tools:
         rows = self.chunks.where(F.col("entity_id") == entity)
         for column, wanted in (("linked_periods", period_filter), ("linked_metrics", metric_filter)):
             if wanted:
-                rows = rows.where(F.exists(column, lambda x, w=wanted: F.lower(x) == w.lower()))
+                rows = rows.where(F.array_contains(F.transform(column, F.lower), wanted.lower()))
         found = vector_search(rows, vector).limit(8) if vector else keyword_search(rows, query)
         keep = ["chunk_id", "section_path", "contains_numerical_claim", F.substring("raw_text", 1, 600).alias("text"), "linked_fact_ids", "file_id"]
         return {"chunks": [r.asDict() for r in found.select(*keep).collect()], "search_mode": "similarity" if vector else "keyword"}
@@ -144,7 +144,9 @@ def find_entities(entities: DataFrame, name: str) -> DataFrame:
 
 def sources(live: DataFrame, files: DataFrame) -> DataFrame:
     """Each live fact with the file it comes from."""
-    return live.join(F.broadcast(files), live["source_file_id"] == files["file_id"] if "source_file_id" in live.columns else "file_id")
+    about = files.select("file_id", *[c for c in ("filename", "file_path") if c in files.columns])
+    key = live["source_file_id"] == about["file_id"] if "source_file_id" in live.columns else "file_id"
+    return live.join(F.broadcast(about) if about.limit(100_001).count() <= 100_000 else about, key)
 
 
 def available_metrics(live: DataFrame) -> DataFrame:
