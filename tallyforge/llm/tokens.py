@@ -36,6 +36,9 @@ BITS, BLOCK, LANES, CHECKPOINT = 20, 65536, 64, 256
 LOW = np.uint64(1 << 31)
 #: A point or comma that the tokenizer may join to what stands before or after it.
 _run = re.compile(r"[.,](?:[^\w\s]|_|(?<=[^\w\s][.,])|(?<=_[.,]))")
+#: One that stands alone after a letter or digit at the end of a word.
+_end = re.compile(r"(?<=[^\W_])([.,])(?=\s|$)")
+_letters = re.compile(r"[^\W\d_]+|[\W\d_]+")
 #: Ids after which a shard is closed: bounds what a worker holds.
 SHARD = 1 << 21
 
@@ -203,36 +206,67 @@ class Encoder:
         letters = [chr(c) for c in range(0x250) if chr(c).isalpha()]
         self.lowers = all(ids(c) == ids(c.lower()) for c in letters)
         self.lean, self.last = self._leaner()
+        self.runs = ids("ab$$1c--,D") == ids("ab") + ids("$$1") + ids("c") + ids("--,") + ids("D")
         self.splits = all(ids(f"{w}{c}") == ids(f"{w} {c}") for c in ".," for w in ("word", "3", "\u00e9"))
 
     def _leaner(self) -> tuple:
         """The same model without normaliser and splitter, for words that neither changes, and which ids end a word; or nothing."""
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
         suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
         if not suffix or not self.lowers:
             return None, None
         lean = Tokenizer.from_str(self.tokenizer.to_str())
-        lean.normalizer = normalizers.Sequence([])
-        lean.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        lean.normalizer = lean.pre_tokenizer = None
         last = np.zeros(self.tokenizer.get_vocab_size(), bool)
         last[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
+        # what the splitter makes of each byte: words go to the model in these letters
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {}
+        for c in map(chr, range(0x800)):
+            shown = level.pre_tokenize_str(c)[0][0]
+            self.letters.update(zip(c.encode(), shown, strict=True))
+        self.letters.update((b, level.pre_tokenize_str(chr(0x10000 * (b - 0xF0) + 0x10000))[0][0][0] if b >= 0xF0 else level.pre_tokenize_str(chr(max(0x800, (b - 0xE0) << 12)))[0][0][0]) for b in range(0xE0, 0xF5))
         probe = ["word", "caf\u00e9", "\u00df\u00fc\u00f1", "\u0434\u0430", "\u6f22\u5b57", "supercalifragilistic"]
-        same = all(lean.encode([w], is_pretokenized=True, add_special_tokens=False).ids == self.tokenizer.encode(w, add_special_tokens=False).ids for w in probe)
+        same = all(lean.encode([self._shown(w)], is_pretokenized=True, add_special_tokens=False).ids == self.tokenizer.encode(w, add_special_tokens=False).ids for w in probe)
         return (lean, last) if same else (None, None)
 
+    def _shown(self, word: str) -> str:
+        return word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+
     def _words(self, text: str) -> list[str]:
+        plain = text.isascii()  # what is done to it cannot depend on what letters become
         if self.lowers and "<|" not in text:
-            if text.isascii():
+            if plain:
                 text = text.lower()
             elif "\u03a3" not in text and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low := text.lower()):
-                text = low
-        if self.splits and not _run.search(text):
-            text = text.replace(".", " .").replace(",", " ,")
+                text, plain = low, True
+        if self.splits and plain:
+            text = _end.sub(r" \1", text) if _run.search(text) else text.replace(".", " .").replace(",", " ,")
         return text.replace("\n", " ").split(" ")
 
     def _encode(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of unknown words, many in one call: most of the cost of encoding a word alone is the call."""
+        """Ids of unknown words. One of letters and other characters is put together from its runs of either, as the tokenizer splits there."""
+        if not self.lean or not self.runs:
+            return self._encode_each(words)
+        runs = {}
+        for w in words:
+            if not w.isalpha() and w == w.lower() and "'" not in w and "<|" not in w and self.MARK not in w and (w.isascii() or unicodedata.is_normalized("NFC", w)):
+                found = _letters.findall(w)
+                if len(found) > 1:
+                    runs[w] = found
+        if not runs:
+            return self._encode_each(words)
+        known = self.known
+        parts = {r for found in runs.values() for r in found}
+        single = {w for w in words if w not in runs} | {r for r in parts if r not in known}
+        got = self._encode_each(list(single))
+        got.update((r, known[r]) for r in parts if r not in got)
+        got.update((w, b"".join([got[r] for r in found])) for w, found in runs.items())
+        return got
+
+    def _encode_each(self, words: list[str]) -> dict[str, bytes]:
+        """Many in one call: most of the cost of encoding a word alone is the call."""
         got: dict[str, bytes] = {}
 
         def cut(part: list[str], ids: list[int], marks: np.ndarray, skip: int) -> None:
@@ -249,7 +283,7 @@ class Encoder:
         plain = [w for w in words if w.isalpha() and w.islower() and w == w.lower() and (w.isascii() or unicodedata.is_normalized("NFC", w))] if self.lean else []
         for at in range(0, len(plain), 4096):
             part = plain[at : at + 4096]
-            cut(part, self.lean.encode_batch_fast([part], is_pretokenized=True, add_special_tokens=False)[0].ids, self.last, 0)
+            cut(part, self.lean.encode_batch_fast([list(map(self._shown, part))], is_pretokenized=True, add_special_tokens=False)[0].ids, self.last, 0)
         rest = [w for w in words if w not in got and self.MARK not in w]
         for at in range(0, len(rest), 4096):
             part = rest[at : at + 4096]

@@ -368,7 +368,7 @@ def test_damage_is_found():
 def test_words_give_the_ids_of_whole_texts(spark, sf):
     encoder = tokens.encoder("word_bpe_49k.json")
     texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").limit(80).collect()]
-    texts += ["á b", "́x y", "Σ ΟΔΟΣ Σ.", "x\x1cy\x85z w", "<|endoftext|> a<|EndOfText|>b", "it's 's 12 İi", "\t\n  ", "", "a.b,c ... x.. _. ?., 'S 3.14, café, é. \x01 q\x01.", "漢字 と かな.", "w" * 50_000]
+    texts += ["á b", "́x y", "Σ ΟΔΟΣ Σ.", "x\x1cy\x85z w", "<|endoftext|> a<|EndOfText|>b", "it's 's 12 İi", "\t\n  ", "", "a.b,c ... x.. _. ?., 'S 3.14, café, é. \x01 q\x01.", "漢字 と かな.", "w" * 50_000, "ab$$$ x²y ½ é$$ e\u0301$$ 'sab$ don't$$ a_b. _., f.$ g,. \u0301a 12ab34 İ!! ǅx ß$"]
     got = [np.frombuffer(x, encoder.kind).tolist() for x in encoder(texts)]
     assert got == [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
