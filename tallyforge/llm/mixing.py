@@ -8,9 +8,10 @@ share of the sum crosses.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import MapType, VariantType
 from pyspark.sql.window import Window
 
 from .common import col, if_small, n_words, ranked, written
@@ -66,11 +67,11 @@ def mix(
     empty result; a kept column with the name of an added one is replaced; a source of no words has target 0.
     """
     kept = [c for c in (docs.columns if keep is None else keep) if c not in ADDED]
-    plain = [c for c in kept if not isinstance(docs.schema[c].dataType, MapType | VariantType)]
+    plain = [c for c in kept if not re.search("map<|variant", docs.schema[c].dataType.simpleString())]  # others have no hash
     rows = docs.select(
         F.struct(*[col(c).alias(c) for c in kept]).alias("row"),
         F.coalesce(col(doc_id).cast("long"), F.lit(0)).alias("id"),
-        F.xxhash64(*[col(c) for c in plain]).alias("tie"),
+        F.xxhash64(F.lit(0), *[col(c) for c in plain]).alias("tie"),
         F.when(col(source).isNull(), "").otherwise(F.concat(F.lit("="), col(source).cast("string"))).alias("key"),
         n_words(col(text)).alias("size"),
     )

@@ -179,6 +179,16 @@ class Shard:
         return found
 
 
+def _gaps(ids: list) -> list[int]:
+    """Places of None."""
+    out, k = [], -1
+    try:
+        while True:
+            out.append(k := ids.index(None, k + 1))
+    except ValueError:
+        return out
+
+
 class Encoder:
     """Ids of whole texts, by way of the ids of their words: no token of the tokenizer crosses a space or line feed.
 
@@ -187,7 +197,7 @@ class Encoder:
     """
 
     #: Words of a generation of known ones; the words that the last two generations met are kept.
-    MOST = 300_000
+    MOST = 350_000
     #: Texts that are looked up together: their words stay in the processor's cache.
     TEXTS = 16
     #: A mark that is a token of its own between words that are encoded together.
@@ -299,11 +309,14 @@ class Encoder:
         known, older = self.known, self.older
         split = [self._words(t) for t in texts]
         found = [list(map(known.get, words)) for words in split]
-        missing = {w for words, ids in zip(split, found, strict=True) if None in ids for w, x in zip(words, ids, strict=True) if x is None}
+        gaps = [(words, ids, _gaps(ids)) for words, ids in zip(split, found, strict=True) if None in ids]
+        missing = {words[k] for words, _, where in gaps for k in where}
         if missing:
             got = {w: older[w] for w in missing if w in older}
             got.update(self._encode([w for w in missing if w not in got]))
-            found = [[got[w] if x is None else x for w, x in zip(words, ids, strict=True)] if None in ids else ids for words, ids in zip(split, found, strict=True)]
+            for words, ids, where in gaps:
+                for k in where:
+                    ids[k] = got[words[k]]
             known.update((w, x) for w, x in got.items() if len(w) <= 64)
             if len(known) > self.MOST:
                 self.known, self.older = {}, known
