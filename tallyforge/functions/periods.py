@@ -32,7 +32,7 @@ def fiscal_year(year: Column, month: Column) -> Column:
 
 
 def _rules(s: Column) -> list[tuple[str, Column]]:
-    """What a period can look like, in order, and what it then is."""
+    """What a period can look like, in order, and what it then is. The notations."""
 
     def rule(pattern: str, build) -> tuple[str, Column]:
         whole = f"(?i)^{pattern}$"

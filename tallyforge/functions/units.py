@@ -47,6 +47,7 @@ def normalise(value: Column, unit: Column, compat: bool = True) -> Column:
     )
 
 
+# What a row's label can ask for.
 _ROW_UNIT = r"(?i)\b(?:(?:rs\.?|inr|usd)?\s*(?:crore|crores|cr\.?|lakh|lakhs|lacs|million|mn|thousand|000))\b"
 _ABSOLUTE = r"(?i)\b(?:rs\.?|inr|usd)\s*(?:absolute|actual|exact|value|amount)\b"
 

@@ -17,8 +17,8 @@ from tallyforge.sources import documents, sheets
 
 MONTHS = ["Apr-23", "May-23", "Jun-23", "Jul-23", "Aug-23", "Sep-23", "Oct-23", "Nov-23", "Dec-23", "Jan-24", "Feb-24", "Mar-24"]
 MONTHLY = ["GMV", "Net Revenue", "COGS", "Salary", "Marketing", "Rent", "Opex", "EBITDA", "Net Profit", "Headcount", "Orders"]
-AUDITED = {"Revenue from operations": [18.4, 22.1, 27.3], "COGS": [12.0, 14.4, 17.5], "Opex": [2.0, 2.2, 3.1], "EBITDA": [4.0, 5.0, 6.0], "PAT": [2.5, 3.2, 4.1], "Trade receivables": [3.0, 3.9, 4.5], "Inventory": [2.0, 2.4, 3.0], "Cash": [1.0, 1.1, 1.3], "Total debt": [5.0, 4.5, 4.0], "Trade payables": [1.5, 1.8, 2.0], "Salary": [1.0, 1.2, 1.4]}
-MANAGED = {"Turnover": [18.4, 22.1, 28.1], "COGS": [12.0, 14.4, 18.0], "EBITDA": [4.0, 5.0, 5.8], "PAT": [2.5, 3.2, 4.0], "Debtors": [3.0, 3.9, 4.7], "Inventory": [2.0, 2.4, 3.2], "Opex": [2.0, 2.2, 3.1], "Cash": [1.0, 1.1, 1.3]}
+AUDITED = {"Revenue from operations": [21.7, 25.9, 31.6], "COGS": [13.2, 15.8, 19.1], "Opex": [2.3, 2.6, 3.4], "EBITDA": [4.4, 5.6, 6.7], "PAT": [2.8, 3.5, 4.6], "Trade receivables": [3.3, 4.1, 4.9], "Inventory": [2.2, 2.7, 3.3], "Cash": [1.2, 1.4, 1.7], "Total debt": [5.6, 5.1, 4.2], "Trade payables": [1.6, 1.9, 2.3], "Salary": [1.1, 1.3, 1.5]}
+MANAGED = {"Turnover": [21.7, 25.9, 32.4], "COGS": [13.2, 15.8, 19.7], "EBITDA": [4.4, 5.6, 6.4], "PAT": [2.8, 3.5, 4.5], "Debtors": [3.3, 4.1, 5.2], "Inventory": [2.2, 2.7, 3.6], "Opex": [2.3, 2.6, 3.4], "Cash": [1.2, 1.4, 1.7]}
 
 
 def sheet(first, columns, rows, above=()):
@@ -30,9 +30,9 @@ def sheet(first, columns, rows, above=()):
 def corpus(tmp_path_factory):
     d = tmp_path_factory.mktemp("corpus")
     monthly = {m: [12 if m == "Headcount" else round(10 + i + k / 10, 2) for k in range(12)] for i, m in enumerate(MONTHLY)}
-    (d / "glow_naturals_mis.csv").write_bytes(sheet("Metric (Rs. Lakhs)", MONTHS, monthly))
-    (d / "krishnan_engineering_audited.csv").write_bytes(sheet("Particulars (INR Crore)", ["FY22", "FY23", "FY24"], AUDITED))
-    (d / "krishnan_engineering_management.csv").write_bytes(sheet("Revenue Summary (Rs. Crore)", ["FY22", "FY23", "FY24"], MANAGED))
+    (d / "meadow_foods_mis.csv").write_bytes(sheet("Metric (Rs. Lakhs)", MONTHS, monthly))
+    (d / "harbor_engineering_audited.csv").write_bytes(sheet("Particulars (INR Crore)", ["FY22", "FY23", "FY24"], AUDITED))
+    (d / "harbor_engineering_management.csv").write_bytes(sheet("Revenue Summary (Rs. Crore)", ["FY22", "FY23", "FY24"], MANAGED))
     (d / "notes.txt").write_text("ignored")
     return d
 
@@ -49,12 +49,12 @@ def test_corpus_goes_live(spark, engine):
     staged = engine.store.read("staging_facts")
     assert {r.value_normalised for r in staged.where("canonical_field = 'headcount'").collect()} == {Decimal("12.000000")}
     assert staged.where("canonical_field = 'gmv' AND period = 'FY24-M01'").first().value_normalised == Decimal("1000000.000000")
-    assert sorted(r.entity_slug for r in engine.store.read("entities").collect()) == ["glow_naturals", "krishnan_engineering"]
+    assert sorted(r.entity_slug for r in engine.store.read("entities").collect()) == ["harbor_engineering", "meadow_foods"]
     live = engine.store.read("live_facts")
     key = live.groupBy("entity_id", "canonical_field", "period").count().where("count > 1").count()
     assert key == 0 and engine.result["live"] == 180 + 45 == live.count()
-    r = live.where("entity_slug = 'krishnan_engineering' AND canonical_field = 'revenue_net' AND period = 'FY24'").first()
-    assert r.value_normalised == Decimal("273000000.000000") and r.authoritative_note and r.cell_reference == "D2"
+    r = live.where("entity_slug = 'harbor_engineering' AND canonical_field = 'revenue_net' AND period = 'FY24'").first()
+    assert r.value_normalised == Decimal("316000000.000000") and r.authoritative_note and r.cell_reference == "D2"
     assert {r.state for r in engine.store.read("source_files").collect()} == {"LIVE"} and engine.store.read("ingestion_log").count() == 3
 
 
@@ -68,7 +68,7 @@ def test_compat_reads_quirks(spark, corpus, tmp_path):
     e.load_folder(str(corpus))
     staged = e.store.read("staging_facts")
     assert staged.where("canonical_field = 'headcount'").first().value_normalised == Decimal("1200000.000000")
-    pair = staged.join(e.store.read("source_files").select("file_id", "filename"), "file_id").where("filename like 'krishnan%'")
+    pair = staged.join(e.store.read("source_files").select("file_id", "filename"), "file_id").where("filename like 'harbor%'")
     assert pair.count() == 57 and {r.period for r in pair.collect()} == {"FY24"}
 
 
@@ -107,16 +107,16 @@ def facts_of(spark, content, compat=False, kind=".csv"):
 
 
 def test_header_is_found_below_a_preamble(spark):
-    content = sheet("Metric", ["FY23", "FY24", "Notes"], {"Revenue (net)": ["1,5", 2, "x 9"], "TOTAL": [9, 9, ""], "--- section": ["", "", ""], "Rent (Rs absolute)": ["(8.20)", "67.0% (calc)", "none"]}, above=["Glow Naturals - Monthly P&L", "All figures in Rs. Lakhs"]).replace(b"1,5", b'"1,5"')
+    content = sheet("Metric", ["FY23", "FY24", "Notes"], {"Revenue (net)": ["1,5", 2, "x 9"], "TOTAL": [9, 9, ""], "--- section": ["", "", ""], "Rent (Rs absolute)": ["(8.20)", "67.0% (calc)", "none"]}, above=["Meadow Foods - Monthly P&L", "All figures in Rs. Lakhs"]).replace(b"1,5", b'"1,5"')
     grid = grid_of(spark, content)
     about = ingest.discover(grid).first()
-    assert about.header_row == 2 and about.preamble == ["Glow Naturals - Monthly P&L", "All figures in Rs. Lakhs"] and about.unit == "All figures in Rs. Lakhs"
+    assert about.header_row == 2 and about.preamble == ["Meadow Foods - Monthly P&L", "All figures in Rs. Lakhs"] and about.unit == "All figures in Rs. Lakhs"
     got = {(r.canonical_field, r.period): (float(r.value_normalised), r.currency, r.cell_reference) for r in facts_of(spark, content).collect()}
     assert got == {("revenue_net", "FY23"): (1500000.0, "INR", "B4"), ("revenue_net", "FY24"): (200000.0, "INR", "C4"), ("rent_expense", "FY23"): (-8.2, "INR", "B7")}
     notes = ingest.annotations(ingest.cells(grid, ingest.discover(grid)))
     assert {r.raw_text: r.contains_numerical_claim for r in notes.collect()} == {"x 9": True, "none": False}
     names = ingest.entity_names(ingest.discover(grid), spark.createDataFrame([(1, "x_mis_fy24.csv")], "file_id int, filename string"))
-    assert names.first().entity_name == "Glow Naturals"
+    assert names.first().entity_name == "Meadow Foods"
 
 
 def test_names_from_files(spark):
@@ -222,7 +222,7 @@ def test_swing_across_the_century(spark):
 
 @pytest.fixture(scope="module")
 def tools(spark):
-    live = live_of(spark, [("revenue_net", "FY24", 10_000_000), ("revenue_net", "FY23", 8_000_000), ("cogs", "FY24", 6_000_000), ("pat", "FY24", 0)])
+    live = live_of(spark, [("revenue_net", "FY24", 12_500_000), ("revenue_net", "FY23", 10_000_000), ("cogs", "FY24", 7_500_000), ("pat", "FY24", 0)])
     live = live.withColumn("source_file_id", F.lit(1)).withColumn("source_sheet", F.lit("S")).withColumn("cell_reference", F.lit("B2")).drop("file_id")
     files = spark.createDataFrame([(1, "facts.csv", "/in/facts.csv", 1, "LIVE")], "file_id int, filename string, file_path string, entity_id int, state string")
     entities = spark.createDataFrame([(1, "One Ltd", "one_ltd"), (2, "One More", "one_more"), (3, "Other", "other")], "entity_id int, entity_name string, entity_slug string")
@@ -232,9 +232,9 @@ def tools(spark):
 
 def test_tools(tools):
     got = tools.fetch_metric(1, "revenue_net", "FY24", "crore")
-    assert got["value"] == "10000000.0" and got["display"] == "₹1.00 Cr" and got["citation"]["fact_id"] == "f_one_FY24_revenue_net"
+    assert got["value"] == "12500000.0" and got["display"] == "₹1.25 Cr" and got["citation"]["fact_id"] == "f_one_FY24_revenue_net"
     v = tools.calculate_variance("One Ltd", "revenue_net", "FY23", "FY24")
-    assert v["delta"] == "2000000.0" and v["delta_pct"].startswith("25") and len(v["citations"]) == 2
+    assert v["delta"] == "2500000.0" and v["delta_pct"].startswith("25") and len(v["citations"]) == 2
     assert tools.calculate_ratio(1, "cogs", "revenue_net", "FY24")["ratio"].startswith("0.6")
     assert len(tools.list_sources(1, "revenue_net", "FY24")["sources"]) == 1
     assert {"metric": "revenue_net", "observations": 2} in tools.list_available_metrics(1)["metrics"]
@@ -261,14 +261,14 @@ def test_router(tools):
     for q, tool in cases.items():
         assert r.answer(1, q).tool_name == tool, q
     v = r.answer(1, "growth of revenue from FY23 to FY2024").payload
-    assert (v["period_1"], v["period_2"], v["delta"]) == ("FY23", "FY24", "2000000.0")
+    assert (v["period_1"], v["period_2"], v["delta"]) == ("FY23", "FY24", "2500000.0")
     assert r.answer(3, "list metrics").tool_name == "state_gate" and r.answer(1, "why did revenue rise?").payload["claim_check"]["flagged_chunks"] == [7]
     assert {"ts", "tool", "args", "outcome"} == set(json.loads(r.log[0]))
 
 
 def test_planner(tools):
     good = {"tool": "fetch_metric", "args": {"metric": "revenue_net", "period": "FY24"}}
-    assert Router(tools, lambda q, m: good).answer(1, "x").payload["value"] == "10000000.0"
+    assert Router(tools, lambda q, m: good).answer(1, "x").payload["value"] == "12500000.0"
 
     def fails(q, m):
         raise TimeoutError("slow")
@@ -336,7 +336,7 @@ def docx(parts):
 def test_word_documents(spark, engine, tmp_path):
     long = "The company grew revenue by 12.5% to Rs. 27 crore in FY24 as demand rose in all of its markets and prices held up well over the year."
     content = docx(["#Overview", long, "* a footnote", [["Period", "Revenue", "EBITDA"], ["FY21", "1000", "200"], ["FY20", "900", "150"]], [["Category", "Amount", "Count"], ["a", "b", "c"]], "#Outlook", long.replace("12.5", "3.0")])
-    (tmp_path / "krishnan_engineering_report.docx").write_bytes(content)
+    (tmp_path / "harbor_engineering_report.docx").write_bytes(content)
     files = sheets.list_files(spark, str(tmp_path), (".docx",))
     read = documents.read_parts(files.withColumn("file_id", F.lit(1)))
     assert [r.is_structured for r in documents.tables(read).orderBy("index").collect()] == [True, False]
@@ -347,11 +347,11 @@ def test_word_documents(spark, engine, tmp_path):
     out = engine.load_documents(files)
     assert out["files_processed"] == 1 and out["chunks_total"] == 4 and engine.store.read("staging_facts").count() == before + 4
     chunks = engine.store.read("qualitative_chunks").where("region_type = 'narrative'")
-    entity = engine.store.read("entities").where("entity_slug = 'krishnan_engineering'").first().entity_id
+    entity = engine.store.read("entities").where("entity_slug = 'harbor_engineering'").first().entity_id
     assert {r.entity_id for r in chunks.collect()} == {entity} and chunks.where("contains_numerical_claim AND array_contains(linked_periods, 'FY24')").count() == 2
     assert engine.load_documents(files)["files_processed"] == 0
-    answer = Router(engine.tools()).answer("krishnan", "what is net revenue in FY24")
-    assert answer.payload["value"] == "273000000.0"
+    answer = Router(engine.tools()).answer("harbor", "what is net revenue in FY24")
+    assert answer.payload["value"] == "316000000.0"
 
 
 def test_page_blocks(spark):
@@ -379,7 +379,7 @@ def test_store_states(spark, tmp_path):
 def test_reset(spark, corpus, tmp_path):
     e = Engine(spark, str(tmp_path))
     e.load_folder(str(corpus))
-    one = e.store.read("entities").where("entity_slug = 'glow_naturals'").first().entity_id
+    one = e.store.read("entities").where("entity_slug = 'meadow_foods'").first().entity_id
     e.reset(one)
     assert e.store.read("live_facts").where(F.col("entity_id") == one).count() == 0 and e.store.read("live_facts").count() > 0
     assert Router(e.tools()).answer(one, "list metrics").tool_name == "state_gate"

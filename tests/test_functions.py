@@ -52,8 +52,8 @@ def test_units(spark):
 
 
 def test_normalise_is_exact(spark):
-    n = spark.range(1).select(units.normalise(F.lit("27.3").cast("decimal(18,2)"), F.lit("Rs. Crore")).alias("n")).first().n
-    assert str(n.value) == "273000000.000000" and (n.currency, n.factor, n.applied) == ("INR", 10_000_000, True)
+    n = spark.range(1).select(units.normalise(F.lit("31.6").cast("decimal(18,2)"), F.lit("Rs. Crore")).alias("n")).first().n
+    assert str(n.value) == "316000000.000000" and (n.currency, n.factor, n.applied) == ("INR", 10_000_000, True)
 
 
 def test_row_units(spark):
@@ -62,7 +62,7 @@ def test_row_units(spark):
 
 
 @pytest.mark.parametrize("value,currency,target,shown", [
-    (273e6, "INR", "auto", "₹27.30 Cr"), (150_000.0, "INR", "auto", "₹1.50 L"), (99_999.0, "INR", "auto", "₹99,999"), (5e6, "INR", "lakh", "₹50.00 L"), (5e6, "INR", "crore", "₹0.50 Cr"),
+    (316e6, "INR", "auto", "₹31.60 Cr"), (150_000.0, "INR", "auto", "₹1.50 L"), (99_999.0, "INR", "auto", "₹99,999"), (5e6, "INR", "lakh", "₹50.00 L"), (5e6, "INR", "crore", "₹0.50 Cr"),
     (2.5e6, "USD", "auto", "$2.50M"), (2500.0, "USD", "auto", "$2.50K"), (25.0, "USD", "auto", "$25"), (1234.5, "EUR", "auto", "1,234.50"), (-2e7, "INR", "auto", "₹-2.00 Cr"), (1234.5, "INR", "absolute", "1,234.50"),
 ])
 def test_display(spark, value, currency, target, shown):
@@ -101,7 +101,7 @@ def test_registry_counts():
 def test_references_and_slugs(spark):
     got = spark.createDataFrame([(c,) for c in (1, 26, 27, 52, 702, 703, 728)], "c int").orderBy("c").select(text.cell_reference(F.col("c"), F.lit(7))).collect()
     assert [r[0] for r in got] == ["A7", "Z7", "AA7", "AZ7", "ZZ7", "AAA7", "AAZ7"]
-    assert apply(spark, [" Glow Naturals Pvt. Ltd "], text.slugify) == ["glow_naturals_pvt_ltd"]
+    assert apply(spark, [" Meadow Foods Pvt. Ltd "], text.slugify) == ["meadow_foods_pvt_ltd"]
 
 
 def test_claims(spark):
