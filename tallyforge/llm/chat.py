@@ -5,10 +5,11 @@ Grammar of a formatted conversation:
     conversation = { turn }
     turn         = "<|im_start|>" role LF content "<|im_end|>" LF
 
-content ends at the first end mark. A reader takes one backslash out of every "<", backslashes, "|" (see unescape);
-in a role it reads "%25" and "%0A" as "%" and a line feed. A text is rendered as it is, parsed again with this
-grammar and compared; only where the turns recovered differ from the source are control strings escaped, by one more
-backslash, until the two are identical.
+content ends at the first end mark; no mark stands in a role or a content, so each stands exactly once a turn. A reader
+takes one backslash out of every "<", backslashes, "|" (see unescape); in a role it reads "%25" and "%0A" as "%" and a
+line feed. A text is rendered as it is, parsed again with this grammar and compared; only where the grammar refuses it
+or the turns recovered differ from the source are control strings escaped, by one more backslash, until the two are
+identical.
 """
 
 from __future__ import annotations
@@ -51,8 +52,11 @@ def parse(formatted: str) -> list[tuple[str, str, int, int]]:
         if not formatted.startswith(START, at):
             raise ValueError(f"no turn starts at {at}")
         head = formatted.index("\n", at)
-        end = formatted.index(END + "\n", head + 1)
-        turns.append((unescape_role(formatted[at + len(START) : head]), unescape(formatted[head + 1 : end]), head + 1, end))
+        end = formatted.index(END, head + 1)
+        role, content = formatted[at + len(START) : head], formatted[head + 1 : end]
+        if START in role or END in role or START in content or not formatted.startswith("\n", end + len(END)):
+            raise ValueError(f"a mark inside the turn at {at}")
+        turns.append((unescape_role(role), unescape(content), head + 1, end))
         at = end + len(END) + 1
     return turns
 
