@@ -4,12 +4,17 @@ A candidate block is compressed with Zstandard once plainly and once with each l
 The license whose wording makes the block smallest is ranked first. The winners are confirmed by their exact wording:
 words of block and template are compared one by one, where a placeholder stands for a version, year or holder; a
 block is a match if at most a tenth of the template's words differ.
+
+Candidate blocks are lines and sentences that hold a trigger, and runs of words wherever they lie in the text, over line
+feeds and comment marks too: three words in a row that a template has as well place the template in the text, and the
+run of words nearest to the template there is a candidate.
 """
 
 from __future__ import annotations
 
 import difflib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -48,6 +53,9 @@ TRIGGERS = ("licen", "copyright", "permission", "redistribution", "public domain
 _token = re.compile(r"[0-9]+(?:\.[0-9]+)*|[^\W_0-9]+|<[vyh]>")
 _version = re.compile(r"v?[0-9]+(?:\.[0-9]+)*$")
 _sentence = re.compile(r"(?<=[.!?:])\s+(?=[A-Z\"(])")
+#: A line feed with the comment marks after it.
+_wrap = re.compile(r"\n[\s#*/;%!>|-]*")
+_year = re.compile("[0-9]{4}")
 
 
 def _words(text: str) -> list[str]:
@@ -64,6 +72,22 @@ def _templates() -> list[tuple[str, str, list[str], zstandard.ZstdCompressor]]:
     return out
 
 
+@lru_cache(1)
+def _phrases() -> tuple[dict[tuple[str, ...], list[tuple[int, int]]], list[int]]:
+    """Where three words in a row stand in templates (number, place), and the least of them that a match of each keeps."""
+    places: dict[tuple[str, ...], list[tuple[int, int]]] = {}
+    least = []
+    for k, (_, _, words, _) in enumerate(_templates()):
+        n, slack = 0, len(words) // 10
+        for at in range(len(words) - 2):
+            three = tuple(words[at : at + 3])
+            if not any(w[0] == "<" for w in three):
+                places.setdefault(three, []).append((k, at))
+                n += 1
+        least.append(max(1, -(-(n - 3 * slack) // (slack + 1))))
+    return places, least
+
+
 @lru_cache(1)
 def _plain() -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=3, write_content_size=False)
@@ -100,7 +124,7 @@ def differences(block: list[str], template: list[str]) -> int:
 
 def match(block: str) -> list[tuple[str, int, int, int]]:
     """Licenses that a block states, best first: name, bytes saved, plain bytes, differing words."""
-    raw = block.encode()
+    raw = _wrap.sub(" ", block).encode()
     plain, words = len(_plain().compress(raw)), _words(block)
     ranks = sorted(((plain - len(c.compress(raw)), name, template) for name, _, template, c in _templates()), key=lambda x: (-x[0], x[1]))
     out = []
@@ -113,8 +137,63 @@ def match(block: str) -> list[tuple[str, int, int, int]]:
     return out[:1]
 
 
+def nearest(words: list[str], template: list[str]) -> tuple[int, int]:
+    """The run of words that takes the fewest changes to become the template."""
+    cost, begin = [0] * (len(words) + 1), list(range(len(words) + 1))
+    for w in template:
+        last, came, cost, begin = cost, begin, [cost[0] + 1], [begin[0]]
+        for k, x in enumerate(words):
+            same = x == w or w == "<v>" and _version.match(x) is not None
+            cost_, begin_ = min((last[k] + (not same), -came[k]), (last[k + 1] + 1, -came[k + 1]), (cost[k] + 1, -begin[k]))
+            cost.append(cost_)
+            begin.append(-begin_)
+    end = min(range(len(cost)), key=cost.__getitem__)
+    return begin[end], end
+
+
+def runs(text: str, lower: str) -> set[tuple[int, int]]:
+    """Candidate blocks that are runs of words of about a template's length; a copyright notice reaches back to its year."""
+    found = list(_token.finditer(lower))
+    words = [m[0] for m in found]
+    (places, least), templates = _phrases(), _templates()
+    longest = max(len(t) for _, _, t, _ in templates)
+    votes: Counter[tuple[int, int]] = Counter()
+    out: set[tuple[int, int, int]] = set()
+    for at, three in enumerate(zip(words, words[1:], words[2:])):
+        for k, place in places.get(three, ()):
+            template = templates[k][2]
+            if "<h>" not in template:
+                votes[k, at - place] += 1
+                continue
+            for start in range(at - 1, max(-1, at + 3 - longest), -1):
+                if words[start] == template[0] and _year.fullmatch(words[start + 1]):
+                    if not re.search(r"\n\s*\n", text[found[start].start() : found[at].start()]):
+                        out.add((start, at + 3, k))
+                    break
+    for (k, start), n in votes.items():
+        template = templates[k][2]
+        slack = len(template) // 10
+        if n < least[k] or any(votes.get((k, start + d), 0) > n for d in range(-slack, slack + 1)):
+            continue
+        low, begin, end = max(0, start), 0, len(template)
+        part = words[low : low + end]
+        if differences(part, template):
+            low = max(0, start - slack)
+            part = words[low : start + len(template) + slack]
+            begin, end = nearest(part, template)
+        if begin < end and 10 * differences(part[begin:end], template) <= len(template):
+            out.add((low + begin, low + end, k))
+    spans = set()
+    for begin, end, k in out:
+        stop, tail = found[end - 1].end(), re.search(r"[^\w>]*$", templates[k][1])[0]
+        while tail and text.startswith(tail[0], stop):
+            stop, tail = stop + 1, tail[1:]
+        spans.add((found[begin].start(), stop))
+    return spans
+
+
 def blocks(text: str) -> list[tuple[int, int]]:
-    """Candidate blocks: each line that holds a trigger, whole, and each of its sentences that does."""
+    """Candidate blocks: each line that holds a trigger, whole, each of its sentences that does, and runs()."""
     lower, found = text.lower(), set()
     if len(lower) != len(text):  # a letter whose lower case is longer: look at it letter by letter
         lower = "".join(c.lower()[0] for c in text)
@@ -135,7 +214,7 @@ def blocks(text: str) -> list[tuple[int, int]]:
             if any(t in lower[at : at + len(part)] for t in TRIGGERS):
                 out.add((at, at + len(part)))
             at += len(part)
-    return sorted(out)
+    return sorted(out | runs(text, lower)) if out else []
 
 
 def scan_text(text: str) -> list[tuple[int, int, str, int, int, int]]:

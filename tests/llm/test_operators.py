@@ -340,6 +340,29 @@ def test_every_template_finds_itself():
             assert [m[2] for m in licenses.scan_text(f"Intro line\n{filled}\nmore")] == [name], t
 
 
+def test_notices_over_lines_in_comments_and_amid_text():
+    import textwrap
+
+    for name, texts in licenses.TEMPLATES.items():
+        for t in texts:
+            filled = t.replace("<v>", "2.0").replace("<y>", "2021").replace("<h>", "Some Holder Ltd")
+            for mark in ("", "# ", " * ", "// "):
+                lines = textwrap.wrap(filled, 40)
+                text = f"{mark}Intro line\n" + "".join(f"{mark}{x}\n" for x in lines) + f"{mark}more of it\n"
+                got = licenses.scan_text(text)
+                assert [(m[2], m[5]) for m in got] == [(name, 0)], (t, mark)
+                block = text[got[0][0] : got[0][1]]
+                assert licenses._words(block) == licenses._words(filled), (block, t)
+            text = f"some code here - {filled} and so on"
+            assert [(text[s:e], m) for s, e, m, *_ in licenses.scan_text(text)] == [(filled, name)], t
+    text = "See below. Copyright 2019, 2021 Foo and Bar, Inc. All rights reserved. Then more. The end."
+    assert [(text[s:e], m) for s, e, m, *_ in licenses.scan_text(text)] == [("Copyright 2019, 2021 Foo and Bar, Inc. All rights reserved.", "Proprietary")]
+    changed = licenses.TEMPLATES["ISC"][0].replace("any purpose", "each and any purpose").replace("granted", "given").replace(" ", "\n * ", 3)
+    assert [m[2] for m in licenses.scan_text(f"x y\n{changed}\nz")] == ["ISC"]
+    assert licenses.scan_text("Copyright 2019 some law.\n\nOther text. All rights reserved.") == []
+    assert licenses.scan_text("license the software under the license " * 20_000) == []
+
+
 # ---- 6 token shards
 
 
