@@ -6,7 +6,9 @@ to numbers, dates, versions and keys that are no personal data. It labels charac
 each window is decoded on its own (Viterbi, with the probabilities of forward-backward), and the spans of all windows
 of a document are reconciled globally: the set of disjoint spans of largest total confidence that keeps clear of the
 patterns' spans. A span must hold a digit, "@" or a spelled-out "at", as every kind here does; a window without any of
-these can give no span and is not decoded, which changes no result (see tests).
+these can give no span and is not decoded, which changes no result (see tests). A span that a window's edge cuts is
+joined with its pieces in the windows beside and decoded again in a window that holds all of it with STEP characters on
+either side, and wider ones as long as it is cut.
 """
 
 from __future__ import annotations
@@ -34,6 +36,10 @@ _card = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _digit = re.compile("[0-9]")
 _local = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+#: Characters of the longest address, spelled out: a local part of 64, and 253 of a host with at most 126 times " [dot] "; digits of other kinds.
+LONGEST, MOST_DIGITS = 64 + 6 + 253 + 6 * 126, 32
+#: What a part of an added span of each kind can be.
+_part = [re.compile(p) for p in (r"[A-Za-z0-9._%+@\[\]() -]+", "[0-9A-Fa-f:]+", "[0-9 ./-]+", "[0-9 ().+-]+")]
 #: What a span must hold one of.
 _sign = re.compile(r"[0-9@]|[\[(]at[\])]| at ")
 _needs = re.compile(r"[0-9@]|[\[(]at[\])]| at (?=[A-Za-z0-9-]+ dot )")
@@ -253,9 +259,10 @@ def _draw(rng: np.random.Generator, passages: list[str]) -> tuple[str, list[Span
             continue
         kind = int(rng.integers(0, 8))
         if kind == 0:
-            user, host = word() + pick("", "." + word(), digits(2), "_" + digits(1)), f"{word()}{pick('', digits(1), '-' + word())}"
-            top = pick("com", "org", "net", "example.com", "de", "fr", "es")
-            new = pick(f"{user}@{host}.{top}", f"{user}@{host}.{top}", f"{user} [at] {host} [dot] {top}", f"{user}[at]{host}.{top}", f"{user} (at) {host} (dot) {top}", f"{user} at {host} dot {top}", f"{user} @ {host}.{top}")
+            user = word() + pick("", "." + word(), digits(2), "_" + digits(1))
+            host = [word() + pick("", digits(1), "-" + word()) for _ in range(pick(1, 1, 1, 2, 2, 3))] + [pick("com", "org", "net", "example.com", "de", "fr", "es", "edu")]
+            dots = lambda spelled: host[0] + "".join(pick(spelled, spelled, spelled, ".") + h for h in host[1:-1]) + spelled + host[-1]
+            new = pick(f"{user}@{dots('.')}", f"{user}@{dots('.')}", f"{user} [at] {dots(' [dot] ')}", f"{user}[at]{dots('.')}", f"{user} (at) {dots(' (dot) ')}", f"{user} at {dots(' dot ')}", f"{user} @ {dots('.')}")
         elif kind == 1:
             hexes = [f"{int(v):x}" for v in rng.integers(0, 65536, 8)]
             new = pick(".".join(str(v) for v in rng.integers(0, 256, 4)), ".".join(str(v) for v in rng.integers(0, 256, 4)), ":".join(hexes), "2001:db8::" + ":".join(hexes[:2]))
@@ -363,41 +370,79 @@ def _disjoint(spans: dict[Span, float]) -> list[Span]:
     return out[::-1]
 
 
+def _pieces(tagger: Tagger, texts: list[str], jobs: list[tuple[int, int]], width: int) -> Iterator[tuple[int, int, Span, float, bool]]:
+    """What is labelled in windows of so many characters: text, window, span, confidence, and whether a window's edge cuts it."""
+    size = max(1, 512 * WINDOW // width)
+    for begin in range(0, len(jobs), size):
+        part = jobs[begin : begin + size]
+        x = np.full((width, len(part)), 30, np.int64)
+        for k, (i, at) in enumerate(part):
+            s = symbols(texts[i][at : at + width])
+            x[: len(s), k] = s
+        e = tagger.emissions(x)
+        path = tagger.viterbi(e)
+        hit = np.flatnonzero(path.any(0))
+        if not len(hit):
+            continue
+        prob, _, _ = tagger.marginals(e[:, hit])
+        for j, k in enumerate(hit.tolist()):
+            i, at = part[k]
+            y, t = path[:, k], 0
+            while t < width:
+                if y[t] % 2 == 1:
+                    end = t + 1
+                    while end < width and y[end] == y[t] + 1:
+                        end += 1
+                    sure = float(prob[np.arange(t, end), j, y[t:end]].min())
+                    whole = (t > 0 or at == 0) and (end < width or at + width >= len(texts[i]))
+                    yield i, at, (at + t, min(at + end, len(texts[i])), (int(y[t]) - 1) // 2), sure, not whole
+                    t = end
+                else:
+                    t += 1
+
+
+def _wider(texts: list[str], cut: list[tuple[int, Span]], base: list[list[Span]], found: list[dict[Span, float]]) -> dict[int, list[tuple[int, int]]]:
+    """Windows about spans that were cut, by their width: pieces of a kind that meet are one, those that can be no span are left."""
+    joined: list[tuple[int, int, int, int]] = []  # text, kind, start, end
+    for i, k, start, end in sorted({(i, s[2], s[0], s[1]) for i, s in cut}):
+        if joined and joined[-1][:2] == (i, k) and start <= joined[-1][3]:
+            joined[-1] = (i, k, joined[-1][2], max(end, joined[-1][3]))
+        else:
+            joined.append((i, k, start, end))
+    out: dict[int, set[tuple[int, int]]] = {}
+    for i, k, start, end in joined:
+        inside = texts[i][start:end]
+        if end - start > LONGEST or not _part[k].fullmatch(inside) or k and sum(c.isdigit() for c in inside) > MOST_DIGITS:
+            continue
+        if any(s[0] < end and start < s[1] for s in base[i]) or any(s[0] <= start and end <= s[1] for s in found[i]):
+            continue
+        width = 2 * WINDOW
+        while width < end - start + 2 * STEP:
+            width *= 2
+        out.setdefault(width, set()).add((i, max(0, min((start + end - width) // 2, len(texts[i]) - width))))
+    return {w: sorted(jobs) for w, jobs in out.items()}
+
+
 def find(tagger: Tagger | None, texts: list[str], every: bool = False) -> list[tuple[list[Span], list[Span]]]:
     """For each text the patterns' spans, and the spans that the tagger adds."""
     base = [patterns(t) for t in texts]
     found: list[dict[Span, float]] = [{} for _ in texts]
     if tagger:
-        jobs = [(i, at) for i, t in enumerate(texts) for at in _windows(t, every)]
-        for begin in range(0, len(jobs), 512):
-            part = jobs[begin : begin + 512]
-            x = np.full((WINDOW, len(part)), 30, np.int64)
-            for k, (i, at) in enumerate(part):
-                s = symbols(texts[i][at : at + WINDOW])
-                x[: len(s), k] = s
-            e = tagger.emissions(x)
-            path = tagger.viterbi(e)
-            hit = np.flatnonzero(path.any(0))
-            if not len(hit):
-                continue
-            prob, _, _ = tagger.marginals(e[:, hit])
-            for j, k in enumerate(hit.tolist()):
-                i, at = part[k]
-                y, t = path[:, k], 0
-                while t < WINDOW:
-                    if y[t] % 2 == 1:
-                        end = t + 1
-                        while end < WINDOW and y[end] == y[t] + 1:
-                            end += 1
-                        sure = float(prob[np.arange(t, end), j, y[t:end]].min())
-                        whole = (t > 0 or at == 0) and (end < WINDOW or at + WINDOW >= len(texts[i]))
-                        span = (at + t, min(at + end, len(texts[i])), (int(y[t]) - 1) // 2)
-                        inside = texts[i][span[0] : span[1]]
-                        if whole and sure >= SURE and _sign.search(inside) and _sound(inside, span[2]):
-                            found[i][span] = max(sure, found[i].get(span, 0.0))
-                        t = end
-                    else:
-                        t += 1
+        jobs = {WINDOW: [(i, at) for i, t in enumerate(texts) for at in _windows(t, every)]}
+        signed = {(i, at) for i, t in enumerate(texts) for at in _windows(t, False)} if every else set(jobs[WINDOW])
+        done: set[tuple[int, int, int]] = set()
+        while jobs:
+            cut = []
+            for width, part in jobs.items():
+                done.update((width, *job) for job in part)
+                for i, at, span, sure, edge in _pieces(tagger, texts, part, width):
+                    inside = texts[i][span[0] : span[1]]
+                    if edge:
+                        if width > WINDOW or (i, at) in signed:  # another window can lack what makes it a span
+                            cut.append((i, span))
+                    elif sure >= SURE and _sign.search(inside) and _sound(inside, span[2]):
+                        found[i][span] = max(sure, found[i].get(span, 0.0))
+            jobs = {w: new for w, part in _wider(texts, cut, base, found).items() if (new := [job for job in part if (w, *job) not in done])}
     out = []
     for spans, mine in zip(base, found, strict=True):
         free = {s: c for s, c in mine.items() if all(s[1] <= b[0] or b[1] <= s[0] for b in spans)}

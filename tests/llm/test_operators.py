@@ -82,6 +82,39 @@ def test_windows_without_signs_change_nothing(tagger, spark, sf):
     assert pii.find(tagger, texts) == pii.find(tagger, texts, every=True)
 
 
+class Marks(pii.Tagger):
+    """Labels as an address whatever is between exclamation marks; certain, so that tests see the windows alone."""
+
+    def emissions(self, x, keep=None):
+        e = np.zeros((*x.shape, pii.LABELS), np.float32)
+        inside = x != int(pii.symbols("!")[0])
+        first = inside & ~np.vstack([np.zeros_like(inside[:1]), inside[:-1]])
+        e[..., 0], e[..., 1], e[..., 2] = 20 * ~inside, 20 * first, 20 * (inside & ~first)
+        return e
+
+
+def marks():
+    return Marks({"moves": np.zeros((pii.LABELS, pii.LABELS), np.float32)})
+
+
+LONG = ["firstname.lastname [at] dept.university-name [dot] example [dot] edu", "maria.gonzales-fernandez (at) research-institute (dot) example (dot) org", "a" * 64 + " [at] " + " [dot] ".join(["host-name"] * 25)]
+
+
+@pytest.mark.parametrize("span", [*LONG, "x at h" + " dot y" * 5])
+def test_long_spans_are_found_at_every_place(span):
+    for at in range(pii.STEP):
+        text = "!" * (200 + at) + span + "!" * 300
+        assert pii.find(marks(), [text]) == [([], [(200 + at, 200 + at + len(span), 0)])], at
+
+
+def test_tagger_finds_a_long_address_at_every_place(tagger):
+    words = "the weather was fine and people went to the market for bread and milk "
+    for at in range(pii.STEP):
+        before = "b " * at + words * 2
+        found = pii.find(tagger, [f"{before}{LONG[1]} and then home, {words * 2}"])
+        assert (len(before), len(before) + len(LONG[1]), 0) in found[0][1], at
+
+
 def test_spans_are_reconciled_globally():
     spans = {(0, 10, 0): 0.9, (5, 20, 1): 0.95, (12, 20, 2): 0.9, (30, 35, 3): 0.5}
     assert pii._disjoint(spans) == [(0, 10, 0), (12, 20, 2), (30, 35, 3)]
