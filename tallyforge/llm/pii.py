@@ -5,8 +5,8 @@ corpus, and spans of other notations (spelled-out addresses, grouped numbers, IP
 to numbers, dates, versions and keys that are no personal data. It labels characters in windows that overlap by half;
 each window is decoded on its own (Viterbi, with the probabilities of forward-backward), and the spans of all windows
 of a document are reconciled globally: the set of disjoint spans of largest total confidence that keeps clear of the
-patterns' spans. A span must hold a digit, "@" or a spelled-out "at", as every kind here does; a window without any of
-these can give no span and is not decoded, which changes no result (see tests). A span that a window's edge cuts is
+patterns' spans. A span must hold a digit, "@" or an "at" spelled out (before a host with a dot, spelled out or not,
+unless in brackets), as every kind here does; a window without any of these can give no span and is not decoded, which changes no result (see tests). A span that a window's edge cuts is
 joined with its pieces in the windows beside and decoded again in a window that holds all of it with STEP characters on
 either side, and wider ones as long as it is cut.
 """
@@ -42,7 +42,7 @@ LONGEST, MOST_DIGITS = 64 + 6 + 253 + 6 * 126, 32
 _part = [re.compile(p) for p in (r"[A-Za-z0-9._%+@\[\]() -]+", "[0-9A-Fa-f:]+", "[0-9 ./-]+", "[0-9 ().+-]+")]
 #: What a span must hold one of.
 _sign = re.compile(r"[0-9@]|[\[(]at[\])]| at ")
-_needs = re.compile(r"[0-9@]|[\[(]at[\])]| at (?=[A-Za-z0-9-]+ dot )")
+_needs = re.compile(r"[0-9@]|[\[(]at[\])]| at (?=[A-Za-z0-9-]+ ?(?:\.|[\[(]dot[\])]|dot) ?[A-Za-z0-9-])")
 
 Span = tuple[int, int, int]  # start, end, kind
 
@@ -262,7 +262,7 @@ def _draw(rng: np.random.Generator, passages: list[str]) -> tuple[str, list[Span
             user = word() + pick("", "." + word(), digits(2), "_" + digits(1))
             host = [word() + pick("", digits(1), "-" + word()) for _ in range(pick(1, 1, 1, 2, 2, 3))] + [pick("com", "org", "net", "example.com", "de", "fr", "es", "edu")]
             dots = lambda spelled: host[0] + "".join(pick(spelled, spelled, spelled, ".") + h for h in host[1:-1]) + spelled + host[-1]
-            new = pick(f"{user}@{dots('.')}", f"{user}@{dots('.')}", f"{user} [at] {dots(' [dot] ')}", f"{user}[at]{dots('.')}", f"{user} (at) {dots(' (dot) ')}", f"{user} at {dots(' dot ')}", f"{user} @ {dots('.')}")
+            new = pick(f"{user}@{dots('.')}", f"{user}@{dots('.')}", f"{user} [at] {dots(' [dot] ')}", f"{user}[at]{dots('.')}", f"{user} (at) {dots(' (dot) ')}", f"{user} at {dots(' dot ')}", f"{user} at {dots(pick('.', ' [dot] ', ' (dot) '))}", f"{user} @ {dots('.')}")
         elif kind == 1:
             hexes = [f"{int(v):x}" for v in rng.integers(0, 65536, 8)]
             new = pick(".".join(str(v) for v in rng.integers(0, 256, 4)), ".".join(str(v) for v in rng.integers(0, 256, 4)), ":".join(hexes), "2001:db8::" + ":".join(hexes[:2]))

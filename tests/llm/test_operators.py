@@ -115,6 +115,20 @@ def test_tagger_finds_a_long_address_at_every_place(tagger):
         assert (len(before), len(before) + len(LONG[1]), 0) in found[0][1], at
 
 
+AT = [f"john.doe{at}mail{dot}example{dot}com" for at in ("@", " @ ", "[at]", " (at) ", " at ") for dot in (".", " .", ". ", " . ", "[dot]", " [dot] ", "(dot)", " (dot) ", "dot", " dot ")]
+
+
+def test_windows_hold_every_form_of_an_address(tagger):
+    texts = ["!" * 150 + s + "!" * 150 for s in AT]
+    for s, t, (base, added) in zip(AT, texts, pii.find(marks(), texts), strict=True):
+        assert pii._sound(s, 0) and pii._sign.search(s) and (base or added == [(150, 150 + len(s), 0)]), s
+    assert pii.find(marks(), texts) == pii.find(marks(), texts, every=True)
+    words = "the weather was fine and people went to the market for bread and milk "
+    texts = [f"{words * 2}then {s} and home, {words * 2}" for s in AT]
+    assert pii.find(tagger, texts) == pii.find(tagger, texts, every=True)
+    assert all((k := t.index(s), k + len(s), 0) in pii.find(tagger, [t])[0][1] for s, t in zip(AT, texts, strict=True) if s.split("mail")[0] == "john.doe at " and "mail." in s and " " not in s.split("mail")[1])
+
+
 def test_spans_are_reconciled_globally():
     spans = {(0, 10, 0): 0.9, (5, 20, 1): 0.95, (12, 20, 2): 0.9, (30, 35, 3): 0.5}
     assert pii._disjoint(spans) == [(0, 10, 0), (12, 20, 2), (30, 35, 3)]
