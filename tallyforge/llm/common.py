@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 from pyspark.sql.window import Window
 
 #: A word, for every operator here that counts or splits words.
@@ -35,11 +38,36 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def with_fields(fields: list[StructField], added: str) -> StructType:
+    """A schema of existing fields, whatever their names, and added ones in DDL."""
+    return StructType([StructField(f.name, f.dataType) for f in fields] + StructType.fromDDL(added).fields)
+
+
+def map_arrow(df: DataFrame, run: Callable, schema: StructType | str) -> DataFrame:
+    """mapInArrow for columns of any names: run gets them by their places."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(run, schema)
+
+
+def free_name(wanted: str, taken: list[str]) -> str:
+    """The wanted column name, with as many underscores as keep it apart from the taken ones."""
+    lower = {t.lower() for t in taken}
+    while wanted.lower() in lower:
+        wanted += "_"
+    return wanted
+
+
+def plain_columns(df: DataFrame) -> list[str]:
+    """Columns that have a hash (maps and variants have none)."""
+    return [f.name for f in df.schema.fields if not re.search("map<|variant", f.dataType.simpleString())]
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a local one only where none is set, as in tests."""
+    """The folder that the driver and all executors share. Where none is set, a local one if driver and executors are one process, as in tests; else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     if not _local_dir:
         _local_dir.append(tempfile.mkdtemp(prefix="tallyforge-"))
         import shutil
@@ -75,17 +103,27 @@ def if_small(df: DataFrame, most_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
+#: Multiplier and modulus that spread() mixes with.
+SPREAD = (1103515245, 2147483647)
+
+
+def spread(number: Column, parts: int) -> Column:
+    """A part for each number; numbers of a regular pattern (all divisible by parts, say) fall evenly on the parts too."""
+    by, modulus = map(F.lit, SPREAD)
+    return F.pmod(F.pmod(F.pmod(number, modulus) * by, modulus), F.lit(parts))
+
+
 def ranked(df: DataFrame, keys: list[str], within: str, order: list[Column], n_rows: int, rank: str, beside: DataFrame | None = None) -> DataFrame:
-    """Add rank: 1, 2, ... among the rows with equal keys, ordered by (within mod parts, order).
+    """Add rank: 1, 2, ... among the rows with equal keys, ordered by (part of within, order).
 
     keys hold no nulls; within is a long column. No task gets all rows of a key: the rows of a key are dealt into
-    parts by within, parts grow with n_rows, the sizes of parts are summed up in a table of (keys, part), and only
+    parts by within (see spread), parts grow with n_rows, the sizes of parts are summed up in a table of (keys, part), and only
     a part's rows meet in a window. beside: a table by keys to be joined on; it joins the table of parts, so that the
     rows are shuffled once.
     """
     parts = max(8, -(-n_rows // 1_000_000))
     part = f"{rank}_part"
-    dealt = df.withColumn(part, F.pmod(F.coalesce(F.col(within), F.lit(0)), F.lit(parts)))
+    dealt = df.withColumn(part, spread(F.coalesce(F.col(within), F.lit(0)), parts))
     before = (
         dealt.groupBy(*keys, part)
         .agg(F.count("*").alias(f"{rank}_n"))

@@ -8,26 +8,23 @@ share of the sum crosses.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import col, if_small, n_words, ranked, written
+from .common import SPREAD, col, if_small, n_words, plain_columns, ranked, written
 
 #: Columns that mix() adds.
 ADDED = ("size", "source_size", "target", "copies", "taken")
 
 
-def _offset(key: Column) -> Column:
-    """A source's random offset: k / 256, fixed by its name, so that reruns agree and sums of halves stay exact."""
-    digest, digits = F.md5(key), F.lit("0123456789abcdef")
-    return ((F.instr(digits, F.substring(digest, 1, 1)) - 1) * 16 + F.instr(digits, F.substring(digest, 2, 1)) - 1) / F.lit(256.0)
+def _offset(key: Column, seed: int) -> Column:
+    """A source's random offset in [0, 1): 48 bits of a digest of seed and name, so that reruns agree."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key)), 1, 12), 16, 10).cast("long") / F.lit(float(1 << 48))
 
 
-def source_targets(sizes: DataFrame, weights: tuple[int, ...], ceiling: int) -> DataFrame:
-    """sizes: key, src, source_size, docs for each source. Adds target and offset.
+def source_targets(sizes: DataFrame, weights: tuple[int, ...], ceiling: int, seed: int) -> DataFrame:
+    """sizes: key, src, source_size, docs for each source, a table as small as the number of sources. Adds target and offset.
 
     A source at its ceiling keeps it, and what it leaves is shared by weight among the others until none is above:
     with the sources in order of ceiling / weight, those at their ceilings come first, and the share of one unit of
@@ -45,7 +42,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], ceiling: int) ->
     best = F.max_by(F.struct("words_left", "weight_left"), F.struct(F.col("words_left") / F.col("weight_left"), F.col("weight_left"))).over(every)
     share = F.col("best.words_left").cast("double") * F.col("weight") / F.col("best.weight_left")
     return shared.withColumn("best", best).select(
-        "key", "source_size", "docs", F.least(share, (ceiling * F.col("source_size")).cast("double")).alias("target"), _offset(F.col("key")).alias("offset")
+        "key", "source_size", "docs", F.least(share, (ceiling * F.col("source_size")).cast("double")).alias("target"), _offset(F.col("key"), seed).alias("offset")
     )
 
 
@@ -57,27 +54,30 @@ def mix(
     source: str = "source",
     weights: tuple[int, ...] = (5, 2, 1),
     ceiling: int = 3,
+    seed: int = 3,
     keep: list[str] | None = None,
 ) -> DataFrame:
     """How often the mix takes each document: its kept columns, size, source_size, target, copies and taken.
 
     Sources in code point order, the null source last, weigh weights, repeated; their targets share 100 % of all
-    words, and none exceeds ceiling times its source. Defined results: a null or empty text has size 0 and takes no
+    words, and none exceeds ceiling times its source. Words are counted once: the rows are written with their sizes, and
+    everything after that reads numbers. seed moves the random offsets. Defined results: a null or empty text has size 0 and takes no
     words; a null doc_id counts as 0 in the order; repeated rows are documents of their own; an empty table gives an
     empty result; a kept column with the name of an added one is replaced; a source of no words has target 0.
     """
     kept = [c for c in (docs.columns if keep is None else keep) if c not in ADDED]
-    plain = [c for c in kept if not re.search("map<|variant", docs.schema[c].dataType.simpleString())]  # others have no hash
+    plain = [c for c in plain_columns(docs) if c in kept]
     rows = docs.select(
-        F.struct(*[col(c).alias(c) for c in kept]).alias("row"),
+        F.struct(*[col(c).alias(c) for c in kept] or [F.lit(0)]).alias("row"),
         F.coalesce(col(doc_id).cast("long"), F.lit(0)).alias("id"),
         F.xxhash64(F.lit(0), *[col(c) for c in plain]).alias("tie"),
         F.when(col(source).isNull(), "").otherwise(F.concat(F.lit("="), col(source).cast("string"))).alias("key"),
         n_words(col(text)).alias("size"),
     )
+    rows = written(rows, "mix-rows")
     sizes = rows.groupBy("key").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     sizes = sizes.withColumn("src", F.when(F.col("key") != "", F.expr("substring(key, 2)")))
-    targets = written(source_targets(sizes, weights, ceiling), "mix-targets")
+    targets = written(source_targets(sizes, weights, ceiling, seed), "mix-targets")
     n_rows = targets.agg(F.coalesce(F.sum("docs"), F.lit(0))).first()[0]
     # the place of a document within its source: sizes first, then its place among the documents of its size
     sized = rows.groupBy("key", "size").agg(F.count("*").alias("n")).withColumn(
@@ -93,7 +93,7 @@ def mix(
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every document as often as mix() takes it, with the columns of docs."""
+    """The mix itself: every document as often as mix() takes it, with the columns of docs; odd input as mix() defines it."""
     names = docs.columns
     packed = docs.select(F.struct(*[col(c).alias(c) for c in names]).alias("row"), *[col(c).alias(k) for k, c in (("doc_id", "doc_id"), ("text", "text"), ("source", "source"))])
     taken = mix(packed, keep=["row"], **options)
@@ -116,13 +116,13 @@ l AS (
 b AS (SELECT words_left, weight_left FROM l ORDER BY words_left::DOUBLE / weight_left DESC, weight_left DESC LIMIT 1),
 t AS (
   SELECT key, source_size, docs, least(b.words_left::DOUBLE * weight / b.weight_left, 3.0 * source_size)::DOUBLE AS target,
-         ((instr('0123456789abcdef', substr(md5(key), 1, 1)) - 1) * 16 + instr('0123456789abcdef', substr(md5(key), 2, 1)) - 1) / 256.0::DOUBLE AS u
+         CAST('0x' || substr(md5('3:' || key), 1, 12) AS BIGINT) / 281474976710656.0::DOUBLE AS u
   FROM l, b),
 n AS (SELECT greatest(8, CAST(ceil(count(*) / 1000000.0) AS BIGINT)) AS parts FROM d),
 p AS (
   SELECT d.doc_id, d.size, t.source_size, t.target, t.u, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
-         row_number() OVER (PARTITION BY d.key ORDER BY d.size, ((coalesce(d.doc_id, 0) % n.parts) + n.parts) % n.parts, coalesce(d.doc_id, 0)) AS place
+         row_number() OVER (PARTITION BY d.key ORDER BY d.size, ((coalesce(d.doc_id, 0) % {modulus} + {modulus}) % {modulus} * {by} % {modulus}) % n.parts, coalesce(d.doc_id, 0)) AS place
   FROM d JOIN t USING (key), n)
 SELECT doc_id, size, source_size, target,
        CAST(least(floor(rate * place + u) - floor(rate * (place - 1) + u), 3) AS BIGINT) * size AS taken FROM p
-"""
+""".replace("{by}", str(SPREAD[0])).replace("{modulus}", str(SPREAD[1]))

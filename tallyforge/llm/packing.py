@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, col, ranked, small_batches, written
+from .common import WORD, col, map_arrow, plain_columns, ranked, small_batches, with_fields, written
 
 #: Permitted sequence lengths, in words and end marks.
 SIZES = (256, 512, 1024, 2048, 4096)
@@ -99,8 +99,8 @@ def pieces(docs: DataFrame, *, largest: int, doc_id: str = "doc_id", text: str =
     small_batches(docs.sparkSession)
     extra = [c for c in extra or [] if c not in ("doc_id", "piece", "start", "length", "text", doc_id, text)]
     rows = docs.select(col(doc_id).cast("long").alias("doc_id"), col(text).alias("text"), *map(col, extra))
-    kinds = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in extra)
-    schema = f"doc_id long{kinds}, piece int, start long, length int" + ", text string" * with_text
+    fields = rows.schema.fields
+    schema = with_fields([fields[0], *fields[2:]], "piece int, start long, length int" + ", text string" * with_text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,17 +117,17 @@ def pieces(docs: DataFrame, *, largest: int, doc_id: str = "doc_id", text: str =
                 columns.append(pa.array(new[3], pa.string()))
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", *extra, "piece", "start", "length"] + ["text"] * with_text)
 
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)
 
 
-def pack(docs: DataFrame, *, sizes: tuple[int, ...] = SIZES, cost: Callable[[int], float] = float, with_text: bool = False, **names) -> DataFrame:
+def pack(docs: DataFrame, *, sizes: tuple[int, ...] = SIZES, cost: Callable[[int], float] = float, with_text: bool = False, **columns) -> DataFrame:
     """Every piece of every document with its bin: bin_id, bin_size, bin_start (its place in the bin), besides pieces().
 
     Defined results: a null or empty text is a piece of its end mark alone; a text of more words than the largest size
-    is cut there, and its pieces cover it; ties are broken by doc_id, then piece; repeated rows are pieces of their
-    own; no rows, no bins.
+    is cut there, and its pieces cover it; ties are broken by doc_id, then piece, then a hash of the row; repeated rows
+    are pieces of their own; no rows, no bins.
     """
-    cut = pieces(docs, largest=max(sizes), with_text=with_text, **names)
+    cut = pieces(docs, largest=max(sizes), with_text=with_text, **columns)
     plain = written(cut, "pieces")
     histogram = {r["length"]: r["n"] for r in plain.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most max(sizes) rows
     patterns = plan(histogram, sizes, cost)
@@ -145,7 +145,8 @@ def pack(docs: DataFrame, *, sizes: tuple[int, ...] = SIZES, cost: Callable[[int
             at += slots * n
         first_bin += p.bins
     arrays = {n: tuple(np.array(c, np.int64) for c in zip(*rows, strict=True)) for n, rows in tables.items()}
-    place = plain.columns.index("length")
+    names = plain.columns
+    place = names.index("length")
     total = sum(histogram.values())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,9 +161,8 @@ def pack(docs: DataFrame, *, sizes: tuple[int, ...] = SIZES, cost: Callable[[int
                 nth, slot = np.divmod(rank[mine] - begin[k], slots[k])
                 out[:, mine] = base[k] + nth, size[k], at[k] + slot * width[k]
             added = [pa.array(out[0]), pa.array(out[1].astype(np.int32)), pa.array(out[2].astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(batch.columns[:-1] + added, batch.schema.names[:-1] + ["bin_id", "bin_size", "bin_start"])
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1] + added, [*names, "bin_id", "bin_size", "bin_start"])
 
-    order = [F.col("doc_id"), F.col("piece"), F.col("start")]
+    order = [F.col("doc_id"), F.col("piece"), F.col("start"), F.xxhash64(*map(col, plain_columns(plain)))]
     numbered = ranked(plain, ["length"], "doc_id", order, total, "pack_rank").select(*map(col, plain.columns), F.col("pack_rank").cast("long"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema)
-    return numbered.mapInArrow(run, f"{kinds}, bin_id long, bin_size int, bin_start int")
+    return map_arrow(numbered, run, with_fields(plain.schema.fields, "bin_id long, bin_size int, bin_start int"))
