@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, small_batches
+from .common import col, map_arrow, small_batches, with_fields
 
 KINDS = ("email", "ip", "card", "phone")
 #: Window and its step; least probability of a label along an added span; documents and characters of the training sample.
@@ -72,7 +72,7 @@ def patterns(text: str) -> list[Span]:
     if _digit.search(text):
         if "." in text:
             for m in _ip.finditer(text):
-                if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+                if all(len(n := p.lstrip("0")) <= 3 and int(n or "0") <= 255 for p in m[0].split(".")):
                     out.append((m.start(), m.end(), 1))
         for m in _card.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
@@ -450,10 +450,21 @@ def find(tagger: Tagger | None, texts: list[str], every: bool = False) -> list[t
     return out
 
 
-def sample(docs: DataFrame, text: str = "text") -> list[str]:
-    """Passages of at most SAMPLE documents, by hash of their texts: a bound on what the tagger is fitted to."""
-    rows = docs.select(col(text).alias("text")).where(F.length("text") > 0).select(F.xxhash64("text").alias("h"), F.substring("text", 1, PASSAGE).alias("text"))
-    return [r["text"] for r in rows.orderBy("h", "text").limit(SAMPLE).collect()]
+def sample(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> list[str]:
+    """Passages of at most SAMPLE documents, by hash of id and text: a bound on what the tagger is fitted to.
+
+    Rows are drawn where they lie, by a threshold on the hash that follows from their number, so what reaches the driver
+    is a few times SAMPLE passages whatever the table's size is. Null, empty and blank texts are never drawn; no rows, no
+    passages; of rows that repeat more often than that, some.
+    """
+    n = docs.count()
+    share = min(1.0, 4 * SAMPLE / max(1, n))
+    keys = [col(c) for c in (doc_id, text) if c in docs.columns]
+    drawn = docs.select(col(text).alias("text"), F.xxhash64(*keys).alias("h"))
+    if share < 1:
+        drawn = drawn.where(F.pmod("h", F.lit(1 << 40)) < int(share * (1 << 40)))
+    rows = drawn.where(F.length(F.trim("text")) > 0).select("h", F.substring("text", 1, PASSAGE).alias("text")).limit(8 * SAMPLE).collect()
+    return [t for _, t in sorted((r["h"], r["text"]) for r in rows)[:SAMPLE]]
 
 
 def detect(docs: DataFrame, tagger: Tagger | None, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -465,7 +476,7 @@ def detect(docs: DataFrame, tagger: Tagger | None, *, text: str = "text", keep:
     small_batches(docs.sparkSession)
     kept = [c for c in (docs.columns if keep is None else keep) if c != "pii"]
     rows = docs.select(*map(col, kept), col(text).alias("__text"))
-    kinds = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in kept)
+    kinds = with_fields(rows.schema.fields[:-1], "pii array<struct<kind: string, start: int, end: int, added: boolean>>")
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("added", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -476,13 +487,18 @@ def detect(docs: DataFrame, tagger: Tagger | None, *, text: str = "text", keep:
                 out.append([{"kind": KINDS[k], "start": s, "end": e, "added": a} for s, k, e, a in spans])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, kind)], [*kept, "pii"])
 
-    return rows.mapInArrow(run, f"{kinds}pii array<struct<kind: string, start: int, end: int, added: boolean>>")
+    return map_arrow(rows, run, kinds)
 
 
 def redacted(docs: DataFrame, tagger: Tagger | None, *, text: str = "text", length: str = "n_chars") -> DataFrame:
-    """docs with each span of personal data replaced by its kind in angle brackets, and the length column brought up to date."""
+    """docs with each span of personal data replaced by its kind in angle brackets, and the length column brought up to date.
+
+    Defined results: null, empty and blank texts stay as they are; without a tagger only the patterns' spans go; repeated
+    rows stay repeated; all other columns, whatever their names, pass through; without a length column none is made; an
+    empty table gives an empty result.
+    """
     small_batches(docs.sparkSession)
-    names, kinds = docs.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    names, kinds = docs.columns, docs.schema
     at = names.index(text)
 
     def clean(t: str, spans: list[Span]) -> str:
@@ -504,11 +520,11 @@ def redacted(docs: DataFrame, tagger: Tagger | None, *, text: str = "text", leng
                 columns[k] = pa.array([None if t is None else len(t) for t in texts]).cast(columns[k].type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.mapInArrow(run, kinds)
+    return map_arrow(docs, run, kinds)
 
 
 def digests(found: DataFrame) -> DataFrame:
-    """doc_id, counts and digest of the patterns' spans, and all spans as text, from detect()."""
+    """doc_id, counts and digest of the patterns' spans, and all spans as text, from detect(); a row for each of its rows, no spans give empty texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
