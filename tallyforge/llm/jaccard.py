@@ -13,13 +13,17 @@ partner's size can lie in), so that a prefix has a number of combinations in pro
 
 Entries of light tokens are short lists, whose pairs are held against a bound from 512 parity bits of each set (bits
 that differ count tokens that differ); an entry of heavy tokens joins its sets to one of them. Candidates that this
-connects form families. A family's whole sets are dealt into blocks, each two blocks are compared at once, and a
-spanning forest of the links found is kept, so that neither an entry's sets nor the links of a large group of near
-copies ever meet in one task. Texts with equal sets count as one from the beginning.
+connects form families. A family's whole sets are dealt into bands of sizes that can link with the same or the next
+band alone, and into blocks; a spanning forest of the links within each block is kept. Between blocks at first one set
+stands for each class that has grown within a block, so that a large group of near copies becomes one class at a cost
+in proportion to it; then only the sets outside a family's largest class are held against the blocks that they may link
+with. So neither an entry's sets nor the links of a large group ever meet in one task. Texts with equal sets count as
+one from the beginning.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,13 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, if_small, small_batches, written
+from .common import col, free_name, if_small, plain_columns, small_batches, written
 from .graph import components
 
 #: A token of more documents is heavy; most heavy tokens (the most frequent, sent to all executors); sets that a list of pairs may have.
 LIGHT, HEAVY, LIST = 16, 1 << 20, 64
-#: Sets and tokens of a block.
-BLOCK_SETS, BLOCK_TOKENS = 1024, 2_000_000
+#: Sets and tokens of a block; sets of a class within a block from which on one stands for it.
+BLOCK_SETS, BLOCK_TOKENS, CLASS = 1024, 2_000_000, 8
 #: Sizes from which on heavy tokens are combined; below, every token is indexed by itself.
 COMBINED = 5
 #: Tokens that a task counts at once; bytes of text that are hashed at once.
@@ -330,8 +334,8 @@ def _index(words: int, percent: int, heavy: Heavy):
                     many.append(None)
             bits = np.frombuffer(b"".join(odd), np.int64).reshape(-1, len(BITS))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(node, pa.int64()), pa.array(twin, pa.int64()), pa.array(light, long_list), pa.array(many, long_list), *(pa.array(np.ascontiguousarray(b)) for b in bits.T), pa.array(wide, pa.binary())],
-                ["doc_id", "n", "node", "twin", "light", "heavy", *BITS, "wide"],
+                [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(node, pa.int64()), pa.array(twin, pa.int64()), pa.array(light, long_list), pa.array(many, long_list), *(pa.array(np.ascontiguousarray(b)) for b in bits.T), pa.array(wide, pa.binary())],
+                ["doc_id", "tie", "n", "node", "twin", "light", "heavy", *BITS, "wide"],
             )
 
     return run
@@ -390,8 +394,8 @@ def linked(common: int | np.ndarray, m: int | np.ndarray, n: int | np.ndarray, p
     return 100 * common >= percent * (m + n - common)
 
 
-def block_links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between sets of one block, or of two (side 0 and 1)."""
+def block_links(sets: list[np.ndarray], side: np.ndarray, percent: int, label: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links between sets of one block, or from side 0 to side 1. label: classes that are known already."""
     sizes = np.array([len(s) for s in sets])
     tokens, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
     order = np.argsort(tokens, kind="stable")
@@ -405,7 +409,7 @@ def block_links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[
     mine = np.argsort(of[shared], kind="stable")
     runs = run[shared][mine]
     cuts = np.searchsorted(of[shared][mine], np.arange(len(sets) + 1))
-    label, links = np.arange(len(sets)), []
+    label, links = np.arange(len(sets)) if label is None else label.copy(), []
     two = side.any() and not side.all()
     for i in range(len(sets)):
         if two and side[i]:
@@ -426,19 +430,92 @@ def block_links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[
     return links
 
 
-def _families(percent: int):
+def _inside(percent: int):
+    """Links within a block."""
+
     def run(key: tuple, group: pa.Table) -> pa.Table:
-        group = group.take(np.unique(group.column("node").to_numpy(), return_index=True)[1])  # rows that share an id may hold a set twice
-        nodes = group.column("node").to_numpy()
-        sets = [np.frombuffer(x, np.uint64) for x in group.column("tokens").to_pylist()]
-        low, high = key[1].as_py(), key[2].as_py()
-        side = np.zeros(len(sets), np.int64) if low == high else (group.column("block").to_numpy() == high).astype(np.int64)
-        links = block_links(sets, side, percent) if low == high or 0 < side.sum() < len(side) else []
-        return pa.table([pa.array([nodes[i] for i, _ in links], pa.int64()), pa.array([nodes[j] for _, j in links], pa.int64())], ["a", "b"])
+        nodes, sets, _ = _block(group)
+        return _pairs(nodes, block_links(sets, np.zeros(len(sets), np.int64), percent))
 
     return run
 
 
+def _across(percent: int):
+    """Links between a block (side 1) and sets of other blocks (side 0), as far as they join classes."""
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        at_home = group.column("side").to_numpy() == 1
+        parts = [_block(group.filter(pa.array(side))) for side in (~at_home, at_home)]
+        classes = np.unique(np.concatenate([c for _, _, c in parts]), return_inverse=True)[1]
+        side = np.repeat([0, 1], [len(n) for n, _, _ in parts])
+        links = block_links(parts[0][1] + parts[1][1], side, percent, classes) if 0 < side.sum() < len(side) and classes.any() else []
+        return _pairs(np.concatenate([n for n, _, _ in parts]), links)
+
+    return run
+
+
+def _block(group: pa.Table) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Nodes, sets and classes; rows that share an id may hold a set twice."""
+    group = group.take(np.unique(group.column("node").to_numpy(), return_index=True)[1])
+    nodes = group.column("node").to_numpy()
+    return nodes, [np.frombuffer(x, np.uint64) for x in group.column("tokens").to_pylist()], group.column("class").to_numpy() if "class" in group.column_names else nodes
+
+
+def _pairs(nodes: np.ndarray, links: list[tuple[int, int]]) -> pa.Table:
+    return pa.table([pa.array([nodes[i] for i, _ in links], pa.int64()), pa.array([nodes[j] for _, j in links], pa.int64())], ["a", "b"])
+
+
+def _dealt(sets: DataFrame, name: str) -> DataFrame:
+    """sets (label, band, node, n, ...) with a block of their band."""
+    held = sets.groupBy("label", "band").agg(F.count("*").alias("m"), F.sum("n").alias("held"))
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("held") / BLOCK_TOKENS)).cast("int")
+    return sets.join(held.select("label", "band", blocks.alias("blocks")), ["label", "band"]).withColumn(name, F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("blocks")
+
+
+def _between(home: DataFrame, visitors: DataFrame, tokens: DataFrame, percent: int, what: str) -> DataFrame:
+    """Links between sets at home in blocks (label, band, block, node, n, class) and visitors (label, band, node, n, class).
+
+    Visitors come in chunks of a block's size, each to the blocks of its own band and of the two beside it.
+    """
+    columns = ["label", "home", "block", "band", "chunk"]
+    visitors = written(_dealt(visitors, "chunk"), f"{what}-visitors")
+    chunks = visitors.select("label", "band", "chunk").distinct().withColumn("home", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    here = home.withColumnRenamed("band", "home")
+    meetings = written(chunks.join(here.select("label", "home", "block").distinct(), ["label", "home"]).select(*columns), f"{what}-meetings")
+    staying = here.join(meetings, ["label", "home", "block"]).select(*columns, "node", "class", F.lit(1).alias("side"))
+    coming = visitors.join(meetings, ["label", "band", "chunk"]).select(*columns, "node", "class", F.lit(0).alias("side"))
+    return written(staying.union(coming).join(tokens, "node").groupBy(*columns).applyInArrow(_across(percent), "a long, b long"), f"{what}-links")
+
+
+def _family_links(place: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """A spanning forest of each family's links. place: label, band, block, large, node, n; tokens: node, tokens."""
+    large = place.where("large")
+    any_large = large.limit(1).count() > 0
+    if any_large:
+        tokens = written(tokens, "jaccard-sets")
+    links = written(place.join(tokens, "node").groupBy("label", "band", "block").applyInArrow(_inside(percent), "a long, b long"), "jaccard-links")
+    if not any_large:
+        return links
+
+    def classed() -> DataFrame:
+        known = components(links).withColumnRenamed("label", "class")
+        return written(large.join(known, "node", "left").withColumn("class", F.coalesce("class", "node")), "jaccard-classed")
+
+    sets = classed()
+    grown = sets.groupBy("label", "band", "block", "class").agg(F.count("*").alias("m"), F.min(F.struct("node", "n")).alias("first")).where(F.col("m") >= CLASS)
+    standing = written(grown.select("label", "band", "class", "first.*"), "jaccard-standing")
+    links = links.union(_between(_dealt(standing, "block"), standing, tokens, percent, "jaccard-standing"))
+    sets = classed()
+    most = sets.groupBy("label", "class").agg(F.count("*").alias("m")).groupBy("label").agg(F.max_by("class", F.struct("m", "class")).alias("most"))
+    outside = sets.join(most, "label").where("class <> most").select("label", "band", "node", "n", "class")
+    return links.union(_between(sets, outside, tokens, percent, "jaccard-outside"))
+
+
+def _tie(docs: DataFrame):
+    """A hash of a whole row, which tells rows of one doc_id apart."""
+    return F.xxhash64(F.lit(0), *map(col, plain_columns(docs)))
+
+
 def classes(docs: DataFrame, *, words: int = 3, percent: int = 90, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links lead to) of every document.
 
@@ -447,12 +524,17 @@ def classes(docs: DataFrame, *, words: int = 3, percent: int = 90, doc_id: str =
     joins classes like any other and is nobody's component_id unless a class has no other; other columns are ignored;
     an empty table gives an empty result.
     """
+    return _classes(docs, words, percent, doc_id, text).select("doc_id", "n_shingles", "component_id")
+
+
+def _classes(docs: DataFrame, words: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """classes(), with each row's tie and whether it is the row of its class that comes first, by doc_id, nulls last, and tie."""
     spark = docs.sparkSession
     small_batches(spark)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.select(col(doc_id).cast("long").alias("doc_id"), col(text).alias("text"))
+    rows = docs.select(col(doc_id).cast("long").alias("doc_id"), col(text).alias("text"), _tie(docs).alias("tie"))
     heavy = heavy_tokens(rows, "text", words)
-    kinds = "doc_id long, n long, node long, twin long, light array<long>, heavy array<long>" + "".join(f", {b} long" for b in BITS) + ", wide binary"
+    kinds = "doc_id long, tie long, n long, node long, twin long, light array<long>, heavy array<long>" + "".join(f", {b} long" for b in BITS) + ", wide binary"
     index = written(rows.mapInArrow(_index(words, percent, heavy), kinds), "jaccard-index")
 
     listed = index.select(F.explode("light").alias("entry"), "node", "n").repartition(parts, "entry").mapInArrow(_lists(percent), "a long, b long, family boolean")
@@ -488,34 +570,53 @@ def classes(docs: DataFrame, *, words: int = 3, percent: int = 90, doc_id: str =
             yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s)[0] for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "tokens"])
 
     sizes = index.where("light IS NOT NULL").select("node", "n").distinct().join(members, "node")
-    spread = sizes.groupBy("label").agg(F.count("*").alias("m"), F.sum("n").alias("held"))
-    blocks = F.greatest(F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("held") / BLOCK_TOKENS)).cast("int")
-    place = members.join(spread.select("label", blocks.alias("blocks")), "label").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = texts.mapInArrow(whole, "node long, tokens binary").join(if_small(written(place, "jaccard-blocks"), 300_000), "node")
-    paired = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("label", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "tokens")
-    links = written(paired.groupBy("label", "low", "high").applyInArrow(_families(percent), "a long, b long"), "jaccard-links")
+    whole_family = sizes.groupBy("label").agg(F.count("*").alias("m"), F.sum("n").alias("held"))
+    beyond = whole_family.select("label", ((F.col("m") > BLOCK_SETS) | (F.col("held") > BLOCK_TOKENS)).alias("large"))
+    # a set links with none of the band after the next: sizes that link differ by a factor of 100 / percent at most
+    band = F.floor(F.ln("n") / math.log(100 / min(percent, 99)) + 1e-11).cast("int")
+    banded = sizes.join(beyond, "label").withColumn("band", F.when(F.col("large"), band).otherwise(0))
+    place = if_small(written(_dealt(banded, "block").select("label", "band", "block", "large", "node", "n"), "jaccard-blocks"), 300_000)
+    links = _family_links(place, texts.mapInArrow(whole, "node long, tokens binary"), percent)
     return _labelled(index, links if links.limit(1).count() else None)
 
 
 def _labelled(index: DataFrame, links: DataFrame | None) -> DataFrame:
-    """Every document with the smallest doc_id of its component."""
-    # a class of equal sets has its smallest doc_id, a component that of its classes
-    nodes = index.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
+    """Every document with the smallest doc_id of its component, and whether it is the component's first row."""
+    # a class of equal sets has its first row, a component that of its classes
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie"))
+    nodes = index.where("node IS NOT NULL").groupBy("node").agg(first.alias("least"))
     if links is not None:
         joined = nodes.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        smallest = joined.groupBy("label").agg(F.min("least").alias("component_id"))
-        nodes = joined.join(smallest, "label").select("node", "component_id")
+        nodes = joined.join(joined.groupBy("label").agg(F.min("least").alias("first")), "label").select("node", "first")
     else:
-        nodes = nodes.withColumnRenamed("least", "component_id")
-    return index.select("doc_id", F.col("n").alias("n_shingles"), "node").join(nodes, "node", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-
-
-def deduplicated(docs: DataFrame, *, doc_id: str = "doc_id", **options) -> DataFrame:
-    """docs with one document of each class, that of the smallest doc_id; rows that share a doc_id are one document."""
-    labelled = written(classes(docs, doc_id=doc_id, **options), "jaccard-classes")
-    gone = labelled.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    gone = if_small(gone, 300_000)
-    kept = docs.join(gone, col(doc_id) == gone["gone"], "left_anti")
-    if labelled.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        kept = kept.where(col(doc_id).isNull()).unionByName(kept.where(col(doc_id).isNotNull()).dropDuplicates([doc_id]))
-    return kept
+        nodes = nodes.withColumnRenamed("least", "first")
+    rows = index.select("doc_id", "tie", F.col("n").alias("n_shingles"), "node").join(nodes, "node", "left")
+    alone = F.col("node").isNull()
+    return rows.select(
+        "doc_id", "tie", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"),
+        (alone | F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tie") == F.col("first.tie"))).alias("is_first"), alone.alias("alone"),
+    )
+
+
+def deduplicated(docs: DataFrame, *, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one row of each class: the one with the smallest doc_id, nulls last.
+
+    Rows are told apart by doc_id and a hash of the whole row, so that rows of one doc_id with different texts are
+    documents of their own and rows without doc_id are copies like others. Defined results: null, empty and wordless
+    texts stay, repeated ones too; of wholly equal rows with words one stays; all columns pass through; an empty table
+    gives an empty result.
+    """
+    labelled = written(_classes(docs, words, percent, doc_id, text), "jaccard-classes")
+    id_, tie = free_name("__id", docs.columns), free_name("__tie", docs.columns)
+    keyed = docs.withColumn(id_, col(doc_id).cast("long")).withColumn(tie, _tie(docs))
+
+    def among(keys: DataFrame, how: str, left: DataFrame) -> DataFrame:
+        keys = if_small(keys, 300_000)
+        return left.join(keys, left[id_].eqNullSafe(keys["k_id"]) & (left[tie] == keys["k_tie"]), how)
+
+    key = (F.col("doc_id").alias("k_id"), F.col("tie").alias("k_tie"))
+    kept = among(labelled.where("NOT is_first").select(*key).distinct(), "left_anti", keyed)
+    repeated = labelled.where("is_first AND NOT alone").groupBy(*key).count().where("count > 1").drop("count")
+    if repeated.limit(1).count():
+        kept = among(repeated, "left_anti", kept).union(among(repeated, "left_semi", kept).dropDuplicates([id_, tie]))
+    return kept.drop(id_, tie)
