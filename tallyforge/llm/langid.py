@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, small_batches
+from .common import col, map_arrow, small_batches, with_fields
 
 #: Bounds of the training sample: passages of each language, their characters, languages (the commonest).
 PASSAGES, PASSAGE, LANGUAGES = 400, 1500, 256
@@ -104,12 +104,11 @@ class Model:
             out[:, k] = sums[np.minimum(words.end, len(sums) - 1)] - sums[words.start - 1] + w[words.affixes].sum(0) + w[words.lexicon]
         return out
 
-    def shares(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Expected words of each language in each sequence; scores: of all their words, one sequence after another."""
-        return self.marginals(scores, lengths)[1]
-
     def marginals(self, scores: np.ndarray, lengths: np.ndarray, keep: bool = False) -> tuple:
-        """Forward-backward over all sequences at once: word probabilities (if kept), sums of them, and of pairs."""
+        """Forward-backward over all sequences at once: word probabilities (if kept), sums of them by sequence, of pairs (if kept), and of the largest of each word.
+
+        scores: of all words, one sequence after another.
+        """
         order = np.argsort(-lengths, kind="stable")
         ordered = lengths[order]
         live = len(lengths) - np.searchsorted(ordered[::-1], np.arange(int(ordered[0]) if len(ordered) else 0), side="right")
@@ -123,7 +122,7 @@ class Model:
             a = x[at[t] : at[t + 1]] * (np.exp(self.begin) if t == 0 else alpha[at[t - 1] : at[t - 1] + n] @ moves)
             a /= a.sum(1, keepdims=True)
             alpha[at[t] : at[t + 1]] = a
-        total = np.zeros((len(lengths), x.shape[1]))
+        total, tops = np.zeros((len(lengths), x.shape[1])), np.zeros(len(lengths))
         pairs, prob = np.zeros_like(moves), np.empty_like(x) if keep else None
         beta = np.ones((0, x.shape[1]))
         for t in range(len(live) - 1, -1, -1):
@@ -140,16 +139,17 @@ class Model:
             p = alpha[at[t] : at[t + 1]] * b
             p /= p.sum(1, keepdims=True)
             total[:n] += p
+            tops[:n] += p.max(1)
             if keep:
                 prob[at[t] : at[t + 1]] = p
             beta = b
-        out = np.empty_like(total)
-        out[order] = total
+        out, out_tops = np.empty_like(total), np.empty_like(tops)
+        out[order], out_tops[order] = total, tops
         if keep:
             back = np.empty_like(prob)
             back[place] = prob
             prob = back
-        return prob, out, pairs
+        return prob, out, pairs, out_tops
 
 
 def train(passages: list[tuple[str, str]], *, seed: int = 11, epochs: int = 6) -> Model | None:
@@ -192,7 +192,7 @@ def train(passages: list[tuple[str, str]], *, seed: int = 11, epochs: int = 6) -
                 continue
             truth = np.array(gold)[owner]
             scores = model.scores(words)
-            prob, _, pairs = model.marginals(scores, lengths[lengths > 0], keep=True)
+            prob, _, pairs, _ = model.marginals(scores, lengths[lengths > 0], keep=True)
             slope = -prob
             slope[np.arange(len(truth)), truth] += 1
             near = sequence[1:] == sequence[:-1]
@@ -214,21 +214,21 @@ def train(passages: list[tuple[str, str]], *, seed: int = 11, epochs: int = 6) -
     return model
 
 
-def label(model: Model | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
-    """Language and share of words for each text."""
-    languages, shares = [UNKNOWN] * len(texts), [0.0] * len(texts)
+def label(model: Model | None, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+    """Language, share of words, and mean probability of each word's likeliest language, for each text."""
+    languages, shares, sure = [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
     if model is None:
-        return languages, shares
+        return languages, shares, sure
     batch: list[int] = []
-    size = 0
+    size, most = 0, WORK * 4 // max(4, len(model.languages))  # what is held is words x languages
     for i in range(len(texts) + 1):
-        if batch and (i == len(texts) or size + len(texts[i] or "") > WORK):
-            _label(model, texts, batch, languages, shares)
+        if batch and (i == len(texts) or size + len(texts[i] or "") > most):
+            _label(model, texts, batch, languages, shares, sure)
             batch, size = [], 0
         if i < len(texts) and texts[i]:
             batch.append(i)
             size += len(texts[i])
-    return languages, shares
+    return languages, shares, sure
 
 
 def _pieces(text: str) -> Iterator[str]:
@@ -269,15 +269,15 @@ def _scored(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(scores), lengths
 
 
-def _label(model: Model, texts: list[str | None], batch: list[int], languages: list[str], shares: list[float]) -> None:
+def _label(model: Model, texts: list[str | None], batch: list[int], languages: list[str], shares: list[float], sure: list[float]) -> None:
     scores, n = _scored(model, [texts[i] for i in batch])
     kept = np.flatnonzero(n)
     if not len(kept):
         return
-    totals = model.shares(scores, n[kept])
+    _, totals, _, tops = model.marginals(scores, n[kept])
     best = totals.argmax(1)
-    for j, k, s in zip(kept.tolist(), best.tolist(), (totals[np.arange(len(kept)), best] / n[kept]).tolist(), strict=True):
-        languages[batch[j]], shares[batch[j]] = model.languages[k], min(1.0, max(0.0, s))
+    for j, k, s, t in zip(kept.tolist(), best.tolist(), (totals[np.arange(len(kept)), best] / n[kept]).tolist(), (tops / n[kept]).tolist(), strict=True):
+        languages[batch[j]], shares[batch[j]], sure[batch[j]] = model.languages[k], min(1.0, max(0.0, s)), min(1.0, max(0.0, t))
 
 
 def learn(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | None:
@@ -300,8 +300,8 @@ def learn(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang:
     return train([p for k in sorted(taken) for p in taken[k]])
 
 
-def identify(docs: DataFrame, model: Model | None, *, text: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """Kept columns of docs with the language of each whole text and its share of the words.
+def identify(docs: DataFrame, model: Model | None, *, text: str = "text", keep: list[str] | None = None, names: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:
+    """Kept columns of docs with the language of each whole text and its share of the words; a third name adds how sure the words are.
 
     Defined results: null, empty and letterless texts, and all texts if there was nothing to learn from, are "und"
     with score 0; with one language learned, every text with letters has it; ties go to the first language by name;
@@ -310,14 +310,14 @@ def identify(docs: DataFrame, model: Model | None, *, text: str = "text", keep:
     small_batches(docs.sparkSession)
     kept = [c for c in (docs.columns if keep is None else keep) if c not in names]
     rows = docs.select(*map(col, kept), col(text).alias("__text"))
-    kinds = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in kept)
+    kinds = with_fields(rows.schema.fields[:-1], ", ".join(f"`{n}` {k}" for n, k in zip(names, ("string", "double", "double"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _gathered(batches):
-            lang, score = label(model, batch.column(len(kept)).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*kept, *names])
+            lang, *numbers = label(model, batch.column(len(kept)).to_pylist())[: len(names)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lang, pa.string()), *(pa.array(x, pa.float64()) for x in numbers)], [*kept, *names])
 
-    return rows.mapInArrow(run, f"{kinds}{names[0]} string, {names[1]} double")
+    return map_arrow(rows, run, kinds)
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
