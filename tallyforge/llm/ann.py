@@ -2,23 +2,29 @@
 
 A neighbour graph of a bounded sample is cut into balanced parts that few edges cross, and a small classifier learns
 from it which part a vector's neighbours lie in. Every vector of the table is put in its most probable part; a query
-is sent to its several most probable parts, where all members are scored exactly.
+is sent to its several most probable parts, where all members are scored exactly. The number of parts grows with the
+table: beyond MOST_PARTS each part is cut again in the same way, by a graph and a classifier of its own, which are
+fitted where the part's sample lies.
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .vectors import answers, asked, dealt, distinct_vectors, kth_best, matrix, sample, solve, usable
+from .vectors import answers, asked, dealt, distinct_vectors, hashed, kth_best, matrix, sample, solve, usable
 
-#: Bound of the sample that graph and classifier are made from.
+#: Bound of the sample that a graph and its classifier are made from.
 SAMPLE = 8192
-#: Vectors that a part should hold; most parts; neighbours in the graph; share of the parts' probability that probes cover.
-PART, MOST_PARTS, DEGREE, COVER = 2048, 256, 12, 0.97
+#: Vectors that a part should hold; parts that a table of a few hundred vectors has at least; most parts of one classifier.
+PART, FEWEST_PARTS, MOST_PARTS = 2048, 8, 128
+#: Neighbours in the graph; share of the parts' probability that probes cover.
+DEGREE, COVER = 12, 0.97
 
 
 def neighbour_graph(points: np.ndarray, degree: int) -> np.ndarray:
@@ -100,9 +106,9 @@ class Router:
         return self._soft(np.maximum(x @ self.w[0] + self.w[1], 0) @ self.w[2] + self.w[3])
 
 
-def fit(points: np.ndarray, n_vectors: int, seed: int = 7) -> Router | None:
-    """A router for a table of n_vectors, from a sample of them; None if one part is enough."""
-    parts = min(MOST_PARTS, n_vectors // PART, len(points) // 64)
+def fit(points: np.ndarray, parts: int, seed: int = 7) -> Router | None:
+    """A router to so many parts from a sample of vectors; fewer parts where each would have less than 32 of the points, None for one."""
+    parts = min(parts, len(points) // 32)
     if parts < 2:
         return None
     rng = np.random.default_rng(seed)
@@ -114,10 +120,92 @@ def fit(points: np.ndarray, n_vectors: int, seed: int = 7) -> Router | None:
     return Router(points, near / near.sum(1, keepdims=True), rng)
 
 
+def n_parts(n: int) -> int:
+    """Parts for n vectors: in proportion to the table, a few for a small one, one where that is no more than a query's answers need."""
+    return max(-(-n // PART), min(FEWEST_PARTS, n // 32))
+
+
+class Tree:
+    """A router to the first level's parts, and routers within those that are cut again. Parts are numbered over both levels."""
+
+    def __init__(self, top: Router | None, below: dict[int, Router]) -> None:
+        self.top, self.below = top, below
+
+    def first(self, x: np.ndarray) -> np.ndarray:
+        return self.top(x) if self.top else np.ones((len(x), 1))
+
+    def _within(self, part: int, x: np.ndarray) -> np.ndarray:
+        return self.below[part](x) if part in self.below else np.ones((len(x), 1))
+
+    def home(self, x: np.ndarray) -> np.ndarray:
+        """The most probable part of each vector."""
+        out = np.zeros(len(x), np.int64)
+        first = self.first(x).argmax(1)
+        for part in np.unique(first):
+            rows = np.flatnonzero(first == part)
+            out[rows] = part * MOST_PARTS + self._within(int(part), x[rows]).argmax(1)
+        return out
+
+    def probable(self, x: np.ndarray, cover: float) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each vector its parts, most probable first, and their probabilities; together more than cover."""
+        odds = self.first(x)
+        order = np.argsort(-odds, axis=1, kind="stable")
+        mass = np.cumsum(np.take_along_axis(odds, order, 1), axis=1)
+        many = (mass < (1 + cover) / 2).sum(1) + 1  # first-level parts that are looked into
+        taken: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in x]
+        rows_of: dict[int, list[int]] = {}
+        for i, m in enumerate(many.tolist()):
+            for part in order[i, :m].tolist():
+                rows_of.setdefault(part, []).append(i)
+        for part, rows in rows_of.items():
+            inner = self._within(part, x[rows])
+            names = part * MOST_PARTS + np.arange(inner.shape[1])
+            for i, p in zip(rows, inner, strict=True):
+                taken[i].append((names, p * odds[i, part]))
+        out = []
+        for pairs in taken:
+            names, p = np.concatenate([a for a, _ in pairs]), np.concatenate([b for _, b in pairs])
+            by = np.lexsort((names, -p))
+            out.append((names[by], p[by]))
+        return out
+
+
+def learn(vectors: DataFrame, n: int) -> tuple[Tree, np.ndarray]:
+    """The tree for a table of n distinct vectors, and the sample that its first level was fitted to.
+
+    Up to MOST_PARTS parts there is one level; beyond it two, each of the first level's parts being fitted to a sample of
+    its own of at most SAMPLE vectors, on the executors. The classifiers (some 100 kB each, at most MOST_PARTS + 1) are
+    all that comes to the driver. More than MOST_PARTS squared parts are not made: parts grow from there on.
+    """
+    points, parts = sample(vectors, SAMPLE, n), n_parts(n)
+    if parts <= MOST_PARTS:
+        return Tree(fit(points, parts), {}), points
+    tops = min(MOST_PARTS, int(np.ceil(parts**0.5)))
+    inner = min(MOST_PARTS, -(-parts // tops))
+    top = fit(points, tops)
+
+    def place(batches):
+        for batch in batches:
+            x = matrix(batch.column(0), np.float64)
+            if len(x):
+                part = top(x).argmax(1) if top else np.zeros(len(x))
+                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), *batch.columns], ["part", "v", "h"])
+
+    def fit_part(key: tuple, rows: pa.Table) -> pa.Table:
+        x = matrix(rows.column("v"), np.float64)[np.argsort(rows.column("h").to_numpy(), kind="stable")[:SAMPLE]]
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([pickle.dumps(fit(x, inner))], pa.binary())], ["part", "router"])
+
+    kind = dict(vectors.dtypes)["v"]
+    drawn = hashed(vectors, 2 * SAMPLE * tops / n).mapInArrow(place, f"part int, v {kind}, h long")
+    rows = drawn.groupBy("part").applyInArrow(fit_part, "part int, router binary").collect()
+    below = {r["part"]: router for r in rows if (router := pickle.loads(r["router"])) is not None}
+    return Tree(top, below), points
+
+
 def search(rows: DataFrame, *, k: int = 20, every: int = 20, cover: float = COVER, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products found for the rows whose id is divisible by every.
 
-    Every row is indexed; the sample bounds only what graph and classifier are fitted to. Probes go on until they
+    Every row is indexed; the samples bound only what graphs and classifiers are fitted to. Probes go on until they
     cover the share cover of a query's probability and hold 4 * k vectors, so a query never gets fewer than k answers
     if there are as many candidates. Defined results: vectors that are null, empty, zero, of another length than most,
     or hold null or non-finite components take no part, nor do rows without id; ties go to the smaller id; rows of one
@@ -125,27 +213,29 @@ def search(rows: DataFrame, *, k: int = 20, every: int = 20, cover: float = COVE
     """
     whole = usable(rows, vec_id, vector, zero=False).distinct()
     vectors = written(distinct_vectors(whole, k + 1), "ann-vectors")
-    points = sample(vectors, SAMPLE)
     queries = whole.where(F.col("vec_id") % every == 0)
-    router = fit(points, vectors.count())
+    cells, routed = index(vectors, queries, k, cover)
+    return answers(queries, solve(cells, routed, k + 1, "double", exact=False), k)
 
-    def assign(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return router(x).argmax(1) if router else np.zeros(len(x), np.int64), np.zeros(len(x))
 
-    cells, known = dealt(vectors, assign, "ann-cells")
-    home = assign(points)[0] if len(points) else np.zeros(0, np.int64)
+def index(vectors: DataFrame, queries: DataFrame, k: int, cover: float) -> tuple[DataFrame, DataFrame]:
+    """All distinct vectors by part (cell, chunk, v, ids), and queries by the parts that they probe (cell, chunk, q, v, least)."""
+    tree, points = learn(vectors, vectors.count())
+    cells, known = dealt(vectors, lambda x: (tree.home(x), np.zeros(len(x))), "ann-cells")
+    home = tree.home(points) if len(points) else np.zeros(0, np.int64)
 
     def route(batches):
         for batch in batches:
             x = matrix(batch.column(1), np.float64)
             if not len(x):
                 continue
-            odds, scores = router(x) if router else np.ones((len(x), 1)), x @ points.T
+            scores = x @ points.T
             owner, cell, chunk, least = [], [], [], []
-            for i, p in enumerate(odds):
+            for i, (names, odds) in enumerate(tree.probable(x, cover)):
                 mass, held, probed = 0.0, 0, []
-                for c in np.argsort(-p, kind="stable").tolist():
-                    mass += p[c]
+                more = [c for c in known if c not in set(names.tolist())] if sum(known.get(c, (0,))[0] for c in names.tolist()) < 4 * k else []
+                for c, p in [*zip(names.tolist(), odds.tolist(), strict=True), *((c, 0.0) for c in sorted(more))]:
+                    mass += p
                     if c in known:
                         held += known[c][0]
                         owner += [i] * known[c][1]
@@ -159,5 +249,4 @@ def search(rows: DataFrame, *, k: int = 20, every: int = 20, cover: float = COVE
             moved = (c.take(pa.array(owner, pa.int64())) for c in batch.columns)
             yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(chunk, pa.int32()), *moved, pa.array(least, pa.float64())], ["cell", "chunk", "q", "v", "least"])
 
-    routed = asked(queries).mapInArrow(route, "cell int, chunk int, q long, v array<double>, least double")
-    return answers(queries, solve(cells, routed, k + 1, "double", exact=False), k)
+    return cells, asked(queries).mapInArrow(route, "cell int, chunk int, q long, v array<double>, least double")

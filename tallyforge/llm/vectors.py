@@ -43,10 +43,18 @@ def matrix(column: pa.Array | pa.ChunkedArray, dtype: type) -> np.ndarray:
     return a.flatten().to_numpy(zero_copy_only=False).astype(dtype).reshape(len(a), -1) if len(a) else np.zeros((0, 0), dtype)
 
 
-def sample(vectors: DataFrame, most: int) -> np.ndarray:
-    """At most so many of the vectors, by hash: the same whatever the order of rows is."""
-    rows = vectors.select("v").orderBy(F.xxhash64("v"), "v").limit(most).toArrow()
-    return matrix(rows.column(0), np.float64)
+def hashed(vectors: DataFrame, share: float) -> DataFrame:
+    """v and h, its hash, of about that share of the vectors, chosen by hash where they lie."""
+    rows = vectors.select("v", F.xxhash64("v").alias("h"))
+    return rows if share >= 1 else rows.where(F.pmod("h", F.lit(1 << 40)) < int(share * (1 << 40)))
+
+
+def sample(vectors: DataFrame, most: int, n: int) -> np.ndarray:
+    """At most so many of n distinct vectors, by hash: the same whatever the order of rows is. What reaches the driver is about twice that, however large the table."""
+    rows = hashed(vectors, 2 * most / max(1, n)).toArrow()
+    if not rows.num_rows:
+        return np.zeros((0, 0))
+    return matrix(rows.column(0), np.float64)[np.argsort(rows.column(1).to_numpy(), kind="stable")[:most]]
 
 
 def best(scores: np.ndarray, ids: list[list[int]], most: int) -> list[tuple[int, int]]:
@@ -74,7 +82,10 @@ def solve(cells: DataFrame, routed: DataFrame, most: int, score: str, exact: boo
         if left.num_rows and right.num_rows:
             data, ids = matrix(left.column("v"), np.float64), left.column("ids").to_pylist()
             asked, least = matrix(right.column("v"), np.float64), right.column("least").to_numpy()
-            wide = exact and np.abs(data).max() * np.abs(asked).max() * data.shape[1] >= 2.0**53
+            largest = np.abs(data).max() * np.abs(asked).max() * data.shape[1]
+            wide = exact and largest >= 2.0**53
+            if exact and largest >= 2.0**63:
+                raise OverflowError("scores of these vectors do not fit 64 bits")
             for at in range(0, len(asked), 256):
                 block = asked[at : at + 256]
                 table = block.astype(np.int64) @ data.astype(np.int64).T if wide else block @ data.T
@@ -117,8 +128,8 @@ def answers(queries: DataFrame, found: DataFrame, k: int) -> DataFrame:
     return top(own, "query_id", k).select("query_id", "rank", "vec_id", "score")
 
 
-def dealt(vectors: DataFrame, assign, what: str) -> tuple[DataFrame, dict[int, tuple[int, int, float]]]:
-    """Vectors with cell and chunk, and what is known of each cell: vectors, chunks, largest distance to its centre.
+def dealt(vectors: DataFrame, assign, what: str) -> tuple[DataFrame, dict[int, tuple[int, int]]]:
+    """Vectors with cell, distance to its centre and chunk, and of each cell (at most some thousands) its vectors and chunks.
 
     assign: a matrix -> (cell of each row, distance of each row).
     """
@@ -131,7 +142,10 @@ def dealt(vectors: DataFrame, assign, what: str) -> tuple[DataFrame, dict[int, t
 
     kind = dict(vectors.dtypes)["v"]
     placed = written(vectors.select("v", "ids").mapInArrow(run, f"cell int, far double, v {kind}, ids array<long>"), what)
-    # a row for each cell
-    known = {r["cell"]: (r["n"], -(-r["n"] // CHUNK), r["far"]) for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()}
-    chunks = F.element_at(F.create_map(*[F.lit(x) for c, (_, k, _) in known.items() for x in (c, k)]), F.col("cell")) if known else F.lit(1)
-    return placed.withColumn("chunk", F.pmod(F.xxhash64("v"), chunks.cast("long")).cast("int")), known
+    known = {r["cell"]: (r["n"], -(-r["n"] // CHUNK)) for r in placed.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    several = [(c, k) for c, (_, k) in known.items() if k > 1]
+    chunk = F.lit(0)
+    if several:
+        placed = placed.join(F.broadcast(placed.sparkSession.createDataFrame(several, "cell int, chunks long")), "cell", "left")
+        chunk = F.pmod(F.xxhash64("v"), F.coalesce("chunks", F.lit(1))).cast("int")
+    return placed.select("cell", "far", "v", "ids", chunk.alias("chunk")), known
