@@ -8,37 +8,65 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm import jaccard, langid, mixing, packing, pii
-from tallyforge.llm.common import table, written
+from tallyforge.llm.common import col, free_name, table, written
 
-#: A document in which no language has this share of the words is rejected, as is one without letters.
-LEAST_SHARE = 0.4
+#: A document whose words are this unsure of their languages on average is rejected, as is one without letters.
+LEAST_SURE = 0.4
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+# Every stage: null, empty and very long texts, repeated rows, rows without id, empty tables and columns of any name are
+# allowed, columns pass through as they are, and nothing is chosen by the order of rows. What a stage does with them:
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; the model learns from the labels among them."""
-    found = langid.identify(docs, langid.learn(docs), names=("__lang", "__share"))
-    return found.where((F.col("__lang") != langid.UNKNOWN) & (F.col("__share") >= LEAST_SHARE)).select(*docs.columns)
+    """Documents in a language; the model learns from the labels among them.
+
+    Rejected are null, empty and letterless texts, and texts whose words fit no language: those whose likeliest
+    languages have a mean probability below LEAST_SURE, however many languages a text switches between. Without labels
+    to learn from only letterless texts go. Repeated rows are judged alike; an empty table stays empty.
+    """
+    names = [free_name(n, docs.columns) for n in ("__lang", "__share", "__sure")]
+    model = langid.learn(docs)
+    if model is None:
+        return docs.where(F.coalesce(col("text").rlike(r"\p{L}"), F.lit(False)))
+    found = langid.identify(docs, model, names=tuple(names))
+    return found.where((F.col(names[0]) != langid.UNKNOWN) & (F.col(names[2]) >= LEAST_SURE)).select(*map(col, docs.columns))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near copies: five-word shingles, similarity 0.8 or more.
+
+    The one with the smallest doc_id stays, rows without doc_id last; texts without words all stay; rows that share a
+    doc_id are judged by their texts; a very long text is compared as a whole; an empty table stays empty.
+    """
     return jaccard.deduplicated(docs, words=5, percent=80)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data replaced by its kind."""
+    """Documents with personal data replaced by its kind.
+
+    Null and empty texts and all rows stay, repeated ones too; n_chars, where there is one, follows the text; a table
+    without texts to train on is searched by the fixed patterns alone.
+    """
     return pii.redacted(docs, pii.train(pii.sample(docs)))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it."""
+    """Each document as often as the mix of sources takes it.
+
+    Texts without words count as none and come as often as their place in the order says; a null source is a source;
+    repeated rows are documents of their own; no document comes more than three times; an empty table stays empty.
+    """
     return mixing.mixed_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with the sequence that each is packed into and its place there."""
+    """Pieces of documents with the sequence that each is packed into and its place there.
+
+    A null or empty text is a piece of its end mark; a very long one is cut into pieces that cover it; repeated rows are
+    pieces of their own; no documents, no pieces.
+    """
     return packing.pack(docs, with_text=True)
 
 
