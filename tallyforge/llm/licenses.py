@@ -28,27 +28,54 @@ from .common import col, small_batches
 TEMPLATES = {
     "MIT": ("Released under the MIT License.",
             "Licensed under the MIT License.",
-            "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+            "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+            "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+            "SPDX-License-Identifier: MIT"),
     "Apache": ("Licensed under the Apache License, Version <v>.",
-               "Licensed under the Apache License, Version <v> (the \"License\"); you may not use this file except in compliance with the License."),
+               "Licensed under the Apache License, Version <v> (the \"License\"); you may not use this file except in compliance with the License.",
+               "Licensed under the Apache License, Version <v> (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-<v> Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+               "SPDX-License-Identifier: Apache-<v>"),
     "GPL": ("This work is licensed under the GNU General Public License, version <v>.",
-            "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version <v> of the License, or (at your option) any later version."),
-    "LGPL": ("This library is licensed under the GNU Lesser General Public License, version <v>.",),
-    "AGPL": ("This work is licensed under the GNU Affero General Public License, version <v>.",),
+            "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version <v> of the License, or (at your option) any later version.",
+            "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version <v> of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+            "SPDX-License-Identifier: GPL-<v>-only",
+            "SPDX-License-Identifier: GPL-<v>-or-later"),
+    "LGPL": ("This library is licensed under the GNU Lesser General Public License, version <v>.",
+             "SPDX-License-Identifier: LGPL-<v>-only",
+             "SPDX-License-Identifier: LGPL-<v>-or-later"),
+    "AGPL": ("This work is licensed under the GNU Affero General Public License, version <v>.",
+             "SPDX-License-Identifier: AGPL-<v>-only",
+             "SPDX-License-Identifier: AGPL-<v>-or-later"),
     "BSD": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
-            "Licensed under the BSD License."),
-    "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",),
-    "MPL": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. <v>.",),
+            "Licensed under the BSD License.",
+            "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+            "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+            "SPDX-License-Identifier: BSD-2-Clause",
+            "SPDX-License-Identifier: BSD-3-Clause"),
+    "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+            "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+            "SPDX-License-Identifier: ISC"),
+    "MPL": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. <v>.",
+            "This Source Code Form is subject to the terms of the Mozilla Public License, v. <v>. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/<v>/.",
+            "SPDX-License-Identifier: MPL-<v>"),
+    "EPL": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License <v>",
+            "Licensed under the Eclipse Public License, version <v>.",
+            "SPDX-License-Identifier: EPL-<v>"),
+    "BSL": ("Distributed under the Boost Software License, Version <v>.",
+            "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:",
+            "SPDX-License-Identifier: BSL-<v>"),
+    "Zlib": ("Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+             "SPDX-License-Identifier: Zlib"),
     "CC-BY": ("Licensed under CC BY <v>.", "This work is licensed under a Creative Commons Attribution <v> International License."),
     "CC-BY-SA": ("Licensed under CC BY-SA <v>.", "This work is licensed under a Creative Commons Attribution-ShareAlike <v> International License."),
     "CC-BY-NC": ("Licensed under CC BY-NC <v>.", "This work is licensed under a Creative Commons Attribution-NonCommercial <v> International License."),
     "CC-BY-ND": ("Licensed under CC BY-ND <v>.",),
-    "CC0": ("Released under CC0 <v> Universal.",),
-    "Unlicense": ("This is free and unencumbered software released into the public domain.",),
+    "CC0": ("Released under CC0 <v> Universal.", "SPDX-License-Identifier: CC0-<v>"),
+    "Unlicense": ("This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: Unlicense"),
     "Proprietary": ("Copyright <y> <h>. All rights reserved.",),
 }
 #: A block is looked at if it holds one of these, in lower case.
-TRIGGERS = ("licen", "copyright", "permission", "redistribution", "public domain", "free software", "released under", "rights reserved", "source code form")
+TRIGGERS = ("licen", "copyright", "permission", "redistribution", "public domain", "free software", "released under", "rights reserved", "source code form", "eclipse public")
 
 _token = re.compile(r"[0-9]+(?:\.[0-9]+)*|[^\W_0-9]+|<[vyh]>")
 _version = re.compile(r"v?[0-9]+(?:\.[0-9]+)*$")
