@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -138,12 +138,12 @@ class Shard:
         self.starts = np.concatenate([[0], np.cumsum(self.words)]).astype(np.int64)
         self.stream = np.frombuffer(parts[5], np.uint32)
 
-    def _run(self, chosen: list[int], begin: int) -> np.ndarray:
-        """Indices of symbols of the chosen blocks, longest first, from step begin (at a checkpoint) on: (block, step, lane)."""
+    def _run(self, chosen: list[int], begin: int, most: int | None = None) -> np.ndarray:
+        """Indices of symbols of the chosen blocks, longest first, from step begin (at a checkpoint) on, most steps at most: (block, step, lane)."""
         points = [self.points[b][begin // CHECKPOINT] for b in chosen]
         state = np.array([p["state"] for p in points], np.uint64).reshape(-1)
         at = np.array([self.starts[b] + p["at"] for b, p in zip(chosen, points, strict=True)], np.int64)
-        steps = self.steps[chosen]
+        steps = self.steps[chosen] if most is None else np.minimum(self.steps[chosen], begin + most)
         out = np.zeros((int(steps.max()) - begin, len(chosen) * LANES), np.uint32)
         freq, mask, bits, word = self.freq.astype(np.uint64), np.uint64((1 << BITS) - 1), np.uint64(BITS), np.uint64(32)
         for t in range(begin, int(steps.max())):
@@ -163,9 +163,9 @@ class Shard:
             state[: live * LANES] = x
         return out.reshape(len(out), len(chosen), LANES).transpose(1, 0, 2)
 
-    def block(self, b: int, point: int = 0) -> np.ndarray:
-        """Ids of one block from one of its checkpoints on."""
-        found = self.symbols[self._run([b], point * CHECKPOINT)[0].reshape(-1)]
+    def block(self, b: int, point: int = 0, points: int | None = None) -> np.ndarray:
+        """Ids of one block from one of its checkpoints on, to its end or over so many checkpoints."""
+        found = self.symbols[self._run([b], point * CHECKPOINT, None if points is None else points * CHECKPOINT)[0].reshape(-1)]
         return found[: min(BLOCK, self.n - b * BLOCK) - point * CHECKPOINT * LANES]
 
     def ids(self) -> np.ndarray:
@@ -190,12 +190,17 @@ def _gaps(ids: list) -> list[int]:
 
 
 class Encoder:
-    """Ids of whole texts, by way of the ids of their words: no token of the tokenizer crosses a space or line feed.
+    """Ids of whole texts, by way of the ids of their words where no token of the tokenizer crosses a space or line feed.
 
+    That is probed; a tokenizer that it does not hold for (one whose tokens begin with a space, say) encodes whole texts.
     Where the tokenizer treats them alike, words are looked up in lower case, and a point or comma after letters or
-    digits as a word of its own; a text for which either might change an id is looked up as it is.
+    digits as a word of its own; a text for which either might change an id is looked up as it is. One text of CHECKED,
+    chosen by its checksum, is encoded directly as well, and a difference is an error.
     """
 
+    #: One text of so many is checked against direct encoding.
+    CHECKED = 1024
+
     #: Words of a generation of known ones; the words that the last two generations met are kept.
     MOST = 350_000
     #: Texts that are looked up together: their words stay in the processor's cache.
@@ -211,6 +216,10 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        probes = ("a", "Word", "word.", "don't", "3.14,", "\u00e9t\u00e9", "\u6f22\u5b57", "$$x", "(y)", "_z", "<b>", "#", "A-B")
+        gaps = (" ", "\n", "  ", " \n ", "\n\n")
+        self.apart = all(ids(f"{a}{gap}{b}") == ids(a) + ids(b) for gap in gaps for a in probes for b in probes)
+        self.apart &= all(ids(gap) == [] and ids(f"{gap}{a}{gap}") == ids(a) for gap in gaps for a in probes)
         self.marks = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.marks[ids(self.MARK)] = True
         letters = [chr(c) for c in range(0x250) if chr(c).isalpha()]
@@ -303,7 +312,17 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as unsigned 16-bit integers, or 32-bit where the vocabulary needs them."""
-        return [x for at in range(0, len(texts), self.TEXTS) for x in self._some(texts[at : at + self.TEXTS])]
+        some = self._some if self.apart else self.direct
+        out = [x for at in range(0, len(texts), self.TEXTS) for x in some(texts[at : at + self.TEXTS])]
+        if self.apart:
+            chosen = [i for i, t in enumerate(texts) if zlib.crc32(t[:256].encode("utf-8", "surrogatepass")) % self.CHECKED == 0]
+            if any(out[i] != x for i, x in zip(chosen, self.direct([texts[i] for i in chosen]), strict=True)):
+                raise ValueError("ids by words differ from those of the whole text")
+        return out
+
+    def direct(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids as the tokenizer gives them for the whole text."""
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def _some(self, texts: list[str]) -> list[bytes]:
         known, older = self.known, self.older
@@ -343,11 +362,21 @@ def encoder(name: str) -> Encoder:
     return _encoders[name]
 
 
-def write_shards(docs: DataFrame, *, tokenizer: str, end_id: int | None = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+#: What a folder of shards holds: Parquet rows, of which payload is a shard in the layout above; part and shard give their order.
+SHARDS = "part long, shard long, n_ids long, payload binary"
+
+
+def open_shards(spark: SparkSession, path: str) -> DataFrame:
+    """The shards that write_shards() wrote to a folder."""
+    return spark.read.schema(SHARDS).parquet(path)
+
+
+def write_shards(docs: DataFrame, *, tokenizer: str, path: str | None = None, end_id: int | None = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode whole texts and write shards in ascending order of doc_id; the shards as read back: part, shard, n_ids, payload.
 
-    The shards are rows of Parquet files in the shared folder, so that Spark commits each of them once, whatever
-    executors are lost, and any store that Spark writes to will do. Defined results: a null text is empty and gives
+    path: the folder to write them to, which must not hold any yet; without it one of its own in the shared folder. The
+    shards are rows of Parquet files (see SHARDS), so that Spark commits each of them once, whatever executors are lost,
+    and any store that Spark writes to will do. tokenizer: any file of the tokenizers library. Defined results: a null text is empty and gives
     only end_id; null doc_ids come first; rows with one doc_id follow each other in an order fixed by their texts;
     an empty table gives no shards; other columns are ignored.
     """
@@ -384,7 +413,11 @@ def write_shards(docs: DataFrame, *, tokenizer: str, end_id: int | None = 1, doc
 
     rows = docs.select(col(doc_id).cast("long").alias("doc_id"), col(text).alias("text"))
     ordered = rows.repartitionByRange(parts, F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return written(ordered.mapInArrow(run, "part long, shard long, n_ids long, payload binary"), "token-shards")
+    made = ordered.mapInArrow(run, SHARDS)
+    if path is None:
+        return written(made, "token-shards")
+    made.write.parquet(path)
+    return open_shards(spark, path)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -406,8 +439,27 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def read_blocks(shards: DataFrame) -> DataFrame:
+    """part, shard, block, point, ids: what is between two checkpoints of a block, each decoded from its own checkpoint."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["part", "shard", "block", "point", "ids"]
+        for batch in batches:
+            for part, number, payload in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                shard = Shard(payload)
+                for b in range(shard.blocks):
+                    for point in range(len(shard.points[b])):
+                        found = shard.block(b, point, 1).astype(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([number]), pa.array([b], pa.int32()), pa.array([point], pa.int32()), pa.array([found], pa.list_(pa.int64()))], names)
+
+    return shards.select("part", "shard", "payload").mapInArrow(run, "part long, shard long, block int, point int, ids array<long>")
+
+
 def read_index(shards: DataFrame) -> DataFrame:
-    """Decode all shards: doc_id, start (ids of all documents before it), n_tokens and the CRC-32 of its ids."""
+    """Decode all shards: doc_id, start (ids of all documents before it), n_tokens and the CRC-32 of its ids.
+
+    Shards are decoded side by side, each with all its blocks at once; a damaged one is an error; no shards, no rows.
+    """
     totals = shards.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))  # a row for each written part
