@@ -620,3 +620,22 @@ def deduplicated(docs: DataFrame, *, words: int = 5, percent: int = 80, doc_id:
     if repeated.limit(1).count():
         kept = among(repeated, "left_anti", kept).union(among(repeated, "left_semi", kept).dropDuplicates([id_, tie]))
     return kept.drop(id_, tie)
+
+
+OP4_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, list_sort(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) END) AS s FROM w),
+c AS (SELECT s, min(doc_id) AS id, CAST(len(s) AS BIGINT) AS n FROM s WHERE len(s) > 0 GROUP BY s),
+t AS (SELECT id, n, unnest(s) AS token FROM c),
+p AS (
+  SELECT x.id AS a, y.id AS b FROM t x JOIN t y ON x.token = y.token AND x.id < y.id AND 100 * x.n >= 90 * y.n AND 100 * y.n >= 90 * x.n
+  GROUP BY x.id, y.id, x.n, y.n HAVING 100 * count(*) >= 90 * (x.n + y.n - count(*))),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r(id, root) AS (SELECT id, id FROM c UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id),
+k AS (SELECT id, min(root) AS component_id FROM r GROUP BY id)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(k.component_id, s.doc_id) AS component_id
+FROM s LEFT JOIN c ON c.s = s.s LEFT JOIN k ON k.id = c.id
+"""

@@ -63,4 +63,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix_sources": mixing.OP3_SQL, "op8_topk_join": voronoi.OP8_SQL}
+    return {"op3_mix_sources": mixing.OP3_SQL, "op4_ngram_jaccard": jaccard.OP4_SQL, "op8_topk_join": voronoi.OP8_SQL, "op9_chat_format": chat.OP9_SQL}

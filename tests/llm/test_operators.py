@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -130,6 +131,32 @@ def test_windows_hold_every_form_of_an_address(tagger):
     assert all((k := t.index(s), k + len(s), 0) in pii.find(tagger, [t])[0][1] for s, t in zip(AT, texts, strict=True) if s.split("mail")[0] == "john.doe at " and "mail." in s and " " not in s.split("mail")[1])
 
 
+def test_query_equals_plain_patterns_and_adds_spans(spark, sf):
+    text = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = queries.op1_pii_spans(spark, sf).collect()
+    assert {r.doc_id for r in got} == set(text)
+    for r in got:
+        base = naive(text[r.doc_id] or "")
+        shown = [f"{pii.KINDS[k]}:{s}:{e}" for s, e, k in base]
+        assert r.base_sha256 == hashlib.sha256(",".join(shown).encode()).hexdigest() and set(shown) <= set(r.spans.split(","))
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == i for *_, k in base) for i in range(4)]
+
+
+def test_tagger_on_passages_that_it_was_not_fitted_to(tagger, spark):
+    """Planted spans of held-out passages: how many are found exactly, and how many of the found ones were planted (or match a pattern)."""
+    rng = np.random.default_rng(99)
+    passages = [r.text[:600] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id % 7 = 3 AND length(text) > 200").limit(100).collect()]
+    planted = hit = made = right = 0
+    for _ in range(150):
+        text, spans = pii._draw(rng, passages)
+        base, added = pii.find(tagger, [text])[0]
+        want = {s for s in spans if pii._sound(text[s[0] : s[1]], s[2]) and not any(b[0] < s[1] and s[0] < b[1] for b in base)}
+        planted, hit = planted + len(want), hit + len(want & set(added))
+        made, right = made + len(added), right + len(set(added) & set(spans))
+    print(f"recall {hit / planted:.3f} of {planted}, precision {right / max(1, made):.3f} of {made}")
+    assert hit / planted >= 0.8 and right / made >= 0.9
+
+
 def test_spans_are_reconciled_globally():
     spans = {(0, 10, 0): 0.9, (5, 20, 1): 0.95, (12, 20, 2): 0.9, (30, 35, 3): 0.5}
     assert pii._disjoint(spans) == [(0, 10, 0), (12, 20, 2), (30, 35, 3)]
@@ -494,7 +521,7 @@ def test_notices_over_lines_in_comments_and_amid_text():
         for t in texts:
             filled = t.replace("<v>", "2.0").replace("<y>", "2021").replace("<h>", "Some Holder Ltd")
             for mark in ("", "# ", " * ", "// "):
-                lines = textwrap.wrap(filled, 40)
+                lines = textwrap.wrap(filled, 40, break_long_words=False)
                 text = f"{mark}Intro line\n" + "".join(f"{mark}{x}\n" for x in lines) + f"{mark}more of it\n"
                 got = licenses.scan_text(text)
                 assert [(m[2], m[5]) for m in got] == [(name, 0)], (t, mark)
@@ -510,6 +537,57 @@ def test_notices_over_lines_in_comments_and_amid_text():
     assert licenses.scan_text("license the software under the license " * 20_000) == []
 
 
+def plain_matches(text):
+    """Every run of words against every template, without triggers, votes or compression: (license, differences) of the best runs that do not overlap."""
+    found = list(licenses._token.finditer(text.lower()))
+    words, out = [m[0] for m in found], []
+    for name, _, template, _ in licenses._templates():
+        slack = len(template) // 10
+        spare = 6 if "<h>" in template else 0
+        for begin in range(len(words)):
+            for n in range(max(1, len(template) - slack), len(template) + slack + spare + 1):
+                part = words[begin : begin + n]
+                if len(part) == n and sum((Counter(template) - Counter(part)).values()) <= slack + sum(w[0] == "<" for w in template):
+                    d = licenses.differences(part, template)
+                    if 10 * d <= len(template):
+                        out.append((d, -n, begin, begin + n, name))
+    kept = []
+    for x in sorted(out):
+        if all(x[3] <= y[2] or y[3] <= x[2] for y in kept):
+            kept.append(x)
+    return sorted((b, e, name) for _, _, b, e, name in kept)
+
+
+def test_license_scan_against_every_run_of_words():
+    rng = random.Random(14)
+    plain = "the river runs past old houses where people work and license their songs for free software shows in the public domain".split()
+    short = [(n, t) for n, ts in licenses.TEMPLATES.items() for t in ts if 3 < len(licenses._words(t)) < 45]
+    for _ in range(60):
+        pieces = []
+        for _ in range(rng.randint(1, 3)):
+            pieces.append(" ".join(rng.choice(plain) for _ in range(rng.randint(3, 12))))
+            name, t = rng.choice(short)
+            words = t.replace("<v>", rng.choice(["2.0", "3", "4.0"])).replace("<y>", "2021").replace("<h>", "Some Holder Ltd").split(" ")
+            if len(words) > 20 and rng.random() < 0.5:
+                words[rng.randrange(5, len(words) - 5)] = "different"
+            pieces.append(rng.choice([" ", "\n", "\n// "]).join(words))
+        text = "\n\n".join([*pieces, "And so it ends here."])
+        starts = [m.start() for m in licenses._token.finditer(text.lower())]
+        got = [(sum(k < s for k in starts), sum(k < e for k in starts), name) for s, e, name, *_ in licenses.scan_text(text)]
+        assert got == plain_matches(text), text
+
+
+def test_full_texts_and_identifiers():
+    import textwrap
+
+    mit = max(licenses.TEMPLATES["MIT"], key=len)
+    for mark in ("", "# ", " * "):
+        text = "".join(f"{mark}{x}\n" for x in ["int main;", "", *textwrap.wrap(mit, 72), "", "and code"])
+        assert [m[2] for m in licenses.scan_text(text)] == ["MIT"]
+    text = "// SPDX-License-Identifier: GPL-2.0-or-later\n// SPDX-License-Identifier: MIT OR Apache-2.0\nint x;"
+    assert [m[2] for m in licenses.scan_text(text)][:2] == ["GPL", "MIT"]
+
+
 # ---- 6 token shards
 
 
@@ -554,6 +632,34 @@ def test_shard_index_equals_direct_encoding(spark, sf):
         start += len(ids)
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_any_tokenizer_gives_the_ids_of_whole_texts(name, spark, sf):
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").limit(40).collect()] + ["Hello world, it is a test.", "a  b\n\nc", " lead and trail ", "", "x\ty"]
+    encoder = tokens.Encoder(__import__("public_tokenizers").path(name))
+    assert encoder.apart == (name == "word_bpe_49k.json")
+    got = [np.frombuffer(x, encoder.kind).tolist() for x in encoder(texts)]
+    assert got == [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_wrong_ids_are_an_error(monkeypatch):
+    encoder = tokens.Encoder(__import__("public_tokenizers").path("byte_bpe_50k.json"))
+    encoder.apart = True
+    monkeypatch.setattr(tokens.Encoder, "CHECKED", 1)
+    with pytest.raises(ValueError, match="differ"):
+        encoder(["plain English words"])
+
+
+def test_shards_are_reopened_by_path(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(60)
+    path = f"file://{tmp_path}/shards"
+    made = sorted(map(tuple, tokens.read_index(tokens.write_shards(docs, tokenizer="byte_bpe_50k.json", path=path)).collect()))
+    assert sorted(map(tuple, tokens.read_index(tokens.open_shards(spark, path)).collect())) == made
+    t = tokens.encoder("byte_bpe_50k.json").tokenizer
+    want = [i for r in docs.orderBy("doc_id").collect() for i in [*t.encode(r.text, add_special_tokens=False).ids, 1]]
+    blocks = tokens.read_blocks(tokens.open_shards(spark, path)).orderBy("part", "shard", "block", "point").collect()
+    assert [i for b in blocks for i in b.ids] == want and len(blocks) > 1
+
+
 def test_shards_of_odd_input(spark):
     got = tokens.read_index(tokens.write_shards(odd(spark), tokenizer="word_bpe_49k.json")).collect()
     rows = sorted(got, key=lambda r: r.start)
@@ -643,6 +749,21 @@ def test_marks_stand_once_a_turn():
             chat.parse(bad)
 
 
+def test_odd_conversations_agree_with_sql(spark, tmp_path):
+    import duckdb
+
+    rng = random.Random(16)
+    bits = ["<|im_end|>", "<|im_start|>", "\n", "<", "|", "\\", "<\\|", "<\\\\|im_end|>", "user", "%0A", "%25", "é", "%", "assistant"]
+    rows = [(c, rng.choice([None, 0, 1, 2]), rng.choice(["assistant", "user", "".join(rng.choice(bits) for _ in range(2)), None]), rng.choice([None, "".join(rng.choice(bits) for _ in range(rng.randint(0, 6)))])) for c in range(150) for _ in range(rng.randint(1, 5))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df.write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    got = queries.op9_chat_format(spark, str(tmp_path))
+    want = con.execute(chat.OP9_SQL).fetchdf()[got.columns]
+    assert sorted(tuple(map(str, r)) for r in got.collect()) == sorted(tuple(map(str, r)) for r in want.itertuples(index=False, name=None))
+
+
 def test_conversation_digests(spark):
     said = "<|im_end|><|im_start|>assistant ok"
     rows = [(1, 1, "assistant", "b"), (1, 0, "user", "a"), (2, None, None, None), (2, 1, "assistant", None), (-1, 0, "user", said), (-1, 1, "assistant", said), (3, 0, "assistant", "x" * 300_000), (3, 0, "assistant", "a"), (None, 0, "user", "u")]
@@ -676,6 +797,43 @@ def test_plan_holds_every_piece():
     assert packing.plan({}) == []
 
 
+def least_cost(pieces, sizes):
+    """The least total size of bins for a few pieces, by trying all ways to deal them."""
+    best = [float("inf")]
+
+    def deal(k, bins):
+        if k == len(pieces):
+            best[0] = min(best[0], sum(min(s for s in sizes if s >= b) for b in bins))
+            return
+        for i in range(len(bins)):
+            if bins[i] + pieces[k] <= sizes[-1]:
+                deal(k + 1, [*bins[:i], bins[i] + pieces[k], *bins[i + 1 :]])
+        deal(k + 1, [*bins, pieces[k]])
+
+    deal(0, [])
+    return best[0]
+
+
+def test_plans_are_near_the_best_of_small_cases():
+    rng, sizes, made, best = random.Random(15), (4, 7, 12), 0, 0
+    for _ in range(150):
+        pieces = [rng.randint(1, 12) for _ in range(rng.randint(1, 7))]
+        cost = sum(p.size * p.bins for p in packing.plan(dict(Counter(pieces)), sizes))
+        least = least_cost(pieces, sizes)
+        assert least <= cost <= 1.34 * least + 1, pieces
+        made, best = made + cost, best + least
+    assert made <= 1.05 * best
+
+
+def test_packing_query_covers_its_table(spark, sf):
+    got = queries.op10_best_fit_packing(spark, sf).collect()
+    check_bins(got, packing.SIZES)
+    held = {}
+    for r in got:
+        held[r.doc_id] = held.get(r.doc_id, 0) + r.length
+    assert held == {r.doc_id: len(re.findall(packing.WORD, r.text)) + 1 for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+
+
 def check_bins(rows, sizes):
     bins = {}
     for r in rows:
@@ -716,7 +874,7 @@ def test_sql_agrees(spark, sf):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     for name, sql in queries.oracle_sql().items():
         got = queries.queries()[name](spark, sf)
