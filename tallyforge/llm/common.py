@@ -103,6 +103,22 @@ def if_small(df: DataFrame, most_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
+def looked_up(rows: DataFrame, key: str, table: DataFrame, n_rows: int, within: str) -> DataFrame:
+    """rows joined with a table that has one row for each key, inner, without a hot key's rows meeting in one task.
+
+    Keys of more than a fair share of the rows are dealt into parts by the column within, and the table's rows for them
+    are repeated for each part. There are few such keys, whatever n_rows is.
+    """
+    fair = max(1000, n_rows // 100_000)
+    hot = rows.groupBy(key).count().where(F.col("count") > fair).select(key, F.ceil(F.col("count") / fair).cast("int").alias("__parts")).collect()  # at most 100,000
+    if not hot:
+        return rows.join(table, key)
+    parts = F.broadcast(rows.sparkSession.createDataFrame(hot, rows.select(key).schema.add("__parts", "int")))
+    dealt = rows.join(parts, key, "left").withColumn("__part", F.coalesce(F.pmod(F.xxhash64(within), F.col("__parts")).cast("int"), F.lit(0))).drop("__parts")
+    repeated = table.join(parts, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
+    return dealt.join(repeated, [key, "__part"]).drop("__part")
+
+
 #: Multiplier and modulus that spread() mixes with.
 SPREAD = (1103515245, 2147483647)
 

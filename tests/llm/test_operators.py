@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.llm import ann, chat, jaccard, langid, licenses, mixing, packing, pii, queries, tokens, voronoi
+from tallyforge.llm.graph import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -493,6 +494,15 @@ def test_large_groups_of_near_copies_cost_no_block_of_each_pair(spark, monkeypat
     assert len(met) == 2 and met[0] <= 40 and met[1] <= 50, met
 
 
+def test_components_with_hubs_and_chains(spark):
+    edges = [(0, i) for i in range(1, 3000)] + [(5000 + i, 5001 + i) for i in range(60)] + [(9000, 9001), (9001, 9000), (9100, 9100)]
+    rng = random.Random(17)
+    rng.shuffle(edges)
+    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(3000)} | {5000 + i: 5000 for i in range(61)} | {9000: 9000, 9001: 9000}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 # ---- 5 licenses
 
 
