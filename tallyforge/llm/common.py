@@ -113,7 +113,7 @@ def looked_up(rows: DataFrame, key: str, table: DataFrame, n_rows: int, within:
     hot = rows.groupBy(key).count().where(F.col("count") > fair).select(key, F.ceil(F.col("count") / fair).cast("int").alias("__parts")).collect()  # at most 100,000
     if not hot:
         return rows.join(table, key)
-    parts = F.broadcast(rows.sparkSession.createDataFrame(hot, rows.select(key).schema.add("__parts", "int")))
+    parts = F.broadcast(rows.sparkSession.createDataFrame(hot, with_fields(rows.select(key).schema.fields, "__parts int")))
     dealt = rows.join(parts, key, "left").withColumn("__part", F.coalesce(F.pmod(F.xxhash64(within), F.col("__parts")).cast("int"), F.lit(0))).drop("__parts")
     repeated = table.join(parts, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
     return dealt.join(repeated, [key, "__part"]).drop("__part")
