@@ -14,6 +14,8 @@ either side, and wider ones as long as it is cut.
 from __future__ import annotations
 
 import hashlib
+import io
+import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -29,6 +31,8 @@ KINDS = ("email", "ip", "card", "phone")
 #: Window and its step; least probability of a label along an added span; documents and characters of the training sample.
 WINDOW, STEP, SURE, SAMPLE, PASSAGE = 96, 48, 0.9, 400, 600
 HIDDEN, EMBED = 20, 14
+#: Passages with planted spans that training draws its windows from.
+EXAMPLES = 6000
 
 _host = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _ip = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -130,56 +134,70 @@ class Tagger:
     def fresh(cls, rng: np.random.Generator) -> Tagger:
         r = lambda *s: (rng.normal(size=s) / np.sqrt(s[0])).astype(np.float32)
         p = {"embed": r(SYMBOLS, EMBED) * 2, "out": r(2 * HIDDEN, LABELS), "bias": np.zeros(LABELS, np.float32), "moves": np.zeros((LABELS, LABELS), np.float32)}
-        for d in "fb":
-            p |= {f"w{d}": r(EMBED, 4 * HIDDEN), f"u{d}": r(HIDDEN, 4 * HIDDEN), f"c{d}": np.zeros(4 * HIDDEN, np.float32)}
-            p[f"c{d}"][HIDDEN : 2 * HIDDEN] = 1  # remember at first
+        # both directions, forward first
+        p |= {"w": np.stack([r(EMBED, 4 * HIDDEN) for _ in "fb"]), "u": np.stack([r(HIDDEN, 4 * HIDDEN) for _ in "fb"]), "c": np.zeros((2, 1, 4 * HIDDEN), np.float32)}
+        p["c"][..., HIDDEN : 2 * HIDDEN] = 1  # remember at first
         return cls(p)
 
-    def _lstm(self, x: np.ndarray, d: str, keep: list | None = None) -> np.ndarray:
-        """States along x: (time, window) of symbols; d: f forward, b backward."""
-        gates = (self.p["embed"] @ self.p[f"w{d}"] + self.p[f"c{d}"])[x]  # a row for each symbol
+    def to_bytes(self) -> bytes:
+        """The tagger to be kept, so that it need not be fitted again."""
+        out = io.BytesIO()
+        np.savez(out, **self.p)
+        return out.getvalue()
+
+    @classmethod
+    def from_bytes(cls, raw: bytes) -> Tagger:
+        with np.load(io.BytesIO(raw)) as kept:
+            return cls(dict(kept))
+
+    def _lstm(self, x: np.ndarray, keep: list | None = None) -> np.ndarray:
+        """States of both directions along x: (time, window) of symbols."""
+        table = self.p["embed"] @ self.p["w"] + self.p["c"]  # a row for each symbol
+        gates = np.stack([table[0][x], table[1][x[::-1]]], axis=1)
         n, w = x.shape
-        h = c = np.zeros((w, HIDDEN), np.float32)
-        out = np.empty((n, w, HIDDEN), np.float32)
-        for t in range(n) if d == "f" else range(n - 1, -1, -1):
-            z = gates[t] + h @ self.p[f"u{d}"]
-            i, f, o = (_sigmoid(z[:, k * HIDDEN : (k + 1) * HIDDEN]) for k in (0, 1, 2))
-            g = np.tanh(z[:, 3 * HIDDEN :])
+        h = c = np.zeros((2, w, HIDDEN), np.float32)
+        out = np.empty((n, 2, w, HIDDEN), np.float32)
+        for t in range(n):
+            z = gates[t] + h @ self.p["u"]
+            s, g = _sigmoid(z[..., : 3 * HIDDEN]), np.tanh(z[..., 3 * HIDDEN :])
             before, last = c, h
-            c = f * c + i * g
+            c = s[..., HIDDEN : 2 * HIDDEN] * c + s[..., :HIDDEN] * g
             tc = np.tanh(c)
-            h = o * tc
-            out[t] = h
+            h = np.multiply(s[..., 2 * HIDDEN :], tc, out=out[t])
             if keep is not None:
-                keep.append((t, i, f, o, g, before, tc, last))
-        return out
+                keep.append((s, g, before, tc, last))
+        return np.concatenate([out[:, 0], out[::-1, 1]], axis=2)
 
-    def _back(self, x: np.ndarray, d: str, kept: list, dout: np.ndarray, grad: dict) -> None:
-        u = self.p[f"u{d}"]
+    def _back(self, x: np.ndarray, kept: list, dout: np.ndarray, grad: dict) -> None:
+        back = self.p["u"].transpose(0, 2, 1)
+        dout = np.stack([dout[..., :HIDDEN], dout[::-1, :, HIDDEN:]], axis=1)
         dh = dc = np.zeros_like(dout[0])
-        dz = np.empty((*x.shape, 4 * HIDDEN), np.float32)
-        du = np.zeros_like(u)
-        for t, i, f, o, g, before, tc, last in reversed(kept):
+        dz = np.empty((len(x), 2, x.shape[1], 4 * HIDDEN), np.float32)
+        du = np.zeros_like(self.p["u"])
+        for t in range(len(x) - 1, -1, -1):
+            s, g, before, tc, last = kept[t]
+            i, f, o = (s[..., k * HIDDEN : (k + 1) * HIDDEN] for k in (0, 1, 2))
             dh = dh + dout[t]
             dc = dc + dh * o * (1 - tc * tc)
             z = dz[t]
-            z[:, :HIDDEN] = dc * g * i * (1 - i)
-            z[:, HIDDEN : 2 * HIDDEN] = dc * before * f * (1 - f)
-            z[:, 2 * HIDDEN : 3 * HIDDEN] = dh * tc * o * (1 - o)
-            z[:, 3 * HIDDEN :] = dc * i * (1 - g * g)
-            du += last.T @ z
-            dh, dc = z @ u.T, dc * f
-        by_symbol = np.zeros((SYMBOLS, 4 * HIDDEN), np.float32)
-        np.add.at(by_symbol, x.reshape(-1), dz.reshape(-1, 4 * HIDDEN))
-        grad[f"u{d}"], grad[f"c{d}"] = du, by_symbol.sum(0)
-        grad[f"w{d}"] = self.p["embed"].T @ by_symbol
-        grad["embed"] = grad.get("embed", 0) + by_symbol @ self.p[f"w{d}"].T
+            z[..., :HIDDEN] = dc * g
+            z[..., HIDDEN : 2 * HIDDEN] = dc * before
+            z[..., 2 * HIDDEN : 3 * HIDDEN] = dh * tc
+            z[..., : 3 * HIDDEN] *= s * (1 - s)
+            z[..., 3 * HIDDEN :] = dc * i * (1 - g * g)
+            du += last.transpose(0, 2, 1) @ z
+            dh, dc = z @ back, dc * f
+        which = [(x[::step].reshape(-1) == np.arange(SYMBOLS)[:, None]).astype(np.float32) for step in (1, -1)]
+        by_symbol = np.stack([which[k] @ dz[:, k].reshape(-1, 4 * HIDDEN) for k in (0, 1)])
+        grad["u"], grad["c"] = du, by_symbol.sum(1, keepdims=True)
+        grad["w"] = self.p["embed"].T @ by_symbol
+        grad["embed"] = (by_symbol @ self.p["w"].transpose(0, 2, 1)).sum(0)
 
     def emissions(self, x: np.ndarray, keep: dict | None = None) -> np.ndarray:
-        kf, kb = ([], []) if keep is not None else (None, None)
-        h = np.concatenate([self._lstm(x, "f", kf), self._lstm(x, "b", kb)], axis=2)
+        kept: list | None = [] if keep is not None else None
+        h = self._lstm(x, kept)
         if keep is not None:
-            keep |= {"f": kf, "b": kb, "h": h}
+            keep |= {"steps": kept, "h": h}
         return h @ self.p["out"] + self.p["bias"]
 
     def _moves(self) -> np.ndarray:
@@ -201,7 +219,7 @@ class Tagger:
         for t in range(len(x) - 1, -1, -1):
             if t < len(x) - 1:
                 ahead = x[t + 1] * beta
-                norm = np.einsum("ni,ij,nj->n", alpha[t], moves, ahead)
+                norm = ((alpha[t] @ moves) * ahead).sum(1)
                 pairs += moves * (alpha[t].T @ (ahead / norm[:, None]))
                 beta = ahead @ moves.T
                 beta /= beta.max(1, keepdims=True)
@@ -233,39 +251,38 @@ class Tagger:
         de = prob.copy()
         np.put_along_axis(de, y[:, :, None].astype(np.int64), np.take_along_axis(de, y[:, :, None].astype(np.int64), 2) - 1, 2)
         de = (de / n).astype(np.float32)
-        seen = np.zeros_like(pairs)
-        np.add.at(seen, (y[:-1].reshape(-1), y[1:].reshape(-1)), 1.0)
+        seen = np.bincount((y[:-1] * LABELS + y[1:]).reshape(-1), minlength=LABELS**2).reshape(LABELS, LABELS)
         grad = {"moves": ((pairs - seen) / n * _ALLOWED).astype(np.float32), "bias": de.sum((0, 1)), "out": kept["h"].reshape(-1, 2 * HIDDEN).T @ de.reshape(-1, LABELS)}
         dh = de @ self.p["out"].T
-        self._back(x, "f", kept["f"], dh[:, :, :HIDDEN], grad)
-        self._back(x, "b", kept["b"], dh[:, :, HIDDEN:], grad)
+        self._back(x, kept["steps"], dh, grad)
         return log - float(gold) / n, grad
 
 
 # ---- training data
 
-def _draw(rng: np.random.Generator, passages: list[str]) -> tuple[str, list[Span]]:
+def _draw(rng: random.Random, passages: list[str]) -> tuple[str, list[Span]]:
     """A passage with spans of personal data and look-alikes planted in it."""
-    text = passages[int(rng.integers(len(passages)))]
-    at = int(rng.integers(0, max(1, len(text) - 2 * WINDOW)))
+    text = rng.choice(passages)
+    at = rng.randrange(max(1, len(text) - 2 * WINDOW))
     words = text[at : at + 2 * WINDOW].split(" ")
-    digits = lambda n: "".join(str(d) for d in rng.integers(0, 10, n))
-    pick = lambda *x: x[int(rng.integers(len(x)))]
-    word = lambda: re.sub("[^a-z]", "", words[int(rng.integers(len(words)))].lower()) or "mail"
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+    pick = lambda *x: rng.choice(x)
+    word = lambda: re.sub("[^a-z]", "", rng.choice(words).lower()) or "mail"
     out, spans = "", []
     for k, w in enumerate(words):
         out += " " * (k > 0) + w
         if rng.random() > 0.12:
             continue
-        kind = int(rng.integers(0, 8))
+        kind = rng.randrange(8)
         if kind == 0:
             user = word() + pick("", "." + word(), digits(2), "_" + digits(1))
             host = [word() + pick("", digits(1), "-" + word()) for _ in range(pick(1, 1, 1, 2, 2, 3))] + [pick("com", "org", "net", "example.com", "de", "fr", "es", "edu")]
             dots = lambda spelled: host[0] + "".join(pick(spelled, spelled, spelled, ".") + h for h in host[1:-1]) + spelled + host[-1]
             new = pick(f"{user}@{dots('.')}", f"{user}@{dots('.')}", f"{user} [at] {dots(' [dot] ')}", f"{user}[at]{dots('.')}", f"{user} (at) {dots(' (dot) ')}", f"{user} at {dots(' dot ')}", f"{user} at {dots(pick('.', ' [dot] ', ' (dot) '))}", f"{user} @ {dots('.')}")
         elif kind == 1:
-            hexes = [f"{int(v):x}" for v in rng.integers(0, 65536, 8)]
-            new = pick(".".join(str(v) for v in rng.integers(0, 256, 4)), ".".join(str(v) for v in rng.integers(0, 256, 4)), ":".join(hexes), "2001:db8::" + ":".join(hexes[:2]))
+            hexes = [f"{rng.randrange(65536):x}" for _ in range(8)]
+            dotted = ".".join(str(rng.randrange(256)) for _ in range(4))
+            new = pick(dotted, dotted, ":".join(hexes), "2001:db8::" + ":".join(hexes[:2]))
         elif kind == 2:
             n = digits(15)
             n += next(c for c in "0123456789" if luhn(n + c))
@@ -276,9 +293,12 @@ def _draw(rng: np.random.Generator, passages: list[str]) -> tuple[str, list[Span
             new = pick(f"+1 ({a}) {b}-{c}", f"+{digits(2)} {digits(3)} {digits(7)}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"00{digits(2)} {a} {b} {c}", f"tel:{a}-{b}-{c}"[4:])
         else:  # no personal data
             new = pick(
-                digits(int(rng.integers(1, 9))), digits(int(rng.integers(10, 30))), f"{digits(1)}.{digits(1)}", f"v{digits(1)}.{digits(2)}.{digits(1)}", f"20{digits(2)}-0{digits(1)}-1{digits(1)}", f"1{digits(1)}:{digits(2)}:{digits(2)}", f"{digits(2)}%", f"${digits(3)}.{digits(2)}",
-                "AKIA" + "".join(pick(*"ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16)), "".join(pick(*"abcdef0123456789") for _ in range(32)), f"{digits(3)},{digits(3)},{digits(3)}", f"{digits(2)}.{digits(2)}.20{digits(2)}", f"@{word()}", f"{word()} at {word()}", f"#{digits(4)}", f"({digits(1)})", f"ghp_{digits(6)}{word()}{digits(5)}", f"id={digits(5)}-{digits(3)}", f"{word()}{digits(2)}",
-            )
+                lambda: digits(rng.randrange(1, 9)), lambda: digits(rng.randrange(10, 30)), lambda: f"{digits(1)}.{digits(1)}", lambda: f"v{digits(1)}.{digits(2)}.{digits(1)}",
+                lambda: f"20{digits(2)}-0{digits(1)}-1{digits(1)}", lambda: f"1{digits(1)}:{digits(2)}:{digits(2)}", lambda: f"{digits(2)}%", lambda: f"${digits(3)}.{digits(2)}",
+                lambda: "AKIA" + "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", k=16)), lambda: "".join(rng.choices("abcdef0123456789", k=32)), lambda: f"{digits(3)},{digits(3)},{digits(3)}",
+                lambda: f"{digits(2)}.{digits(2)}.20{digits(2)}", lambda: f"@{word()}", lambda: f"{word()} at {word()}", lambda: f"#{digits(4)}", lambda: f"({digits(1)})",
+                lambda: f"ghp_{digits(6)}{word()}{digits(5)}", lambda: f"id={digits(5)}-{digits(3)}", lambda: f"{word()}{digits(2)}",
+            )()
             kind = -1
         start = len(out) + 1
         out += " " + new
@@ -288,27 +308,33 @@ def _draw(rng: np.random.Generator, passages: list[str]) -> tuple[str, list[Span
     return out, spans
 
 
+def _labelled(rng: random.Random, passages: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols and labels of a drawn passage, what the corpus itself holds included."""
+    text, taken = _draw(rng, passages)
+    for s in patterns(text):
+        if all(s[1] <= t[0] or t[1] <= s[0] for t in taken):
+            taken.append(s)
+    x, y = symbols(text), np.zeros(len(text), np.int64)
+    for start, end, kind in taken:
+        y[start:end] = 2 + 2 * kind
+        y[start] = 1 + 2 * kind
+    return x, y
+
+
 def train(passages: list[str], *, seed: int = 5, rounds: int = 600, batch: int = 48) -> Tagger | None:
-    """Fit a tagger to passages of the corpus; None without any."""
+    """Fit a tagger to passages of the corpus; None without any. EXAMPLES passages are drawn, and windows of them at any place."""
     passages = [p for p in passages if p.strip()]
     if not passages:
         return None
-    rng = np.random.default_rng(seed)
+    rng, draw = np.random.default_rng(seed), random.Random(seed)
     tagger, m, v = Tagger.fresh(rng), {}, {}
+    examples = [_labelled(draw, passages) for _ in range(EXAMPLES)]
     for k in range(1, rounds + 1):
         xs, ys = [], []
-        while len(xs) < batch:
-            text, spans = _draw(rng, passages)
-            taken = list(spans)
-            for s in patterns(text):  # what the corpus itself holds
-                if all(s[1] <= t[0] or t[1] <= s[0] for t in taken):
-                    taken.append(s)
-            x, y = symbols(text), np.zeros(len(text), np.int64)
-            for start, end, kind in taken:
-                y[start:end] = 2 + 2 * kind
-                y[start] = 1 + 2 * kind
+        for i in rng.integers(0, EXAMPLES, batch).tolist():
+            x, y = examples[i]
             at = int(rng.integers(0, max(1, len(x) - WINDOW)))
-            x, y = x[at : at + WINDOW], y[at : at + WINDOW]
+            x, y = x[at : at + WINDOW], y[at : at + WINDOW].copy()
             if len(y) and y[0] and y[0] % 2 == 0:  # a cut span begins at the window
                 y[0] -= 1
             xs.append(np.pad(x, (0, WINDOW - len(x)), constant_values=30))

@@ -80,7 +80,7 @@ def test_tagger_adds_spans_and_leaves_clean_text(tagger):
 
 def test_windows_without_signs_change_nothing(tagger, spark, sf):
     texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").limit(25).collect()]
-    rng = np.random.default_rng(0)
+    rng = random.Random(0)
     texts += [pii._draw(rng, texts)[0] for _ in range(40)]
     assert pii.find(tagger, texts) == pii.find(tagger, texts, every=True)
 
@@ -145,7 +145,7 @@ def test_query_equals_plain_patterns_and_adds_spans(spark, sf):
 
 def test_tagger_on_passages_that_it_was_not_fitted_to(tagger, spark):
     """Planted spans of held-out passages: how many are found exactly, and how many of the found ones were planted (or match a pattern)."""
-    rng = np.random.default_rng(99)
+    rng = random.Random(99)
     passages = [r.text[:600] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id % 7 = 3 AND length(text) > 200").limit(100).collect()]
     planted = hit = made = right = 0
     for _ in range(150):
@@ -158,6 +158,25 @@ def test_tagger_on_passages_that_it_was_not_fitted_to(tagger, spark):
     assert hit / planted >= 0.8 and right / made >= 0.9
 
 
+def test_gradient_and_kept_tagger():
+    rng = np.random.default_rng(0)
+    t = pii.Tagger.fresh(rng)
+    t.p = {k: v.astype(np.float64) for k, v in t.p.items()}
+    x, y = rng.integers(0, pii.SYMBOLS, (12, 5)), np.zeros((12, 5), int)
+    y[3], y[4] = 1, 2
+    _, grad = t.step(x, y)
+    for name, at in (("embed", (int(x[2, 1]), 3)), ("w", (0, 5, 34)), ("w", (1, 5, 3)), ("u", (1, 15, 39)), ("c", (0, 0, 70)), ("out", (31, 1)), ("bias", (0,)), ("moves", (1, 2))):
+        value, step = t.p[name][at], 1e-3
+        losses = []
+        for sign in (1, -1):
+            t.p[name][at] = value + sign * step
+            losses.append(t.step(x, y)[0])
+        t.p[name][at] = value
+        assert (losses[0] - losses[1]) / (2 * step) == pytest.approx(grad[name][at], rel=1e-2, abs=1e-5), name
+    again = pii.Tagger.from_bytes(t.to_bytes())
+    assert (again.emissions(x) == t.emissions(x)).all()
+
+
 def test_spans_are_reconciled_globally():
     spans = {(0, 10, 0): 0.9, (5, 20, 1): 0.95, (12, 20, 2): 0.9, (30, 35, 3): 0.5}
     assert pii._disjoint(spans) == [(0, 10, 0), (12, 20, 2), (30, 35, 3)]
