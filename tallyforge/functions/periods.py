@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,29 +33,51 @@ def fiscal_year(year: Column, month: Column) -> Column:
     return year + (month >= 4).cast("int")
 
 
-def _rules(s: Column) -> list[tuple[str, Column]]:
-    """What a period can look like, in order, and what it then is. The notations."""
+def _quarter(y: Column, q: Column) -> Column:
+    return F.concat(_fy(_year(y)), F.lit("-Q"), q.cast("int").cast("string"))
+
+
+def _dated(y: Column, m: Column) -> Column:
+    return _fy(fiscal_year(_year(y), m))
+
+
+# The notations of a period, in order, and what a text in each of them is.
+NOTATIONS = [
+    (r"FY\s*(\d{2,4})", lambda y: _fy(_year(y))),
+    (r"FY\s*(\d{2,4})[_-]M(\d{1,2})", lambda y, m: F.concat(_fy(_year(y)), F.lit("-M"), _two(m))),
+    (r"FY\s*(\d{2,4})[_-]?Q(\d)", _quarter),
+    (r"Q(\d)\s*FY\s*(\d{2,4})", lambda q, y: _quarter(y, q)),
+    (_MON + r"[\s-](\d{2,4})", lambda m, y: F.concat(_dated(y, _month(m)), F.lit("-M"), _two(F.pmod(_month(m) + 8, F.lit(12)) + 1))),
+    (r"FY\s*(\d{4})\s*[-–]\s*(\d{2,4})", lambda _, y: _fy(F.when(F.length(y) == 4, y.cast("int")).otherwise(y.cast("int") + 2000))),
+    (r"FY\s*(\d{2,4})[AEP]", lambda y: _fy(_year(y))),
+    (r"Q([1-4])['’](\d{2,4})", lambda q, y: _quarter(y, q)),
+    (r"(\d{1,2})[\s-]" + _MON + r"[\s-](\d{2,4})", lambda _, m, y: _dated(y, _month(m))),
+    (r"(\d{1,2})[./-](\d{1,2})[./-](\d{2,4})", lambda _, m, y: _dated(y, m.cast("int"))),
+    (r"CY\s*(\d{4})", lambda y: F.concat(F.lit("CY"), y)),
+    (r"(20\d{2})", lambda y: F.concat(F.lit("CY"), y)),
+]
+
 
-    def rule(pattern: str, build) -> tuple[str, Column]:
+def _rules(s: Column) -> list[tuple[str, Column]]:
+    out = []
+    for pattern, build in NOTATIONS:
         whole = f"(?i)^{pattern}$"
-        return whole, build(*(F.regexp_extract(s, whole, k) for k in range(1, pattern.count("(") - pattern.count("(?") + 1)))
-
-    quarter = lambda y, q: F.concat(_fy(_year(y)), F.lit("-Q"), q.cast("int").cast("string"))
-    dated = lambda y, m: _fy(fiscal_year(_year(y), m))
-    return [
-        rule(r"FY\s*(\d{2,4})", lambda y: _fy(_year(y))),
-        rule(r"FY\s*(\d{2,4})[_-]M(\d{1,2})", lambda y, m: F.concat(_fy(_year(y)), F.lit("-M"), _two(m))),
-        rule(r"FY\s*(\d{2,4})[_-]?Q(\d)", quarter),
-        rule(r"Q(\d)\s*FY\s*(\d{2,4})", lambda q, y: quarter(y, q)),
-        rule(_MON + r"[\s-](\d{2,4})", lambda m, y: F.concat(dated(y, _month(m)), F.lit("-M"), _two(F.pmod(_month(m) + 8, F.lit(12)) + 1))),
-        rule("FY\\s*(\\d{4})\\s*[-–]\\s*(\\d{2,4})", lambda _, y: _fy(F.when(F.length(y) == 4, y.cast("int")).otherwise(y.cast("int") + 2000))),
-        rule(r"FY\s*(\d{2,4})[AEP]", lambda y: _fy(_year(y))),
-        rule(r"Q([1-4])'(\d{2,4})", lambda q, y: quarter(y, q)),
-        rule(r"(\d{1,2})[\s-]" + _MON + r"[\s-](\d{2,4})", lambda _, m, y: dated(y, _month(m))),
-        rule(r"(\d{1,2})[./-](\d{1,2})[./-](\d{2,4})", lambda _, m, y: dated(y, m.cast("int"))),
-        rule(r"CY\s*(\d{4})", lambda y: F.concat(F.lit("CY"), y)),
-        rule(r"(20\d{2})", lambda y: F.concat(F.lit("CY"), y)),
-    ]
+        out.append((whole, build(*(F.regexp_extract(s, whole, k) for k in range(1, re.compile(pattern).groups + 1)))))
+    return out
+
+
+def mentions(text: str) -> list[tuple[int, int]]:
+    """Where a text has a period in one of the notations: the longest at each place, by place."""
+    longest: dict[int, int] = {}
+    for pattern, _ in NOTATIONS:
+        for m in re.finditer(pattern, text, re.I):
+            longest[m.start()] = max(m.end(), longest.get(m.start(), 0))
+    return sorted(longest.items())
+
+
+def mentioned(text: Column) -> Column:
+    """Whether a text has a period in one of the notations."""
+    return text.rlike("(?i)" + "|".join(pattern for pattern, _ in NOTATIONS))
 
 
 def parse_period(raw: Column) -> Column:

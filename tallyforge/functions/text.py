@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+def local_rows(spark: SparkSession, values: list) -> DataFrame:
+    """place and value of a few values, as a relation that is evaluated on the driver without a job."""
+    rows = ", ".join(f"({i}, :v{i})" for i in range(len(values)))
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS rows(place, value)", args={f"v{i}": v for i, v in enumerate(values)})
+
+
 BLANK = ("", "-", "—", "n/a", "na")
 
 
@@ -39,8 +45,7 @@ def fact_id(slug: Column, period: Column, metric: Column) -> Column:
 # What counts as a numerical claim, in the order in which claims are listed.
 CLAIMS = {
     "currency": r"(?i)(?:Rs\.?\s*|INR\s*|\$\s*|USD\s*)?\d[\d,]*\.?\d*\s*(?:lakh|lakhs|crore|crores|million|billion|thousand|mn|bn|cr\.?)\b",
-    "period": r"(?i)(?:FY\s*\d{2,4}|FY\s*\d{2,4}[-_]Q[1-4]|FY\s*\d{2,4}[-_]M\d{1,2}|CY\s*\d{4}|Q[1-4]\s*['" + "’" + r"]?\d{2}|\d{1,2}[.-]\d{2}[.-]\d{2,4}"
-    r"|\d{1,2}[-\s](?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*[-\s]\d{2,4})",
+    "period": r"(?i)(?:FY\s*\d{2,4}|FY\s*\d{2,4}[-_]Q[1-4]|FY\s*\d{2,4}[-_]M\d{1,2}|CY\s*\d{4}|Q[1-4]\s*['’]?\d{2}|\d{1,2}[.-]\d{2}[.-]\d{2,4}|\d{1,2}[-\s](?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*[-\s]\d{2,4})",
     "percentage": r"\d+\.?\d*\s*%",
     "bare_large_number": r"\b\d{6,}\b",
     "multiplier": r"\d+\.?\d*\s*x\b",

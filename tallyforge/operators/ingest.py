@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions import periods, units
 from ..functions.aliases import resolve_headers
-from ..functions.text import cell_reference, parse_number
+from ..functions.text import cell_reference, parse_number, slugify
 from ..registry import LEDGER_WORDS, METRICS
 
 SHEET = ["file_id", "sheet"]
@@ -28,9 +28,10 @@ SCALES = ("crore", "lakh", "lacs", "lakhs", "cr.", "thousand", "000", "million")
 UNIT_WORDS = (*SCALES, "rs.", "inr", "usd", "rupee")
 _DISCLAIMER = r"(?i)all numbers|unless mentioned|figures in|amounts in|values in|note:|notes:|source:|currency:|in rs\.|in inr\b"
 NOT_NAMES = (
-    "pnl pl balance sheet bs monthly annual quarterly audited accounts mis management report financials financial data fy fy22 fy23 fy24 "
-    "fy25 fy26 cim deck model final v1 v2 v3 revised draft copy export tally summary detail detailed overview income statement profit loss p&l"
-).split()
+    "pnl", "pl", "balance", "sheet", "bs", "monthly", "annual", "quarterly", "audited", "accounts", "mis", "management", "report", "financials",
+    "financial", "data", "fy", "fy22", "fy23", "fy24", "fy25", "fy26", "cim", "deck", "model", "final", "v1", "v2", "v3", "revised", "draft", "copy",
+    "export", "tally", "summary", "detail", "detailed", "overview", "income", "statement", "profit", "loss", "p&l",
+)
 
 
 def if_small(df: DataFrame, most_rows: int = 500_000) -> DataFrame:
@@ -152,7 +153,7 @@ def annotations(table: DataFrame) -> DataFrame:
 def entity_names(sheets: DataFrame, files: DataFrame) -> DataFrame:
     """file_id and entity_name: from the preamble, else from the file's name. sheets: discover(); files: file_id, filename."""
     number = r"^\d{2,4}$"
-    kept = lambda words: F.filter(words, lambda w: (w != "") & ~w.rlike(number) & ~F.lower(w).isin(NOT_NAMES))
+    kept = lambda words: F.filter(words, lambda w: (w != "") & ~w.rlike(number) & ~F.lower(w).isin(*NOT_NAMES))
     lines = F.filter("preamble", lambda t: ~t.rlike(_DISCLAIMER))
     bare = F.transform(lines, lambda t: F.trim(F.split(F.trim(F.regexp_replace(t, r"\(.*?\)", "")), r"\s*[-|:]\s*")[0]))
     names = F.filter(F.transform(bare, lambda t: F.array_join(kept(F.split(t, r"[\s_]+")), " ")), lambda t: F.length(t) >= 3)
@@ -164,6 +165,15 @@ def entity_names(sheets: DataFrame, files: DataFrame) -> DataFrame:
     return files.join(first, "file_id", "left").select("file_id", F.coalesce(F.get(names, F.lit(0)), F.when(from_file != "", from_file), whole).alias("entity_name"))
 
 
+def same_names(names: DataFrame, known: DataFrame) -> DataFrame:
+    """names (file_id, entity_name), with the name of a known entity (entity_id, entity_name, entity_slug) where it has the same letters and digits, or its slug is part of the name's; the first entity wins."""
+    squeezed = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
+    have = known.select("entity_id", F.col("entity_name").alias("known"), "entity_slug")
+    fits = (squeezed(F.col("known")) == squeezed(F.col("entity_name"))) | slugify(F.col("entity_name")).contains(F.col("entity_slug"))
+    best = names.join(F.broadcast(have) if have.limit(10_001).count() <= 10_000 else have, fits).groupBy("file_id").agg(F.min_by("known", "entity_id").alias("known"))
+    return names.join(best, "file_id", "left").select("file_id", F.coalesce("known", "entity_name").alias("entity_name"))
+
+
 def stage(facts: DataFrame, files: DataFrame, last_id: int = 0) -> DataFrame:
     """Facts with the entity of their file and staging ids that depend only on where a fact stands. The files of a load are
     few next to its facts: ids count within a file, after the sizes of the files before it."""

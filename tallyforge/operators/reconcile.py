@@ -10,11 +10,16 @@ from ..functions.text import fact_id
 KEY = ["entity_id", "canonical_field", "period"]
 
 
-def detect_conflicts(staging: DataFrame, files: DataFrame, *, tolerance: float = 0.0) -> DataFrame:
+def _scoped(staging: DataFrame, file_ids: list[int] | None) -> DataFrame:
+    return staging if file_ids is None else staging.where(F.col("file_id").isin(*file_ids))
+
+
+def detect_conflicts(staging: DataFrame, files: DataFrame, *, tolerance: float = 0.0, file_ids: list[int] | None = None) -> DataFrame:
     """Keys with more than one value: n_values, staging_ids and options (staging_id, value, source), all in one aggregation.
 
-    tolerance: values within this share of the largest agree (0: any two different values conflict).
+    tolerance: values within this share of the largest agree (0: any two different values conflict). file_ids: only facts of these files.
     """
+    staging = _scoped(staging, file_ids)
     rows = staging.join(files.select("file_id", "filename"), "file_id") if "filename" not in staging.columns else staging
     low, high = F.min("value_normalised"), F.max("value_normalised")
     grouped = rows.groupBy(*KEY).agg(
@@ -37,8 +42,17 @@ def resolve(conflicts: DataFrame, policy: str = "first", pattern: str | None = N
     return conflicts.select(*KEY, first.alias("resolution_staging_id"), F.lit("RESOLVED").alias("state"))
 
 
-def promote(staging: DataFrame, decisions: DataFrame, slugs: DataFrame, *, compat: bool = False) -> DataFrame:
-    """One live fact for each key: the decided row, else the one staged first; keys with an open conflict are left out."""
+def settled(decisions: DataFrame, resolutions: DataFrame) -> DataFrame:
+    """Decisions, with what users have resolved in their place. resolutions: the key, resolution_staging_id and resolved_by, once for each key."""
+    said = resolutions.select(*KEY, F.col("resolution_staging_id").alias("said"), "resolved_by")
+    joined = decisions.join(said, KEY, "left")
+    state = F.when(F.col("said").isNotNull(), "RESOLVED").otherwise(F.col("state"))
+    return joined.select(*KEY, F.coalesce("said", "resolution_staging_id").alias("resolution_staging_id"), state.alias("state"), "resolved_by")
+
+
+def promote(staging: DataFrame, decisions: DataFrame, slugs: DataFrame, *, compat: bool = False, file_ids: list[int] | None = None) -> DataFrame:
+    """One live fact for each key: the decided row, else the one staged first; keys with an open conflict are left out. file_ids: only facts of these files."""
+    staging = _scoped(staging, file_ids)
     open_keys = decisions.where("state = 'OPEN'").select(*KEY)
     decided = decisions.where("state = 'RESOLVED'").select(*KEY, "resolution_staging_id")
     rows = staging.join(open_keys, KEY, "left_anti").join(decided, KEY, "left")

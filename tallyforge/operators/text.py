@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,11 +19,13 @@ from ..functions.text import CLAIMS
 MOST, LEAST = 300, 150
 DIMENSIONS = 384
 _sentence = re.compile(r"(?:[^.!?]|[.!?](?=\S))*[.!?]+(?=\s|$)\s*|.+$", re.S)
+_digit = re.compile(r"\d")
 _claims = {kind: re.compile(pattern) for kind, pattern in CLAIMS.items()}
 
 
 def _count(text: str) -> int:
-    return len(re.split(r"\s+", text.strip()))
+    """Words between white space; an empty text has one."""
+    return len(text.split()) or 1
 
 
 def is_heading(paragraph: str) -> bool:
@@ -42,18 +45,18 @@ def _sections(text: str, section: str) -> list[tuple[str, str]]:
 
 def _packed(body: str) -> list[str]:
     """A long section in runs of sentences, each run beginning with the last sentence of the one before."""
-    runs, current, words = [], [], 0
+    runs, current, words = [], [], 0  # current: sentences with their words
     for s in (m.group().strip() for m in _sentence.finditer(body)):
         if not s:
             continue
         n = _count(s)
         if current and words + n > MOST:
-            runs.append(" ".join(current))
-            current = [current[-1]] if _count(current[-1]) + n <= MOST else []
-            words = sum(map(_count, current))
-        current.append(s)
+            runs.append(" ".join(t for t, _ in current))
+            current = [current[-1]] if current[-1][1] + n <= MOST else []
+            words = sum(k for _, k in current)
+        current.append((s, n))
         words += n
-    return [*runs, " ".join(current)] if current else runs
+    return [*runs, " ".join(t for t, _ in current)] if current else runs
 
 
 def chunk_text(text: str, section: str = "") -> list[tuple[str, str]]:
@@ -63,18 +66,22 @@ def chunk_text(text: str, section: str = "") -> list[tuple[str, str]]:
         chunks += [(name, body)] if _count(body) <= MOST else [(name, run) for run in _packed(body)]
     if not chunks:
         return [(section, text.strip())]
-    out = [chunks[0]]
+    out, last = [chunks[0]], _count(chunks[0][1])
     for name, body in chunks[1:]:
-        last_name, last = out[-1]
-        if _count(last) < LEAST and _count(last) + _count(body) <= MOST:
-            out[-1] = (last_name or name, f"{last}\n\n{body}")
+        n = _count(body)
+        if last < LEAST and last + n <= MOST:
+            out[-1] = (out[-1][0] or name, f"{out[-1][1]}\n\n{body}")
+            last += n
         else:
             out.append((name, body))
+            last = n
     return out
 
 
 def find_claims(text: str, radius: int = 50) -> list[dict]:
-    """Numerical claims with what surrounds them, by kind, then place."""
+    """Numerical claims with what surrounds them, by kind, then place. All of them hold a digit."""
+    if not _digit.search(text):
+        return []
     return [
         {"number": m.group(), "type": kind, "context": text[max(0, m.start() - radius) : m.end() + radius]}
         for kind, pattern in _claims.items()
@@ -82,8 +89,20 @@ def find_claims(text: str, radius: int = 50) -> list[dict]:
     ]
 
 
-def chunk_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, chunk_index, section_path, raw_text of every document; packing sentences with a carry is the one sequential step, done in Arrow batches."""
+_CLAIMS_TYPE = "numerical_claims array<struct<number: string, type: string, context: string>>, contains_numerical_claim boolean"
+_claims_type = pa.list_(pa.struct([("number", pa.string()), ("type", pa.string()), ("context", pa.string())]))
+
+
+def _claim_columns(texts: list[str | None]) -> list[pa.Array]:
+    claims = [find_claims(t or "") for t in texts]
+    return [pa.array(claims, _claims_type), pa.array([any(c["type"] != "bare_large_number" for c in x) for x in claims], pa.bool_())]
+
+
+def chunk_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text", claims: bool = False) -> DataFrame:
+    """key, chunk_index, section_path, raw_text of every document; packing sentences with a carry is the one sequential step, done in Arrow batches.
+
+    claims: with what with_claims() adds, in the same pass.
+    """
     kind = dict(docs.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,27 +114,25 @@ def chunk_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
                     index.append(k)
                     section.append(name)
                     body.append(part)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(owner, pa.int32())), pa.array(index, pa.int32()), pa.array(section, pa.string()), pa.array(body, pa.string())],
-                [key, "chunk_index", "section_path", "raw_text"],
-            )
+            columns = [batch.column(0).take(pa.array(owner, pa.int32())), pa.array(index, pa.int32()), pa.array(section, pa.string()), pa.array(body, pa.string())]
+            names = [key, "chunk_index", "section_path", "raw_text"]
+            if claims:
+                columns, names = columns + _claim_columns(body), [*names, "numerical_claims", "contains_numerical_claim"]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, chunk_index int, section_path string, raw_text string")
+    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, chunk_index int, section_path string, raw_text string" + f", {_CLAIMS_TYPE}" * claims)
 
 
 def with_claims(chunks: DataFrame, text: str = "raw_text") -> DataFrame:
     """chunks with numerical_claims and contains_numerical_claim."""
     at = chunks.columns.index(text)
-    kind = pa.list_(pa.struct([("number", pa.string()), ("type", pa.string()), ("context", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            claims = [find_claims(t or "") for t in batch.column(at).to_pylist()]
-            flags = [any(c["type"] != "bare_large_number" for c in x) for x in claims]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(claims, kind), pa.array(flags)], [*batch.schema.names, "numerical_claims", "contains_numerical_claim"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *_claim_columns(batch.column(at).to_pylist())], [*batch.schema.names, "numerical_claims", "contains_numerical_claim"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunks.schema)
-    return chunks.mapInArrow(run, f"{schema}, numerical_claims array<struct<number: string, type: string, context: string>>, contains_numerical_claim boolean")
+    return chunks.mapInArrow(run, f"{schema}, {_CLAIMS_TYPE}")
 
 
 def link_to_facts(chunks: DataFrame, live: DataFrame, *, by: str = "entity_id", text: str = "raw_text", claims: str = "numerical_claims") -> DataFrame:
@@ -136,22 +153,22 @@ def link_to_facts(chunks: DataFrame, live: DataFrame, *, by: str = "entity_id",
     return out.drop("__facts", "__claimed", "__low", "__p", "__m")
 
 
+def hashed_words(texts: list[str]) -> np.ndarray:
+    """The default encoder: hashed words, with signs, at unit length."""
+    out = np.zeros((len(texts), DIMENSIONS), np.float32)
+    for i, t in enumerate(texts):
+        for w in re.findall(r"\w+", t.lower()):
+            h = zlib.crc32(w.encode())
+            out[i, h % DIMENSIONS] += 1 - 2 * (h >> 31)
+    return out / np.maximum(1e-9, np.linalg.norm(out, axis=1, keepdims=True))
+
+
 def embed(text: Column, encoder=None) -> Column:
     """A vector for each text: by an injected encoder (list of texts -> matrix), by default hashed words of fixed dimension."""
     import pandas as pd
     from pyspark.sql.functions import pandas_udf
 
-    def default(texts: list[str]) -> np.ndarray:
-        import zlib
-
-        out = np.zeros((len(texts), DIMENSIONS), np.float32)
-        for i, t in enumerate(texts):
-            for w in re.findall(r"\w+", t.lower()):
-                h = zlib.crc32(w.encode())
-                out[i, h % DIMENSIONS] += 1 - 2 * (h >> 31)
-        return out / np.maximum(1e-9, np.linalg.norm(out, axis=1, keepdims=True))
-
-    work = encoder or default
+    work = encoder or hashed_words
 
     def vectors(texts):
         return pd.Series(list(work([t or "" for t in texts])))

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from decimal import Decimal, getcontext
+from collections.abc import Callable
+from decimal import Context, Decimal
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import local_rows
 from ..functions.units import display
 from .derive import wide
 
-getcontext().prec = 28
+#: Figures are computed with so many digits, whatever the caller's own context is.
+EXACT = Context(prec=28)
 
 
 class ToolError(Exception):
@@ -39,14 +42,17 @@ class DivisionByZero(ToolError):
 
 
 def _exact(value) -> Decimal:
-    return Decimal(str(float(value)))
+    """A stored value as it is, written with at least one place after the point."""
+    plain = f"{value if isinstance(value, Decimal) else Decimal(str(value)):f}"
+    whole, _, places = plain.partition(".")
+    return Decimal(f"{whole}.{places.rstrip('0') or '0'}")
 
 
 class Tools:
-    """Tools over live facts, files, entities and chunks (DataFrames)."""
+    """Tools over live facts, files, entities and chunks (DataFrames). encoder: texts to vectors like those of the chunks; with it context is searched by meaning."""
 
-    def __init__(self, live: DataFrame, files: DataFrame, entities: DataFrame, chunks: DataFrame | None = None) -> None:
-        self.live, self.files, self.entities, self.chunks = live, files, entities, chunks
+    def __init__(self, live: DataFrame, files: DataFrame, entities: DataFrame, chunks: DataFrame | None = None, encoder: Callable | None = None, *, compat: bool = False) -> None:
+        self.live, self.files, self.entities, self.chunks, self.encoder, self.compat = live, files, entities, chunks, encoder, compat
 
     def entity(self, entity: int | str) -> int:
         if isinstance(entity, int):
@@ -60,8 +66,9 @@ class Tools:
         return found[0]["entity_id"]
 
     def _facts(self, entity: int, metric: str, periods: list[str]) -> dict:
-        mine = self.live.where((F.col("entity_id") == entity) & (F.col("canonical_field") == metric))
-        found = {r["period"]: r for r in mine.where(F.col("period").isin(*periods)).collect()}
+        mine = self.live.where(F.col("entity_id") == entity)
+        found = {r["period"]: r for r in facts_of(mine, metric, periods).collect()}
+        mine = mine.where(F.col("canonical_field") == metric)
         for p in periods:
             if p not in found:
                 known = [r["period"] for r in mine.select("period").distinct().orderBy("period").collect()]
@@ -76,8 +83,7 @@ class Tools:
         return {k: r.get(k) for k in ("source_file_id", "source_sheet", "cell_reference", "fact_id")}
 
     def _shown(self, value: Decimal, currency: str, unit: str) -> str:
-        spark = self.live.sparkSession
-        return spark.range(1).select(display(F.lit(float(value)), F.lit(currency), unit)).first()[0]
+        return local_rows(self.live.sparkSession, [float(value)]).select(display(F.col("value"), F.lit(currency), unit)).first()[0]
 
     def fetch_metric(self, entity, metric: str, period: str, unit_out: str | None = None) -> dict:
         entity = self.entity(entity)
@@ -91,8 +97,8 @@ class Tools:
         rows = self._facts(entity, metric, [period_1, period_2])
         a, b = (_exact(rows[p]["value_normalised"]) for p in (period_1, period_2))
         out = {
-            "entity_id": entity, "metric": metric, "period_1": period_1, "period_2": period_2, "value_1": str(a), "value_2": str(b), "delta": str(b - a),
-            "delta_pct": str((b - a) / a * 100) if a else None, "citations": [self._citation(rows[p]) for p in (period_1, period_2)],
+            "entity_id": entity, "metric": metric, "period_1": period_1, "period_2": period_2, "value_1": str(a), "value_2": str(b), "delta": str(EXACT.subtract(b, a)),
+            "delta_pct": str(EXACT.multiply(EXACT.divide(EXACT.subtract(b, a), a), 100)) if a else None, "citations": [self._citation(rows[p]) for p in (period_1, period_2)],
         }
         return out | ({"display_delta": self._shown(b - a, rows[period_2]["currency"], unit_out)} if unit_out else {})
 
@@ -103,7 +109,7 @@ class Tools:
         if not b:
             raise DivisionByZero(f"{denominator} is zero in {period}")
         return {
-            "entity_id": entity, "numerator": numerator, "denominator": denominator, "period": period, "ratio": str(a / b), "ratio_pct": str(a / b * 100),
+            "entity_id": entity, "numerator": numerator, "denominator": denominator, "period": period, "ratio": str(EXACT.divide(a, b)), "ratio_pct": str(EXACT.multiply(EXACT.divide(a, b), 100)),
             "citations": [self._citation(n), self._citation(d)], "display_hint": unit_out or "ratio",
         }
 
@@ -120,6 +126,7 @@ class Tools:
         return {"entity_id": entity, "metrics": [{"metric": r["metric"], "observations": r["observations"]} for r in rows]}
 
     def search_context(self, entity, query: str, period_filter: str | None = None, metric_filter: str | None = None, vector: list[float] | None = None) -> dict:
+        """Chunks that fit a question: the nearest of each file if there is a vector, or an encoder to make one; else those that hold most of its words."""
         from .text import keyword_search, vector_search
 
         entity = self.entity(entity)
@@ -128,10 +135,22 @@ class Tools:
         rows = self.chunks.where(F.col("entity_id") == entity)
         for column, wanted in (("linked_periods", period_filter), ("linked_metrics", metric_filter)):
             if wanted:
-                rows = rows.where(F.array_contains(F.transform(column, F.lower), wanted.lower()))
-        found = vector_search(rows, vector).limit(8) if vector else keyword_search(rows, query)
-        keep = ["chunk_id", "section_path", "contains_numerical_claim", F.substring("raw_text", 1, 600).alias("text"), "linked_fact_ids", "file_id"]
-        return {"chunks": [r.asDict() for r in found.select(*keep).collect()], "search_mode": "similarity" if vector else "keyword"}
+                rows = rows.where(linked(F.col(column), wanted, part=self.compat))
+        if vector is None and self.encoder and "embedding" in rows.columns:
+            vector = [float(x) for x in self.encoder([query])[0]]
+        if vector is not None:
+            found = vector_search(rows.where("embedding IS NOT NULL"), vector).orderBy("file_id", "place")  # at most 8 of each of an entity's files
+        else:
+            found = keyword_search(rows, query)
+        return {"chunks": [r.asDict() for r in self._shown_chunks(found).collect()], "search_mode": "keyword" if vector is None else "similarity"}
+
+    def chunks_by_id(self, ids: list[int]) -> list[dict]:
+        """The chunks with these ids, in order of id."""
+        return [r.asDict() for r in self._shown_chunks(by_ids(self.chunks, "chunk_id", ids).orderBy("chunk_id")).collect()] if self.chunks is not None else []
+
+    @staticmethod
+    def _shown_chunks(rows: DataFrame) -> DataFrame:
+        return rows.select("chunk_id", "section_path", "contains_numerical_claim", F.substring("raw_text", 1, 600).alias("text"), "linked_fact_ids", "file_id")
 
 
 # ---- the same over whole tables
@@ -142,6 +161,22 @@ def find_entities(entities: DataFrame, name: str) -> DataFrame:
     return entities.where(F.lower("entity_name").contains(q) | F.col("entity_slug").contains(q.replace(" ", "_")))
 
 
+def facts_of(live: DataFrame, metric: str, periods: list[str]) -> DataFrame:
+    """Live facts of a metric in some periods."""
+    return live.where((F.col("canonical_field") == metric) & F.col("period").isin(*periods))
+
+
+def by_ids(rows: DataFrame, key: str, ids: list[int]) -> DataFrame:
+    """The rows with these ids: of a list that a caller holds, so a filter, not a join."""
+    return rows.where(F.col(key).isin(*ids)) if ids else rows.limit(0)
+
+
+def linked(column: Column, wanted: str, *, part: bool = False) -> Column:
+    """Whether a list of names holds the wanted one, whatever its case; part: or one that the wanted one is part of."""
+    low = wanted.lower()
+    return F.exists(column, lambda x: F.lower(x).contains(low) if part else F.lower(x) == low)
+
+
 def sources(live: DataFrame, files: DataFrame) -> DataFrame:
     """Each live fact with the file it comes from."""
     about = files.select("file_id", *[c for c in ("filename", "file_path") if c in files.columns])
@@ -149,8 +184,9 @@ def sources(live: DataFrame, files: DataFrame) -> DataFrame:
     return live.join(F.broadcast(about) if about.limit(100_001).count() <= 100_000 else about, key)
 
 
-def available_metrics(live: DataFrame) -> DataFrame:
-    return live.groupBy(F.col("canonical_field").alias("metric")).agg(F.count("*").alias("observations"))
+def available_metrics(live: DataFrame, *by: str) -> DataFrame:
+    """Metrics with how many facts there are of each, by some columns if wanted."""
+    return live.groupBy(*by, F.col("canonical_field").alias("metric")).agg(F.count("*").alias("observations"))
 
 
 def variances(live: DataFrame) -> DataFrame:
