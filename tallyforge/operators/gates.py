@@ -38,6 +38,13 @@ def counts(staging: DataFrame, files: DataFrame, conflicts: DataFrame) -> DataFr
     return joined.select("file_id", "entity_id", "filename", "detected_unit", "state", zero("facts"), zero("metrics"), zero("periods"), zero("open_conflicts"))
 
 
+def entity_overview(entities: DataFrame, files: DataFrame) -> DataFrame:
+    """Every entity (entity_id and what else is there) with how many files it has, and how many of them are live."""
+    by_entity = files.groupBy("entity_id").agg(F.count("*").alias("files"), F.count_if(F.col("state") == "LIVE").alias("live_files"))
+    joined = entities.join(by_entity, "entity_id", "left")
+    return joined.select(*entities.columns, F.coalesce("files", F.lit(0)).alias("files"), F.coalesce("live_files", F.lit(0)).alias("live_files"))
+
+
 def sample(staging: DataFrame, n: int = 10) -> DataFrame:
     """The first facts by metric and period: a top-k, not a sort."""
     return staging.orderBy("canonical_field", "period", "staging_id").limit(n)

@@ -14,6 +14,7 @@ from ..functions import periods, units
 from ..functions.aliases import resolve_headers
 from ..functions.text import cell_reference, parse_number, slugify
 from ..registry import LEDGER_WORDS, METRICS
+from .store import scratch
 
 SHEET = ["file_id", "sheet"]
 #: Rows in which a header can lie.
@@ -106,32 +107,42 @@ def extract(table: DataFrame, sheet_units: DataFrame, *, compat: bool = False) -
     """
     if "skip" not in table.columns:
         table = table.withColumn("skip", F.lit(0))
-    about = layouts(table, compat=compat).join(sheet_units.select(*SHEET, "unit"), SHEET, "left")
+    about = if_small(scratch(layouts(table, compat=compat).join(sheet_units.select(*SHEET, "unit"), SHEET, "left"), "layouts"))
     labels = table.where("col_idx = 0").select(*SHEET, "row_idx", F.trim("raw").alias("label"))
-    rows = table.where("col_idx > 0").join(labels, [*SHEET, "row_idx"]).join(if_small(about), SHEET)
+    rows = table.where("col_idx > 0").join(labels, [*SHEET, "row_idx"]).join(about, SHEET)
     tall, ledger = F.col("layout") == "tall", F.col("layout") == "ledger"
     rows = rows.where((F.col("layout") != "wide") | (F.col("periods") == 0) | looks_like_period(F.col("header")))
-    rows = rows.withColumn("named", F.when(tall, F.col("header")).otherwise(F.col("label")))
-    known = if_small(resolve_headers(rows, "named", compat).where("metric IS NOT NULL"))
-    rows = rows.join(known, "named").where(~_skipped(F.col("label"), ledger, F.col("metric").isNotNull()))
-    fixed = F.lit("FY24") if compat else F.coalesce(periods.parse_period(F.col("header")), F.lit("FY24"))
-    period = F.when(tall, periods.parse_period(F.col("label"))).when(ledger, fixed).otherwise(periods.parse_period(F.col("header")))
+    rows = rows.withColumn("named", F.when(tall, F.col("header")).otherwise(F.col("label"))).withColumn("dated", F.when(tall, F.col("label")).otherwise(F.col("header")))
+    # names, units and periods are read once for each text that sheets have, and joined back
+    known = _named(rows.select("named", "unit", ledger.alias("of_ledger")).distinct(), compat)
+    when = if_small(scratch(rows.select("dated").distinct().select("dated", periods.parse_period(F.col("dated")).alias("period")), "periods"))
+    rows = rows.withColumn("of_ledger", ledger).withColumn("unit", F.coalesce("unit", F.lit(""))).join(known, ["named", "unit", "of_ledger"]).join(when, "dated")
+    rows = rows.where(~_skipped(F.col("label"), ledger, F.col("metric").isNotNull()))
+    period = F.when(ledger, F.lit("FY24") if compat else F.coalesce("period", F.lit("FY24"))).otherwise(F.col("period"))
     rows = rows.withColumn("period", period).withColumn("raw_value", parse_number(F.col("raw"))).where("period IS NOT NULL AND raw_value IS NOT NULL")
-    unit = F.when(ledger, F.col("unit")).otherwise(F.coalesce(units.row_unit(F.col("named"), F.coalesce("unit", F.lit(""))), F.col("unit")))
     money = F.col("metric").isin([m.name for m in METRICS if m.unit == "currency"])
-    rows = rows.withColumn("n", units.normalise(F.col("raw_value"), F.coalesce(unit, F.lit("")), compat))
     plain = ~money & F.lit(not compat)
     shift = 1 if compat else 2
+    value = F.col("raw_value").cast("decimal(24,6)")
     return rows.select(
         *SHEET, "layout", F.col("metric").alias("canonical_field"), "period",
-        F.when(plain, F.col("raw_value").cast("decimal(28,6)")).otherwise(F.col("n.value")).alias("value_normalised"),
-        F.col("n.currency").alias("currency"), F.col("n.original_unit").alias("original_unit"),
-        F.when(plain, 1.0).otherwise(F.col("n.factor").cast("double")).alias("conversion_factor"), (F.col("n.applied") & ~plain).alias("conversion_applied"),
+        F.when(plain, value).otherwise(value * F.col("factor").cast("decimal(10,0)")).cast("decimal(28,6)").alias("value_normalised"),
+        "currency", "original_unit", F.when(plain, 1.0).otherwise(F.col("factor").cast("double")).alias("conversion_factor"), ((F.col("factor") != 1) & ~plain).alias("conversion_applied"),
         "raw_value", F.col("named").alias("raw_header"), F.col("label").alias("row_context"),
         cell_reference(F.col("col_idx") + 1, F.col("row_idx") + F.col("skip") + shift).alias("cell_reference"), "row_idx", "col_idx",
     )
 
 
+def _named(names: DataFrame, compat: bool) -> DataFrame:
+    """Metric, currency, unit and factor for each name (named, unit, of_ledger) that a metric is known for; in a ledger the sheet's unit holds."""
+    names = scratch(names.withColumn("unit", F.coalesce("unit", F.lit(""))).distinct(), "names")
+    known = names.join(resolve_headers(names, "named", compat).where("metric IS NOT NULL"), "named")
+    own = F.when(~F.col("of_ledger"), units.row_unit(F.col("named"), F.col("unit")))
+    measured = scratch(known.withColumn("own", F.coalesce(own, F.col("unit"))), "units")
+    found = measured.withColumn("u", units.detect_unit(F.col("own"), compat))
+    return if_small(scratch(found.select("named", "unit", "of_ledger", "metric", F.col("u.currency").alias("currency"), F.col("u.label").alias("original_unit"), F.col("u.multiplier").alias("factor")), "known"))
+
+
 def unmapped(table: DataFrame, *, compat: bool = False) -> DataFrame:
     """Headers and labels that no metric is known for, by sheet: what a mapper may be asked."""
     about = layouts(table, compat=compat)

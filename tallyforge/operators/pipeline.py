@@ -6,19 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from collections.abc import Callable
+
 from ..functions.text import slugify
 from ..sources import documents, sheets
-from . import gates, ingest, reconcile, text, validate
+from . import gates, ingest, mapper, reconcile, text, validate
 from .derive import derive
-from .store import Store, conform, move
+from .store import Store, conform, move, scratch
 from .tools import Tools
 
 
 class Engine:
-    """One store. policy: how conflicts are decided (first, prefer, open); gate: who lets facts go live."""
+    """One store. policy: how conflicts are decided (first, prefer, open); gate: who lets facts go live; ask: a mapper for headers that no rule knows."""
 
-    def __init__(self, spark: SparkSession, path: str, *, compat: bool = False, policy: str = "first", prefer: str | None = None, gate: gates.Policy = gates.accept) -> None:
-        self.spark, self.store, self.compat, self.policy, self.prefer, self.gate = spark, Store(spark, path), compat, policy, prefer, gate
+    def __init__(self, spark: SparkSession, path: str, *, compat: bool = False, policy: str = "first", prefer: str | None = None, gate: gates.Policy = gates.accept, ask: Callable | None = None) -> None:
+        self.spark, self.store, self.compat, self.policy, self.prefer, self.gate, self.ask = spark, Store(spark, path), compat, policy, prefer, gate, ask
 
     def load_folder(self, folder: str) -> dict:
         return self.load(sheets.list_files(self.spark, folder))
@@ -38,8 +40,8 @@ class Engine:
         return self.store.read("source_files")
 
     def _numbered(self, files: DataFrame) -> DataFrame:
-        known = self.store.read("source_files")
-        last = known.agg(F.coalesce(F.max("file_id"), F.lit(0))).first()[0]
+        known = self.store.read("source_files").where("state <> 'RESET'")  # what was reset may come again
+        last = self.store.read("source_files").agg(F.coalesce(F.max("file_id"), F.lit(0))).first()[0]
         # the paths of one load, as plain rows: what is new must not be asked again once the files are registered
         paths = sorted(r["path"] for r in sheets.new_files(files, known).select("path").collect())
         numbers = self.spark.createDataFrame([(p, last + i + 1) for i, p in enumerate(paths)], "path string, file_id int")
@@ -51,14 +53,16 @@ class Engine:
         try:
             if not fresh.limit(1).count():
                 return {"files": 0, "staged": 0, "conflicts": 0, "live": 0, "issues": 0}
-            grid = sheets.read_grid(fresh)
+            grid = scratch(sheets.read_grid(fresh), "grid")  # every file is parsed once
             broken = {r["file_id"]: r["error"] for r in grid.where("error IS NOT NULL").select("file_id", "error").collect()}
             grid = grid.where("error IS NULL").drop("error")
-            about = ingest.discover(grid)
+            about = scratch(ingest.discover(grid), "sheets")
             unit = about.groupBy("file_id").agg(F.min_by("unit", "sheet").alias("detected_unit"))
             names = ingest.entity_names(about, fresh.select("file_id", "filename"))
             registered = self._register(fresh.join(unit, "file_id", "left").where(~F.col("file_id").isin(list(broken) or [-1])), names, "SCHEMA_MAPPED")
-            table = ingest.cells(grid, about)
+            table = scratch(ingest.cells(grid, about), "cells")
+            if self.ask:
+                mapper.map_headers(self.store, ingest.unmapped(table, compat=self.compat), self.ask)
             staged = self.store.read("staging_facts")
             last = staged.agg(F.coalesce(F.max("staging_id"), F.lit(0))).first()[0]
             facts = ingest.extract(table, about.select("file_id", "sheet", "unit"), compat=self.compat)
@@ -75,82 +79,123 @@ class Engine:
     def reconcile(self, file_ids: list[int]) -> dict:
         """Conflicts, validation, gate, promotion and derivation for the entities of these files; live facts are computed anew from all their staging."""
         self._state(file_ids, "AWAITING_ACKNOWLEDGMENT")
-        files = self.store.read("source_files")  # rewritten by each change of state, so read after one
+        files = self.store.read("source_files")
         entities = [r[0] for r in files.where(F.col("file_id").isin(file_ids)).select("entity_id").distinct().collect()]
         staging = self.store.read("staging_facts").where(F.col("entity_id").isin(entities))
-        conflicts = reconcile.detect_conflicts(staging, files)
-        decisions = reconcile.resolve(conflicts, self.policy, self.prefer)
-        joined = conflicts.join(decisions, reconcile.KEY).withColumnRenamed("options", "values_seen").withColumn("resolved_by", F.lit(self.policy))
-        self.store.overwrite("conflicts", joined.withColumn("conflict_id", F.xxhash64(*reconcile.KEY)))
-        issues = validate.validate(staging, file_ids=None)
-        n_issues = issues.count()
-        out = {"staged": staging.where(F.col("file_id").isin(file_ids)).count(), "conflicts": conflicts.count(), "issues": n_issues, "live": 0}
+        conflicts, decisions = self._decided(staging, files)
+        issues = scratch(validate.validate(staging, live=self.store.read("live_facts").where(F.col("entity_id").isin(entities))), "issues")
+        out = {"staged": staging.where(F.col("file_id").isin(file_ids)).count(), "conflicts": conflicts.count(), "issues": issues.count(), "live": 0}
         open_ = self.store.read("conflicts").where(F.col("entity_id").isin(entities))
         if not gates.proceed_despite(issues, self.gate) or not gates.onboard(staging, files.where(F.col("file_id").isin(file_ids)), open_, self.gate):
             return out
+        self._promote(staging, decisions)
+        self._state(file_ids, "LIVE")
+        return out | {"live": self.store.read("live_facts").where(F.col("entity_id").isin(entities)).count()}
+
+    def _decided(self, staging: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Conflicts of staged facts and what is decided of them: by users first, then by the policy; both are written to the store's conflicts."""
+        conflicts = scratch(reconcile.detect_conflicts(staging, files), "conflicts")
+        decisions = reconcile.settled(reconcile.resolve(conflicts, self.policy, self.prefer), self.store.read("resolutions"))
+        joined = conflicts.join(decisions, reconcile.KEY).withColumnRenamed("options", "values_seen").withColumn("resolved_by", F.coalesce("resolved_by", F.lit(self.policy)))
+        self.store.overwrite("conflicts", joined.withColumn("conflict_id", F.xxhash64(*reconcile.KEY)).withColumn("resolved_at", F.when(F.col("state") == "RESOLVED", F.current_timestamp())))
+        return conflicts, decisions.drop("resolved_by")
+
+    def _promote(self, staging: DataFrame, decisions: DataFrame) -> None:
+        """Live facts of the entities in staging, reported and derived, in place of those that they had."""
         slugs = self.store.read("entities").select("entity_id", "entity_slug")
-        reported = reconcile.promote(staging, decisions, slugs, compat=self.compat)
+        reported = scratch(reconcile.promote(staging, decisions, slugs, compat=self.compat), "reported")
         made = derive(reported, replace_reported=self.compat)
         both = conform(reported, "live_facts").unionByName(conform(made, "live_facts"))
         if self.compat:
             both = both.where("NOT is_derived").join(made.select("fact_id"), "fact_id", "left_anti").unionByName(conform(made, "live_facts"))
         self.store.overwrite("live_facts", both.withColumn("created_at", F.current_timestamp()).withColumn("updated_at", F.current_timestamp()))
-        self._state(file_ids, "LIVE")
-        return out | {"live": self.store.read("live_facts").where(F.col("entity_id").isin(entities)).count()}
+
+    def resolve_conflict(self, conflict_id: int, staging_id: int, by: str = "user") -> None:
+        """A user's word on one conflict: which staged fact holds. It outlives later loads; the entity's live facts follow at once."""
+        found = self.store.read("conflicts").where(F.col("conflict_id") == conflict_id).limit(1).collect()
+        if not found:
+            raise ValueError(f"no conflict {conflict_id}")
+        if staging_id not in found[0]["staging_ids"]:
+            raise ValueError(f"{staging_id} is none of {found[0]['staging_ids']}")
+        key = [found[0][k] for k in reconcile.KEY]
+        said = self.spark.createDataFrame([(*key, staging_id, by)], "entity_id int, canonical_field string, period string, resolution_staging_id long, resolved_by string")
+        self.store.log("resolutions", said.withColumn("resolved_at", F.current_timestamp()))
+        staging = self.store.read("staging_facts").where(F.col("entity_id") == key[0])
+        _, decisions = self._decided(staging, self.store.read("source_files"))
+        self._promote(staging, decisions)
 
     def _state(self, file_ids: list[int], state: str) -> None:
-        files = self.store.read("source_files")
-        moved = move(files, state, F.col("file_id").isin(file_ids))
-        rows = moved.collect()  # the files table has a row for each file; it is rewritten while it is read
-        self.store.overwrite("source_files", self.spark.createDataFrame(rows, files.schema))
+        """Move files on; each step is an appended row, and one that STATES does not allow raises."""
+        files = self.store.read("source_files").where(F.col("file_id").isin(file_ids))
+        self.store.log("file_states", move(files, state, F.lit(True)).select("file_id", "state", F.current_timestamp().alias("moved_at")))
 
     def load_documents(self, files: DataFrame, encoder=None) -> dict:
-        """Word files: structured tables become facts, the rest chunks with claims, links and vectors."""
+        """Word files: structured tables become facts of their entities, the rest chunks with claims, links and vectors. A file that cannot be read is reported and left out."""
         fresh = self._numbered(files).withColumn("detected_unit", F.lit(None).cast("string")).persist()
         try:
-            n = fresh.count()
-            if not n:
-                return {"files_processed": 0, "chunks_total": 0}
-            read = documents.read_parts(fresh)
-            names = ingest.entity_names(self.spark.createDataFrame([], "file_id int, sheet string, preamble array<string>"), fresh.select("file_id", "filename"))
-            names = self._siblings(names)
-            registered = self._register(fresh, names, "PROCESSING")
-            grid = documents.table_grid(read)
-            about = ingest.discover(grid)
-            facts = ingest.extract(ingest.cells(grid, about), about.select("file_id", "sheet", F.lit("INR absolute").alias("unit")), compat=self.compat)
-            last = self.store.read("staging_facts").agg(F.coalesce(F.max("staging_id"), F.lit(0))).first()[0]
-            self.store.append("staging_facts", ingest.stage(facts, registered, last))
+            if not fresh.limit(1).count():
+                return {"files_processed": 0, "chunks_total": 0, "errors": {}}
+            read = scratch(documents.read_parts(fresh), "parts")
+            broken = {r["file_id"]: r["error"] for r in read.where("error IS NOT NULL").select("file_id", "error").collect()}
+            read = read.where("error IS NULL").drop("error")
+            good = fresh.where(~F.col("file_id").isin(list(broken) or [-1]))
             body = documents.paragraphs(read)
             long = body.withColumn("key", F.struct("file_id", "chunk_index", "region_type", "chunk_type", "section_path").cast("string"))
             split = text.chunk_documents(long, key="key", text="raw_text").withColumnRenamed("chunk_index", "part").drop("section_path")
             body = long.drop("raw_text").join(split, "key").select("file_id", "chunk_index", "part", "region_type", "chunk_type", "section_path", "raw_text")
             other = documents.table_chunks(read).select("file_id", "chunk_index", F.lit(0).alias("part"), "region_type", "chunk_type", "section_path", "raw_text")
-            chunks = text.with_claims(body.union(other).join(registered.select("file_id", "entity_id"), "file_id"))
-            linked = text.link_to_facts(chunks, self.store.read("live_facts"))
-            rows = linked.withColumn("embedding", text.embed(F.col("raw_text"), encoder)).withColumn("chunk_id", F.xxhash64("file_id", "region_type", "chunk_index", "part"))
-            self.store.append("qualitative_chunks", rows.withColumn("created_at", F.current_timestamp()))
-            ids = [r["file_id"] for r in fresh.select("file_id").collect()]
-            self._state(ids, "LIVE")
-            return {"files_processed": n, "chunks_total": self.store.read("qualitative_chunks").where(F.col("file_id").isin(ids)).count()}
+            return self._documents(good, body.union(other), documents.table_grid(read), encoder) | {"errors": broken}
+        finally:
+            fresh.unpersist()
+
+    def load_pages(self, blocks: DataFrame, files: DataFrame, encoder=None) -> dict:
+        """Page blocks (path, page, x0, y0, x1, y1, text, page_height), as any reader of pages gives them, of files (path, filename, file_type, checksum): chunks like those of documents."""
+        fresh = self._numbered(files).withColumn("detected_unit", F.lit(None).cast("string")).persist()
+        try:
+            if not fresh.limit(1).count():
+                return {"files_processed": 0, "chunks_total": 0, "errors": {}}
+            rows = documents.block_chunks(blocks.join(fresh.select("path", "file_id"), "path"))
+            nth = F.row_number().over(Window.partitionBy("file_id").orderBy("page", "y0", "raw_text")) - 1
+            chunks = rows.select("file_id", nth.alias("chunk_index"), F.lit(0).alias("part"), "region_type", "chunk_type", "section_path", "raw_text")
+            return self._documents(fresh, chunks, self.spark.createDataFrame([], "file_id int, sheet string, row_idx int, col_idx int, raw string"), encoder) | {"errors": {}}
         finally:
             fresh.unpersist()
 
-    def _siblings(self, names: DataFrame) -> DataFrame:
-        """A document belongs to a known entity whose squeezed name is its own, or whose slug its name holds; the first one wins."""
-        known = self.store.read("entities").select("entity_id", F.col("entity_name").alias("known"), "entity_slug")
-        squeezed = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
-        fits = (squeezed(F.col("known")) == squeezed(F.col("entity_name"))) | slugify(F.col("entity_name")).contains(F.col("entity_slug"))
-        best = names.join(F.broadcast(known) if known.limit(10_001).count() <= 10_000 else known, fits).groupBy("file_id").agg(F.min_by("known", "entity_id").alias("known"))
-        return names.join(best, "file_id", "left").select("file_id", F.coalesce("known", "entity_name").alias("entity_name"))
+    def _documents(self, fresh: DataFrame, chunks: DataFrame, grid: DataFrame, encoder) -> dict:
+        """Register documents, promote the facts of their tables, and link their chunks to what is live then."""
+        none = self.spark.createDataFrame([], "file_id int, sheet string, preamble array<string>")
+        names = ingest.same_names(ingest.entity_names(none, fresh.select("file_id", "filename")), self.store.read("entities"))
+        registered = self._register(fresh, names, "PROCESSING")
+        ids = [r["file_id"] for r in fresh.select("file_id").collect()]  # of one load
+        if grid.limit(1).count():
+            about = ingest.discover(grid)
+            facts = ingest.extract(ingest.cells(grid, about), about.select("file_id", "sheet", F.lit("INR absolute").alias("unit")), compat=self.compat)
+            last = self.store.read("staging_facts").agg(F.coalesce(F.max("staging_id"), F.lit(0))).first()[0]
+            self.store.append("staging_facts", ingest.stage(facts, registered, last).withColumn("created_at", F.current_timestamp()))
+            entities = [r[0] for r in registered.where(F.col("file_id").isin(ids)).select("entity_id").distinct().collect()]
+            staging = self.store.read("staging_facts").where(F.col("entity_id").isin(entities))
+            _, decisions = self._decided(staging, registered)
+            self._promote(staging, decisions)
+        found = text.with_claims(chunks.join(registered.select("file_id", "entity_id"), "file_id"))
+        linked = text.link_to_facts(found, self.store.read("live_facts"))
+        rows = linked.withColumn("embedding", text.embed(F.col("raw_text"), encoder)).withColumn("chunk_id", F.xxhash64("file_id", "region_type", "chunk_index", "part"))
+        self.store.append_new("qualitative_chunks", rows.withColumn("created_at", F.current_timestamp()), "chunk_id")
+        self._state(ids, "LIVE")
+        return {"files_processed": len(ids), "chunks_total": self.store.read("qualitative_chunks").where(F.col("file_id").isin(ids)).count()}
 
     def reset(self, entity_id: int) -> None:
-        """Take an entity's facts out of sight: its files go to RESET and its staged and live facts are emptied."""
-        files = [r["file_id"] for r in self.store.read("source_files").where((F.col("entity_id") == entity_id) & (F.col("state") == "LIVE")).select("file_id").collect()]
-        self._state(files, "RESET")
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        for table in ("staging_facts", "live_facts", "conflicts"):
-            at = jvm.org.apache.hadoop.fs.Path(f"{self.store.path}/{table}/entity_id={entity_id}")
-            at.getFileSystem(conf).delete(at, True)
-
-    def tools(self) -> Tools:
-        return Tools(self.store.read("live_facts"), self.store.read("source_files"), self.store.read("entities"), self.store.read("qualitative_chunks"))
+        """Take an entity's files out of sight, with their facts, conflicts and chunks; the files may be loaded again."""
+        files = self.store.read("source_files").where((F.col("entity_id") == entity_id) & (F.col("state") == "LIVE"))
+        self._state([r["file_id"] for r in files.select("file_id").collect()], "RESET")
+
+    def report(self) -> str:
+        """What is live, by entity: files by state, facts by metric, open conflicts."""
+        files = gates.entity_overview(self.store.read("entities"), self.store.read("source_files"))
+        live = self.store.read("live_facts").groupBy("entity_id").agg(F.count("*").alias("facts"), F.count_if("is_derived").alias("derived"), F.count_distinct("canonical_field").alias("metrics"))
+        open_ = self.store.read("conflicts").groupBy("entity_id").agg(F.count("*").alias("conflicts"), F.count_if(F.col("state") == "OPEN").alias("open"))
+        rows = files.join(live, "entity_id", "left").join(open_, "entity_id", "left").na.fill(0).orderBy("entity_name").collect()
+        return "\n".join(f"{r['entity_name']}: {r['live_files']} of {r['files']} files live, {r['facts']} facts ({r['derived']} derived) of {r['metrics']} metrics, {r['conflicts']} conflicts ({r['open']} open)" for r in rows)
+
+    def tools(self, encoder: Callable | None = text.hashed_words) -> Tools:
+        """Tools over the store; encoder: what the chunks' vectors were made with, None to search by words."""
+        return Tools(self.store.read("live_facts"), self.store.read("source_files"), self.store.read("entities"), self.store.read("qualitative_chunks"), encoder, compat=self.compat)

@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+import tempfile
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -16,6 +23,9 @@ SCHEMAS = {
     "live_facts": f"fact_id string, entity_id int, entity_slug string, canonical_field string, period string, value_normalised {VALUE}, currency string, original_unit string, conversion_factor double, conversion_applied boolean, source_file_id int, staging_id long, cell_reference string, source_sheet string, is_derived boolean, derived_from array<string>, authoritative_note string, created_at timestamp, updated_at timestamp",
     "conflicts": "conflict_id long, entity_id int, canonical_field string, period string, staging_ids array<long>, values_seen array<struct<staging_id: long, value: string, source: string>>, resolution_staging_id long, resolved_by string, resolved_at timestamp, state string",
     "ingestion_log": "log_id long, file_id int, event string, detail string, logged_at timestamp",
+    "file_states": "file_id int, state string, nth long, moved_at timestamp",
+    "resolutions": "entity_id int, canonical_field string, period string, resolution_staging_id long, resolved_by string, nth long, resolved_at timestamp",
+    "header_cache": "header_key string, raw_header string, canonical_field string, confidence string, needs_review boolean, reasoning string, nth long, created_at timestamp",
     "qualitative_chunks": "chunk_id long, file_id int, entity_id int, chunk_index int, region_type string, chunk_type string, section_path string, linked_fact_ids array<string>, linked_periods array<string>, linked_metrics array<string>, contains_numerical_claim boolean, numerical_claims array<struct<number: string, type: string, context: string>>, raw_text string, embedding array<float>, created_at timestamp",
 }
 
@@ -26,7 +36,7 @@ STATES = {
     "AWAITING_CONFLICT_RESOLUTION": {"AWAITING_ACKNOWLEDGMENT"},
     "AWAITING_ACKNOWLEDGMENT": {"LIVE", "REJECTED"},
     "REGISTERED": {"PROCESSING"},
-    "PROCESSING": {"LIVE", "REJECTED"},
+    "PROCESSING": {"AWAITING_ACKNOWLEDGMENT", "LIVE", "REJECTED"},
     "LIVE": {"RESET"},
     "RESET": {"UPLOADED"},
     "REJECTED": set(),
@@ -42,8 +52,42 @@ def conform(df: DataFrame, table: str) -> DataFrame:
     return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema(table)])
 
 
+_local: list[str] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, for what is written between steps; a local one only if they are one process."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    if not _local:
+        _local.append(tempfile.mkdtemp(prefix="facts-"))
+        atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
+    return f"file://{_local[0]}"
+
+
+def scratch(df: DataFrame, what: str) -> DataFrame:
+    """df, written once to the shared folder and read again, so that what follows neither computes it anew nor loses it with an executor."""
+    path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def latest(rows: DataFrame, *key: str) -> DataFrame:
+    """Of rows that were appended one after another (nth) the last for each key."""
+    others = [c for c in rows.columns if c not in key]
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*others), "nth").alias("last")).select(*key, "last.*")
+
+
 class Store:
-    """Parquet tables below a path, facts partitioned by entity."""
+    """Parquet tables below a path, facts partitioned by entity.
+
+    Nothing is rewritten but whole partitions of an entity. What changes bit by bit (states of files, users' resolutions,
+    cached headers) is appended, and the last word counts, so two loads at once lose nothing and a failure leaves the
+    state before it. Facts and chunks of files in state RESET are out of sight.
+    """
 
     PARTITIONED = ("staging_facts", "live_facts", "conflicts", "qualitative_chunks")
 
@@ -53,7 +97,7 @@ class Store:
     def _at(self, table: str) -> str:
         return f"{self.path}/{table}"
 
-    def read(self, table: str) -> DataFrame:
+    def _stored(self, table: str) -> DataFrame:
         try:
             return conform(self.spark.read.schema(schema(table)).parquet(self._at(table)), table)
         except Exception as e:
@@ -61,10 +105,38 @@ class Store:
                 return self.spark.createDataFrame([], schema(table))
             raise
 
+    def read(self, table: str) -> DataFrame:
+        rows = self._stored(table)
+        if table == "source_files":
+            states = latest(self._stored("file_states"), "file_id").select("file_id", F.col("state").alias("now"), "moved_at")
+            live_at = F.when(F.col("now") == "LIVE", F.col("moved_at")).otherwise(F.col("live_at"))
+            rows = rows.join(states, "file_id", "left").withColumn("state", F.coalesce("now", "state")).withColumn("live_at", live_at)
+            return conform(rows, table)
+        if table in ("resolutions", "header_cache"):
+            return latest(rows, *({"resolutions": ("entity_id", "canonical_field", "period"), "header_cache": ("header_key",)}[table])).select(*rows.columns)
+        if table in ("staging_facts", "live_facts", "qualitative_chunks", "conflicts"):
+            hidden = [r["file_id"] for r in self.read("source_files").where("state = 'RESET'").select("file_id").collect()]  # few: a reset is a person's
+            if hidden and table == "conflicts":
+                gone = self._stored("staging_facts").where(F.col("file_id").isin(hidden)).select(F.col("staging_id").alias("gone"))
+                of = rows.select("conflict_id", F.explode("staging_ids").alias("gone")).join(gone, "gone").select("conflict_id").distinct()
+                return rows.join(of, "conflict_id", "left_anti").select(*rows.columns)
+            if hidden:
+                of = "source_file_id" if table == "live_facts" else "file_id"
+                return rows.where(F.col(of).isNull() | ~F.col(of).isin(hidden))
+        return rows
+
     def append(self, table: str, df: DataFrame) -> None:
         out = conform(df, table).write.mode("append")
         (out.partitionBy("entity_id") if table in self.PARTITIONED else out).parquet(self._at(table))
 
+    def append_new(self, table: str, df: DataFrame, key: str) -> None:
+        """Append the rows whose key the table does not hold yet: doing it again changes nothing."""
+        self.append(table, df.join(self._stored(table).select(key), key, "left_anti"))
+
+    def log(self, table: str, df: DataFrame) -> None:
+        """Append rows that are the last word for their keys."""
+        self.append(table, df.withColumn("nth", F.lit(time.time_ns())))
+
     def overwrite(self, table: str, df: DataFrame) -> None:
         """Replace the partitions of the entities in df (all of an unpartitioned table)."""
         out = conform(df, table).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")

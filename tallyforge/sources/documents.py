@@ -39,17 +39,22 @@ def parts(content: bytes) -> Iterator[tuple[str, int, int, int, str, str]]:
 
 
 def read_parts(files: DataFrame) -> DataFrame:
-    """file_id, kind, index, row_idx, col_idx, style, text of Word files (file_id, content)."""
+    """file_id, kind, index, row_idx, col_idx, style, text of Word files (file_id, content); a file that cannot be read gives one row with its error instead."""
+    names = ["file_id", "kind", "index", "row_idx", "col_idx", "style", "text", "error"]
+    kinds = [pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["file_id", "kind", "index", "row_idx", "col_idx", "style", "text"]
-        kinds = [pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string()]
         for batch in batches:
-            rows = [(f, *p) for f, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for p in parts(content)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-
-    return files.select(F.col("file_id").cast("int").alias("file_id"), "content").mapInArrow(run, "file_id int, kind string, index int, row_idx int, col_idx int, style string, text string")
+            for file_id, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    rows = [(file_id, *p, None) for p in parts(content)]
+                except Exception as e:
+                    rows = [(file_id, None, None, None, None, None, None, f"{type(e).__name__}: {e}")]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    rows = files.select(F.col("file_id").cast("int").alias("file_id"), "content")
+    return rows.mapInArrow(run, "file_id int, kind string, index int, row_idx int, col_idx int, style string, text string, error string")
 
 
 def paragraphs(read: DataFrame) -> DataFrame:

@@ -10,23 +10,27 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import biff
+
 SUFFIXES = (".csv", ".xlsx", ".xls")
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
 
 def list_files(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
-    """path, filename, file_type, checksum (SHA-256), content of the files right in a folder."""
-    files = spark.read.format("binaryFile").load(folder)
+    """path, filename, file_type, checksum (SHA-256), content of the files right in a folder, in order of path; other files are not opened."""
+    either = lambda s: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in s)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*{" + ",".join(map(either, suffixes)) + "}").load(folder)
     name = F.element_at(F.split("path", "/"), -1)
     kind = F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1))
-    return files.select("path", name.alias("filename"), kind.alias("file_type"), F.sha2("content", 256).alias("checksum"), "content").where(F.col("file_type").isin(*suffixes))
+    return files.select("path", name.alias("filename"), kind.alias("file_type"), F.sha2("content", 256).alias("checksum"), "content").where(F.col("file_type").isin(*suffixes)).orderBy("path")
 
 
 def new_files(files: DataFrame, known: DataFrame) -> DataFrame:
@@ -51,12 +55,40 @@ def sheet_names(content: bytes) -> list[str]:
         return [s.get("name") for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iterfind(".//m:sheet", _NS)]
 
 
+# The built-in number formats that show dates.
+DATE_FORMATS = {14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47}
+
+
+def is_date_format(code: str) -> bool:
+    """Whether a format of one's own shows a date: day or year letters outside of quotes and brackets."""
+    return bool(re.search("[dy]|mmm", re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", code.lower())))
+
+
+def date_text(serial: float) -> str:
+    """A date serial as text, like a reader of strings shows it: days since 1899-12-30, with the time if there is one."""
+    moment = datetime(1899, 12, 30) + timedelta(seconds=round(serial * 86400))
+    return moment.strftime("%Y-%m-%d" if moment.time() == datetime.min.time() else "%Y-%m-%d %H:%M:%S")
+
+
+def _date_styles(styles: bytes) -> set[str]:
+    """Numbers of the cell styles that show dates."""
+    root = ElementTree.fromstring(styles)
+    own = {f.get("numFmtId"): f.get("formatCode", "") for f in root.iterfind("m:numFmts/m:numFmt", _NS)}
+    shown = lambda n: int(n) in DATE_FORMATS or n in own and is_date_format(own[n])
+    return {str(k) for k, x in enumerate(root.iterfind("m:cellXfs/m:xf", _NS)) if shown(x.get("numFmtId", "0"))}
+
+
+def _shown(value: str, dated: bool, kind: str | None) -> str:
+    return date_text(float(value)) if dated and kind in (None, "n") else value
+
+
 def xlsx_rows(content: bytes) -> Iterator[tuple[str, int, list[str]]]:
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         inside = set(z.namelist())
         strings = []
         if "xl/sharedStrings.xml" in inside:
             strings = ["".join(t.text or "" for t in s.iterfind(".//m:t", _NS)) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iterfind("m:si", _NS)]
+        dates = _date_styles(z.read("xl/styles.xml")) if "xl/styles.xml" in inside else set()
         targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
         for sheet in ElementTree.fromstring(z.read("xl/workbook.xml")).iterfind(".//m:sheet", _NS):
             target = targets[sheet.get(_REL)]
@@ -70,10 +102,19 @@ def xlsx_rows(content: bytes) -> Iterator[tuple[str, int, list[str]]]:
                     if c.get("t") == "inlineStr":
                         cells[at] = "".join(t.text or "" for t in c.iterfind(".//m:t", _NS))
                     elif value is not None and value.text is not None:
-                        cells[at] = strings[int(value.text)] if c.get("t") == "s" else value.text
+                        cells[at] = strings[int(value.text)] if c.get("t") == "s" else _shown(value.text, c.get("s") in dates, c.get("t"))
                 yield sheet.get("name"), int(row.get("r", k + 1)) - 1, cells
 
 
+def rows_of(kind: str, content: bytes) -> Iterator[tuple[str, int, list[str]]]:
+    """Sheet, row, cells of a file; an .xls file may hold any of three formats."""
+    if kind == ".csv":
+        return csv_rows(content)
+    if content[:4] == b"PK\x03\x04" or kind == ".xlsx":
+        return xlsx_rows(content)
+    return biff.rows(content) if content[:8] == biff.COMPOUND else csv_rows(content)
+
+
 def read_grid(files: DataFrame) -> DataFrame:
     """file_id, sheet, row_idx, col_idx, raw of all files; a file that cannot be read gives one row with its error instead."""
 
@@ -82,7 +123,7 @@ def read_grid(files: DataFrame) -> DataFrame:
             for file_id, kind, content in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 out: list[tuple] = []
                 try:
-                    for sheet, i, row in csv_rows(content) if kind == ".csv" else xlsx_rows(content):
+                    for sheet, i, row in rows_of(kind, content):
                         out += [(file_id, sheet, i, j, v, None) for j, v in enumerate(row)]
                         if len(out) > 50_000:
                             yield _batch(out)

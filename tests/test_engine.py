@@ -8,12 +8,14 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from tallyforge.operators import derive, gates, ingest, reconcile, text, validate
+import tallyforge.__main__ as main
+from tallyforge.functions.aliases import clear_aliases, resolve_headers
+from tallyforge.operators import derive, gates, ingest, mapper, reconcile, text, validate
 from tallyforge.operators.pipeline import Engine
-from tallyforge.operators.router import Router, check_plan, parse_plan, response_text
+from tallyforge.operators.router import Router, check_plan, find_metric, parse_plan, planner_request, ratio_parts, remote_planner, response_text
 from tallyforge.operators.store import SCHEMAS, Store, conform, move, schema
-from tallyforge.operators.tools import AmbiguousEntity, DivisionByZero, EntityNotFound, MetricNotFound, PeriodNotFound, Tools
-from tallyforge.sources import documents, sheets
+from tallyforge.operators.tools import AmbiguousEntity, DivisionByZero, EntityNotFound, MetricNotFound, PeriodNotFound, Tools, _exact
+from tallyforge.sources import biff, documents, samples, sheets
 
 MONTHS = ["Apr-23", "May-23", "Jun-23", "Jul-23", "Aug-23", "Sep-23", "Oct-23", "Nov-23", "Dec-23", "Jan-24", "Feb-24", "Mar-24"]
 MONTHLY = ["GMV", "Net Revenue", "COGS", "Salary", "Marketing", "Rent", "Opex", "EBITDA", "Net Profit", "Headcount", "Orders"]
@@ -393,3 +395,114 @@ def test_stream(spark, corpus, tmp_path):
     assert e.store.read("live_facts").count() == 225
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     assert event_rates(events).agg(F.sum("n")).first()[0] == events.count()
+
+
+# ---- more sources, the mapper, users' words, the command line
+
+def test_files_are_listed_by_suffix_and_path(spark, tmp_path):
+    for n in ("b.CSV", "a.csv", "c.txt", "d.xls"):
+        (tmp_path / n).write_bytes(b"x,y")
+    assert [r.filename for r in sheets.list_files(spark, str(tmp_path)).collect()] == ["a.csv", "b.CSV", "d.xls"]
+
+
+def test_binary_workbooks_and_dates(spark):
+    rows = [["Metric (Rs. Lakhs)", "FY23", "FY24"], ["COGS", 1.5, None], ["Rent", None, 2]]
+    many = [[f"text {i} {j}" if j % 2 else i * 1.25 for j in range(6)] for i in range(300)]
+    content = samples.to_xls({"P and L": rows, "Zwei é": many})
+    got = list(biff.rows(content))
+    assert got[:3] == [("P and L", 0, ["Metric (Rs. Lakhs)", "FY23", "FY24"]), ("P and L", 1, ["COGS", "1.5"]), ("P and L", 2, ["Rent", "", "2"])] and len(got) == 303
+    assert got[-1] == ("Zwei é", 299, ["373.75", "text 299 1", "373.75", "text 299 3", "373.75", "text 299 5"])
+    first = {(r.canonical_field, r.period): float(r.value_normalised) for r in facts_of(spark, samples.to_xls({"P": rows}), kind=".xls").collect()}
+    assert first == {("cogs", "FY23"): 150000.0, ("rent_expense", "FY24"): 200000.0}
+    assert grid_of(spark, b"a,b\n1,2", ".xls").count() == 4 and grid_of(spark, content[:600], ".xls").first().error
+    # strings that go on in the next record, and numbers in the short form
+    piece = b"\x01\0\0\0\x01\0\0\0" + b"\x06\0\x00abc"
+    assert biff._strings([piece, b"\x01d\0e\0f\0"]) == ["abcdef"] and biff._number((1234 << 2 | 3).to_bytes(4, "little")) == 12.34
+    assert sheets.is_date_format("dd/mm/yy") and not sheets.is_date_format('#,##0 "days"') and sheets.date_text(45383) == "2024-04-01"
+
+
+def test_mapper_and_its_cache(spark, tmp_path):
+    store, asked = Store(spark, str(tmp_path)), []
+
+    def ask(text):
+        asked.append(text)
+        return '```json\n[{"raw_header": "Unheard Of", "canonical_field": "cogs", "confidence": "high", "needs_review": false, "reasoning": "r"}, {"raw_header": "odd", "canonical_field": "no_metric", "confidence": "high"}]\n```'
+
+    rows = spark.createDataFrame([("Unheard Of",), (" odd ",), ("never said",)], "named string")
+    got = {r.raw_header.strip(): (r.canonical_field, r.needs_review) for r in mapper.map_headers(store, rows, ask).collect()}
+    assert got == {"Unheard Of": ("cogs", False), "odd": (None, True), "never said": (None, True)} and len(asked) == 1 and "Unheard Of" in asked[0]
+    mapper.map_headers(store, spark.createDataFrame([("UNHEARD OF",)], "named string"), ask)
+    assert len(asked) == 1
+    assert resolve_headers(spark.createDataFrame([("unheard of ",)], "h string"), "h").first().metric == "cogs"
+    clear_aliases()
+    with pytest.raises(ValueError):
+        mapper.parse("no list", ["a"])
+
+
+def test_formulas_of_a_session(spark):
+    derive.register_formula("cost_share", "cogs", "revenue_net", "percent")
+    try:
+        live = live_of(spark, [("revenue_net", "FY24", 100), ("cogs", "FY24", 60)]).withColumn("source_file_id", F.col("file_id")).withColumn("cell_reference", F.concat(F.lit("B"), F.col("staging_id").cast("string")))
+        got = {r.canonical_field: r for r in derive.derive(live).collect()}
+        assert float(got["cost_share"].value_normalised) == 60.0 and got["cost_share"].cell_reference == "B1"
+        assert got["gross_profit"].cell_reference == got["gross_margin_pct"].cell_reference == "B0" and got["gross_profit"].source_file_id == 1
+    finally:
+        derive.clear_formulas()
+
+
+def test_names_in_questions():
+    metrics = ["revenue_net", "cogs", "gross_profit", "pat", "ebitda"]
+    assert find_metric("net revenue and cogs", metrics) == "revenue_net" and find_metric("hello", metrics) is None
+    assert ratio_parts("cogs over net revenue", metrics) == ("cogs", "revenue_net") and ratio_parts("gross margin", metrics) == ("gross_profit", "revenue_net")
+    assert ratio_parts("net profit margin", metrics) == ("pat", "revenue_net") and ratio_parts("ratio of gross profit and cogs", metrics) == ("gross_profit", "cogs")
+    assert ratio_parts("cogs / nothing", metrics) == ("cogs", None) and ratio_parts("ratio of cogs", metrics) == (None, None)
+    body = planner_request("q", ["a"] * 40, model="m")
+    assert body["messages"][0]["role"] == "system" and len(json.loads(body["messages"][1]["content"])["metrics"]) == 25 and planner_request("q", [], model="m", shape="content")["system"]
+    assert remote_planner(lambda *a: {}) is None
+    plan = remote_planner(lambda url, headers, sent, seconds: {"choices": [{"message": {"content": json.dumps({"tool": "list_available_metrics", "args": {}})}}]}, url="u", key="k", model="m")
+    assert check_plan(parse_plan(plan("q", ["cogs"]))) == {"tool": "list_available_metrics", "args": {}}
+
+
+def test_exact_values_and_context_by_meaning(spark, tools, tmp_path):
+    assert str(_exact(Decimal("123456789012345678901.234500"))) == "123456789012345678901.2345" and str(_exact(Decimal("5.000000"))) == "5.0"
+    rows = [(1, 100 + i, i, "S", True, t, [], ["FY24-Q1"], [], 1 + i % 2) for i, t in enumerate(["prices rose fast", "prices rose", "nothing here"] * 8)]
+    chunks = spark.createDataFrame(rows, tools.chunks.schema).withColumn("embedding", text.embed(F.col("raw_text")))
+    t = Tools(tools.live, tools.files, tools.entities, chunks, text.hashed_words)
+    got = t.search_context(1, "prices rose")
+    assert got["search_mode"] == "similarity" and [c["file_id"] for c in got["chunks"]] == [1] * 8 + [2] * 8 and got["chunks"][0]["text"] == "prices rose"
+    assert t.search_context(1, "prices", "fy24")["chunks"] == [] and len(Tools(tools.live, tools.files, tools.entities, chunks, compat=True).search_context(1, "prices", "fy24")["chunks"]) == 8
+    assert [c["chunk_id"] for c in t.chunks_by_id([105, 101, 9])] == [101, 105] and t.chunks_by_id([]) == []
+    log = tmp_path / "audit.jsonl"
+    Router(t, log_path=str(log)).answer(1, "what is revenue in FY24")
+    assert [json.loads(line)["tool"] for line in log.read_text().splitlines()] == ["fetch_metric"]
+
+
+def test_command_line_conflicts_and_documents(spark, tmp_path):
+    folder, store = str(tmp_path / "in"), str(tmp_path / "store")
+    assert len(main.run(["samples", folder]).splitlines()) == 3
+    words = "Revenue of FY24 rose by 12% as prices rose and demand held up in all markets that the company sells to, at home and abroad, over the year."
+    (tmp_path / "in" / "meadow_foods_report.docx").write_bytes(samples.to_docx(["# Results", words, [["Period", "Inventory", "Total debt"], ["FY23", "5", "7"], ["FY22", "4", "8"]]]))
+    (tmp_path / "in" / "meadow_foods_broken.docx").write_bytes(b"no zip")
+    out = main.run(["--store", store, "load", folder, "--mock"], spark)
+    loaded = json.loads(out.splitlines()[1])
+    assert loaded["files_processed"] == 1 and len(loaded["errors"]) == 1 and "Meadow Foods" in out
+    engine = Engine(spark, store, policy="prefer", prefer="audited")
+    assert engine.store.read("live_facts").where("canonical_field = 'inventory' AND period = 'FY23' AND entity_slug = 'meadow_foods'").count() == 1
+    made = engine.store.read("live_facts").where("is_derived").limit(1).first()
+    assert made.source_file_id is not None and made.cell_reference
+    c = engine.store.read("conflicts").orderBy("conflict_id").first()
+    other = next(o for o in c.values_seen if o.staging_id != c.resolution_staging_id)
+    main.run(["--store", store, "resolve", str(c.conflict_id), str(other.staging_id)], spark)
+    fact = engine.store.read("live_facts").where((F.col("entity_id") == c.entity_id) & (F.col("canonical_field") == c.canonical_field) & (F.col("period") == c.period)).first()
+    assert str(fact.value_normalised) == other.value and engine.store.read("conflicts").where(F.col("conflict_id") == c.conflict_id).first().resolved_by == "user"
+    with pytest.raises(ValueError):
+        engine.resolve_conflict(c.conflict_id, -1)
+    blocks = spark.createDataFrame([("/p/harbor_engineering.pdf", 1, 0.0, 10.0, 100.0, 200.0, "Net revenue grew by 5%. " * 12, 800.0)], "path string, page int, x0 double, y0 double, x1 double, y1 double, text string, page_height double")
+    files = spark.createDataFrame([("/p/harbor_engineering.pdf", "harbor_engineering.pdf", ".pdf", "c0")], "path string, filename string, file_type string, checksum string")
+    assert engine.load_pages(blocks, files)["chunks_total"] == 1 and engine.load_pages(blocks, files)["files_processed"] == 0
+    assert json.loads(main.run(["--store", store, "ask", "harbor", "list metrics"], spark))["tool"] == "list_available_metrics"
+    assert "0 of 1 files live" not in main.run(["--store", store, "report"], spark)
+    before = engine.store.read("live_facts").count()
+    main.run(["--store", store, "reset", "harbor"], spark)
+    assert engine.store.read("conflicts").count() == 0 and engine.store.read("live_facts").count() < before
+    assert engine.load_folder(folder)["files"] == 2 and engine.store.read("live_facts").count() == before
