@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, free_name, if_small, plain_columns, small_batches, written
+from .common import col, free_name, if_small, plain_columns, remove, small_batches, written
 from .graph import components
 
 #: A token of more documents is heavy; most heavy tokens (the most frequent, sent to all executors); sets that a list of pairs may have.
@@ -260,6 +260,7 @@ def heavy_tokens(docs: DataFrame, text: str, words: int) -> Heavy:
             break
         left, least = left - r["count"], 1 << int(r["power"])
     rows = found.where(F.col("df") >= F.lit(least)).orderBy("token").toArrow() if least is not None else None
+    remove(found)
     if rows is None:
         return Heavy(np.zeros(0, np.uint64), np.zeros(0, np.int64))
     return Heavy(rows.column(0).to_numpy().view(np.uint64), rows.column(1).to_numpy())
@@ -484,7 +485,10 @@ def _between(home: DataFrame, visitors: DataFrame, tokens: DataFrame, percent: i
     meetings = written(chunks.join(here.select("label", "home", "block").distinct(), ["label", "home"]).select(*columns), f"{what}-meetings")
     staying = here.join(meetings, ["label", "home", "block"]).select(*columns, "node", "class", F.lit(1).alias("side"))
     coming = visitors.join(meetings, ["label", "band", "chunk"]).select(*columns, "node", "class", F.lit(0).alias("side"))
-    return written(staying.union(coming).join(tokens, "node").groupBy(*columns).applyInArrow(_across(percent), "a long, b long"), f"{what}-links")
+    links = written(staying.union(coming).join(tokens, "node").groupBy(*columns).applyInArrow(_across(percent), "a long, b long"), f"{what}-links")
+    remove(visitors)
+    remove(meetings)
+    return links
 
 
 def _family_links(place: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
@@ -508,7 +512,9 @@ def _family_links(place: DataFrame, tokens: DataFrame, percent: int) -> DataFram
     sets = classed()
     most = sets.groupBy("label", "class").agg(F.count("*").alias("m")).groupBy("label").agg(F.max_by("class", F.struct("m", "class")).alias("most"))
     outside = sets.join(most, "label").where("class <> most").select("label", "band", "node", "n", "class")
-    return links.union(_between(sets, outside, tokens, percent, "jaccard-outside"))
+    links = links.union(_between(sets, outside, tokens, percent, "jaccard-outside"))
+    remove(tokens)
+    return links
 
 
 def _tie(docs: DataFrame):
@@ -539,6 +545,7 @@ def _classes(docs: DataFrame, words: int, percent: int, doc_id: str, text: str)
 
     listed = index.select(F.explode("light").alias("entry"), "node", "n").repartition(parts, "entry").mapInArrow(_lists(percent), "a long, b long, family boolean")
     listed = written(listed.groupBy("a", "b").agg(F.max("family").alias("family")), "jaccard-lists")
+    done = [listed]  # what nothing reads once the links are there
     stars = listed.where("family").select("a", "b")
     # of the pairs those stay whose parity bits differ in no more places than sets that link can differ in tokens
     bits = index.where("light IS NOT NULL").groupBy("node").agg(F.max("n").alias("n"), *[F.max(b).alias(b) for b in BITS])
@@ -546,22 +553,30 @@ def _classes(docs: DataFrame, words: int, percent: int, doc_id: str, text: str)
     seen = listed.where("NOT family").join(x, F.col("a") == F.col("node_x")).join(y, F.col("b") == F.col("node_y"))
     apart = sum((F.bit_count(F.col(f"{b}_x").bitwiseXOR(F.col(f"{b}_y"))) for b in BITS[1:]), F.bit_count(F.col("p0_x").bitwiseXOR(F.col("p0_y"))))
     pairs = written(seen.where(apart * (100 + percent) <= (F.col("n_x") + F.col("n_y")) * (100 - percent)).select("a", "b", (F.least("n_x", "n_y") > LARGE).alias("large")), "jaccard-pairs")
+    done.append(pairs)
     broad = index.where("wide IS NOT NULL").select("node", "n", "wide").dropDuplicates(["node"])
     x, y = (broad.select(*[F.col(c).alias(f"{c}_{side}") for c in broad.columns]) for side in "xy")
     large = pairs.where("large").select("a", "b").join(x, F.col("a") == F.col("node_x")).join(y, F.col("b") == F.col("node_y"))
     pairs = pairs.where("NOT large").select("a", "b").union(large.select("a", "b", "n_x", "n_y", "wide_x", "wide_y").mapInArrow(_apart(percent), "a long, b long"))
     pairs = written(pairs, "jaccard-candidates")
+    done.append(pairs)
     shared = index.select(F.explode("heavy").alias("entry"), "node")
     hubs = shared.groupBy("entry").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last")
     spokes = written(shared.join(hubs, "entry").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).union(stars).distinct(), "jaccard-spokes")
+    done.append(spokes)
     edges = pairs.union(spokes)
     if not edges.limit(1).count():
+        for df in done:
+            remove(df)
         return _labelled(index, None)
     members = written(components(edges), "jaccard-families")
+    done.append(members)
 
     # whole sets of the candidates, from one document each; a set is shuffled once, to its family's blocks
     holders = index.where("light IS NOT NULL").join(members, "node").groupBy("node").agg(F.min("doc_id").alias("holder")).select("holder").distinct()
-    holders = if_small(written(holders, "jaccard-holders"), 300_000)
+    holders = written(holders, "jaccard-holders")
+    done.append(holders)
+    holders = if_small(holders, 300_000)
     texts = rows.join(holders, rows["doc_id"].eqNullSafe(holders["holder"]), "left_semi").select("text")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -575,8 +590,12 @@ def _classes(docs: DataFrame, words: int, percent: int, doc_id: str, text: str)
     # a set links with none of the band after the next: sizes that link differ by a factor of 100 / percent at most
     band = F.floor(F.ln("n") / math.log(100 / min(percent, 99)) + 1e-11).cast("int")
     banded = sizes.join(beyond, "label").withColumn("band", F.when(F.col("large"), band).otherwise(0))
-    place = if_small(written(_dealt(banded, "block").select("label", "band", "block", "large", "node", "n"), "jaccard-blocks"), 300_000)
+    place = written(_dealt(banded, "block").select("label", "band", "block", "large", "node", "n"), "jaccard-blocks")
+    done.append(place)
+    place = if_small(place, 300_000)
     links = _family_links(place, texts.mapInArrow(whole, "node long, tokens binary"), percent)
+    for df in done:
+        remove(df)
     return _labelled(index, links if links.limit(1).count() else None)
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import col, map_arrow, small_batches, with_fields
 
-#: Bounds of the training sample: passages of each language, their characters, languages (the commonest).
+#: Bounds of the training sample: passages of each language, their characters, languages (the commonest; rarer ones are not learned).
 PASSAGES, PASSAGE, LANGUAGES = 400, 1500, 256
 #: Hash tables of features: pairs, triples, affixes, words.
 TABLES = (1 << 15, 1 << 17, 1 << 16, 1 << 17)
