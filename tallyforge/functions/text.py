@@ -72,5 +72,6 @@ def word_count(text: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """Stretches that end in . ! or ?"""
-    return F.transform(F.regexp_extract_all(text, F.lit(r"([^.!?]*[.!?]+\s*)"), F.lit(1)), F.trim)
+    """Stretches that end in . ! or ?; a tail without an end is matched as well, once and as a whole, and left out."""
+    found = F.regexp_extract_all(text, F.lit(r"([^.!?]*+[.!?]++\s*+|[^.!?]++$)"), F.lit(1))
+    return F.transform(F.filter(found, lambda t: t.rlike("[.!?]")), F.trim)
