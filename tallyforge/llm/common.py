@@ -16,8 +16,8 @@ from pyspark.sql.window import Window
 #: A word, for every operator here that counts or splits words.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Rows of an Arrow batch when whole texts go to Python: some MB, and tens of MB if all texts are very long.
-TEXT_BATCH = 512
+#: Rows and bytes of an Arrow batch when whole texts go to Python; a batch ends with the text that reaches either.
+TEXT_BATCH, TEXT_BYTES = 512, 16 << 20
 
 _local_dir: list[str] = []
 
@@ -27,10 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound what a Python worker holds at once when rows carry whole texts."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > TEXT_BATCH:
-        spark.conf.set(key, str(TEXT_BATCH))
+    """Bound what a Python worker holds at once when rows carry whole texts. Holds for the session's later queries too, whose results it does not change."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_BATCH), ("spark.sql.execution.arrow.maxBytesPerBatch", TEXT_BYTES)):
+        now = spark.conf.get(key, None) or ""
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
 
 
 def col(name: str) -> Column:

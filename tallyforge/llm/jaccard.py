@@ -42,8 +42,10 @@ LIGHT, HEAVY, LIST = 16, 1 << 20, 64
 BLOCK_SETS, BLOCK_TOKENS, CLASS = 1024, 2_000_000, 8
 #: Sizes from which on heavy tokens are combined; below, every token is indexed by itself.
 COMBINED = 5
-#: Tokens that a task counts at once; bytes of text that are hashed at once.
-COUNTED, PIECE = 1_000_000, 300_000
+#: Tokens that a task counts at once; bytes of text that are hashed at once; rows of the index that a task pairs at once.
+COUNTED, PIECE, LISTED = 1_000_000, 300_000, 1_000_000
+#: Ranges of tokens, of which a task counts one after another, unless there are more partitions.
+RANGES = 4096
 
 _space = re.compile(rb"[\t-\r ]")
 
@@ -211,18 +213,29 @@ def _unpack(raw: bytes) -> np.ndarray:
 
 
 def _heavy(least: int):
+    """Tokens of more than least documents. Rows come sorted by range; a task holds those of one range."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[np.ndarray]] = {}
-        for batch in batches:
-            for r, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held.setdefault(r, []).append(_unpack(raw))
-        while held:
-            both = np.concatenate(held.popitem()[1])
+        held: list[np.ndarray] = []
+        current = None
+
+        def totals() -> pa.RecordBatch:
+            both = np.concatenate(held)
             both.sort()
             first = np.flatnonzero(np.concatenate([[True], both[1:] >> np.uint64(16) != both[:-1] >> np.uint64(16)]))
             total = np.add.reduceat((both & np.uint64(0xFFFF)).astype(np.int64), first)
             kept = total > least
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(both[first][kept] >> np.uint64(16))), pa.array(total[kept])], ["token", "df"])
+            return pa.RecordBatch.from_arrays([pa.array(_signed(both[first][kept] >> np.uint64(16))), pa.array(total[kept])], ["token", "df"])
+
+        for batch in batches:
+            for r, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if r != current and held:
+                    yield totals()
+                    held = []
+                current = r
+                held.append(_unpack(raw.as_buffer()))
+        if held:
+            yield totals()
 
     return run
 
@@ -252,8 +265,9 @@ class Heavy:
 def heavy_tokens(docs: DataFrame, text: str, words: int) -> Heavy:
     """Counts over all documents; the most frequent tokens of more than LIGHT documents, at most HEAVY of them."""
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    counted = docs.select(col(text).alias("text")).mapInArrow(_counting(words, parts), "range int, tokens binary")
-    found = written(counted.repartition(parts, "range").mapInArrow(_heavy(LIGHT), "token long, df long"), "heavy-tokens")
+    ranges = max(parts, min(RANGES, 16 * parts))
+    counted = docs.select(col(text).alias("text")).mapInArrow(_counting(words, ranges), "range int, tokens binary")
+    found = written(counted.repartition(parts, "range").sortWithinPartitions("range").mapInArrow(_heavy(LIGHT), "token long, df long"), "heavy-tokens")
     left, least = HEAVY, None
     for r in sorted(found.groupBy(F.floor(F.log2("df")).alias("power")).count().collect(), key=lambda r: -r["power"]):  # at most 64 rows
         if r["count"] > left:
@@ -346,37 +360,63 @@ def _index(words: int, percent: int, heavy: Heavy):
 
 
 def _lists(percent: int):
-    """Pairs of each entry's sets whose sizes allow a link; of an entry with more than LIST sets (possible only beyond HEAVY) a star, as a family."""
+    """Pairs of each entry's sets whose sizes allow a link; of an entry with more than LIST sets (possible only beyond HEAVY) a star, as a family.
+
+    Rows come sorted by entry; a task holds LISTED of them and those of an entry that is not at its end. Of one that
+    has grown to a star already only LIST + 1 sets are held, to which the star of the others is joined.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = [np.concatenate(c) for c in zip(*[[c.to_numpy() for c in b.columns] for b in batches if b.num_rows], strict=True)]
-        if not table:
-            return
-        entry, node, n = table
-        order = np.lexsort((node, entry))
-        entry, node, n = entry[order], node[order], n[order]
-        once = np.concatenate([[True], (entry[1:] != entry[:-1]) | (node[1:] != node[:-1])])
-        entry, node, n = entry[once], node[once], n[once]
-        cuts = np.concatenate([np.flatnonzero(np.concatenate([[True], entry[1:] != entry[:-1]])), [len(entry)]])
-        long = np.diff(cuts)
-        a, b, family = [], [], []
-        for begin, m in zip(cuts[:-1][long > 1].tolist(), long[long > 1].tolist(), strict=True):
-            mine, size = node[begin : begin + m], n[begin : begin + m]
-            if m > LIST:
-                i, j = np.zeros(m - 1, np.int64), np.arange(1, m)
-            else:
-                i, j = np.triu_indices(m, 1)
-                fits = 100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])
-                i, j = i[fits], j[fits]
-            a.append(mine[i])
-            b.append(mine[j])
-            family.append(np.full(len(i), m > LIST))
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b)), pa.array(np.concatenate(family))], ["a", "b", "family"])
+        held: list[list[np.ndarray]] = []
+        size = 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append([c.to_numpy() for c in batch.columns])
+                size += batch.num_rows
+            if size >= LISTED:
+                table = _once(held)
+                last = int(np.searchsorted(table[0], table[0][-1]))
+                rest = [c[last:] for c in table]
+                if len(rest[0]) > LIST + 1:
+                    yield _listed(rest, percent)
+                    rest = [c[: LIST + 1] for c in rest]
+                yield _listed([c[:last] for c in table], percent)
+                held, size = [rest], len(rest[0])
+        if held:
+            yield _listed(_once(held), percent)
 
     return run
 
 
+def _once(held: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """Rows (entry, node, n) by entry and node, each once."""
+    entry, node, n = (np.concatenate(c) for c in zip(*held, strict=True))
+    order = np.lexsort((node, entry))
+    entry, node, n = entry[order], node[order], n[order]
+    new = np.concatenate([[True], (entry[1:] != entry[:-1]) | (node[1:] != node[:-1])])
+    return [entry[new], node[new], n[new]]
+
+
+def _listed(table: list[np.ndarray], percent: int) -> pa.RecordBatch:
+    entry, node, n = table
+    cuts = np.flatnonzero(np.concatenate([[True], entry[1:] != entry[:-1], [True]])) if len(entry) else np.zeros(1, np.int64)
+    long = np.diff(cuts)
+    none = np.zeros(0, np.int64)
+    a, b, family = [none], [none], [np.zeros(0, bool)]
+    for begin, m in zip(cuts[:-1][long > 1].tolist(), long[long > 1].tolist(), strict=True):
+        mine, size = node[begin : begin + m], n[begin : begin + m]
+        if m > LIST:
+            i, j = np.zeros(m - 1, np.int64), np.arange(1, m)
+        else:
+            i, j = np.triu_indices(m, 1)
+            fits = 100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])
+            i, j = i[fits], j[fits]
+        a.append(mine[i])
+        b.append(mine[j])
+        family.append(np.full(len(i), m > LIST))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b, family)], ["a", "b", "family"])
+
+
 def _apart(percent: int):
     """Pairs whose wide parity bits allow a link."""
 
@@ -543,7 +583,7 @@ def _classes(docs: DataFrame, words: int, percent: int, doc_id: str, text: str)
     kinds = "doc_id long, tie long, n long, node long, twin long, light array<long>, heavy array<long>" + "".join(f", {b} long" for b in BITS) + ", wide binary"
     index = written(rows.mapInArrow(_index(words, percent, heavy), kinds), "jaccard-index")
 
-    listed = index.select(F.explode("light").alias("entry"), "node", "n").repartition(parts, "entry").mapInArrow(_lists(percent), "a long, b long, family boolean")
+    listed = index.select(F.explode("light").alias("entry"), "node", "n").repartition(parts, "entry").sortWithinPartitions("entry").mapInArrow(_lists(percent), "a long, b long, family boolean")
     listed = written(listed.groupBy("a", "b").agg(F.max("family").alias("family")), "jaccard-lists")
     done = [listed]  # what nothing reads once the links are there
     stars = listed.where("family").select("a", "b")

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -453,6 +454,59 @@ def test_counts_survive_packing():
     assert got == dict(zip(tokens_.tolist(), counts.tolist()))
 
 
+def test_lists_in_small_chunks_lose_no_link():
+    """However few rows a task holds at once, entries' pairs are the same, and stars connect the same sets."""
+    rng = random.Random(9)
+    rows = sorted((e, rng.randrange(400), 100) for e in range(300) for _ in range(rng.choice([1, 2, 5, 30])))
+    rows += [(1000, k % 500, 100) for k in range(1500)] + [(1001, k, 100) for k in (3, 4)]
+
+    def run(chunk, batch):
+        old, jaccard.LISTED = jaccard.LISTED, chunk
+        try:
+            batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i : i + batch])], ["entry", "node", "n"]) for i in range(0, len(rows), batch)]
+            out = [r for b in jaccard._lists(90)(iter(batches)) for r in zip(*(c.to_pylist() for c in b.columns))]
+        finally:
+            jaccard.LISTED = old
+        parent = list(range(500))
+
+        def root(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b, star in out:
+            if star:
+                parent[root(a)] = root(b)
+        return {(a, b) for a, b, star in out if not star}, [root(x) == root(0) for x in range(500)]
+
+    whole = run(1 << 20, 512)
+    assert len(whole[0]) > 1000 and all(whole[1])
+    assert run(1, 1) == whole and run(100, 64) == whole and run(700, 64) == whole
+    assert list(jaccard._lists(90)(iter([]))) == []
+
+
+def test_counts_of_ranges_one_after_another():
+    rng = np.random.default_rng(16)
+    a = rng.integers(0, 1 << 63, 3000).astype(np.uint64)
+    lists = sorted(x for part in (a, a[:900], a[:900], a[:20]) for x in jaccard.counted([part], 64))
+    batches = [pa.RecordBatch.from_arrays([pa.array([r for r, _ in lists[i : i + 7]], pa.int32()), pa.array([b for _, b in lists[i : i + 7]], pa.binary())], ["range", "tokens"]) for i in range(0, len(lists), 7)]
+    got = {t: d for b in jaccard._heavy(2)(iter(batches)) for t, d in zip(*(c.to_pylist() for c in b.columns))}
+    assert got == {int(t): 4 if k < 20 else 3 for k, t in enumerate(a[:900] >> np.uint64(16))}
+
+
+def test_batches_of_long_texts_are_bounded(spark):
+    from tallyforge.llm import common
+
+    common.small_batches(spark)
+    df = spark.range(0, 60, 1, 1).select(F.repeat(F.lit("x"), F.lit(1_000_000)).alias("t"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    assert df.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0] <= common.TEXT_BYTES + 2_000_000
+
+
 def test_long_texts_are_hashed_in_pieces(monkeypatch):
     text = " ".join(f"w{i % 37}" for i in range(5000))
     whole = jaccard.shingle_sets([text, "a b", text + " z"], 3)
