@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, jaccard, langid, licenses, merkle, mixing, packing, pii, tokens, voronoi
+from . import ann, chat, jaccard, langid, licenses, merkle, mixing, packing, pii, tokens, variants, voronoi
 from .common import table
 
 
@@ -59,6 +59,11 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return variants.variants(variants.count_words(variants.occurrences(docs, spoilt=199)))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(*merkle.FIELDS)
     found = merkle.leaf([merkle.tampered(F.col(c), F.col("doc_id")) if c == "text" else F.col(c) for c in merkle.FIELDS])
@@ -68,8 +73,8 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii_spans, op2_ann_search, op3_mix_sources, op4_ngram_jaccard, op5_license_scan, op6_token_shards, op7_language_id, op8_topk_join, op9_chat_format, op10_best_fit_packing, op13_merkle_manifest)}
+    return {f.__name__: f for f in (op1_pii_spans, op2_ann_search, op3_mix_sources, op4_ngram_jaccard, op5_license_scan, op6_token_shards, op7_language_id, op8_topk_join, op9_chat_format, op10_best_fit_packing, op12_spelling_variants, op13_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix_sources": mixing.OP3_SQL, "op4_ngram_jaccard": jaccard.OP4_SQL, "op8_topk_join": voronoi.OP8_SQL, "op9_chat_format": chat.OP9_SQL, "op13_merkle_manifest": merkle.OP13_SQL}
+    return {"op3_mix_sources": mixing.OP3_SQL, "op4_ngram_jaccard": jaccard.OP4_SQL, "op8_topk_join": voronoi.OP8_SQL, "op9_chat_format": chat.OP9_SQL, "op12_spelling_variants": variants.OP12_SQL, "op13_merkle_manifest": merkle.OP13_SQL}
