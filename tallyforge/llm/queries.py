@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, jaccard, langid, licenses, merkle, mixing, packing, pii, tokens, variants, voronoi
+from . import ann, chat, jaccard, langid, licenses, merkle, mixing, packing, pii, tokens, toxicity, variants, voronoi
 from .common import table
 
 
@@ -59,6 +59,12 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = toxicity.toxicity(docs, toxicity.learn(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic")), keep=["doc_id"])
+    return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", F.size("offending").cast("long").alias("n_offending"), F.col("worst.start").alias("worst_start"), F.col("worst.end").alias("worst_end"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return variants.variants(variants.count_words(variants.occurrences(docs, spoilt=199)))
@@ -73,7 +79,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii_spans, op2_ann_search, op3_mix_sources, op4_ngram_jaccard, op5_license_scan, op6_token_shards, op7_language_id, op8_topk_join, op9_chat_format, op10_best_fit_packing, op12_spelling_variants, op13_merkle_manifest)}
+    return {f.__name__: f for f in (op1_pii_spans, op2_ann_search, op3_mix_sources, op4_ngram_jaccard, op5_license_scan, op6_token_shards, op7_language_id, op8_topk_join, op9_chat_format, op10_best_fit_packing, op11_toxicity, op12_spelling_variants, op13_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
