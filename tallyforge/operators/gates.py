@@ -61,10 +61,12 @@ def summary(staging: DataFrame, files: DataFrame, conflicts: DataFrame, shown: i
 
 
 def onboard(staging: DataFrame, files: DataFrame, conflicts: DataFrame, policy: Policy = accept) -> bool:
-    return policy(summary(staging, files, conflicts))
+    return policy is accept or policy(summary(staging, files, conflicts))
 
 
 def proceed_despite(issues: DataFrame, policy: Policy = accept) -> bool:
     """A soft block: errors of validation are put to the policy; without errors nothing is asked."""
+    if policy is accept:
+        return True
     errors = issues.where("severity = 'error'").limit(1).count()
     return policy("Validation found errors.") if errors else True

@@ -14,7 +14,7 @@ from ..functions import periods, units
 from ..functions.aliases import resolve_headers
 from ..functions.text import cell_reference, parse_number, slugify
 from ..registry import LEDGER_WORDS, METRICS
-from .store import scratch
+from .store import if_small, scratch
 
 SHEET = ["file_id", "sheet"]
 #: Rows in which a header can lie.
@@ -35,10 +35,6 @@ NOT_NAMES = (
 )
 
 
-def if_small(df: DataFrame, most_rows: int = 500_000) -> DataFrame:
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
-
-
 def looks_like_period(c: Column) -> Column:
     return c.rlike(_PERIOD)
 
@@ -113,10 +109,11 @@ def extract(table: DataFrame, sheet_units: DataFrame, *, compat: bool = False) -
     tall, ledger = F.col("layout") == "tall", F.col("layout") == "ledger"
     rows = rows.where((F.col("layout") != "wide") | (F.col("periods") == 0) | looks_like_period(F.col("header")))
     rows = rows.withColumn("named", F.when(tall, F.col("header")).otherwise(F.col("label"))).withColumn("dated", F.when(tall, F.col("label")).otherwise(F.col("header")))
-    # names, units and periods are read once for each text that sheets have, and joined back
-    known = _named(rows.select("named", "unit", ledger.alias("of_ledger")).distinct(), compat)
-    when = if_small(scratch(rows.select("dated").distinct().select("dated", periods.parse_period(F.col("dated")).alias("period")), "periods"))
-    rows = rows.withColumn("of_ledger", ledger).withColumn("unit", F.coalesce("unit", F.lit(""))).join(known, ["named", "unit", "of_ledger"]).join(when, "dated")
+    # names, units and periods are read once for each text that sheets have, written together, and joined back
+    rows = rows.withColumn("of_ledger", ledger).withColumn("unit", F.coalesce("unit", F.lit("")))
+    read = if_small(_texts(rows.select("named", "unit", "of_ledger", "dated"), compat))
+    known = read.where("named IS NOT NULL").select("named", "unit", "of_ledger", "metric", "currency", "original_unit", "factor")
+    rows = rows.join(known, ["named", "unit", "of_ledger"]).join(read.where("dated IS NOT NULL").select("dated", "period"), "dated")
     rows = rows.where(~_skipped(F.col("label"), ledger, F.col("metric").isNotNull()))
     period = F.when(ledger, F.lit("FY24") if compat else F.coalesce("period", F.lit("FY24"))).otherwise(F.col("period"))
     rows = rows.withColumn("period", period).withColumn("raw_value", parse_number(F.col("raw"))).where("period IS NOT NULL AND raw_value IS NOT NULL")
@@ -133,14 +130,18 @@ def extract(table: DataFrame, sheet_units: DataFrame, *, compat: bool = False) -
     )
 
 
-def _named(names: DataFrame, compat: bool) -> DataFrame:
-    """Metric, currency, unit and factor for each name (named, unit, of_ledger) that a metric is known for; in a ledger the sheet's unit holds."""
-    names = scratch(names.withColumn("unit", F.coalesce("unit", F.lit(""))).distinct(), "names")
+def _texts(rows: DataFrame, compat: bool) -> DataFrame:
+    """Two kinds of rows: metric, currency, unit and factor of each name (named, unit, of_ledger) that a metric is known for, in a ledger by the sheet's unit; period of each text that dates (dated)."""
+    names = rows.select("named", "unit", "of_ledger").distinct()
     known = names.join(resolve_headers(names, "named", compat).where("metric IS NOT NULL"), "named")
     own = F.when(~F.col("of_ledger"), units.row_unit(F.col("named"), F.col("unit")))
-    measured = scratch(known.withColumn("own", F.coalesce(own, F.col("unit"))), "units")
-    found = measured.withColumn("u", units.detect_unit(F.col("own"), compat))
-    return if_small(scratch(found.select("named", "unit", "of_ledger", "metric", F.col("u.currency").alias("currency"), F.col("u.label").alias("original_unit"), F.col("u.multiplier").alias("factor")), "known"))
+    measured = known.withColumn("u", units.detect_unit(F.coalesce(own, F.col("unit")), compat))
+    no = lambda kind: F.lit(None).cast(kind)
+    named = measured.select("named", "unit", "of_ledger", "metric", F.col("u.currency").alias("currency"), F.col("u.label").alias("original_unit"), F.col("u.multiplier").alias("factor"), no("string").alias("dated"), no("string").alias("period"))
+    kinds = {f.name: f.dataType for f in named.schema.fields}
+    dated = rows.where("dated IS NOT NULL").select("dated").distinct().withColumn("period", periods.parse_period(F.col("dated")))
+    dated = dated.select(*[F.col(c) if c in ("dated", "period") else no(k).alias(c) for c, k in kinds.items()])
+    return scratch(named.unionAll(dated), "texts")
 
 
 def unmapped(table: DataFrame, *, compat: bool = False) -> DataFrame:

@@ -728,3 +728,6 @@ def question_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = F.concat("text", F.when(k == 0, " Profit in FY97?").when(k == 1, " COGS?").otherwise(""))
     rows = facts.table(spark, sf_dir, "conversations").select("conv_id", "turn", asked.alias("question"))
     return rows.select("conv_id", "turn", router.intent(F.col("question"), [m.name for m in METRICS]).alias("intent"))
+
+
+from . import audit  # noqa: E402, F401  its queries register here

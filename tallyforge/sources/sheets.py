@@ -24,17 +24,29 @@ _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
 
-def list_files(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
-    """path, filename, file_type, checksum (SHA-256), content of the files right in a folder, in order of path; other files are not opened."""
+def glob(suffixes: tuple[str, ...] = SUFFIXES) -> str:
+    """A pattern for names with these suffixes, in whatever case."""
     either = lambda s: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in s)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*{" + ",".join(map(either, suffixes)) + "}").load(folder)
+    return "*{" + ",".join(map(either, suffixes)) + "}"
+
+
+def described(files: DataFrame) -> DataFrame:
+    """path, filename, file_type, checksum (SHA-256), content of files as Spark reads binary ones."""
     name = F.element_at(F.split("path", "/"), -1)
-    kind = F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1))
-    return files.select("path", name.alias("filename"), kind.alias("file_type"), F.sha2("content", 256).alias("checksum"), "content").where(F.col("file_type").isin(*suffixes)).orderBy("path")
+    return files.select("path", name.alias("filename"), F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1)).alias("file_type"), F.sha2("content", 256).alias("checksum"), "content")
+
+
+def list_files(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
+    """The described files right in a folder, in order of path; other files are not opened."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob(suffixes)).load(folder)
+    return described(files).where(F.col("file_type").isin(*suffixes)).orderBy("path")
 
 
 def new_files(files: DataFrame, known: DataFrame) -> DataFrame:
-    """Files whose checksum is not known yet, once each: loading a folder twice changes nothing."""
+    """Files whose checksum is not known yet, once each (the first by path, if there are paths): loading a folder twice changes nothing."""
+    if "path" in files.columns:
+        first = files.groupBy("checksum").agg(F.min("path").alias("path"))
+        return files.join(first, ["checksum", "path"]).dropDuplicates(["checksum"]).join(known.select("checksum"), "checksum", "left_anti")
     return files.dropDuplicates(["checksum"]).join(known.select("checksum"), "checksum", "left_anti")
 
 

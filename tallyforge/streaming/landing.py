@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.pipeline import Engine
+from ..sources import sheets
 
 
 def watch(spark: SparkSession, folder: str, engine: Engine, checkpoint: str, *, once: bool = False) -> StreamingQuery:
-    """Start the stream. A batch that fails is run again from the checkpoint; files that it had loaded are known by checksum."""
-    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(folder)
+    """Start the stream. Each batch is one load, known by the checkpoint and the batch's number: one that failed midway has left nothing and is done again, one that was committed is not. Files of other kinds are not opened."""
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", sheets.glob()).load(folder)
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        name = F.element_at(F.split("path", "/"), -1)
-        engine.load(batch.select("path", name.alias("filename"), F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1)).alias("file_type"), F.sha2("content", 256).alias("checksum"), "content"))
+        engine.load(sheets.described(batch), f"{checkpoint}#{batch_id}")
 
     stream = files.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
     return (stream.trigger(availableNow=True) if once else stream).start()
