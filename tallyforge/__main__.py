@@ -15,7 +15,7 @@ def parser() -> argparse.ArgumentParser:
     commands = p.add_subparsers(dest="command", required=True)
     load = commands.add_parser("load", help="load the sheets, then the Word documents, of a folder")
     load.add_argument("folder")
-    load.add_argument("--policy", choices=("first", "prefer", "open"), default="first", help="how conflicts are decided")
+    load.add_argument("--policy", choices=("first", "prefer", "open", "ranked"), default="first", help="how conflicts are decided")
     load.add_argument("--prefer", default="audited", help="with the policy prefer: sources that hold")
     load.add_argument("--mock", action="store_true", help="ask nobody: prefer audited sources and go live")
     load.add_argument("--report-only", action="store_true", help="load nothing, report what is live")

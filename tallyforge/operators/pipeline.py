@@ -10,14 +10,14 @@ from collections.abc import Callable
 
 from ..functions.text import slugify
 from ..sources import documents, sheets
-from . import gates, ingest, mapper, reconcile, text, totals, validate
+from . import agreement, gates, ingest, mapper, reconcile, text, totals, validate
 from .derive import derive
 from .store import Clash, Store, conform, move, numbered, rows_in, scratch
 from .tools import Tools
 
 
 class Engine:
-    """One store. policy: how conflicts are decided (first, prefer, open); gate: who lets facts go live; ask: a mapper for headers that no rule knows.
+    """One store. policy: how conflicts are decided (first, prefer, open, ranked by source within the metric's band); gate: who lets facts go live; ask: a mapper for headers that no rule knows.
 
     Whatever changes the store is one load of it (see Store): it counts as a whole or not at all, and one that clashes
     with another is done again. Facts of a file count from when its gate has said yes.
@@ -161,7 +161,8 @@ class Engine:
     def _decided(self, load: Store, staging: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Conflicts of staged facts, what is decided of them (by users first, then by the policy), and both as rows of the store's conflicts."""
         conflicts = scratch(reconcile.detect_conflicts(staging, files), "conflicts")
-        decisions = reconcile.settled(reconcile.resolve(conflicts, self.policy, self.prefer), load.read("resolutions"))
+        made = agreement.decide(staging, files) if self.policy == "ranked" else reconcile.resolve(conflicts, self.policy, self.prefer)
+        decisions = scratch(reconcile.settled(made, load.read("resolutions")), "decisions")
         joined = conflicts.join(decisions, reconcile.KEY).withColumnRenamed("options", "values_seen").withColumn("resolved_by", F.coalesce("resolved_by", F.lit(self.policy)))
         rows = joined.withColumn("conflict_id", F.xxhash64(*reconcile.KEY)).withColumn("resolved_at", F.when(F.col("state") == "RESOLVED", F.current_timestamp()))
         return conflicts, decisions.drop("resolved_by"), rows
@@ -284,4 +285,4 @@ class Engine:
 
     def tools(self, encoder: Callable | None = text.hashed_words) -> Tools:
         """Tools over the store; encoder: what the chunks' vectors were made with, None to search by words."""
-        return Tools(self.store.read("live_facts"), self.store.read("source_files"), self.store.read("entities"), self.store.read("qualitative_chunks"), encoder, compat=self.compat)
+        return Tools(self.store.read("live_facts"), self.store.read("source_files"), self.store.read("entities"), self.store.read("qualitative_chunks"), encoder, compat=self.compat, staging=self.store.read("staging_facts"), conflicts=self.store.read("conflicts"))

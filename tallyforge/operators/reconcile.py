@@ -51,17 +51,17 @@ def settled(decisions: DataFrame, resolutions: DataFrame) -> DataFrame:
 
 
 def promote(staging: DataFrame, decisions: DataFrame, slugs: DataFrame, *, compat: bool = False, file_ids: list[int] | None = None) -> DataFrame:
-    """One live fact for each key: the decided row, else the one staged first; keys with an open conflict are left out. file_ids: only facts of these files."""
+    """One live fact for each key: the decided row, else the one staged first; keys with an open conflict are left out, unless a fact is put forward for it, which goes live with a mark. file_ids: only facts of these files."""
     staging = _scoped(staging, file_ids)
-    open_keys = decisions.where("state = 'OPEN'").select(*KEY)
-    decided = decisions.where("state = 'RESOLVED'").select(*KEY, "resolution_staging_id")
+    open_keys = decisions.where("state = 'OPEN' AND resolution_staging_id IS NULL").select(*KEY)
+    decided = decisions.where("resolution_staging_id IS NOT NULL").select(*KEY, "resolution_staging_id", (F.col("state") == "OPEN").alias("marked"))
     rows = staging.join(open_keys, KEY, "left_anti").join(decided, KEY, "left")
     order = F.struct((F.col("staging_id") != F.coalesce("resolution_staging_id", F.lit(-1))).alias("other"), "staging_id")
     kept = [c for c in ("value_normalised", "currency", "original_unit", "conversion_factor", "conversion_applied", "file_id", "staging_id", "cell_reference", "source_sheet") if c in staging.columns]
     many = F.count("*") > 1 if compat else F.count_distinct("value_normalised") > 1
-    best = rows.groupBy(*KEY).agg(F.min_by(F.struct(*kept), order).alias("best"), many.alias("many"))
+    best = rows.groupBy(*KEY).agg(F.min_by(F.struct(*kept), order).alias("best"), many.alias("many"), F.max("marked").alias("marked"))
     live = best.join(slugs.select("entity_id", "entity_slug"), "entity_id")
-    note = F.when(F.col("many"), F.lit("chosen among several sources"))
+    note = F.when(F.col("marked"), F.lit("sources disagree")).when(F.col("many"), F.lit("chosen among several sources"))
     out = live.select(
         fact_id(F.col("entity_slug"), F.col("period"), F.col("canonical_field")).alias("fact_id"), "entity_slug", *KEY, "best.*",
         F.lit(False).alias("is_derived"), F.array().cast("array<string>").alias("derived_from"), note.alias("authoritative_note"),

@@ -51,8 +51,8 @@ def _exact(value) -> Decimal:
 class Tools:
     """Tools over live facts, files, entities and chunks (DataFrames). encoder: texts to vectors like those of the chunks; with it context is searched by meaning."""
 
-    def __init__(self, live: DataFrame, files: DataFrame, entities: DataFrame, chunks: DataFrame | None = None, encoder: Callable | None = None, *, compat: bool = False) -> None:
-        self.live, self.files, self.entities, self.chunks, self.encoder, self.compat = live, files, entities, chunks, encoder, compat
+    def __init__(self, live: DataFrame, files: DataFrame, entities: DataFrame, chunks: DataFrame | None = None, encoder: Callable | None = None, *, compat: bool = False, staging: DataFrame | None = None, conflicts: DataFrame | None = None) -> None:
+        self.live, self.files, self.entities, self.chunks, self.encoder, self.compat, self.staging, self.conflicts = live, files, entities, chunks, encoder, compat, staging, conflicts
 
     def entity(self, entity: int | str) -> int:
         if isinstance(entity, int):
@@ -120,6 +120,19 @@ class Tools:
             raise MetricNotFound(f"no {metric} for {period}")
         return {"entity_id": entity, "metric": metric, "period": period, "sources": [r.asDict() for r in rows]}
 
+    def cite(self, entity, metric: str, period: str) -> dict:
+        """All cells behind a figure, with the full citation of each: see lineage.envelopes."""
+        from .lineage import envelopes
+
+        entity = self.entity(entity)
+        r = self._facts(entity, metric, [period])[period]
+        if self.staging is None:
+            raise ToolError("no staged facts to cite")
+        mine = lambda df: df.where(F.col("entity_id") == entity)
+        found = envelopes(mine(self.live).where(F.col("period") == period), mine(self.staging), self.files, None if self.conflicts is None else mine(self.conflicts))
+        rows = found.where(F.col("fact_id") == r["fact_id"]).orderBy("depth", "leaf_id").collect()
+        return {"entity_id": entity, "metric": metric, "period": period, "value": str(_exact(r["value_normalised"])), "citations": [x.asDict() for x in rows]}
+
     def list_available_metrics(self, entity) -> dict:
         entity = self.entity(entity)
         rows = available_metrics(self.live.where(F.col("entity_id") == entity)).orderBy("metric").collect()

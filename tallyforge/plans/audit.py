@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import totals
-from ..operators.store import scratch
+from ..operators import agreement, lineage, prose, totals
+from ..operators import derive as kpi
+from ..operators.store import conform, scratch
 from . import facts
 from .catalogue import number, query
 
@@ -44,3 +45,85 @@ def total_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Section totals and grand totals of a sheet for each order, right and wrong ones, held against their lines."""
     found = totals.check(totals.marked(_invoices(spark, sf_dir)))
     return found.select("file_id", F.col("row_idx").cast("long").alias("row_idx"), "label", "status", F.col("first_row").cast("long").alias("first_row"), "n_lines", "n_totals", number("difference").alias("difference"))
+
+
+# ---- agreement of sources
+
+
+def _three_sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every figure as a tally, an audit and a ledger state it: the audit is off by 0.3 % or 2 %, the ledger by 8 %, each for every third entity or so."""
+    made = facts.staging(spark, sf_dir).where("file_id = 1")
+    v, e = F.col("value_normalised"), F.col("entity_id")
+    audit = F.when(e % 3 == 1, v * F.lit(1.003).cast("decimal(6,4)")).when(e % 3 == 2, v * F.lit(1.02).cast("decimal(6,4)")).otherwise(v)
+    ledger = F.when(e % 4 == 1, v * F.lit(1.08).cast("decimal(6,4)")).otherwise(v)
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), x.cast("decimal(28,6)").alias("v")) for k, x in ((1, v), (2, audit), (3, ledger))])).alias("s")
+    rows = made.select("entity_id", "canonical_field", "period", (F.col("staging_id") * 10).alias("first"), kinds)
+    rows = rows.select("entity_id", "canonical_field", "period", F.col("s.k").alias("file_id"), (F.col("first") + F.col("s.k")).alias("staging_id"), F.col("s.v").alias("value_normalised"))
+    return rows, spark.createDataFrame([(1, "tally_export.csv"), (2, "accounts-audited.csv"), (3, "customer ledger.csv")], "file_id int, filename string")
+
+
+@query(
+    """, v AS (SELECT entity_id, canonical_field, period, staging_id * 10 AS first, value_normalised AS t,
+  CAST(CASE entity_id % 3 WHEN 1 THEN value_normalised * CAST(1.003 AS DECIMAL(6,4)) WHEN 2 THEN value_normalised * CAST(1.02 AS DECIMAL(6,4)) ELSE value_normalised END AS DECIMAL(28,6)) AS a,
+  CAST(CASE WHEN entity_id % 4 = 1 THEN value_normalised * CAST(1.08 AS DECIMAL(6,4)) ELSE value_normalised END AS DECIMAL(28,6)) AS l, CASE WHEN canonical_field = 'cogs' THEN 0.01 ELSE 0.005 END AS band FROM live WHERE value_normalised <> 0),
+n AS (SELECT *, (a - t)::DOUBLE <= band * a::DOUBLE AS ta, l = t OR (l - a)::DOUBLE <= band * l::DOUBLE AS la FROM v)
+SELECT entity_id, canonical_field, period, CAST(a AS DOUBLE) AS value, CAST(first + 2 AS BIGINT) AS staging_id, CASE WHEN ta THEN 1 ELSE 2 END + CASE WHEN l = t OR (l - a)::DOUBLE <= band * l::DOUBLE THEN 0 ELSE 1 END AS n_classes,
+  CASE WHEN ta AND (l = t OR (l - a)::DOUBLE <= band * l::DOUBLE) THEN 3 WHEN ta THEN 2 WHEN l = t THEN 1 WHEN (l - a)::DOUBLE <= band * l::DOUBLE THEN 2 ELSE 1 END AS n_agree FROM n""",
+    with_facts=True,
+)
+def agreement_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What three sources state of every figure: the chosen value, how many classes of values there are, and how many sources agree with it."""
+    rows, files = _three_sources(spark, sf_dir)
+    found = agreement.classes(rows.where("value_normalised <> 0"), files)
+    key = ["entity_id", "canonical_field", "period"]
+    best = F.max_by(F.struct("value_normalised", "staging_id"), F.col("chosen").cast("int")).alias("c")
+    out = found.groupBy(*key).agg(best, F.max("n_classes").alias("n_classes"), F.count_if(F.col("class") == 1).alias("n_agree"))
+    return out.select(*key, number("c.value_normalised").alias("value"), "c.staging_id", F.col("n_classes").cast("int").alias("n_classes"), F.col("n_agree").cast("int").alias("n_agree"))
+
+
+# ---- lineage
+
+
+@query(
+    """, n AS (SELECT entity_slug, period, bool_or(canonical_field = 'revenue_net' AND value_normalised <> 0) AS net FROM live GROUP BY ALL),
+l AS (SELECT fact_id, fact_id AS leaf_id, 0 AS depth FROM live
+  UNION ALL SELECT 'f_' || entity_slug || '_' || period || '_' || m, 'f_' || entity_slug || '_' || period || '_' || o, d FROM n, (VALUES ('gross_profit', 'revenue_net', 1), ('gross_profit', 'cogs', 1), ('gross_margin_pct', 'revenue_net', 1), ('gross_margin_pct', 'cogs', 2)) x(m, o, d) WHERE net OR m = 'gross_profit')
+SELECT l.fact_id, leaf_id, depth, filename AS source_file, original_value, CASE WHEN depth = 0 THEN 'f' ELSE 'd' END AS kind FROM l JOIN (SELECT fact_id AS leaf, filename, CAST(value_normalised AS DOUBLE) AS original_value FROM live JOIN files USING (file_id)) v ON v.leaf = leaf_id""",
+    with_facts=True,
+)
+def provenance_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells behind every fact, reported and derived, with the file and the value that each citation states."""
+    rows = scratch(facts.live(spark, sf_dir), "live")
+    reported = rows.select("fact_id", "entity_id", "entity_slug", "canonical_field", "period", "value_normalised", "currency", "staging_id", F.col("file_id").alias("source_file_id"), F.lit("S1").alias("source_sheet"), F.lit("B2").alias("cell_reference"))
+    made = kpi.derive(reported)
+    both = conform(reported.withColumn("is_derived", F.lit(False)), "live_facts").unionByName(conform(made, "live_facts"))
+    staged = rows.select("staging_id", F.col("canonical_field").alias("row_context"), F.col("canonical_field").alias("raw_header"), number("value_normalised").alias("raw_value"))
+    found = lineage.envelopes(both, staged, facts.files(spark))
+    return found.select("fact_id", "leaf_id", "depth", "source_file", "original_value", F.when(F.col("depth") == 0, "f").otherwise("d").alias("kind"))
+
+
+# ---- figures in prose
+
+
+@query(
+    """, y AS (SELECT entity_id, period, fiscal_year, round(gross / 10000000, 2) AS cr, round(returns / 100000, 1) AS lk, round(cogs) AS c, CASE WHEN gross = 0 THEN 0 ELSE round(CAST(returns AS DOUBLE) * 100 / CAST(gross AS DOUBLE), 1) END AS pct FROM sums),
+t AS (SELECT *, printf('%.2f', cr) AS s1, printf('%.1f', lk) AS s2, format('{:,.0f}', c::DOUBLE) AS s3, printf('%.1f', pct) AS s4 FROM y),
+u AS (SELECT *, 'In ' || period || ', gross revenue rose to approx. Rs. ' AS a, ' crore, while refunds were over ' AS b, ' lakh; ' AS c1, 'COGS fell by ' AS d, '% to $' AS e FROM t)
+SELECT entity_id, period, 'revenue_gross' AS metric, 'value' AS kind, 'about' AS hedge, 'INR' AS currency, CAST(s1 AS DOUBLE) * 1e7 AS value, length(a) - 12 AS start, length(a) + length(s1) + 6 AS stop FROM u
+UNION ALL SELECT entity_id, period, 'returns_refunds', 'value', 'at least', 'INR', CAST(s2 AS DOUBLE) * 1e5, length(a || s1 || b) - 5, length(a || s1 || b || s2) + 5 FROM u
+UNION ALL SELECT entity_id, period, 'cogs', 'change', NULL, 'PERCENTAGE', -CAST(s4 AS DOUBLE), length(a || s1 || b || s2 || c1 || d), length(a || s1 || b || s2 || c1 || d || s4) + 1 FROM u
+UNION ALL SELECT entity_id, period, 'cogs', 'value', NULL, 'USD', CAST(c AS DOUBLE), length(a || s1 || b || s2 || c1 || d || s4 || e) - 1, length(a || s1 || b || s2 || c1 || d || s4 || e || s3) FROM u""",
+    with_facts=True,
+)
+def prose_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences on every nation's year, and the figures read from them: hedged, scaled, changed, with the period of the sentence or of the one before."""
+    sums = facts.sums(spark, sf_dir)
+    gross, returns, cogs = (F.col(c) for c in ("gross", "returns", "cogs"))
+    shown = lambda c, places: F.regexp_replace(F.format_number(F.round(c, places), places), ",", "")
+    share = F.when(gross == 0, 0.0).otherwise(F.round(returns.cast("double") * 100 / gross.cast("double"), 1))
+    said = F.concat(
+        F.lit("In "), "period", F.lit(", gross revenue rose to approx. Rs. "), shown(gross / 10000000, 2), F.lit(" crore, while refunds were over "), shown(returns / 100000, 1),
+        F.lit(" lakh; COGS fell by "), shown(share, 1), F.lit("% to $"), F.format_number(F.round(cogs, 0), 0),
+    )
+    found = prose.extract(sums.select("entity_id", said.alias("raw_text")), keep=["entity_id"])
+    return found.select("entity_id", "period", "metric", "kind", "hedge", "currency", number("value").alias("value"), "start", F.col("end").alias("stop"))
