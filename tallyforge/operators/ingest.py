@@ -177,12 +177,34 @@ def entity_names(sheets: DataFrame, files: DataFrame) -> DataFrame:
     return files.join(first, "file_id", "left").select("file_id", F.coalesce(F.get(names, F.lit(0)), F.when(from_file != "", from_file), whole).alias("entity_name"))
 
 
+#: Length of the parts of slugs that names are looked up by.
+GRAM = 5
+
+
 def same_names(names: DataFrame, known: DataFrame) -> DataFrame:
-    """names (file_id, entity_name), with the name of a known entity (entity_id, entity_name, entity_slug) where it has the same letters and digits, or its slug is part of the name's; the first entity wins."""
+    """names (file_id, entity_name), with the name of a known entity (entity_id, entity_name, entity_slug) where it has the same letters and digits, or its slug is part of the name's; the first entity wins.
+
+    A slug is looked up by the one of its parts of GRAM characters (itself, if it is shorter) that the fewest names
+    have, and only names with that part are held against it, so no name meets all entities. Entities without a slug and
+    names that are null fit nothing.
+    """
     squeezed = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
-    have = known.select("entity_id", F.col("entity_name").alias("known"), "entity_slug")
-    fits = (squeezed(F.col("known")) == squeezed(F.col("entity_name"))) | slugify(F.col("entity_name")).contains(F.col("entity_slug"))
-    best = names.join(F.broadcast(have) if have.limit(10_001).count() <= 10_000 else have, fits).groupBy("file_id").agg(F.min_by("known", "entity_id").alias("known"))
+    have = known.where("entity_slug <> ''").select("entity_id", F.col("entity_name").alias("known"), "entity_slug", squeezed(F.col("entity_name")).alias("plain"))
+    slugs = names.where("entity_name IS NOT NULL").select("file_id", slugify(F.col("entity_name")).alias("slug"), squeezed(F.col("entity_name")).alias("plain"))
+
+    def grams(c: Column, size: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(c) - (size - 1), F.lit(1)))
+        return F.filter(F.transform(starts, lambda k: F.substring(c, k, F.lit(size))), lambda g: F.length(g) == size)
+
+    every = F.array_distinct(F.concat(*[grams(F.col("slug"), k) for k in range(1, GRAM + 1)]))
+    of_names = slugs.select("file_id", "slug", F.explode(every).alias("gram"))
+    counts = of_names.groupBy("gram").agg(F.count("*").alias("n"))
+    own = F.when(F.length("entity_slug") >= GRAM, F.array_distinct(grams(F.col("entity_slug"), GRAM))).otherwise(F.array("entity_slug"))
+    rarest = have.select("entity_id", "known", "entity_slug", F.explode(own).alias("gram")).join(counts, "gram", "left")
+    rarest = rarest.groupBy("entity_id", "known", "entity_slug").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("best")).select("entity_id", "known", "entity_slug", "best.gram")
+    within = of_names.join(rarest, "gram").where(F.col("slug").contains(F.col("entity_slug"))).select("file_id", "entity_id", "known")
+    alike = slugs.join(have, "plain").select("file_id", "entity_id", "known")
+    best = within.unionAll(alike).groupBy("file_id").agg(F.min_by("known", "entity_id").alias("known"))
     return names.join(best, "file_id", "left").select("file_id", F.coalesce("known", "entity_name").alias("entity_name"))
 
 

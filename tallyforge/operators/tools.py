@@ -41,6 +41,17 @@ class DivisionByZero(ToolError):
     pass
 
 
+class UnitMismatch(ToolError):
+    """Figures in units that cannot be compared."""
+
+
+def one_unit(*rows) -> None:
+    """Raises UnitMismatch for facts in different currencies, or a percentage beside an amount; a fact without a unit fits any."""
+    units = sorted({r["currency"] for r in rows if r["currency"] not in (None, "", "UNKNOWN")})
+    if len(units) > 1:
+        raise UnitMismatch(f"cannot compare {' with '.join(units)}")
+
+
 def _exact(value) -> Decimal:
     """A stored value as it is, written with at least one place after the point."""
     plain = f"{value if isinstance(value, Decimal) else Decimal(str(value)):f}"
@@ -95,6 +106,7 @@ class Tools:
     def calculate_variance(self, entity, metric: str, period_1: str, period_2: str, unit_out: str | None = None) -> dict:
         entity = self.entity(entity)
         rows = self._facts(entity, metric, [period_1, period_2])
+        one_unit(*rows.values())
         a, b = (_exact(rows[p]["value_normalised"]) for p in (period_1, period_2))
         out = {
             "entity_id": entity, "metric": metric, "period_1": period_1, "period_2": period_2, "value_1": str(a), "value_2": str(b), "delta": str(EXACT.subtract(b, a)),
@@ -105,6 +117,7 @@ class Tools:
     def calculate_ratio(self, entity, numerator: str, denominator: str, period: str, unit_out: str | None = None) -> dict:
         entity = self.entity(entity)
         n, d = (self._facts(entity, m, [period])[period] for m in (numerator, denominator))
+        one_unit(n, d)
         a, b = _exact(n["value_normalised"]), _exact(d["value_normalised"])
         if not b:
             raise DivisionByZero(f"{denominator} is zero in {period}")

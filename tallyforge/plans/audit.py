@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import agreement, lineage, prose, totals
+from ..functions import calendar
+from ..operators import agreement, growth, lineage, prose, totals
 from ..operators import derive as kpi
 from ..operators.store import conform, scratch
 from . import facts
@@ -111,7 +112,7 @@ t AS (SELECT *, printf('%.2f', cr) AS s1, printf('%.1f', lk) AS s2, format('{:,.
 u AS (SELECT *, 'In ' || period || ', gross revenue rose to approx. Rs. ' AS a, ' crore, while refunds were over ' AS b, ' lakh; ' AS c1, 'COGS fell by ' AS d, '% to $' AS e FROM t)
 SELECT entity_id, period, 'revenue_gross' AS metric, 'value' AS kind, 'about' AS hedge, 'INR' AS currency, CAST(s1 AS DOUBLE) * 1e7 AS value, length(a) - 12 AS start, length(a) + length(s1) + 6 AS stop FROM u
 UNION ALL SELECT entity_id, period, 'returns_refunds', 'value', 'at least', 'INR', CAST(s2 AS DOUBLE) * 1e5, length(a || s1 || b) - 5, length(a || s1 || b || s2) + 5 FROM u
-UNION ALL SELECT entity_id, period, 'cogs', 'change', NULL, 'PERCENTAGE', -CAST(s4 AS DOUBLE), length(a || s1 || b || s2 || c1 || d), length(a || s1 || b || s2 || c1 || d || s4) + 1 FROM u
+UNION ALL SELECT entity_id, period, 'cogs', 'change', NULL, 'PERCENTAGE', 0 - CAST(s4 AS DOUBLE), length(a || s1 || b || s2 || c1 || d), length(a || s1 || b || s2 || c1 || d || s4) + 1 FROM u
 UNION ALL SELECT entity_id, period, 'cogs', 'value', NULL, 'USD', CAST(c AS DOUBLE), length(a || s1 || b || s2 || c1 || d || s4 || e) - 1, length(a || s1 || b || s2 || c1 || d || s4 || e || s3) FROM u""",
     with_facts=True,
 )
@@ -127,3 +128,42 @@ def prose_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     found = prose.extract(sums.select("entity_id", said.alias("raw_text")), keep=["entity_id"])
     return found.select("entity_id", "period", "metric", "kind", "hedge", "currency", number("value").alias("value"), "start", F.col("end").alias("stop"))
+
+
+# ---- growth over periods
+
+
+_QUARTERS = """
+WITH b AS (
+  SELECT CAST(c_nationkey AS INTEGER) AS entity_id, (year(o_orderdate) * 12 + month(o_orderdate) - 1 - 3) // 3 AS q, CAST(l_extendedprice AS DECIMAL(18,2)) AS price
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey),
+q AS (SELECT entity_id, q, sum(price) AS v, 'FY' || lpad(CAST((q // 4 + 1) % 100 AS VARCHAR), 2, '0') || '-Q' || CAST(q % 4 + 1 AS VARCHAR) AS period FROM b WHERE (q * 7 + entity_id) % 9 <> 0 GROUP BY ALL)
+"""
+
+
+def _quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gross revenue of every nation by quarter, with gaps."""
+    rows = facts.sums(spark, sf_dir, "quarter").select("entity_id", F.lit("revenue_gross").alias("canonical_field"), "period", F.col("gross").cast("decimal(28,6)").alias("value_normalised"))
+    nth = F.floor((calendar.first_month(F.col("period")) - 3) / 3)
+    return rows.where(F.pmod(nth * 7 + F.col("entity_id"), F.lit(9)) != 0)
+
+
+@query(_QUARTERS + "SELECT a.entity_id, a.period, CAST(b.v AS DOUBLE) AS base, round((a.v - b.v)::DOUBLE * 100 / b.v::DOUBLE, 4) AS growth_pct, CASE WHEN b.v IS NULL THEN 'no_base' END AS reason FROM q a LEFT JOIN q b ON a.entity_id = b.entity_id AND b.q = a.q - 4")
+def growth_year_on_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quarters against the same quarter a year before, where there is one."""
+    found = growth.year_on_year(_quarters(spark, sf_dir))
+    return found.select("entity_id", "period", number("base").alias("base"), number("growth_pct").alias("growth_pct"), "reason")
+
+
+@query(_QUARTERS + "SELECT entity_id, arg_min(period, q) AS from_period, arg_max(period, q) AS to_period, (max(q) - min(q)) / 4.0::DOUBLE AS years, CASE WHEN max(q) > min(q) THEN round((pow(arg_max(v, q)::DOUBLE / arg_min(v, q)::DOUBLE, 4.0::DOUBLE / (max(q) - min(q))) - 1) * 100, 4) END AS cagr_pct, CASE WHEN max(q) = min(q) THEN 'one_period' END AS reason FROM q GROUP BY entity_id")
+def growth_compound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The yearly rate from the first quarter to the last."""
+    return growth.compound(_quarters(spark, sf_dir)).drop("canonical_field").withColumn("years", number("years"))
+
+
+@query(_QUARTERS + ", y AS (SELECT entity_id, q // 4 AS y, sum(price) AS v FROM b GROUP BY ALL) SELECT q.entity_id, 'FY' || lpad(CAST((y + 1) % 100 AS VARCHAR), 2, '0') AS period, count(*) AS n, CAST(any_value(y.v) AS DOUBLE) AS value, CAST(sum(q.v) AS DOUBLE) AS total, CASE WHEN count(*) = 4 THEN true END AS agrees FROM q JOIN y ON q.entity_id = y.entity_id AND q.q // 4 = y GROUP BY q.entity_id, y")
+def parts_of_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fiscal years held against the quarters that there are of them."""
+    years = facts.sums(spark, sf_dir).select("entity_id", F.lit("revenue_gross").alias("canonical_field"), "period", F.col("gross").cast("decimal(28,6)").alias("value_normalised"))
+    found = growth.parts(_quarters(spark, sf_dir).unionByName(years))
+    return found.select("entity_id", "period", "n", number("value").alias("value"), number("total").alias("total"), "agrees")
