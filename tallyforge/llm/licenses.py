@@ -1,22 +1,26 @@
 """License scan by conditional compression.
 
 A candidate block is compressed with Zstandard once plainly and once with each license's wording as a raw dictionary.
-The license whose wording makes the block smallest is ranked first. The winners are confirmed by their exact wording:
-words of block and template are compared one by one, where a placeholder stands for a version, year or holder; a
-block is a match if at most a tenth of the template's words differ.
-
-Candidate blocks are lines and sentences that hold a trigger, and runs of words wherever they lie in the text, over line
-feeds and comment marks too: three words in a row that a template has as well place the template in the text, and the
-run of words nearest to the template there is a candidate.
+The license whose wording makes the block smallest is ranked first; only wordings that share words in a row with the
+block are tried, as no other can be confirmed. The winners are confirmed by their exact wording: words of block and
+template are compared one by one, where a placeholder stands for a version, year or holder; a block is a match if at
+most a tenth of the template's words differ.
+
+Candidate blocks are runs of words wherever they lie in a text, over line feeds and comment marks too: three words in a
+row that a template has as well (all words of a shorter template) place the template in the text, and the run of words
+nearest to the template there is a candidate. Every text is looked at so. Of an SPDX expression each further identifier
+is a statement of its own.
 """
 
 from __future__ import annotations
 
+import bisect
 import difflib
 import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import compress
 
 import pyarrow as pa
 import zstandard
@@ -30,20 +34,29 @@ TEMPLATES = {
             "Licensed under the MIT License.",
             "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
             "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+            "The MIT License (MIT)",
+            "MIT License",
             "SPDX-License-Identifier: MIT"),
     "Apache": ("Licensed under the Apache License, Version <v>.",
                "Licensed under the Apache License, Version <v> (the \"License\"); you may not use this file except in compliance with the License.",
                "Licensed under the Apache License, Version <v> (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-<v> Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+               "Licensed under the Apache License <v>.",
+               "Licensed under the Apache <v> License.",
+               "Apache License Version <v>, January 2004",
                "SPDX-License-Identifier: Apache-<v>"),
     "GPL": ("This work is licensed under the GNU General Public License, version <v>.",
             "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version <v> of the License, or (at your option) any later version.",
             "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version <v> of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+            "Licensed under the GNU General Public License.",
+            "GNU GENERAL PUBLIC LICENSE Version <v>",
             "SPDX-License-Identifier: GPL-<v>-only",
             "SPDX-License-Identifier: GPL-<v>-or-later"),
     "LGPL": ("This library is licensed under the GNU Lesser General Public License, version <v>.",
+             "GNU LESSER GENERAL PUBLIC LICENSE Version <v>",
              "SPDX-License-Identifier: LGPL-<v>-only",
              "SPDX-License-Identifier: LGPL-<v>-or-later"),
     "AGPL": ("This work is licensed under the GNU Affero General Public License, version <v>.",
+             "GNU AFFERO GENERAL PUBLIC LICENSE Version <v>",
              "SPDX-License-Identifier: AGPL-<v>-only",
              "SPDX-License-Identifier: AGPL-<v>-or-later"),
     "BSD": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
@@ -57,9 +70,11 @@ TEMPLATES = {
             "SPDX-License-Identifier: ISC"),
     "MPL": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. <v>.",
             "This Source Code Form is subject to the terms of the Mozilla Public License, v. <v>. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/<v>/.",
+            "Mozilla Public License Version <v>",
             "SPDX-License-Identifier: MPL-<v>"),
     "EPL": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License <v>",
             "Licensed under the Eclipse Public License, version <v>.",
+            "Eclipse Public License - v <v>",
             "SPDX-License-Identifier: EPL-<v>"),
     "BSL": ("Distributed under the Boost Software License, Version <v>.",
             "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:",
@@ -72,14 +87,13 @@ TEMPLATES = {
     "CC-BY-ND": ("Licensed under CC BY-ND <v>.",),
     "CC0": ("Released under CC0 <v> Universal.", "SPDX-License-Identifier: CC0-<v>"),
     "Unlicense": ("This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: Unlicense"),
-    "Proprietary": ("Copyright <y> <h>. All rights reserved.",),
+    "Proprietary": ("Copyright <y> <h>. All rights reserved.", "Copyright (c) <y> <h>. All rights reserved.", "Copyright © <y> <h>. All rights reserved.", "(c) <y> <h>. All rights reserved.", "© <y> <h>. All rights reserved."),
 }
-#: A block is looked at if it holds one of these, in lower case.
-TRIGGERS = ("licen", "copyright", "permission", "redistribution", "public domain", "free software", "released under", "rights reserved", "source code form", "eclipse public")
-
-_token = re.compile(r"[0-9]+(?:\.[0-9]+)*|[^\W_0-9]+|<[vyh]>")
+_token = re.compile(r"[0-9]+(?:\.[0-9]+)*|[^\W_0-9]+|<[vyh]>|©")
 _version = re.compile(r"v?[0-9]+(?:\.[0-9]+)*$")
-_sentence = re.compile(r"(?<=[.!?:])\s+(?=[A-Z\"(])")
+#: An SPDX tag, its expression, and the parts of that.
+_spdx = re.compile(r"SPDX-License-Identifier:[ \t]*([^\n]*)")
+_spdx_part = re.compile(r"[ \t]*(?:[()]|([A-Za-z0-9.+-]+))")
 #: A line feed with the comment marks after it.
 _wrap = re.compile(r"\n[\s#*/;%!>|-]*")
 _year = re.compile("[0-9]{4}")
@@ -101,12 +115,12 @@ def _templates() -> list[tuple[str, str, list[str], zstandard.ZstdCompressor]]:
 
 @lru_cache(1)
 def _phrases() -> tuple[dict[tuple[str, ...], list[tuple[int, int]]], list[int]]:
-    """Where three words in a row stand in templates (number, place), and the least of them that a match of each keeps."""
+    """Where three words in a row, or all of a shorter template, stand in templates (number, place), and the least of them that a match of each keeps."""
     places: dict[tuple[str, ...], list[tuple[int, int]]] = {}
     least = []
     for k, (_, _, words, _) in enumerate(_templates()):
         n, slack = 0, len(words) // 10
-        for at in range(len(words) - 2):
+        for at in range(max(1, len(words) - 2)):
             three = tuple(words[at : at + 3])
             if not any(w[0] == "<" for w in three):
                 places.setdefault(three, []).append((k, at))
@@ -149,19 +163,31 @@ def differences(block: list[str], template: list[str]) -> int:
     return sum(max(b - a, d - c) for tag, a, b, c, d in same.get_opcodes() if tag != "equal")
 
 
-def match(block: str) -> list[tuple[str, int, int, int]]:
-    """Licenses that a block states, best first: name, bytes saved, plain bytes, differing words."""
-    raw = _wrap.sub(" ", block).encode()
-    plain, words = len(_plain().compress(raw)), _words(block)
-    ranks = sorted(((plain - len(c.compress(raw)), name, template) for name, _, template, c in _templates()), key=lambda x: (-x[0], x[1]))
+def _hits(words: list[str]) -> list[tuple[int, tuple[str, ...]]]:
+    """Where words in a row stand that a template has as well."""
+    places = _phrases()[0]
     out = []
+    for n in {len(p) for p in places}:
+        rows = list(zip(*(words[k:] for k in range(n))))
+        out += [(at, rows[at]) for at in compress(range(len(rows)), map(places.__contains__, rows))]
+    return out
+
+
+@lru_cache(4096)
+def match(block: str) -> tuple[tuple[str, int, int, int], ...]:
+    """Licenses that a block states, best first: name, bytes saved, plain bytes, differing words."""
+    raw = _wrap.sub(" ", block).encode(errors="replace")
+    plain, words, places = len(_plain().compress(raw)), _words(block), _phrases()[0]
+    tried = [_templates()[k] for k in sorted({k for _, phrase in _hits(words) for k, _ in places[phrase]})]
+    ranks = sorted(((plain - len(c.compress(raw)), name, template) for name, _, template, c in tried), key=lambda x: (-x[0], x[1]))
+    out: list[tuple[str, int, int, int]] = []
     for saved, name, template in ranks:
         if saved <= 0 or out and saved < out[0][1]:
             break
         n = differences(words, template)
         if 10 * n <= len(template) and (not out or n < out[0][3]):
             out.insert(0, (name, saved, plain, n))
-    return out[:1]
+    return tuple(out[:1])
 
 
 def nearest(words: list[str], template: list[str]) -> tuple[int, int]:
@@ -180,20 +206,24 @@ def nearest(words: list[str], template: list[str]) -> tuple[int, int]:
 
 def runs(text: str, lower: str) -> set[tuple[int, int]]:
     """Candidate blocks that are runs of words of about a template's length; a copyright notice reaches back to its year."""
+    words = _token.findall(lower)
+    hits = _hits(words)
+    if not hits:
+        return set()
     found = list(_token.finditer(lower))
-    words = [m[0] for m in found]
     (places, least), templates = _phrases(), _templates()
     longest = max(len(t) for _, _, t, _ in templates)
     votes: Counter[tuple[int, int]] = Counter()
     out: set[tuple[int, int, int]] = set()
-    for at, three in enumerate(zip(words, words[1:], words[2:])):
-        for k, place in places.get(three, ()):
+    for at, phrase in hits:
+        for k, place in places[phrase]:
             template = templates[k][2]
             if "<h>" not in template:
                 votes[k, at - place] += 1
                 continue
+            head = template[: template.index("<y>")]
             for start in range(at - 1, max(-1, at + 3 - longest), -1):
-                if words[start] == template[0] and _year.fullmatch(words[start + 1]):
+                if words[start : start + len(head)] == head and start + len(head) < at and _year.fullmatch(words[start + len(head)]):
                     if not re.search(r"\n\s*\n", text[found[start].start() : found[at].start()]):
                         out.add((start, at + 3, k))
                     break
@@ -215,33 +245,38 @@ def runs(text: str, lower: str) -> set[tuple[int, int]]:
         stop, tail = found[end - 1].end(), re.search(r"[^\w>]*$", templates[k][1])[0]
         while tail and text.startswith(tail[0], stop):
             stop, tail = stop + 1, tail[1:]
-        spans.add((found[begin].start(), stop))
+        lead = re.match(r"[^\w<©]*", templates[k][1])[0]
+        start = found[begin].start()
+        spans.add((start - len(lead) if lead and text.endswith(lead, 0, start) else start, stop))
     return spans
 
 
 def blocks(text: str) -> list[tuple[int, int]]:
-    """Candidate blocks: each line that holds a trigger, whole, each of its sentences that does, and runs()."""
-    lower, found = text.lower(), set()
+    """Candidate blocks of a text."""
+    lower = text.lower()
     if len(lower) != len(text):  # a letter whose lower case is longer: look at it letter by letter
         lower = "".join(c.lower()[0] for c in text)
-    for trigger in TRIGGERS:
-        at = lower.find(trigger)
-        while at >= 0:
-            start = text.rfind("\n", 0, at) + 1
-            end = text.find("\n", at)
-            found.add((start, len(text) if end < 0 else end))
-            at = lower.find(trigger, len(text) if end < 0 else end)
-    out = set()
-    for start, end in found:
-        line = text[start:end]
-        out.add((start, end))
-        at = start
-        for part in _sentence.split(line):
-            at = text.index(part, at)
-            if any(t in lower[at : at + len(part)] for t in TRIGGERS):
-                out.add((at, at + len(part)))
-            at += len(part)
-    return sorted(out | runs(text, lower)) if out else []
+    return sorted(runs(text, lower))
+
+
+def expressions(text: str) -> list[tuple[int, int, str]]:
+    """Identifiers after the first in SPDX expressions: start, end, and the statement that each stands for."""
+    out = []
+    for tag in _spdx.finditer(text):
+        at, last, joined = tag.start(1), None, True
+        while m := _spdx_part.match(text, at, tag.end(1)):
+            at = m.end()
+            if m[1] is None:
+                continue
+            if m[1].upper() in ("OR", "AND", "WITH"):
+                last, joined = m[1].upper(), True
+                continue
+            if not joined:  # no part of the expression
+                break
+            if last in ("OR", "AND"):
+                out.append((m.start(1), m.end(1), f"SPDX-License-Identifier: {m[1]}"))
+            joined = False
+    return out
 
 
 def scan_text(text: str) -> list[tuple[int, int, str, int, int, int]]:
@@ -250,11 +285,13 @@ def scan_text(text: str) -> list[tuple[int, int, str, int, int, int]]:
     for start, end in blocks(text):
         found += [(start, end, *m) for m in match(text[start:end])]
     found.sort(key=lambda x: (x[5], x[0] - x[1], x[0]))
-    kept: list[tuple] = []
+    found += [(start, end, *m) for start, end, said in expressions(text) for m in match(said)]
+    kept: list[tuple] = []  # by start
     for x in found:
-        if all(x[1] <= y[0] or y[1] <= x[0] for y in kept):
-            kept.append(x)
-    return sorted(kept)
+        k = bisect.bisect_left(kept, x[1], key=lambda y: y[0])
+        if k == 0 or kept[k - 1][1] <= x[0]:
+            kept.insert(k, x)
+    return kept
 
 
 def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

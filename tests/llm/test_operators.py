@@ -667,6 +667,22 @@ def test_full_texts_and_identifiers():
     for mark in ("", "# ", " * "):
         text = "".join(f"{mark}{x}\n" for x in ["int main;", "", *textwrap.wrap(mit, 72), "", "and code"])
         assert [m[2] for m in licenses.scan_text(text)] == ["MIT"]
+    for text, want in {
+        "// This is free and unencumbered software released into the public\n// domain.": ["Unlicense"], "Copyright (c) 2020 Foo Bar. All rights reserved.": ["Proprietary"], "\u00a9 2020, 2021 A\nAll rights reserved.": ["Proprietary"],
+        "Licensed under the Apache License 2.0": ["Apache"], "MIT License": ["MIT"], "Apache License\nVersion 2.0, January 2004": ["Apache"], "GNU GENERAL PUBLIC LICENSE Version 3": ["GPL"], "GNU AFFERO GENERAL\n PUBLIC LICENSE\n Version 3": ["AGPL"],
+        "SPDX-License-Identifier: (Unknown OR MIT) AND BSD-3-Clause WITH x // tail MIT": ["MIT", "BSD"], "the MIT and its license": [], "a mozilla public": [],
+    }.items():
+        assert [m[2] for m in licenses.scan_text(text)] == want, text
+    for name, texts in licenses.TEMPLATES.items():  # a line feed at every place
+        for t in (t for t in texts if len(t) < 160):
+            words = t.replace("<v>", "2.0").replace("<y>", "2021").replace("<h>", "Some Holder Ltd").split(" ")
+            for k in range(1, len(words)):
+                for mark in ("\n", "\n# "):
+                    assert [m[2] for m in licenses.scan_text("Start of it\n\n" + " ".join(words[:k]) + mark + " ".join(words[k:]) + "\n\nEnd of it")] == [name], (t, k)
+    import time
+
+    began = time.time()
+    assert len(licenses.scan_text("SPDX-License-Identifier: MIT\n" * 22_000)) == 22_000 and time.time() - began < 10
     text = "// SPDX-License-Identifier: GPL-2.0-or-later\n// SPDX-License-Identifier: MIT OR Apache-2.0\nint x;"
     assert [m[2] for m in licenses.scan_text(text)][:2] == ["GPL", "MIT"]
 
