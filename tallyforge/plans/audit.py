@@ -39,13 +39,13 @@ WITH s AS (
 p AS (SELECT *, coalesce(sum(n + 2) OVER (PARTITION BY file_id ORDER BY flag ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS top FROM s),
 g AS (SELECT file_id, sum(n) AS n, sum(total) AS total, count(*) AS k, sum(n + 2) AS bottom FROM s GROUP BY file_id)
 SELECT file_id, CAST(top + n + 1 AS BIGINT) AS row_idx, 'Total ' || flag AS label, CASE WHEN file_id % 7 = 0 AND flag <> 'N' THEN 'differs' ELSE 'matches' END AS status,
-       CASE WHEN file_id % 7 = 0 AND flag <> 'N' THEN NULL ELSE CAST(top + 1 AS BIGINT) END AS first_row, n AS n_lines, CAST(0 AS BIGINT) AS n_totals, CAST(CASE WHEN file_id % 7 = 0 AND flag <> 'N' THEN 100 ELSE 0 END AS DOUBLE) AS difference FROM p
+       CASE WHEN file_id % 7 = 0 AND flag <> 'N' THEN -1 ELSE CAST(top + 1 AS BIGINT) END AS first_row, n AS n_lines, CAST(0 AS BIGINT) AS n_totals, CAST(CASE WHEN file_id % 7 = 0 AND flag <> 'N' THEN 100 ELSE 0 END AS DOUBLE) AS difference FROM p
 UNION ALL
-SELECT file_id, CAST(bottom AS BIGINT), 'Grand total', CASE WHEN file_id % 11 = 0 THEN 'differs' ELSE 'matches' END, CASE WHEN file_id % 11 = 0 THEN NULL ELSE 1 END, CAST(n AS BIGINT), CASE WHEN file_id % 11 = 0 THEN 0 ELSE k END, CAST(CASE WHEN file_id % 11 = 0 THEN -50 ELSE 0 END AS DOUBLE) FROM g""")
+SELECT file_id, CAST(bottom AS BIGINT), 'Grand total', CASE WHEN file_id % 11 = 0 THEN 'differs' ELSE 'matches' END, CASE WHEN file_id % 11 = 0 THEN -1 ELSE 1 END, CAST(n AS BIGINT), CASE WHEN file_id % 11 = 0 THEN 0 ELSE k END, CAST(CASE WHEN file_id % 11 = 0 THEN -50 ELSE 0 END AS DOUBLE) FROM g""")
 def total_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Section totals and grand totals of a sheet for each order, right and wrong ones, held against their lines."""
     found = totals.check(totals.marked(_invoices(spark, sf_dir)))
-    return found.select("file_id", F.col("row_idx").cast("long").alias("row_idx"), "label", "status", F.col("first_row").cast("long").alias("first_row"), "n_lines", "n_totals", number("difference").alias("difference"))
+    return found.select("file_id", F.col("row_idx").cast("long").alias("row_idx"), "label", "status", F.coalesce("first_row", F.lit(-1)).cast("long").alias("first_row"), "n_lines", "n_totals", number("difference").alias("difference"))
 
 
 # ---- agreement of sources
@@ -161,9 +161,9 @@ def growth_compound(spark: SparkSession, sf_dir: str) -> DataFrame:
     return growth.compound(_quarters(spark, sf_dir)).drop("canonical_field").withColumn("years", number("years"))
 
 
-@query(_QUARTERS + ", y AS (SELECT entity_id, q // 4 AS y, sum(price) AS v FROM b GROUP BY ALL) SELECT q.entity_id, 'FY' || lpad(CAST((y + 1) % 100 AS VARCHAR), 2, '0') AS period, count(*) AS n, CAST(any_value(y.v) AS DOUBLE) AS value, CAST(sum(q.v) AS DOUBLE) AS total, CASE WHEN count(*) = 4 THEN true END AS agrees FROM q JOIN y ON q.entity_id = y.entity_id AND q.q // 4 = y GROUP BY q.entity_id, y")
+@query(_QUARTERS + ", y AS (SELECT entity_id, q // 4 AS y, sum(price) AS v FROM b GROUP BY ALL) SELECT q.entity_id, 'FY' || lpad(CAST((y + 1) % 100 AS VARCHAR), 2, '0') AS period, count(*) AS n, CAST(any_value(y.v) AS DOUBLE) AS value, CAST(sum(q.v) AS DOUBLE) AS total, CASE WHEN count(*) = 4 THEN 'agrees' ELSE 'part' END AS verdict FROM q JOIN y ON q.entity_id = y.entity_id AND q.q // 4 = y GROUP BY q.entity_id, y")
 def parts_of_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fiscal years held against the quarters that there are of them."""
     years = facts.sums(spark, sf_dir).select("entity_id", F.lit("revenue_gross").alias("canonical_field"), "period", F.col("gross").cast("decimal(28,6)").alias("value_normalised"))
     found = growth.parts(_quarters(spark, sf_dir).unionByName(years))
-    return found.select("entity_id", "period", "n", number("value").alias("value"), number("total").alias("total"), "agrees")
+    return found.select("entity_id", "period", "n", number("value").alias("value"), number("total").alias("total"), F.when(F.col("agrees"), "agrees").when(~F.col("agrees"), "differs").otherwise("part").alias("verdict"))
