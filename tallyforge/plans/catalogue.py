@@ -232,8 +232,8 @@ def _files_of(rows: DataFrame, kind: str, build: Callable[[dict], bytes]) -> Dat
     return rows.mapInArrow(run, "file_id int, file_type string, content binary")
 
 
-def _workbooks(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    """The grid of a real file for each nation: lone lines above the header, a rule, a blank and a total among its rows, notes beside them."""
+def _workbook_files(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """A real file (file_id, file_type, content) for each nation: lone lines above the header, a rule, a blank and a total among its rows, notes beside them."""
     f = _yearly(spark, sf_dir)
     n_years = f.agg(F.max("nth")).first()[0]
     shown = [F.format_number(F.round(F.col(c), 2), 2).alias(c) for _, c in _LINES]
@@ -249,7 +249,12 @@ def _workbooks(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
         rows += [line(_LINES[0][0], _LINES[0][1], "margin 5%"), ["", *empty, ""], line(_LINES[1][0], _LINES[1][1], ""), line(_LINES[2][0], _LINES[2][1], "as reported"), ["Total", *(["9"] * (n_years + 1)), ""]]
         return samples.to_csv(rows) if kind == ".csv" else samples.to_xlsx({"S1": rows}) if kind == ".xlsx" else samples.to_xls({"S1": rows})
 
-    return scratch(sheets.read_grid(_files_of(whole, kind, build)).where("error IS NULL").drop("error"), "grid")
+    return _files_of(whole, kind, build)
+
+
+def _workbooks(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """The grid of each nation's file."""
+    return scratch(sheets.read_grid(_workbook_files(spark, sf_dir, kind)).where("error IS NULL").drop("error"), "grid")
 
 
 def _workbook_facts(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
