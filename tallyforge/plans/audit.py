@@ -13,6 +13,7 @@ from ..operators import agreement, growth, lineage, prose, totals
 from ..operators import derive as kpi
 from ..operators.pipeline import Engine
 from ..operators.store import conform, scratch, shared_dir
+from ..streaming import conflicts
 from . import facts
 from .catalogue import _workbook_files, number, query
 
@@ -196,3 +197,14 @@ def files_loaded_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
     states = engine.store.read("source_files").select(F.col("file_id").alias("source_file_id"), "state")
     rows = live.join(names, "entity_id").join(states, "source_file_id")
     return rows.select("entity_name", "canonical_field", "period", number("value_normalised").alias("value"), "state", F.lit(again).cast("long").alias("again"))
+
+
+@query(
+    """, v AS (SELECT entity_id, canonical_field, period, min(value_normalised) AS low, max(value_normalised) AS high, arg_min(staging_id, (value_normalised, staging_id)) AS low_id, arg_min(staging_id, (-value_normalised, staging_id)) AS high_id, count(*) AS facts FROM staging GROUP BY 1, 2, 3)
+SELECT entity_id, canonical_field, period, CAST(low AS DOUBLE) AS low, CAST(high AS DOUBLE) AS high, low_id, high_id, facts FROM v WHERE (high - low)::DOUBLE > 0.005 * high::DOUBLE""",
+    with_facts=True,
+)
+def conflict_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures whose sources differ by more than the metric's band, with the facts at both ends: what the stream of conflicts has named last."""
+    found = conflicts.ranges(facts.staging(spark, sf_dir))
+    return found.withColumns({c: number(c) for c in ("low", "high")})
