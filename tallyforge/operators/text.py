@@ -145,12 +145,14 @@ def link_to_facts(chunks: DataFrame, live: DataFrame, *, by: str = "entity_id",
     low = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), F.lit(" "))
     joined = chunks.join(F.broadcast(facts) if facts.limit(10_001).count() <= 10_000 else facts, by, "left")
     joined = joined.withColumn("__claimed", claimed).withColumn("__low", low).withColumn("__facts", F.coalesce("__facts", F.expr("array()").cast(facts.schema["__facts"].dataType)))
-    names = lambda f: F.col("__low").contains(F.concat(F.lit(" "), F.translate(f["metric"], "_", " "), F.lit(" ")))
-    joined = joined.withColumn("__p", F.filter("__facts", lambda f: F.array_contains(F.col("__claimed"), f["period"]))).withColumn("__m", F.filter("__facts", names))
+    # a metric is looked for once in a text, however many facts there are of it
+    metrics = F.array_distinct(F.transform("__facts", lambda f: f["metric"]))
+    joined = joined.withColumn("__named", F.filter(metrics, lambda m: F.col("__low").contains(F.concat(F.lit(" "), F.translate(m, "_", " "), F.lit(" ")))))
+    joined = joined.withColumn("__p", F.filter("__facts", lambda f: F.array_contains(F.col("__claimed"), f["period"]))).withColumn("__m", F.filter("__facts", lambda f: F.array_contains(F.col("__named"), f["metric"])))
     unique = lambda c, f: F.array_sort(F.array_distinct(F.transform(c, lambda x: x[f])))
     out = joined.withColumn("linked_periods", unique("__p", "period")).withColumn("linked_metrics", unique("__m", "metric"))
     out = out.withColumn("linked_fact_ids", F.array_sort(F.array_union(unique("__p", "fact_id"), unique("__m", "fact_id"))))
-    return out.drop("__facts", "__claimed", "__low", "__p", "__m")
+    return out.drop("__facts", "__claimed", "__low", "__named", "__p", "__m")
 
 
 def hashed_words(texts: list[str]) -> np.ndarray:

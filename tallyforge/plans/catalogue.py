@@ -661,9 +661,17 @@ def claim_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _noted(spark, sf_dir).select("doc_id", F.element_at(money, 1).alias("money"), F.element_at(years, -1).alias("period"))
 
 
-_KINDS = list(fn.CLAIMS)
-_KIND_SQL = ", ".join("CAST(len(regexp_extract_all(t, '" + pattern.replace("'", "''") + f"')) AS INTEGER) AS {kind}" for kind, pattern in fn.CLAIMS.items())
-_FLAG_SQL = " OR ".join("regexp_matches(t, '" + pattern.replace("'", "''") + "')" for kind, pattern in fn.CLAIMS.items() if kind != "bare_large_number")
+_KINDS = ("currency", "period", "percentage", "bare_large_number", "multiplier")
+# Fixed values, stated apart from the code that is held against them: what counts as a claim of each kind, and what makes a text one with claims.
+_CLAIM_SQL = {
+    "currency": r"(?i)(?:Rs\.?\s*|INR\s*|\$\s*|USD\s*)?\d[\d,]*\.?\d*\s*(?:lakh|lakhs|crore|crores|million|billion|thousand|mn|bn|cr\.?)\b",
+    "period": r"(?i)(?:FY\s*\d{2,4}|FY\s*\d{2,4}[-_]Q[1-4]|FY\s*\d{2,4}[-_]M\d{1,2}|CY\s*\d{4}|Q[1-4]\s*['’]?\d{2}|\d{1,2}[.-]\d{2}[.-]\d{2,4}|\d{1,2}[-\s](?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*[-\s]\d{2,4})",
+    "percentage": r"\d+\.?\d*\s*%",
+    "bare_large_number": r"\b\d{6,}\b",
+    "multiplier": r"\d+\.?\d*\s*x\b",
+}
+_KIND_SQL = ", ".join("CAST(len(regexp_extract_all(t, '" + _CLAIM_SQL[kind].replace("'", "''") + f"')) AS INTEGER) AS {kind}" for kind in _KINDS)
+_FLAG_SQL = " OR ".join("regexp_matches(t, '" + _CLAIM_SQL[kind].replace("'", "''") + "')" for kind in ("currency", "period", "percentage", "multiplier"))
 
 
 @query(f"SELECT doc_id, {_KIND_SQL}, {_FLAG_SQL} AS claims FROM (SELECT doc_id, {_NOTE_SQL} AS t FROM documents)")
@@ -723,7 +731,12 @@ def link_chunks_to_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SPOKEN_SQL = router.Names([m.name for m in METRICS]).pattern.replace("\\ ", " ").replace("'", "''")
 _PERIOD_SQL = "(?i)" + "|".join(p for p, _ in periods.NOTATIONS).replace("'", "''")
-_INTENT_SQL = " ".join("WHEN " + " OR ".join(f"contains(q, '{w}')" for w in words) + f" THEN '{tool}'" for tool, words in router.TRIGGERS)
+# Fixed values, stated apart from the code that is held against them: words of a question that ask for a tool, in their order.
+_INTENT_SQL = """WHEN contains(q, 'available metrics') OR contains(q, 'what metrics') OR contains(q, 'list metrics') THEN 'list_available_metrics'
+ WHEN contains(q, 'source') OR contains(q, 'citation') OR contains(q, 'where did') OR contains(q, 'which file') THEN 'list_sources'
+ WHEN contains(q, 'context') OR contains(q, 'why') OR contains(q, 'explain') OR contains(q, 'narrative') OR contains(q, 'qualitative') THEN 'search_context'
+ WHEN contains(q, 'variance') OR contains(q, 'change') OR contains(q, 'growth') OR contains(q, 'delta') THEN 'calculate_variance'
+ WHEN contains(q, 'ratio') OR contains(q, 'margin') OR contains(q, 'divided by') OR contains(q, '/') THEN 'calculate_ratio'"""
 
 
 @query(f"SELECT conv_id, turn, CASE {_INTENT_SQL} WHEN regexp_matches(q, '{_SPOKEN_SQL}') AND regexp_matches(q, '{_PERIOD_SQL}') THEN 'fetch_metric' ELSE 'help' END AS intent FROM (SELECT conv_id, turn, lower(text || CASE (conv_id * 10 + turn) % 3 WHEN 0 THEN ' profit in fy97?' WHEN 1 THEN ' cogs?' ELSE '' END) AS q FROM conversations)")
