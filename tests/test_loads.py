@@ -14,6 +14,15 @@ from tallyforge.sources import samples, sheets
 from tallyforge.streaming.landing import watch
 
 
+@pytest.fixture(autouse=True)
+def few_tasks(spark):
+    """Loads of a few rows are made of many small jobs."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def csv(folder, name, **values):
     folder.mkdir(exist_ok=True)
     (folder / name).write_text("Metric (Rs. Lakhs),FY23,FY24\n" + "\n".join(f"{k.replace('_', ' ')},{a},{b}" for k, (a, b) in values.items()))
