@@ -106,7 +106,7 @@ class Engine:
             unit = about.groupBy("file_id").agg(F.min_by("unit", "sheet").alias("detected_unit"))
             names = ingest.entity_names(about, fresh.select("file_id", "filename"))
             registered = self._register(load, fresh.join(unit, "file_id", "left"), names, "AWAITING_ACKNOWLEDGMENT")
-            table = scratch(ingest.cells(grid.drop("error"), about), "cells")
+            table = scratch(ingest.cells(grid.drop("error"), about), "cells", far=F.col("row_idx") >= totals.PART)
             if self.ask:
                 mapper.map_headers(self.store, ingest.unmapped(table, compat=self.compat), self.ask)
             facts = ingest.extract(table, about.select("file_id", "sheet", "unit"), compat=self.compat)
@@ -116,7 +116,8 @@ class Engine:
             log = fresh.select("file_id", F.lit("loaded").alias("event"), F.col("filename").alias("detail"))
             names = scratch(totals.labelled(table, compat=self.compat), "total-names")
             if rows_in(names):
-                checked = totals.check(totals.marked(table)).join(names, "label", "left_semi")
+                whole = not rows_in(table, "far")
+                checked = totals.check(totals.marked(table, whole=whole), whole=whole).join(names, "label", "left_semi")
                 log = log.unionByName(totals.log(checked))
             logged = load.append("ingestion_log", log.withColumn("logged_at", F.current_timestamp()).withColumn("log_id", F.xxhash64("file_id", "event", "detail")))
             return {"files": rows_in(fresh), "errors": errors, "staged": staged, "totals_off": logged - rows_in(fresh)} | self._reconcile(load, registered.select("file_id"))

@@ -3,6 +3,8 @@
 In a column of a sheet the lines before each row are summed up once. A total T after lines that sum to P adds up the
 block that begins at a line whose own sum before it is P - T, so all blocks are found by one equi-join of sums; nested
 totals count only the lines below them. Sums are made by parts of a column, so a sheet of any length is no single task.
+Sheets that are known to be short (whole) are dealt by file and sheet once; all that follows stays in that task, so
+rows are shuffled once, and not at all if their files are together already.
 """
 
 from __future__ import annotations
@@ -49,15 +51,21 @@ def running(rows: DataFrame, key: list[str], at: str, wanted: Running, part: int
     return found.select(*rows.columns, *[joined(n, f, c).alias(n) for n, (f, c) in wanted.items()])
 
 
-def marked(cells: DataFrame) -> DataFrame:
+def marked(cells: DataFrame, *, whole: bool = False) -> DataFrame:
     """Rows of each column that hold numbers: kind (line, total, heading), label, value (negative for a line taken off), places after the point.
 
     cells as ingest.cells() gives them: file_id, sheet, row_idx, col_idx, raw. A label without a number is a heading; rows without both are left out.
+    whole: sheets are short, so the cells of one may meet in a task.
     """
-    labels = cells.where("col_idx = 0").select("file_id", "sheet", "row_idx", F.trim("raw").alias("label"))
-    values = cells.where("col_idx > 0").withColumn("number", parse_number(F.col("raw")))
+    label = F.trim("raw")
+    if whole:
+        so_far = Window.partitionBy("file_id", "sheet").orderBy("row_idx", "col_idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        last = F.last(F.when(F.col("col_idx") == 0, F.struct("row_idx", label.alias("label"))), ignorenulls=True).over(so_far)
+        values = cells.withColumn("__last", last).where("col_idx > 0 AND __last.row_idx = row_idx").withColumn("label", F.col("__last.label")).drop("__last")
+    else:
+        values = cells.where("col_idx > 0").join(cells.where("col_idx = 0").select("file_id", "sheet", "row_idx", label.alias("label")), ["file_id", "sheet", "row_idx"])
+    rows = values.where("label <> '' AND NOT startswith(label, '---')").withColumn("number", parse_number(F.col("raw")))
     shown = F.regexp_extract(F.regexp_replace("raw", ",", ""), r"\.(\d+)", 1)
-    rows = values.join(labels, ["file_id", "sheet", "row_idx"]).where("label <> '' AND NOT startswith(label, '---')")
     total = F.col("label").rlike(TOTAL)
     kind = F.when(F.col("number").isNull(), "heading").when(total, "total").otherwise("line")
     number = F.col("number").cast("decimal(24,6)")
@@ -65,7 +73,7 @@ def marked(cells: DataFrame) -> DataFrame:
     return rows.select(*COLUMN, "row_idx", "label", "kind", "value", "places", *(["skip"] if "skip" in cells.columns else []))
 
 
-def check(rows: DataFrame) -> DataFrame:
+def check(rows: DataFrame, *, whole: bool = False) -> DataFrame:
     """Each total row of marked() rows: total, first_row and n_lines of the block that it adds up, n_totals within it, status and difference.
 
     status: matches, if a block that ends before the total sums to it, give or take half a unit of the last place shown
@@ -73,31 +81,48 @@ def check(rows: DataFrame) -> DataFrame:
     the column's start) counts, else the shortest. Else differs: the block is then that since the last section's start
     or, if it is nearer or there is none, all lines above; difference is the total less its sum. A total without any line
     above has status empty. Zeros, repeated values and negative lines are lines like others; columns without numbers have no totals.
+    whole: columns are short, so the rows of one may meet in a task.
     """
     is_line = F.col("kind") == "line"
-    summed = running(rows, COLUMN, "row_idx", {"before": (F.sum, F.when(is_line, F.col("value"))), "lines": (F.sum, F.when(is_line, 1)), "totals": (F.sum, F.when(F.col("kind") == "total", 1))})
+    column = Window.partitionBy(*COLUMN)
+    above = column.orderBy("row_idx").rowsBetween(Window.unboundedPreceding, -1)
+    add = (lambda df, wanted: df.select("*", *[f(c).over(above).alias(n) for n, (f, c) in wanted.items()])) if whole else (lambda df, wanted: running(df, COLUMN, "row_idx", wanted))
+    summed = add(rows, {"before": (F.sum, F.when(is_line, F.col("value"))), "lines": (F.sum, F.when(is_line, 1)), "totals": (F.sum, F.when(F.col("kind") == "total", 1))})
     summed = summed.withColumns({"before": F.coalesce("before", F.lit(0)).cast("decimal(28,6)"), "lines": F.coalesce("lines", F.lit(0)), "totals": F.coalesce("totals", F.lit(0))})
     start = F.when(~is_line, F.struct("lines", "before"))
-    summed = running(summed, COLUMN, "row_idx", {"section": (F.max, start)})
+    summed = add(summed, {"section": (F.max, start)})
     summed = summed.withColumn("section", F.coalesce("section", F.struct(F.lit(0).cast("bigint").alias("lines"), F.lit(0).cast("decimal(28,6)").alias("before"))))
     # how far a sum of so many rounded values may be off, and the grid on which sums are joined
-    whole = rows.groupBy(*COLUMN).agg(F.max(F.coalesce("places", F.lit(0))).alias("shown"), F.count_if(is_line).alias("n"))
+    if whole:
+        summed = summed.withColumns({"shown": F.max(F.coalesce("places", F.lit(0))).over(column), "n": F.count_if(is_line).over(column)})
+    else:
+        summed = summed.join(rows.groupBy(*COLUMN).agg(F.max(F.coalesce("places", F.lit(0))).alias("shown"), F.count_if(is_line).alias("n")), COLUMN)
     unit = F.pow(F.lit(10.0), -F.least("shown", F.lit(6)))
-    whole = whole.select(*COLUMN, (unit / 2).cast("decimal(28,7)").alias("half"), ((F.col("n") + 1) * unit / 2).alias("grid"))
-    summed = summed.join(whole, COLUMN)
+    summed = summed.withColumns({"half": (unit / 2).cast("decimal(28,7)"), "grid": (F.col("n") + 1) * unit / 2}).drop("shown", "n")
     place = lambda c: F.floor(c.cast("double") / F.col("grid"))
     begins = F.col("lines") == F.col("section.lines")
     # a block that begins with zeros amid a section sums to the same as the one after them
-    starts = summed.where(is_line & (begins | (F.col("value") != 0))).select(
-        *COLUMN, place(F.col("before")).alias("place"), F.struct(begins.alias("begins"), F.col("row_idx").alias("first_row"), F.col("lines").alias("lines"), F.col("totals").alias("totals"), F.col("before").alias("before")).alias("start")
-    )
-    totals = summed.where("kind = 'total'")
-    wanted = totals.select(*COLUMN, "row_idx", "value", "before", "lines", "totals", "half", F.explode(F.array(*[place(F.col("before") - F.col("value")) + k for k in (-1, 0, 1)])).alias("place"))
-    tried = wanted.join(starts, [*COLUMN, "place"]).where(F.col("start.lines") < F.col("lines"))
-    off = F.col("value") - (F.col("before") - F.col("start.before"))
-    fits = tried.where(F.abs(off) <= F.col("half") * (F.col("lines") - F.col("start.lines") + 1))
-    best = fits.groupBy(*COLUMN, "row_idx").agg(F.max(F.struct("start.begins", "start.first_row", "start.lines", "start.totals", off.alias("off"))).alias("best"))
-    out = totals.join(best, [*COLUMN, "row_idx"], "left")
+    is_start = is_line & (begins | (F.col("value") != 0))
+    a_start = F.struct(begins.alias("begins"), F.col("row_idx").alias("first_row"), F.col("lines").alias("lines"), F.col("totals").alias("totals"), F.col("before").alias("before"))
+    near_by = [(k, place(F.col("before") - F.col("value")) + k) for k in (-1, 0, 1)]
+    off = lambda s: F.col("value") - (F.col("before") - s["before"])
+    fits = lambda s: (s["lines"] < F.col("lines")) & (F.abs(off(s)) <= F.col("half") * (F.col("lines") - s["lines"] + 1))
+    found_by = lambda s: F.struct(s["begins"].alias("begins"), s["first_row"].alias("first_row"), s["lines"].alias("lines"), s["totals"].alias("totals"), off(s).alias("off"))
+    if whole:
+        mark = lambda k, at, s=None: F.struct(F.lit(k).alias("k"), at.alias("place"), (F.lit(None) if s is None else s).alias("start"))
+        marks = F.when(is_start, F.array(mark(None, place(F.col("before")), a_start))).when(F.col("kind") == "total", F.array(*[mark(k, at) for k, at in near_by]))
+        dealt = summed.withColumn("__mark", F.explode(marks)).select("*", "__mark.k", "__mark.place", "__mark.start").drop("__mark")
+        tried = dealt.withColumn("starts", F.collect_list("start").over(Window.partitionBy(*COLUMN, "place"))).where("kind = 'total' AND (k = 0 OR size(starts) > 0)")
+        best = F.when(F.size("starts") > 0, F.array_max(F.transform(F.filter("starts", fits), found_by)))
+        tried = tried.withColumn("best", best).drop("starts", "start").where("k = 0 OR best IS NOT NULL")
+        out = tried.withColumn("best", F.max("best").over(Window.partitionBy(*COLUMN, "row_idx"))).where("k = 0")
+    else:
+        starts = summed.where(is_start).select(*COLUMN, place(F.col("before")).alias("place"), a_start.alias("start"))
+        totals = summed.where("kind = 'total'")
+        wanted = totals.select(*COLUMN, "row_idx", "value", "before", "lines", "totals", "half", F.explode(F.array(*[at for _, at in near_by])).alias("place"))
+        tried = wanted.join(starts, [*COLUMN, "place"]).where(fits(F.col("start")))
+        best = tried.groupBy(*COLUMN, "row_idx").agg(F.max(found_by(F.col("start"))).alias("best"))
+        out = totals.join(best, [*COLUMN, "row_idx"], "left")
     near, far = F.col("value") - (F.col("before") - F.col("section.before")), F.col("value") - F.col("before")
     since = (F.col("lines") > F.col("section.lines")) & (F.abs(near) <= F.abs(far))
     status = F.when(F.col("best").isNotNull(), "matches").when(F.col("lines") == 0, "empty").otherwise("differs")

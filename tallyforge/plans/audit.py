@@ -19,22 +19,35 @@ from .catalogue import _workbook_files, number, query
 
 # ---- totals of sheets
 
+#: Lines of orders in a task.
+LINES = 100_000
+
 
 def _invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sheet for each order: a section for each return flag (heading, lines, total), then a grand total. Some totals are off: a section's by 100, a grand total by -50."""
+    """A sheet for each order: a section for each return flag (heading, lines, total), then a grand total. Some totals are off: a section's by 100, a grand total by -50.
+
+    Lines are dealt by order once; what is made of an order stays in its task.
+    """
     lines = facts.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", F.col("l_extendedprice").cast(facts.MONEY).alias("price"))
-    sections = lines.groupBy("l_orderkey", "l_returnflag").agg(F.sum("price").alias("total"), F.min("l_linenumber").alias("first"))
+    # a line becomes several cells, which are sorted more than once: few lines in a task keep that in memory
+    lines = lines.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), lines.count() // LINES + 1), "l_orderkey")
+    order = Window.partitionBy("l_orderkey")
+    section = Window.partitionBy("l_orderkey", "l_returnflag")
+    nth = lambda by: F.row_number().over(by)
+    lines = lines.withColumn("in_order", nth(order.orderBy("l_returnflag", "l_linenumber"))).withColumn("in_section", nth(section.orderBy("l_linenumber")))
+    lines = lines.withColumn("total", F.sum("price").over(section)).withColumn("grand", F.sum("price").over(order))
     wrong = F.when((F.col("l_orderkey") % 7 == 0) & (F.col("l_returnflag") != "N"), 100).otherwise(0)
-    row = lambda part, order, label, raw: F.struct(F.col(part).alias("section") if part else F.lit("~").alias("section"), F.lit(order).alias("kind"), F.col("l_linenumber").alias("nth") if order == 1 else F.lit(0).alias("nth"), label.alias("label"), raw.cast("string").alias("raw"))
-    body = lines.select("l_orderkey", row("l_returnflag", 1, F.concat(F.lit("line "), "l_linenumber"), F.col("price")).alias("r"))
-    heads = sections.select("l_orderkey", row("l_returnflag", 0, F.concat(F.lit("Lines "), "l_returnflag"), F.lit(None)).alias("r"))
-    subs = sections.select("l_orderkey", row("l_returnflag", 2, F.concat(F.lit("Total "), "l_returnflag"), F.col("total") + wrong).alias("r"))
-    grand = lines.groupBy("l_orderkey").agg(F.sum("price").alias("total"))
-    grand = grand.select("l_orderkey", row(None, 3, F.lit("Grand total"), F.col("total") - F.when(F.col("l_orderkey") % 11 == 0, 50).otherwise(0)).alias("r"))
-    rows = body.union(heads).union(subs).union(grand).select("l_orderkey", "r.*")
-    nth = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("section", "kind", "nth")) - 1
-    rows = rows.select(F.col("l_orderkey").alias("file_id"), F.lit("S1").alias("sheet"), nth.alias("row_idx"), F.array("label", "raw").alias("cells"))
-    return scratch(rows.select("file_id", "sheet", "row_idx", F.posexplode("cells").alias("col_idx", "raw")), "invoices")
+    row = lambda part, kind, label, raw: F.struct((F.col(part) if part else F.lit("~")).alias("section"), F.lit(kind).alias("kind"), label.alias("label"), raw.cast("string").alias("raw"))
+    of_section = [
+        row("l_returnflag", 0, F.concat(F.lit("Lines "), "l_returnflag"), F.lit(None)),
+        row("l_returnflag", 2, F.concat(F.lit("Total "), "l_returnflag"), F.col("total") + wrong),
+    ]
+    of_order = row(None, 3, F.lit("Grand total"), F.col("grand") - F.when(F.col("l_orderkey") % 11 == 0, 50).otherwise(0))
+    line = row("l_returnflag", 1, F.concat(F.lit("line "), "l_linenumber"), F.col("price"))
+    made = F.array_compact(F.array(line, *[F.when(F.col("in_section") == 1, r) for r in of_section], F.when(F.col("in_order") == 1, of_order)))
+    rows = lines.select("l_orderkey", F.col("l_linenumber").alias("nth"), F.explode(made).alias("r")).select("l_orderkey", "nth", "r.*")
+    rows = rows.select(F.col("l_orderkey").alias("file_id"), F.lit("S1").alias("sheet"), (nth(order.orderBy("section", "kind", "nth")) - 1).alias("row_idx"), F.array("label", "raw").alias("cells"))
+    return rows.select("file_id", "sheet", "row_idx", F.posexplode("cells").alias("col_idx", "raw"))
 
 
 @query("""
@@ -48,7 +61,7 @@ UNION ALL
 SELECT file_id, CAST(bottom AS BIGINT), 'Grand total', CASE WHEN file_id % 11 = 0 THEN 'differs' ELSE 'matches' END, CASE WHEN file_id % 11 = 0 THEN -1 ELSE 1 END, CAST(n AS BIGINT), CASE WHEN file_id % 11 = 0 THEN 0 ELSE k END, CAST(CASE WHEN file_id % 11 = 0 THEN -50 ELSE 0 END AS DOUBLE) FROM g""")
 def total_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Section totals and grand totals of a sheet for each order, right and wrong ones, held against their lines."""
-    found = totals.check(totals.marked(_invoices(spark, sf_dir)))
+    found = totals.check(totals.marked(_invoices(spark, sf_dir), whole=True), whole=True)
     return found.select("file_id", F.col("row_idx").cast("long").alias("row_idx"), "label", "status", F.coalesce("first_row", F.lit(-1)).cast("long").alias("first_row"), "n_lines", "n_totals", number("difference").alias("difference"))
 
 

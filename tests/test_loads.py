@@ -283,6 +283,29 @@ def test_totals_equal_brute_force(spark, monkeypatch, part):
     assert got == {k: brute(c) for k, c in enumerate(columns) if brute(c)}
 
 
+def test_short_sheets_alike_by_parts_and_whole_in_one_shuffle(spark):
+    r = random.Random(3)
+    cells = []
+    for k in range(30):
+        sheet, own = "ST"[k % 2], [r.choice(["line", "line", "Heading", "Total", "Less: x", "--- x", None, ""]) for _ in range(r.randint(1, 25))]
+        for i, label in enumerate(own):
+            cells.append((k // 2, sheet, i, 0, "Line", label))
+            cells += [(k // 2, sheet, i, j, "h", None if label == "Heading" else r.choice(["1", "2", "0", "-1", "0.33", "3.00", "n/a"])) for j in (1, 2, 5) if r.random() < 0.9]
+    df = spark.createDataFrame(cells, "file_id int, sheet string, row_idx int, col_idx int, header string, raw string")
+    rows = lambda out: sorted(map(str, out.collect()))
+    whole = totals.check(totals.marked(df, whole=True), whole=True)
+    assert rows(whole) == rows(totals.check(totals.marked(df))) and {x["status"] for x in whole.collect()} == {"matches", "differs", "empty"}
+    assert whole._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 1
+    assert rows(totals.check(totals.marked(df.limit(0), whole=True), whole=True)) == []
+
+
+def test_total_rows_shuffles_lines_once(spark, sf):
+    from tallyforge.plans.catalogue import QUERIES
+
+    plan = QUERIES["total_rows"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1
+
+
 def test_no_cells_no_totals(spark):
     assert totals.check(totals.marked(table(spark, []))).collect() == [] and checked(spark, [["x", 1]]) == {}
     assert ingest.if_small(spark.range(3), 2).count() == 3 and gates.onboard(None, None, None)
