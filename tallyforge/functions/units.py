@@ -69,20 +69,22 @@ def row_unit(label: Column, sheet_unit: Column) -> Column:
 
 
 def display(value: Column, currency: Column, target: str = "auto") -> Column:
-    """An amount for readers: crore and lakh, millions and thousands, or plain; rounding is half-even like the number format's."""
+    """An amount for readers: crore and lakh, millions and thousands, or plain; rounding is half-even like the number format's. What is no finite number is shown as nan, inf or -inf."""
     v = value.cast("double")
-    fixed = lambda x, unit: F.concat(F.regexp_replace(F.format_number(x, 2), ",", ""), F.lit(unit))
-    plain = F.format_number(v, 2)
+    endless = F.when(F.isnan(v), "nan").when(v == float("inf"), "inf").when(v == float("-inf"), "-inf")
+    grouped = lambda x, places: F.coalesce(endless, F.format_number(x, places))
+    fixed = lambda x, unit: F.concat(F.regexp_replace(grouped(x, 2), ",", ""), F.lit(unit))
+    plain = grouped(v, 2)
     crore, lakh = fixed(v / 10_000_000, " Cr"), fixed(v / 100_000, " L")
     if target == "crore":
         inr = crore
     elif target == "lakh":
         inr = lakh
     elif target == "auto":
-        inr = F.when(F.abs(v) >= 10_000_000, crore).when(F.abs(v) >= 100_000, lakh).otherwise(F.format_number(v, 0))
+        inr = F.when(F.abs(v) >= 10_000_000, crore).when(F.abs(v) >= 100_000, lakh).otherwise(grouped(v, 0))
     else:
         inr = None
-    usd = F.when(F.abs(v) >= 1_000_000, fixed(v / 1_000_000, "M")).when(F.abs(v) >= 1_000, fixed(v / 1_000, "K")).otherwise(F.format_number(v, 0)) if target == "auto" else None
+    usd = F.when(F.abs(v) >= 1_000_000, fixed(v / 1_000_000, "M")).when(F.abs(v) >= 1_000, fixed(v / 1_000, "K")).otherwise(grouped(v, 0)) if target == "auto" else None
     out = plain
     if usd is not None:
         out = F.when(currency == "USD", F.concat(F.lit("$"), usd)).otherwise(out)

@@ -124,7 +124,8 @@ def unit_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT s_suppkey, CASE WHEN abs(v) >= 1e7 THEN '₹' || printf('%.2f', v / 1e7) || ' Cr' WHEN abs(v) >= 1e5 THEN '₹' || printf('%.2f', v / 1e5) || ' L' ELSE '₹' || format('{:,.0f}', v) END AS shown FROM (SELECT s_suppkey, round(s_acctbal) * CASE s_suppkey % 3 WHEN 0 THEN 10000 WHEN 1 THEN 100 ELSE 1 END AS v FROM supplier)")
 def display_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = F.round("s_acctbal") * F.when(F.col("s_suppkey") % 3 == 0, 10000).when(F.col("s_suppkey") % 3 == 1, 100).otherwise(1)
+    """Balances in rupees; one that is rounded to nothing from below zero keeps its sign, which Spark's rounding drops."""
+    v = F.signum("s_acctbal") * F.round(F.abs("s_acctbal")) * F.when(F.col("s_suppkey") % 3 == 0, 10000).when(F.col("s_suppkey") % 3 == 1, 100).otherwise(1)
     return facts.table(spark, sf_dir, "supplier").select("s_suppkey", units.display(v, F.lit("INR")).alias("shown"))
 
 

@@ -33,6 +33,15 @@ def test_query(spark, sf, con, name):
     assert shown(map(tuple, rows)) == shown(want[got.columns].astype(object).itertuples(index=False, name=None))
 
 
+def test_balances_of_all_sizes_are_shown_as_in_sql(spark, tmp_path):
+    odd = ["0", "-0.0", "-0.01", "-0.4", "-0.49999999999999994", "-0.5", "0.5", "1.5", "2.5", "-2.5", "-999.5", "1004.5", "9999.99", "1e10", "-1e15", "nan", "inf", "-inf", None]
+    rows = ", ".join(f"({3 * k + i}, {'NULL' if v is None else repr(v)})" for k, v in enumerate(odd) for i in range(3))
+    duckdb.sql(f"COPY (SELECT CAST(k AS BIGINT) AS s_suppkey, CAST(v AS DOUBLE) AS s_acctbal FROM (VALUES {rows}) x(k, v)) TO '{tmp_path}/supplier.parquet' (FORMAT parquet)")
+    want = duckdb.connect().execute(ORACLES["display_format"].replace("FROM supplier", f"FROM '{tmp_path}/supplier.parquet'")).fetchall()
+    got = [tuple(r) for r in QUERIES["display_format"](spark, str(tmp_path)).collect()]
+    assert len(got) == 3 * len(odd) and sorted(got) == sorted(want)
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
