@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from ..functions.periods import parse_period
 from ..functions.text import CLAIMS
+from .store import if_small, scratch
 
 #: A chunk's words: at most, and at least unless nothing follows.
 MOST, LEAST = 300, 150
@@ -138,21 +139,26 @@ def with_claims(chunks: DataFrame, text: str = "raw_text") -> DataFrame:
 def link_to_facts(chunks: DataFrame, live: DataFrame, *, by: str = "entity_id", text: str = "raw_text", claims: str = "numerical_claims") -> DataFrame:
     """chunks with linked_periods, linked_metrics and linked_fact_ids: facts of the periods they claim and of the metrics they name.
 
-    An entity's facts are few and come as one row for each entity, so chunks are neither multiplied nor sorted.
+    An entity's facts are few and come as one row for each entity, so chunks are neither multiplied nor sorted. That row
+    is written once, with the ids by period and by metric. What a text claims and names is computed once for each chunk:
+    no lambda refers to it, as Spark would put the whole expression into the lambda, and so compute it for each fact.
     """
     facts = live.groupBy(by).agg(F.collect_set(F.struct("fact_id", "period", F.col("canonical_field").alias("metric"))).alias("__facts"))
-    claimed = F.array_distinct(F.filter(F.transform(F.filter(claims, lambda c: c["type"] == "period"), lambda c: parse_period(c["number"])), lambda p: p.isNotNull()))
+    of = lambda c: F.filter(F.array_distinct(F.transform("__facts", lambda f: f[c])), lambda x: x.isNotNull())
+    ids = lambda c: F.map_from_arrays(of(c), F.transform(of(c), lambda x: F.transform(F.filter("__facts", lambda f: f[c] == x), lambda f: f["fact_id"])))
+    needle = lambda m: F.concat(F.lit(" "), F.translate(m, "_", " "), F.lit(" "))
+    metrics = F.transform(of("metric"), lambda m: F.struct(m.alias("metric"), needle(m).alias("words")))
+    facts = scratch(facts.select(by, ids("period").alias("__by_period"), ids("metric").alias("__by_metric"), metrics.alias("__metrics")), "facts")
+    joined = chunks.join(if_small(facts, 10_000), by, "left")
+    none = F.array().cast("array<string>")
+    claimed = F.filter(F.transform(F.filter(claims, lambda c: c["type"] == "period"), lambda c: parse_period(c["number"])), lambda p: p.isNotNull())
     low = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), F.lit(" "))
-    joined = chunks.join(F.broadcast(facts) if facts.limit(10_001).count() <= 10_000 else facts, by, "left")
-    joined = joined.withColumn("__claimed", claimed).withColumn("__low", low).withColumn("__facts", F.coalesce("__facts", F.expr("array()").cast(facts.schema["__facts"].dataType)))
-    # a metric is looked for once in a text, however many facts there are of it
-    metrics = F.array_distinct(F.transform("__facts", lambda f: f["metric"]))
-    joined = joined.withColumn("__named", F.filter(metrics, lambda m: F.col("__low").contains(F.concat(F.lit(" "), F.translate(m, "_", " "), F.lit(" ")))))
-    joined = joined.withColumn("__p", F.filter("__facts", lambda f: F.array_contains(F.col("__claimed"), f["period"]))).withColumn("__m", F.filter("__facts", lambda f: F.array_contains(F.col("__named"), f["metric"])))
-    unique = lambda c, f: F.array_sort(F.array_distinct(F.transform(c, lambda x: x[f])))
-    out = joined.withColumn("linked_periods", unique("__p", "period")).withColumn("linked_metrics", unique("__m", "metric"))
-    out = out.withColumn("linked_fact_ids", F.array_sort(F.array_union(unique("__p", "fact_id"), unique("__m", "fact_id"))))
-    return out.drop("__facts", "__claimed", "__low", "__named", "__p", "__m")
+    named = F.array_compact(F.zip_with("__metrics", F.array_repeat(low, F.size("__metrics")), lambda m, t: F.when(t.contains(m["words"]), m["metric"])))
+    known = F.array_intersect(claimed, F.map_keys("__by_period"))
+    out = joined.withColumns({"linked_periods": F.array_sort(F.coalesce(known, none)), "linked_metrics": F.array_sort(F.coalesce(named, none))})
+    found = lambda linked, by_name: F.transform(linked, lambda x: F.try_element_at(F.col(by_name), x))
+    both = F.concat(found("linked_periods", "__by_period"), found("linked_metrics", "__by_metric"))
+    return out.withColumn("linked_fact_ids", F.array_sort(F.array_distinct(F.flatten(both)))).drop("__by_period", "__by_metric", "__metrics")
 
 
 def hashed_words(texts: list[str]) -> np.ndarray:

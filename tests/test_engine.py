@@ -304,6 +304,23 @@ def test_claims_have_context():
     assert [(c["type"], c["number"]) for c in got] == [("currency", "Rs. 45 lakh"), ("period", "FY24"), ("multiplier", "3.2x")] and all(c["number"] in c["context"] for c in got)
 
 
+def test_links_of_odd_chunks_compute_facts_once(spark):
+    live = live_of(spark, [("revenue_net", "FY23", 1), ("pat", "FY24", 2), ("cogs", "FY22", 2)])
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    odd = spark.createDataFrame([(1, 1, "The pat.", None), (2, 2, None, []), (None, 3, "pat", None), (1, 4, "Of FY24, FY2024 and FY23", None)], "entity_id int, chunk_id long, raw_text string, old string")
+    lone = live.unionByName(live.limit(1).withColumns({"fact_id": F.lit("f"), "period": F.lit(None).cast("string"), "canonical_field": F.lit(None).cast("string")}))
+    found = text.link_to_facts(text.with_claims(odd), lone.mapInArrow(seen, lone.schema))
+    got = {r.chunk_id: (r.linked_periods, r.linked_metrics, r.linked_fact_ids) for r in found.collect()}
+    assert got[1] == ([], ["pat"], ["f_one_FY24_pat"]) and got[2] == got[3] == ([], [], []) and got[4] == (["FY23", "FY24"], [], ["f_one_FY23_revenue_net", "f_one_FY24_pat"])
+    assert read.value == lone.count()  # facts are computed once
+
+
 def test_links_and_search(spark):
     chunks = spark.createDataFrame([(1, 1, "Net revenue: revenue net of FY2024 rose, a pattern."), (1, 2, "Nothing."), (2, 3, "Of FY24.")], "entity_id int, chunk_id long, raw_text string")
     live = live_of(spark, [("revenue_net", "FY23", 1), ("pat", "FY24", 2), ("cogs", "FY22", 2)])
